@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat
+from .ann import op7_nearest
 from .decontam import op1_decontamination
+from .langid import op9_language_id
 from .licenses import op10_license_scan
+from .pack import op8_token_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op6_chat_format": chat.op6_chat_format,
+    "op7_nearest": op7_nearest,
+    "op8_token_packing": op8_token_packing,
+    "op9_language_id": op9_language_id,
     "op10_license_scan": op10_license_scan,
 }
 
