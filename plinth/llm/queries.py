@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat
+from . import chat, warc
 from .ann import op7_nearest
 from .decontam import op1_decontamination
 from .langid import op9_language_id
 from .licenses import op10_license_scan
+from .mix import op5_source_mix
 from .pack import op8_token_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op3_warc": warc.op3_warc,
+    "op5_source_mix": op5_source_mix,
     "op6_chat_format": chat.op6_chat_format,
     "op7_nearest": op7_nearest,
     "op8_token_packing": op8_token_packing,
@@ -23,5 +26,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_warc": warc.ORACLE,
     "op6_chat_format": chat.ORACLE,
 }
