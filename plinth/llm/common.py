@@ -33,6 +33,7 @@ WORD_BYTE[128:] = True
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER_ASCII, LOWER_ASCII = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -153,9 +154,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def through_disk(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it again: later steps reread it instead of computing it twice, and lost executors cost nothing."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    before = spark.conf.get(_CLEAN, None)
+    try:
+        spark.conf.set(_CLEAN, "true")  # the shuffles of this write are of no use after it
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def signed(h: np.ndarray) -> np.ndarray:

@@ -13,9 +13,11 @@ from .langid import op9_language_id
 from .licenses import op10_license_scan
 from .mix import op5_source_mix
 from .pack import op8_token_packing
+from .repeats import op2_repeated_strings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_repeated_strings": op2_repeated_strings,
     "op3_warc": warc.op3_warc,
     "op5_source_mix": op5_source_mix,
     "op6_chat_format": chat.op6_chat_format,
