@@ -12,6 +12,7 @@ from .decontam import op1_decontamination
 from .langid import op9_language_id
 from .licenses import op10_license_scan
 from .mix import op5_source_mix
+from .neardup import op4_near_duplicates
 from .pack import op8_token_packing
 from .repeats import op2_repeated_strings
 
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_repeated_strings": op2_repeated_strings,
     "op3_warc": warc.op3_warc,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_source_mix": op5_source_mix,
     "op6_chat_format": chat.op6_chat_format,
     "op7_nearest": op7_nearest,
