@@ -1,4 +1,4 @@
-"""Every registered query, by name, with its DuckDB oracle where SQL can express it."""
+"""The registry that query modules fill: a query is a function (spark, sf_dir) -> DataFrame with, where SQL can express it, a DuckDB oracle."""
 
 from __future__ import annotations
 
@@ -6,6 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "hybrid_search"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def register(function: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        QUERIES[name] = function
+        if sql:
+            ORACLES[name] = sql
+        return function
+
+    return register
