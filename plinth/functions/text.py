@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -38,18 +39,31 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(x, y)) / F.nullif(F.size(F.array_union(x, y)), F.lit(0)), F.lit(0.0))
 
 
-def strict_word_similarity(a: Column, b: Column) -> Column:
-    """The best similarity of a with a run of whole words of b."""
-    words = F.filter(F.split(normalize(b), " "), lambda w: w != "")
-    n = F.size(words)
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.array_join(F.slice(words, i, k), " "))))
-    own = word_trigrams(a)
+def _grams(words: list[str]) -> set[str]:
+    return {f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1)}
 
-    def score(run: Column) -> Column:
-        other = word_trigrams(run)
-        return F.size(F.array_intersect(own, other)) / F.nullif(F.size(F.array_union(own, other)), F.lit(0))
 
-    return F.when((n > 0) & (F.size(own) > 0), F.array_max(F.transform(runs, score))).otherwise(0.0)
+def _best_run(own: set[str], words: list[str]) -> float:
+    best = 0.0
+    for i in range(len(words)):
+        run: set[str] = set()
+        for w in words[i:]:
+            run |= _grams([w])
+            best = max(best, len(own & run) / len(own | run))
+    return best
+
+
+def strict_word_similarity(terms: list[str] | str, text: Column) -> Column:
+    """The best similarity of any of the terms with a run of whole words of text: one Arrow call per batch, each different text read once."""
+    wanted = [_grams(re.findall(r"[^\W_]+", x.lower())) for x in ([terms] if isinstance(terms, str) else terms)]
+    wanted = [x for x in wanted if x]
+
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        found = {x: max((_best_run(own, re.findall(r"[^\W_]+", x.lower())) for own in wanted), default=0.0) for x in texts.dropna().unique()}
+        return texts.map(found).fillna(0.0)
+
+    return run(text)
 
 
 def _osa(a: str, b: str, most: int) -> int | None:

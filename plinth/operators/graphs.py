@@ -60,18 +60,21 @@ def both_ways(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.unionByName(edges.withColumns({a: F.col(b), b: F.col(a)}))
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(id, component): the smallest id each node is connected to, by minimum labels with pointer jumping. nodes: id; edges: a, b."""
-    both = materialize(both_ways(edges.select("a", "b")).distinct())
-    labels = materialize(nodes.select("id", F.col("id").alias("label")).distinct())
+def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(id, component): the smallest id each node is connected to. nodes: id; edges: a, b. Each round points nodes to their smallest neighbour, jumps along the pointers and contracts the edges, so settled parts leave the edge table."""
+    edges = materialize(edges.where("a <> b").select("a", "b").distinct())
+    labels = materialize(nodes.select("id", F.col("id").alias("component")).distinct())
     for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("seen"))
-        lowered = labels.join(near, F.col("id") == F.col("a"), "left").select("id", F.least("label", F.coalesce("seen", "label")).alias("next"), F.col("label").alias("old"))
-        jump = labels.select(F.col("id").alias("next"), F.col("label").alias("far"))
-        now = materialize(lowered.join(jump, "next", "left").select("id", F.least("next", "far").alias("label"), "old"))
-        labels = now.select("id", "label")
-        if now.where("label <> old").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+        if edges.isEmpty():
+            return labels
+        near = both_ways(edges).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near"))
+        up = materialize(near.select("id", F.least("id", "near").alias("up")))
+        for _ in range(2):
+            up = up.join(up.select(F.col("id").alias("up"), F.col("up").alias("top")), "up").select("id", F.col("top").alias("up"))
+        up = materialize(up)
+        labels = materialize(labels.join(up.toDF("component", "up"), "component", "left").select("id", F.coalesce("up", "component").alias("component")))
+        ends = edges.join(up.toDF("a", "x"), "a").join(up.toDF("b", "y"), "b").where("x <> y")
+        edges = materialize(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 

@@ -1,6 +1,6 @@
 """All query modules, imported so that the registry is full."""
 
-from . import aggregates, joins, predicates, rankings
+from . import aggregates, expressions, joins, predicates, rankings, searching
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "joins", "predicates", "rankings"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "expressions", "joins", "predicates", "rankings", "searching"]
