@@ -184,8 +184,8 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def annotate(df: DataFrame, function, name: str, kind: str) -> DataFrame:
-    """df with a column appended by function(batch) -> pa.Array, one value per row, in one pass over Arrow batches without a shuffle."""
+def annotate(df: DataFrame, function, name: str, kind: str, rows: int = 1024) -> DataFrame:
+    """df with a column appended by function(batch) -> pa.Array, one value per row, in one pass over Arrow batches without a shuffle. Batches are worked on in slices of `rows`, which bounds a worker's memory."""
     name = fresh(df, name)
     out = df.withColumn(name, F.lit(None).cast(kind))
     schema = out.schema
@@ -194,8 +194,9 @@ def annotate(df: DataFrame, function, name: str, kind: str) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_type
 
         want = to_arrow_type(schema[name].dataType)
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
                 made = function(batch)
                 yield pa.RecordBatch.from_arrays([*batch.columns, made.cast(want) if made.type != want else made], [*batch.schema.names, name])
 

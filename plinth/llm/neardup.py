@@ -99,18 +99,23 @@ def star_edges(classes: DataFrame, trees: int) -> DataFrame:
     return posted.join(centres, "node").where("a > b").select("a", "b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """id and component (its smallest id) of every end of an edge (a, b), by minimum labels with pointer jumping; lineage is cut each round."""
-    both = through_disk(edges.union(edges.select("b", "a")).toDF("id", "near"))
-    labels = through_disk(both.groupBy("id").agg(F.least(F.col("id"), F.min("near")).alias("label")))
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """id and component (its smallest id) of every end of an edge (a, b). Each round points nodes to their smallest neighbour, jumps twice along the pointers and contracts the edges; what is settled leaves the edge table."""
+    edges, labels = through_disk(edges), None
     for _ in range(rounds):
-        near = both.join(labels.select(F.col("id").alias("near"), "label"), "near").groupBy("id").agg(F.min("label").alias("seen"))
-        lowered = labels.join(near, "id").select("id", F.least("label", "seen").alias("next"), F.col("label").alias("old"))
-        jump = labels.select(F.col("id").alias("next"), F.col("label").alias("far"))
-        now = through_disk(lowered.join(jump, "next", "left").select("id", F.least("next", "far").alias("label"), "old"))
-        labels = now.select("id", "label")
-        if now.where("label <> old").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+        both = edges.union(edges.select("b", "a")).toDF("id", "near")
+        up = through_disk(both.groupBy("id").agg(F.min("near").alias("near")).select("id", F.least("id", "near").alias("up")))
+        for _ in range(2):
+            above = up.select(F.col("id").alias("up"), F.col("up").alias("top"))
+            up = up.join(above, "up").select("id", F.col("top").alias("up"))
+        up = through_disk(up)
+        step = up.select(F.col("id").alias("component"), "up")
+        labels = up.select("id", F.col("up").alias("component")) if labels is None else labels.join(step, "component", "left").select("id", F.coalesce("up", "component").alias("component"))
+        labels = through_disk(labels)
+        ends = edges.join(up.toDF("a", "x"), "a").join(up.toDF("b", "y"), "b").where("x <> y")
+        edges = through_disk(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        if edges.isEmpty():
+            return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
