@@ -46,8 +46,9 @@ def _cuts(payload: memoryview, chunk_bytes: int):
     data, at = bytes(payload), 0
     while True:
         to = min(len(data), at + chunk_bytes)
-        if data.startswith(_MAGIC, at):
-            to = min(to, at + 4)
+        for lead in (b"", b"\r\n"):  # with the blank line before the block, either would make a separator
+            if data.startswith(lead + _MAGIC, at):
+                to = min(to, at + len(lead) + 4)
         inside = data.find(_MARKER, at, to)
         if inside >= 0:
             to = inside + 8
