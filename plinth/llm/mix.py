@@ -7,7 +7,8 @@ constraint and its derivative over all documents in Spark, from the counts of (s
 
 Rates are rounded into copies 0, 1 or 2 by systematic rounding: in cells of about CELL documents of a source, ordered by
 size, a document gets its fraction's copy where the running sum of fractions passes a half. What a source then still
-lacks or has too much is mended by a few single copies, the largest that fits each time. Reruns agree.
+lacks or has too much is mended: first within one cell of it, by copies of the largest documents whose running sum stays within the gap,
+then by a few single copies, the largest that fits each time. Reruns agree.
 
 Targets: sources in code point order, null last, have weights 3, 1, 2, repeating, and share SHARE of all words; a target
 stops at MOST times its source's words and the excess is shared again.
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import fresh, table, through_disk
 
 WEIGHTS, SHARE, MOST, CELL, MAX_SOURCES = (3.0, 1.0, 2.0), 1.5, 2.0, 4096, 100_000
-ROUNDS, MENDS = 60, 6
+#: Changed copies up to which they are broadcast (16 bytes each); beyond, they are joined by shuffle.
+ROUNDS, MENDS, BROADCAST_CHANGES = 60, 6, 1_000_000
 
 
 def word_size(text: Column) -> Column:
@@ -109,34 +111,53 @@ def mix_sources(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     extra = F.floor(F.col(t["upto"]) + 0.5) - F.floor(F.col(t["upto"]) - part + 0.5)
     work = work.withColumn(t["copies"], F.least(F.lit(int(MOST)), F.floor(t["rate"]) + F.greatest(F.lit(0), F.least(F.lit(1), extra))).cast("long"))
     result = F.struct(F.col(size).alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), F.col(t["copies"]).alias("copies"))
-    rounded = through_disk(work.select(*documents.columns, result.alias(name), F.monotonically_increasing_id().alias(key)))
-    changes = _mends(rounded, name, key, source_col, wanted)
-    mend = spark.createDataFrame(changes or [(-1, 0)], f"{key} long, {renamed['fixed']} int")  # at most MENDS rows a source
-    mended = rounded.join(F.broadcast(mend), key, "left")
-    copies = F.col(f"{name}.copies") + F.coalesce(m["fixed"], F.lit(0))
+    rounded = through_disk(work.select(*documents.columns, result.alias(name), F.struct(F.monotonically_increasing_id().alias("key"), F.col(t["cell"]).alias("cell")).alias(key)))
+    rows = rounded.select(F.col(source_col).cast("string").alias("source"), F.col(f"{name}.size").alias("size"), F.col(f"{name}.copies").alias("copies"), f"{key}.key", f"{key}.cell", F.xxhash64(id_col).alias("order"))
+    changes = through_disk(_cell_mends(rows, wanted))
+    singles = _single_mends(rows.join(changes, "key", "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0))), wanted)
+    changes = changes.union(spark.createDataFrame(singles, changes.schema)).groupBy("key").agg(F.sum("change").alias("change"))  # at most MENDS of them a source
+    if changes.count() <= BROADCAST_CHANGES:
+        changes = F.broadcast(changes)
+    moved = {c: fresh(rounded, c) for c in ("key", "change")}
+    changes = changes.select([F.col(c).alias(n) for c, n in moved.items()])
+    mended = rounded.join(changes, F.col(f"{key}.key") == F.col(moved["key"]), "left")
+    copies = F.col(f"{name}.copies") + F.coalesce(F.col(moved["change"]), F.lit(0))
     return mended.withColumn(name, F.col(name).withField("copies", copies)).select(*documents.columns, name), name
 
 
-def _mends(rounded: DataFrame, name: str, key: str, source_col: str, wanted: dict) -> list[tuple[int, int]]:
-    spark = rounded.sparkSession
-    rows = rounded.select(F.col(source_col).cast("string").alias("source"), F.col(f"{name}.size").alias("size"), F.col(f"{name}.copies").alias("copies"), F.col(key).alias("key"))
-    took = {r["source"]: r["took"] for r in rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("took")).collect()}
-    gaps, changes = {s: wanted[s] - took[s] for s in took}, {}
+def _gaps(rows: DataFrame, wanted: dict) -> dict:
+    took = {r["source"]: r["took"] for r in rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("took")).collect()}  # a row per source
+    return {s: wanted[s] - x for s, x in took.items() if abs(wanted[s] - x) >= 1}
+
+
+def _fitting(rows: DataFrame, gaps: dict) -> DataFrame:
+    """The rows one copy of which, more or less, narrows the gap of their source."""
+    now = F.broadcast(rows.sparkSession.createDataFrame(list(gaps.items()), "g_source string, gap double"))
+    fits = F.when(F.col("gap") > 0, F.col("copies") < int(MOST)).otherwise(F.col("copies") > 0) & (F.col("size") <= F.abs("gap")) & (F.col("size") > 0)
+    return rows.join(now, rows["source"].eqNullSafe(now["g_source"])).where(fits)
+
+
+def _cell_mends(rows: DataFrame, wanted: dict) -> DataFrame:
+    """key and change (1 or -1) of documents in the first cell of each source, about CELL of them."""
+    upto = F.sum("size").over(Window.partitionBy("source").orderBy(F.col("size").desc(), "order", "key").rowsBetween(Window.unboundedPreceding, 0))
+    found = _fitting(rows.where("cell = 0"), _gaps(rows, wanted)).withColumn("upto", upto)
+    return found.where(F.col("upto") <= F.abs("gap")).select("key", F.signum("gap").cast("long").alias("change"))
+
+
+def _single_mends(rows: DataFrame, wanted: dict) -> list[tuple[int, int]]:
+    gaps, changes = _gaps(rows, wanted), []
     for _ in range(MENDS):
-        gaps = {s: g for s, g in gaps.items() if abs(g) >= 1}
         if not gaps:
             break
-        now = F.broadcast(spark.createDataFrame(list(gaps.items()), "g_source string, gap double"))
-        used = F.col("key").isin([k for k, _ in changes.values()]) if changes else F.lit(False)
-        fits = F.when(F.col("gap") > 0, F.col("copies") < int(MOST)).otherwise(F.col("copies") > 0) & (F.col("size") <= F.abs("gap")) & (F.col("size") > 0) & ~used
-        best = rows.join(now, rows["source"].eqNullSafe(now["g_source"])).where(fits).groupBy("g_source").agg(F.max(F.struct("size", (-F.col("key")).alias("k"))).alias("best")).collect()
-        gaps_next = {}
+        fresh_rows = rows.where(~F.col("key").isin([k for k, _ in changes])) if changes else rows
+        best = _fitting(fresh_rows, gaps).groupBy("g_source").agg(F.max(F.struct("size", (-F.col("key")).alias("k"))).alias("best")).collect()
+        left = {}
         for r in best:
             sign = 1 if gaps[r["g_source"]] > 0 else -1
-            changes[len(changes)] = (-r["best"]["k"], sign)
-            gaps_next[r["g_source"]] = gaps[r["g_source"]] - sign * r["best"]["size"]
-        gaps = gaps_next
-    return list(changes.values())
+            changes.append((-r["best"]["k"], sign))
+            left[r["g_source"]] = gaps[r["g_source"]] - sign * r["best"]["size"]
+        gaps = {s: g for s, g in left.items() if abs(g) >= 1}
+    return changes
 
 
 def mixed(documents: DataFrame, **columns) -> DataFrame:
