@@ -39,7 +39,7 @@ def test_odd_vectors_copies_and_ties(spark):
     rows += [(300, None), (350, []), (400, [0.0, 0.0, 0.0]), (450, [1.0, None, 2.0]), (500, [float("nan"), 1.0, 1.0]), (550, [float("inf"), 1.0, 1.0]), (600, [1.0, 2.0]), (None, [1.0, 1.0, 1.0]), (650, [1.0, 2.5])]
     frame = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, row int, id string")
     got = {}
-    for r in nearest(frame.repartition(3), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+    for r in nearest(frame.repartition(3), F.col("id") % 50 == 0).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     assert set(got) == {0, 50, 150, 200, 600, 650}
     assert [i for i, _ in got[150]] == [200, 201, 202, 203, 204] and [i for i, _ in got[200]] == [150, 201, 202, 203, 204]
@@ -47,4 +47,4 @@ def test_odd_vectors_copies_and_ties(spark):
 
 
 def test_empty_table(spark):
-    assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") >= 0).count() == 0
+    assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("id") >= 0).count() == 0

@@ -28,7 +28,7 @@ def test_best_fit_equals_a_linear_search():
         bins[b].append(p)
     got = best_fit(lengths, 32)
     assert len(got) == len(bins) and sorted(p for b in got for p in b) == list(range(300))
-    assert sorted(tuple(sorted(lengths[b].tolist())) for b in got) == sorted(tuple(sorted(lengths[b].tolist())) for b in bins)
+    assert sorted(int(lengths[b].sum()) for b in got) == sorted(int(lengths[b].sum()) for b in bins)  # which of equal rooms is taken does not matter
 
 
 def test_room_tree():
