@@ -96,8 +96,17 @@ def box_iou(a: Column, b: Column) -> Column:
     return F.coalesce(shared / F.nullif(a["w"] * a["h"] + b["w"] * b["h"] - shared, F.lit(0.0)), F.lit(0.0))
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with the value computed once, so that nested compositions stay small expressions."""
+    return F.transform(F.array(value), body)[0]
+
+
 def quaternion_rotate(q: Column, v: Column) -> Column:
     """v turned by the unit quaternion (w, x, y, z)."""
+    return bound(F.struct(q.alias("q"), v.alias("v")), lambda both: _rotated(both["q"], both["v"]))
+
+
+def _rotated(q: Column, v: Column) -> Column:
     tx = 2 * (q["y"] * v["z"] - q["z"] * v["y"])
     ty = 2 * (q["z"] * v["x"] - q["x"] * v["z"])
     tz = 2 * (q["x"] * v["y"] - q["y"] * v["x"])
@@ -119,19 +128,23 @@ def quaternion_multiply(p: Column, q: Column) -> Column:
 
 def similarity_apply(t: Column, v: Column) -> Column:
     """scale * rotate(v) + move; t is (s, q, t)."""
-    turned = quaternion_rotate(t["q"], v)
-    return F.struct(*[(t["s"] * turned[x] + t["t"][x]).alias(x) for x in "xyz"])
+    parts = F.struct(t.alias("t"), quaternion_rotate(t["q"], v).alias("v"))
+    return bound(parts, lambda p: F.struct(*[(p["t"]["s"] * p["v"][x] + p["t"]["t"][x]).alias(x) for x in "xyz"]))
 
 
 def similarity_inverse(t: Column) -> Column:
-    back = F.struct(t["q"]["w"].alias("w"), *[(-t["q"][x]).alias(x) for x in "xyz"])
-    moved = quaternion_rotate(back, t["t"])
-    return F.struct((1 / t["s"]).alias("s"), back.alias("q"), F.struct(*[(-moved[x] / t["s"]).alias(x) for x in "xyz"]).alias("t"))
+    def of(t: Column) -> Column:
+        back = F.struct(t["q"]["w"].alias("w"), *[(-t["q"][x]).alias(x) for x in "xyz"])
+        parts = F.struct(t["s"].alias("s"), back.alias("q"), quaternion_rotate(back, t["t"]).alias("v"))
+        return bound(parts, lambda p: F.struct((1 / p["s"]).alias("s"), p["q"].alias("q"), F.struct(*[(-p["v"][x] / p["s"]).alias(x) for x in "xyz"]).alias("t")))
+
+    return bound(t, of)
 
 
 def similarity_compose(a: Column, b: Column) -> Column:
     """First b, then a."""
-    return F.struct((a["s"] * b["s"]).alias("s"), quaternion_multiply(a["q"], b["q"]).alias("q"), similarity_apply(a, b["t"]).alias("t"))
+    parts = F.struct(a.alias("a"), b.alias("b"))
+    return bound(parts, lambda p: F.struct((p["a"]["s"] * p["b"]["s"]).alias("s"), quaternion_multiply(p["a"]["q"], p["b"]["q"]).alias("q"), similarity_apply(p["a"], p["b"]["t"]).alias("t")))
 
 
 def project_pinhole(camera: Column, p: Column) -> Column:

@@ -78,18 +78,21 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def shortest_paths(edges: DataFrame, source: object, rounds: int = 1000) -> DataFrame:
-    """(id, distance, previous) from one source over edges (a, b, length >= 0), by relaxing the edges of nodes that came nearer; ties take the smaller predecessor."""
+def shortest_paths(edges: DataFrame, source: object, rounds: int = 1000, hops: int = 8) -> DataFrame:
+    """(id, distance, previous) from one source over edges (a, b, length >= 0), by relaxing the edges of nodes that came nearer, several hops between two writes; ties take the smaller predecessor."""
     edges = materialize(edges.select("a", "b", "length"))
-    spark = edges.sparkSession
     kind = edges.schema["a"].dataType.simpleString()
-    best = changed = materialize(spark.createDataFrame([(source, 0.0, None)], f"id {kind}, distance double, previous {kind}"))
+    best = changed = materialize(edges.sparkSession.createDataFrame([(source, 0.0, None)], f"id {kind}, distance double, previous {kind}"))
     for _ in range(rounds):
-        step = changed.join(edges, changed["id"] == edges["a"]).select(F.col("b").alias("id"), (F.col("distance") + F.col("length")).alias("distance"), F.col("a").alias("previous"))
-        nearest = step.groupBy("id").agg(F.min(F.struct("distance", "previous")).alias("n"))
+        front = changed
+        for _ in range(hops):
+            here = F.struct("id", "distance", "previous")
+            there = F.struct(F.col("b").alias("id"), (F.col("distance") + F.col("length")).alias("distance"), F.col("a").alias("previous"))
+            both = front.join(edges, front["id"] == edges["a"], "left").select(F.explode(F.array(here, there)).alias("r"))
+            front = both.where("r.id IS NOT NULL").groupBy("r.id").agg(F.min(F.struct("r.distance", "r.previous")).alias("n")).select("id", "n.distance", "n.previous")
         known = best.select("id", F.struct("distance", "previous").alias("o"))
         # the order of (distance, previous) decreases strictly, so equal distances settle on one predecessor
-        better = materialize(nearest.join(known, "id", "left").where("o IS NULL OR n.distance < o.distance OR (n.distance = o.distance AND n.previous < o.previous)").select("id", "n.distance", "n.previous"))
+        better = materialize(front.join(known, "id", "left").where("o IS NULL OR distance < o.distance OR (distance = o.distance AND previous < o.previous)").select("id", "distance", "previous"))
         if better.isEmpty():
             return best
         best = materialize(best.join(better, "id", "left_anti").unionByName(better))
@@ -97,10 +100,16 @@ def shortest_paths(edges: DataFrame, source: object, rounds: int = 1000) -> Data
     raise RuntimeError(f"paths did not settle in {rounds} rounds")
 
 
-def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """Nodes (id) that are reached from start (id) along edges (a, b), cycles included."""
+def reachable(edges: DataFrame, start: DataFrame, hops: int = 8) -> DataFrame:
+    """Nodes (id) that are reached from start (id) along edges (a, b), cycles included; several hops between two writes."""
     edges = materialize(edges.select("a", "b").distinct())
-    return closure(start.select("id"), [lambda new: new.join(edges, new["id"] == edges["a"]).select(F.col("b").alias("id"))])
+
+    def walk(new: DataFrame) -> DataFrame:
+        for _ in range(hops):
+            new = new.join(edges, new["id"] == edges["a"], "left").select(F.explode(F.array("id", "b")).alias("id")).where("id IS NOT NULL").distinct()
+        return new
+
+    return closure(start.select("id"), [walk])
 
 
 def mutual_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

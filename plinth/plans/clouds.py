@@ -197,7 +197,7 @@ def c12(spark, d):
     return S.changes(p.where("id % 10 <> 0"), p.where("id % 10 <> 1"), 0.05, 0.25).select("added", "removed", F.round("area", 6).alias("area"), F.round("ratio", 8).alias("ratio"))
 
 
-@query("c14_similarity_fit", "SELECT 2.0 AS scale, 0.28 AS r00, 1.0 AS tx")
+@query("c14_similarity_fit", "SELECT 2.0::DOUBLE AS scale, 0.28::DOUBLE AS r00, 1.0::DOUBLE AS tx")
 def c14(spark, d):
     p = _cloud(spark, d)
     turned = p.select("x", "y", "z", (2 * (0.28 * F.col("x") - 0.96 * F.col("y")) + 1).alias("u"), (2 * (0.96 * F.col("x") + 0.28 * F.col("y")) - 2).alias("v"), (2 * F.col("z")).alias("w"))
