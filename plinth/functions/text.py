@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def normalize(text: Column) -> Column:
@@ -16,7 +17,7 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # a type object: the module loads before any session
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode NFKC with curly quotes made straight; Spark has no such function."""
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).replace("’", "'").replace("‘", "'").replace("“", '"').replace("”", '"'))
