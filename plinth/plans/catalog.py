@@ -1,6 +1,6 @@
 """All query modules, imported so that the registry is full."""
 
-from . import aggregates, clouds, expressions, joins, predicates, rankings, searching
+from . import aggregates, clouds, datasets, expressions, joins, predicates, rankings, searching, streams
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "clouds", "expressions", "joins", "predicates", "rankings", "searching"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "clouds", "datasets", "expressions", "joins", "predicates", "rankings", "searching", "streams"]
