@@ -100,7 +100,7 @@ def shortest_paths(edges: DataFrame, source: object, rounds: int = 1000, hops: i
     raise RuntimeError(f"paths did not settle in {rounds} rounds")
 
 
-def reachable(edges: DataFrame, start: DataFrame, hops: int = 8) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame, hops: int = 8, rounds: int = 1000) -> DataFrame:
     """Nodes (id) that are reached from start (id) along edges (a, b), cycles included; several hops between two writes."""
     edges = materialize(edges.select("a", "b").distinct())
 
@@ -109,7 +109,7 @@ def reachable(edges: DataFrame, start: DataFrame, hops: int = 8) -> DataFrame:
             new = new.join(edges, new["id"] == edges["a"], "left").select(F.explode(F.array("id", "b")).alias("id")).where("id IS NOT NULL").distinct()
         return new
 
-    return closure(start.select("id"), [walk])
+    return closure(start.select("id"), [walk], rounds)
 
 
 def mutual_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -142,8 +142,17 @@ def f20(spark, d):
 
 @query("f21_pricing", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_quantity::DECIMAL(18,6) * 1.25::DECIMAL(18,6) / 3600, 6)::DOUBLE AS cost FROM lineitem WHERE l_quantity % 9 = 0")
 def f21(spark, d):
+    return _priced(table(spark, d, "lineitem").where("l_quantity % 9 = 0"))
+
+
+@query("f21_pricing_whole", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_quantity::DECIMAL(18,6) * 1.25::DECIMAL(18,6) / 3600, 6)::DOUBLE AS cost FROM lineitem")
+def f21_whole(spark, d):
+    return _priced(table(spark, d, "lineitem"))
+
+
+def _priced(rows):
     cost = F.round(F.col("l_quantity").cast("decimal(18,6)") * F.lit("1.25").cast("decimal(18,6)") / F.lit(3600), 6)
-    return table(spark, d, "lineitem").where("l_quantity % 9 = 0").select("l_orderkey", "l_linenumber", "l_partkey", cost.cast("double").alias("cost"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", cost.cast("double").alias("cost"))
 
 
 @query("f22_unpriced_reason", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'RESOURCE_CLASS_NOT_REPORTED' WHEN o_orderstatus = 'O' THEN 'NO_RATE_FOR_CLASS' END AS reason FROM orders")
@@ -313,8 +322,17 @@ def f48(spark, d):
 
 @query("f49_alignment_confidence", "SELECT l_orderkey, l_linenumber, l_partkey, round(least(greatest(l_quantity / 50 * greatest(0, 1 - l_discount / 0.05), 0), 1), 8) AS confidence FROM lineitem WHERE l_orderkey % 20 = 0")
 def f49(spark, d):
+    return _confidence(table(spark, d, "lineitem").where("l_orderkey % 20 = 0"))
+
+
+@query("f49_alignment_confidence_whole", "SELECT l_orderkey, l_linenumber, l_partkey, round(least(greatest(l_quantity / 50 * greatest(0, 1 - l_discount / 0.05), 0), 1), 8) AS confidence FROM lineitem")
+def f49_whole(spark, d):
+    return _confidence(table(spark, d, "lineitem"))
+
+
+def _confidence(rows):
     c = F.col("l_quantity") / 50 * F.greatest(F.lit(0.0), 1 - F.col("l_discount") / 0.05)
-    return table(spark, d, "lineitem").where("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)), 8).alias("confidence"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)), 8).alias("confidence"))
 
 
 @query("f50_gate_report", "SELECT p_partkey, unnest(['size', 'price']) AS gate, unnest([p_size::DOUBLE, p_retailprice]) AS value, unnest([25.0, 950.0]::DOUBLE[]) AS threshold, unnest([p_size <= 25, p_retailprice >= 950]) AS passed FROM part")

@@ -202,8 +202,17 @@ def u04(spark, d):
 
 @query("u05_set_difference", "SELECT user_id, list_sort(list_filter(['click', 'error', 'purchase', 'signup', 'view'], lambda x: NOT list_contains(list(DISTINCT event_type), x)))::VARCHAR AS unserved FROM events WHERE event_id % 7 = 0 GROUP BY 1")
 def u05(spark, d):
+    return _unserved(table(spark, d, "events").where("event_id % 7 = 0"))
+
+
+@query("u05_set_difference_whole", "SELECT user_id, list_sort(list_filter(['click', 'error', 'purchase', 'signup', 'view'], lambda x: NOT list_contains(list(DISTINCT event_type), x)))::VARCHAR AS unserved FROM events GROUP BY 1")
+def u05_whole(spark, d):
+    return _unserved(table(spark, d, "events"))
+
+
+def _unserved(events):
     every = F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view")))
-    found = table(spark, d, "events").where("event_id % 7 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("served"))
+    found = events.groupBy("user_id").agg(F.collect_set("event_type").alias("served"))
     return found.select("user_id", F.concat(F.lit("["), F.array_join(F.array_sort(F.array_except(every, "served")), ", "), F.lit("]")).alias("unserved"))
 
 
@@ -221,12 +230,28 @@ def u06(spark, d):
     return graphs.ancestors(_versions(spark, d), "id", "parent", F.col("id") % 50 == 0)
 
 
+@query("u06_recursive_ancestors_whole", f"""WITH RECURSIVE t AS ({_TREE}), l AS (SELECT id AS start, id, parent, 0 AS depth FROM t
+UNION ALL SELECT l.start, t.id, t.parent, depth + 1 FROM l JOIN t ON t.id = l.parent) SELECT start, id, depth FROM l""")
+def u06_whole(spark, d):
+    return graphs.ancestors(_versions(spark, d), "id", "parent", F.lit(True))
+
+
 @query("u07_best_in_lineage", f"""WITH RECURSIVE t AS ({_TREE}), l AS (SELECT id AS start, id, parent, version FROM t WHERE id % 50 = 0
 UNION ALL SELECT l.start, t.id, t.parent, t.version FROM l JOIN t ON t.id = l.parent), r AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY (version % 2 = 0) DESC, version DESC, id) AS k FROM l)
 SELECT start, id, version FROM r WHERE k = 1""")
 def u07(spark, d):
-    t = _versions(spark, d)
-    line = graphs.ancestors(t, "id", "parent", F.col("id") % 50 == 0).join(t.select("id", "version"), "id")
+    return _best_in_lineage(_versions(spark, d), F.col("id") % 50 == 0)
+
+
+@query("u07_best_in_lineage_whole", f"""WITH RECURSIVE t AS ({_TREE}), l AS (SELECT id AS start, id, parent, version FROM t
+UNION ALL SELECT l.start, t.id, t.parent, t.version FROM l JOIN t ON t.id = l.parent), r AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY (version % 2 = 0) DESC, version DESC, id) AS k FROM l)
+SELECT start, id, version FROM r WHERE k = 1""")
+def u07_whole(spark, d):
+    return _best_in_lineage(_versions(spark, d), F.lit(True))
+
+
+def _best_in_lineage(t, is_start):
+    line = graphs.ancestors(t, "id", "parent", is_start).join(t.select("id", "version"), "id")
     return R.first_per_key(line, ["start"], [(F.col("version") % 2 == 0).desc(), F.col("version").desc(), F.col("id")]).select("start", "id", "version")
 
 

@@ -113,21 +113,42 @@ def w14(spark, d):
 _HITS = "SELECT l_linenumber AS class, l_orderkey AS id, row_number() OVER w AS k, sum((l_returnflag = 'R')::INT) OVER w AS tp FROM lineitem WHERE l_orderkey % 10 = 0 WINDOW w AS (PARTITION BY l_linenumber ORDER BY l_extendedprice DESC, l_orderkey, l_partkey)"
 
 
-def _running(spark, d):
+_ALL_HITS = "SELECT l_linenumber AS class, row_number() OVER w AS k, sum((l_returnflag = 'R')::INT) OVER w AS tp FROM lineitem WINDOW w AS (PARTITION BY l_linenumber ORDER BY l_extendedprice DESC, l_orderkey, l_partkey ROWS UNBOUNDED PRECEDING)"
+
+
+def _running(rows):
     w = Window.partitionBy("l_linenumber").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_partkey")
-    rows = table(spark, d, "lineitem").where("l_orderkey % 10 = 0")
     return rows.select(F.col("l_linenumber").alias("class"), F.row_number().over(w).cast("long").alias("k"), F.sum((F.col("l_returnflag") == "R").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("tp"))
 
 
+def _precision(rows):
+    return _running(rows).select("class", "k", F.round(F.col("tp") / F.col("k"), 9).alias("precision"))
+
+
+def _envelope(rows):
+    # a suffix maximum, taken as a running one in the other direction: Spark computes frames up to the last row in quadratic time
+    after = Window.partitionBy("class").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    return _running(rows).select("class", "k", F.round(F.max(F.col("tp") / F.col("k")).over(after), 9).alias("envelope"))
+
+
 @query("w15_running_precision", f"SELECT class, k, round(tp / k, 9) AS precision FROM ({_HITS})")
 def w15(spark, d):
-    return _running(spark, d).select("class", "k", F.round(F.col("tp") / F.col("k"), 9).alias("precision"))
+    return _precision(table(spark, d, "lineitem").where("l_orderkey % 10 = 0"))
+
+
+@query("w15_running_precision_whole", f"SELECT class, k, round(tp / k, 9) AS precision FROM ({_ALL_HITS})")
+def w15_whole(spark, d):
+    return _precision(table(spark, d, "lineitem"))
 
 
 @query("w16_precision_envelope", f"SELECT class, k, round(max(tp / k) OVER (PARTITION BY class ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 9) AS envelope FROM ({_HITS})")
 def w16(spark, d):
-    after = Window.partitionBy("class").orderBy("k").rowsBetween(0, Window.unboundedFollowing)
-    return _running(spark, d).select("class", "k", F.round(F.max(F.col("tp") / F.col("k")).over(after), 9).alias("envelope"))
+    return _envelope(table(spark, d, "lineitem").where("l_orderkey % 10 = 0"))
+
+
+@query("w16_precision_envelope_whole", f"SELECT class, k, round(max(tp / k) OVER (PARTITION BY class ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 9) AS envelope FROM ({_ALL_HITS})")
+def w16_whole(spark, d):
+    return _envelope(table(spark, d, "lineitem"))
 
 
 @query("w17_grid_level_change", """WITH g AS (SELECT (p_partkey % 40)::BIGINT AS i, (p_partkey // 40)::BIGINT AS j, p_size::DOUBLE AS z FROM part), n AS (SELECT a.i, a.j, b.i AS i2, b.j AS j2, abs(a.z - b.z) AS dz FROM g a JOIN g b ON (b.i = a.i + 1 AND b.j = a.j) OR (b.i = a.i AND b.j = a.j + 1))
