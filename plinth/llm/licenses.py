@@ -1,14 +1,16 @@
 """License scans: base phrases, and an exact set-similarity join with license notices, in DataFrame functions only.
 
-A text block is a line; its set is the set of its words. A block meets a template when it holds at least THRESHOLD of
-the template's words. Template words are ordered by how many documents of the corpus have them, rarest first: a block
-that meets a template must share a word with its prefix, the first |T| - need + 1 words (prefix filter), have at least
-need words (length filter), and, from the first shared word on, both sides must have enough words left (positional
-filter). What passes is counted exactly, so every block at the threshold is found. Templates are a bounded argument
-and go into the expressions; the corpus is read without a shuffle, but for counting the template words.
+A text block is a window of words, wherever lines break: for a template of n words, every run of ceil(n / THRESHOLD)
+words of the text, so up to a quarter more words (comment leaders, insertions) may stand between. A block meets a template when its
+set of words holds at least THRESHOLD of the template's distinct words. Template words are ordered by how many documents of the corpus
+have them, rarest first: a text that meets a template must have a word of its prefix, the first |T| - need + 1 words
+(prefix filter), and at least need of its words anywhere (length filter). The best window can start at a template word,
+and the need-th template word from there must still stand in it (positional filter). What passes is counted exactly, so
+every block at the threshold is found. Templates are a bounded argument and go into the expressions; the corpus is read
+without a shuffle, but for counting the template words.
 
 Cases: null text is empty. Repeated rows each get their row. Texts without words have n_words 0, no labels, null first
-and last word and score 0. Words that cross a line break still make a base phrase; blocks never cross one.
+and last word and score 0. Base phrases and blocks both cross line breaks. Template words further apart than a window do not meet, however long the line.
 """
 
 from __future__ import annotations
@@ -57,47 +59,57 @@ def template_order(documents: DataFrame, templates, text_col: str = "text") -> l
     return sorted(known, key=lambda w: (counts.get(w, 0), w))
 
 
-def _template_score(lines: Column, order: list[str], notice: str, threshold: float) -> Column:
-    """The largest containment of the notice in a line, 0 below the threshold."""
-    rank = {w: i for i, w in enumerate(order)}
+def _bound(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _filters(notice: str, rank: dict[str, int], threshold: float) -> tuple[list[str], int]:
+    """The distinct words of the notice, rarest first, and how many of them a block needs; the prefix is all but need - 1 of them."""
     words = sorted(set(notice.split()), key=rank.__getitem__)
-    need = ceil(threshold * len(words) - 1e-9)
-    prefix = words[: len(words) - need + 1]
+    return words, max(1, ceil(threshold * len(words) - 1e-9))
+
+
+def _template_score(tokens: Column, known: Column, rank: dict[str, int], notice: str, threshold: float) -> Column:
+    """The largest containment of the notice in a window of tokens, 0 below the threshold. known: the template words of the text."""
+    words, need = _filters(notice, rank, threshold)
+    width = ceil(len(notice.split()) / max(threshold, 0.1) - 1e-9)
 
-    def contained(shared_prefix: Column, line: Column) -> Column:
-        # both lists are in template order: the first shared word leaves this many on either side
-        left_in_template = F.lit(len(words)) - F.array_position(_strings(words), shared_prefix[0]) + 1
-        shared = F.size(F.array_intersect(_strings(words), line))
-        return F.when((F.size(shared_prefix) > 0) & (F.size(line) >= need) & (left_in_template >= need) & (shared >= need), shared / len(words)).otherwise(0.0)
+    def best(hits: Column) -> Column:
+        starts = F.filter(hits, lambda at, j: F.get(hits, j + (need - 1)) - at < width)
+        shared = lambda at: F.size(F.array_intersect(_strings(words), F.slice(tokens, at + 1, width)))
+        return F.aggregate(starts, F.lit(0), lambda most, at: F.greatest(most, shared(at)))
 
-    return F.aggregate(lines, F.lit(0.0), lambda best, line: F.greatest(best, contained(F.array_intersect(_strings(prefix), line), line)))
+    hits = F.array_compact(F.transform(tokens, lambda w, i: F.when(w.isin(*words), i)))
+    may = F.arrays_overlap(known, _strings(words[: len(words) - need + 1])) & (F.size(F.array_intersect(_strings(words), known)) >= need)
+    return F.when(may, _bound(_bound(hits, best), lambda most: F.when(most >= need, most / len(words)).otherwise(0.0))).otherwise(0.0)
 
 
 def scan_licenses(documents: DataFrame, templates=None, phrases=None, threshold: float = THRESHOLD, text_col: str = "text") -> tuple[DataFrame, str]:
     """documents with a struct column (n_words, n_base, first_word, last_word, base_labels, labels, score), and its name."""
     templates, phrases = TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases
     order = template_order(documents, templates, text_col)
-    name, low, tokens, lines = fresh(documents, "licenses"), fresh(documents, "low"), fresh(documents, "tokens"), fresh(documents, "lines")
+    name, low, tokens, known = fresh(documents, "licenses"), fresh(documents, "low"), fresh(documents, "tokens"), fresh(documents, "known")
     rank = {w: i for i, w in enumerate(order)}
     prefixes = set()
     for _, notice in templates:
-        words = sorted(set(notice.split()), key=rank.__getitem__)
-        prefixes.update(words[: len(words) - ceil(threshold * len(words) - 1e-9) + 1])
+        words, need = _filters(notice, rank, threshold)
+        prefixes.update(words[: len(words) - need + 1])
     has = lambda words: reduce(lambda a, b: a | b, [F.contains(F.col(low), F.lit(w)) for w in words], F.lit(False))
     none = F.array().cast("array<string>")
     df = documents.withColumn(low, lower_ascii(F.coalesce(F.col(text_col), F.lit(""))))
     # only a text that has the last word of a phrase, or a prefix word, as a substring can match; the others skip the arrays
-    df = df.withColumn(tokens, F.when(has({p.split()[-1] for p in phrases}), word_array(F.col(low))).otherwise(none))
-    df = df.withColumn(lines, F.when(has(prefixes), F.transform(F.split(F.col(low), "\n"), lambda x: F.array_distinct(word_array(x)))).otherwise(F.array().cast("array<array<string>>")))
-    df = df.withColumn(lines, F.filter(F.col(lines), lambda x: F.arrays_overlap(x, _strings(sorted(prefixes)))))
+    df = df.withColumn(tokens, F.when(has({p.split()[-1] for p in phrases} | prefixes), word_array(F.col(low))).otherwise(none))
+    df = df.withColumn(known, F.array_intersect(_strings(order), F.col(tokens)) if order else none)
 
     def places(phrase: str) -> Column:
         parts = phrase.split()
         at = lambda i: reduce(lambda a, b: a & b, [F.get(F.col(tokens), i + j) == w for j, w in enumerate(parts)])
-        return F.filter(F.transform(F.col(tokens), lambda w, i: F.when((w == parts[0]) & at(i), i).otherwise(-1)), lambda i: i >= 0)
+        found = F.filter(F.transform(F.col(tokens), lambda w, i: F.when((w == parts[0]) & at(i), i).otherwise(-1)), lambda i: i >= 0)
+        return F.when(has({parts[-1]}), found).otherwise(F.array().cast("array<int>"))
 
     found = [(label, places(phrase)) for phrase, label in phrases.items()]
-    scores = [(label, _template_score(F.col(lines), order, notice, threshold)) for label, notice in templates]
+    scores = [(label, _template_score(F.col(tokens), F.col(known), rank, notice, threshold)) for label, notice in templates]
     a, b = fresh(documents, "found"), fresh(documents, "scores")
     df = df.withColumn(a, F.array(*[p for _, p in found])).withColumn(b, F.array(*[s for _, s in scores]))
     base = F.array_compact(F.array(*[F.when(F.size(F.get(F.col(a), i)) > 0, label) for i, (label, _) in enumerate(found)]))
@@ -113,7 +125,7 @@ def scan_licenses(documents: DataFrame, templates=None, phrases=None, threshold:
         F.array_join(F.array_sort(F.array_union(base, more)), ",").alias("labels"),
         F.when(F.size(every) > 0, 1.0).otherwise(best).alias("score"),
     )
-    return df.withColumn(name, result).drop(low, tokens, lines, a, b), name
+    return df.withColumn(name, result).drop(low, tokens, known, a, b), name
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 from helpers import documents, random_text, words
 
@@ -47,3 +48,45 @@ def test_equals_brute_force(spark):
 
 def test_empty_table(spark):
     assert scan_licenses(documents(spark, []))[0].count() == 0
+
+
+def labels(spark, texts):
+    found, name = scan_licenses(documents(spark, [(i, x, "en", "s") for i, x in enumerate(texts)]))
+    return [(r["labels"], r["score"]) for r in found.select("doc_id", f"{name}.labels", f"{name}.score").orderBy("doc_id").collect()]
+
+
+def test_wrapped_notices_are_found(spark):
+    rng = random.Random(9)
+    for leader in ("", "# ", " * ", "REM "):
+        texts = [f"{random_text(rng, 30)}\n\n{textwrap.fill(notice.capitalize(), 72, initial_indent=leader, subsequent_indent=leader)}\n\n{random_text(rng, 30)}" for _, notice in TEMPLATES]
+        for (label, _), (found, score) in zip(TEMPLATES, labels(spark, texts), strict=True):
+            assert label in found.split(",") and score == 1.0
+
+
+def test_scattered_words_of_a_long_line_are_no_notice(spark):
+    rng = random.Random(10)
+    far = lambda notice: " ".join(f"{w} {random_text(rng, 40)}" for w in notice.split())
+    assert labels(spark, [far(notice) for _, notice in TEMPLATES]) == [("", 0.0)] * len(TEMPLATES)
+
+
+def test_windows_equal_brute_force(spark):
+    rng = random.Random(11)
+    pool = sorted({w for _, notice in TEMPLATES for w in notice.split()})
+    texts = []
+    for i in range(200):
+        w = TEMPLATES[i % len(TEMPLATES)][1].split()
+        for _ in range(rng.randrange(0, 8)):
+            w.insert(rng.randrange(len(w) + 1), rng.choice([*pool, "x1", "x2", "x3"]))
+        for _ in range(rng.randrange(0, 4)):
+            w.pop(rng.randrange(len(w)))
+        texts.append("".join(x + rng.choice(" \n") for x in [*rng.choices(pool, k=5), *w, *rng.choices(pool, k=5)]))
+    for text, (found, score) in zip(texts, labels(spark, texts), strict=True):
+        w, wanted, best = words(text), {label for phrase, label in PHRASES.items() if f" {phrase} " in f" {' '.join(words(text))} "}, 0.0
+        best = 1.0 if wanted else 0.0
+        for label, notice in TEMPLATES:
+            n, width = set(notice.split()), -(-len(notice.split()) * 5 // 4)
+            shared = max(len(n & set(w[i : i + width])) for i in range(len(w))) / len(n)
+            if shared >= 0.8 - 1e-9:
+                wanted.add(label)
+                best = max(best, shared)
+        assert (found, round(score, 9)) == (",".join(sorted(wanted)), round(best, 9))
