@@ -6,7 +6,7 @@ Reading gives the chunk table (record, chunk, bytes); chunks are sorted by recor
 carried from chunk to chunk, across batches, so no task holds a whole oversized record.
 
 Archives are written and read by Spark's text source with the record separator as line separator. A payload
-that holds the separator's own bytes is cut inside it, so it never shows within a segment; a record whose length
+that holds the separator's own bytes, or ends so that the blank line after it completes them, is cut inside them, so they never show within a segment; a record whose length
 disagrees with its Content-Length raises an error instead of being dropped. Part files are gzip-compressed whole.
 
 Of pages with equal payloads of at least REVISIT_BYTES bytes, those with the smallest page_id are responses and the others revisit it.
@@ -42,19 +42,16 @@ def plan_revisits(pages: DataFrame) -> DataFrame:
 
 
 def _cuts(payload: memoryview, chunk_bytes: int):
-    """Chunks of at most chunk_bytes that neither hold the separator nor complete it with the blank line before them."""
-    data, at = bytes(payload), 0
+    """Chunks of at most chunk_bytes that neither hold the separator nor complete it with the blank lines before and after them. Only a chunk is ever copied."""
+    at = 0
     while True:
-        to = min(len(data), at + chunk_bytes)
-        for lead in (b"", b"\r\n"):  # with the blank line before the block, either would make a separator
-            if data.startswith(lead + _MAGIC, at):
-                to = min(to, at + len(lead) + 4)
-        inside = data.find(_MARKER, at, to)
-        if inside >= 0:
-            to = inside + 8
-        yield data[at:to], to == len(data)
-        at = to
-        if at == len(data):
+        piece = bytes(payload[at : at + chunk_bytes])
+        found = (_END + piece + _END).find(_MARKER)
+        if found >= 0:
+            piece = piece[: found + 4]  # WARC/1.0 starts at piece[found]
+        at += len(piece)
+        yield piece, at == len(payload)
+        if at == len(payload):
             return
 
 
@@ -79,7 +76,7 @@ def write_warc(planned: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z"
                 record = f"urn:page:{page}:{task}-{serial}"
                 serial += 1
                 http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
-                pieces = [(b"", True)] if kind == "revisit" else _cuts(payload, chunk_bytes)
+                pieces = [(b"", True)] if kind == "revisit" else _cuts(memoryview(payload), chunk_bytes)
                 for number, (piece, last) in enumerate(pieces, 1):
                     head = [("WARC-Type", kind if number == 1 else "continuation"), ("WARC-Date", date), ("WARC-Target-URI", " ".join((url or "").split()) or "urn:none")]
                     head += [("WARC-Record-ID", f"<{record}>" if number == 1 else f"<{record};segment={number}>"), ("Content-Type", "application/http; msgtype=response")]

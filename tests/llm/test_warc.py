@@ -51,3 +51,15 @@ def test_a_lost_chunk_is_an_error(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     path = write_tables(tmp_path, pages=spark.createDataFrame([], "page_id long, url string, html string"))
     assert op3_warc(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("chunk_bytes", [16, 100, 1 << 16])
+def test_payloads_that_end_like_a_separator(spark, tmp_path, chunk_bytes):
+    end = MARK[:-2]
+    texts = [end, end[2:], end[4:], "a" + end, "a" + end[2:], "\r\n" + end, end + end, end[4:] * 2, "b" * 88 + end, "b" * 88 + end + "c" * 30, "b" * 88 + end + "\r", "b" * 88 + end + "\r\n", "b" * (88 + 4) + end[4:] + "\r\nc"]
+    pages = [(i, "u", x) for i, x in enumerate(texts)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").select("page_id", "url", F.col("html").cast("binary").alias("payload"))
+    write_warc(plan_revisits(frame).coalesce(1), f"{tmp_path}/warc", chunk_bytes=chunk_bytes)  # one part, so that a record follows each
+    chunks = read_chunks(spark, f"{tmp_path}/warc")
+    assert sorted(map(tuple, read_records(chunks).collect()), key=repr) == brute(pages)
+    assert (chunks.agg(F.max(F.octet_length("bytes"))).first()[0] or 0) <= chunk_bytes
