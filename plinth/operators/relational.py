@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graphs import materialize
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in a total order (`DISTINCT ON`)."""
@@ -14,6 +16,15 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) == 1).drop(rank)
 
 
+def placed(df: DataFrame, order: Sequence[Column], name: str = "place") -> DataFrame:
+    """Every row with its number from 1 in a total order over the whole table. The range sort is written once and its parts are counted, so no task holds more than a part."""
+    rows = materialize(df.orderBy(*order).withColumn("__row", F.monotonically_increasing_id()))
+    rows = rows.withColumns({"__part": F.shiftright("__row", 33), "__row": F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))})
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a part
+    counts = rows.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return rows.join(F.broadcast(counts), "__part").select(*df.columns, (F.col("__before") + F.col("__row") + 1).alias(name))
+
+
 def lateral_first(outer: DataFrame, inner: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Each outer row with the first inner row of its key, or nulls: the inner side is ranked once, not once per outer row."""
     return outer.join(first_per_key(inner, keys, order), list(keys), "left")

@@ -121,6 +121,11 @@ def p08(spark, d):
     return top.select("p_partkey", F.row_number().over(Window.orderBy((F.col("p_size") > 25).desc(), "p_partkey")).cast("long").alias("place"))
 
 
+@query("p08_boolean_sort_key_whole", "SELECT p_partkey, row_number() OVER (ORDER BY (p_size > 25) DESC, p_partkey) AS place FROM part")
+def p08_whole(spark, d):
+    return R.placed(table(spark, d, "part"), [(F.col("p_size") > 25).desc(), F.col("p_partkey")]).select("p_partkey", "place")
+
+
 @query("p09_in_list", "SELECT event_id FROM events WHERE event_type IN ('click', 'error') AND user_id IN (1, 2, 3)")
 def p09(spark, d):
     return table(spark, d, "events").where(F.col("event_type").isin("click", "error") & F.array_contains(F.array(*map(F.lit, (1, 2, 3))), F.col("user_id").cast("int"))).select("event_id")

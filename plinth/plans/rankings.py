@@ -166,11 +166,20 @@ def k01(spark, d):
 
 @query("k02_ranking_order", """SELECT p_partkey, row_number() OVER (ORDER BY (p_size > 10) DESC, nullif(p_size, 20) DESC NULLS LAST, p_brand, p_type DESC, p_retailprice DESC NULLS LAST, p_name, p_partkey) AS place FROM part ORDER BY place LIMIT 100""")
 def k02(spark, d):
-    order = [(F.col("p_size") > 10).desc(), F.nullif("p_size", F.lit(20)).desc_nulls_last(), F.col("p_brand"), F.desc("p_type"), F.col("p_retailprice").desc_nulls_last(), F.col("p_name"), F.col("p_partkey")]
+    order = _ranking_order()
     top = table(spark, d, "part").orderBy(*order).limit(100)
     return top.select("p_partkey", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
 
 
+@query("k02_ranking_order_whole", """SELECT p_partkey, row_number() OVER (ORDER BY (p_size > 10) DESC, nullif(p_size, 20) DESC NULLS LAST, p_brand, p_type DESC, p_retailprice DESC NULLS LAST, p_name, p_partkey) AS place FROM part""")
+def k02_whole(spark, d):
+    return R.placed(table(spark, d, "part"), _ranking_order()).select("p_partkey", "place")
+
+
+def _ranking_order():
+    return [(F.col("p_size") > 10).desc(), F.nullif("p_size", F.lit(20)).desc_nulls_last(), F.col("p_brand"), F.desc("p_type"), F.col("p_retailprice").desc_nulls_last(), F.col("p_name"), F.col("p_partkey")]
+
+
 @query("k03_clamped_limit", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 200")
 def k03(spark, d):
     return table(spark, d, "orders").select("o_orderkey").orderBy("o_orderkey").limit(R.clamp_limit(5000, 50, 200))
@@ -185,10 +194,23 @@ def k04(spark, d):
 @query("k06_tier_order", """WITH t AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 WHEN 'P' THEN 2 ELSE 3 END AS tier, o_totalprice AS distance FROM orders)
 SELECT o_orderkey, tier, row_number() OVER (ORDER BY tier, distance NULLS LAST, o_orderkey) AS place FROM t ORDER BY place LIMIT 60""")
 def k06(spark, d):
+    top = _tiers(spark, d).orderBy(*_tier_order()).limit(60)
+    return top.select("o_orderkey", "tier", F.row_number().over(Window.orderBy(*_tier_order())).cast("long").alias("place"))
+
+
+@query("k06_tier_order_whole", """WITH t AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 WHEN 'P' THEN 2 ELSE 3 END AS tier, o_totalprice AS distance FROM orders)
+SELECT o_orderkey, tier, row_number() OVER (ORDER BY tier, distance NULLS LAST, o_orderkey) AS place FROM t""")
+def k06_whole(spark, d):
+    return R.placed(_tiers(spark, d), _tier_order()).select("o_orderkey", "tier", "place")
+
+
+def _tier_order():
+    return [F.col("tier"), F.col("distance").asc_nulls_last(), F.col("o_orderkey")]
+
+
+def _tiers(spark, d):
     tier = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).when(F.col("o_orderstatus") == "P", 2).otherwise(3)
-    order = [F.col("tier"), F.col("distance").asc_nulls_last(), F.col("o_orderkey")]
-    top = table(spark, d, "orders").select("o_orderkey", tier.alias("tier"), F.col("o_totalprice").alias("distance")).orderBy(*order).limit(60)
-    return top.select("o_orderkey", "tier", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
+    return table(spark, d, "orders").select("o_orderkey", tier.alias("tier"), F.col("o_totalprice").alias("distance"))
 
 
 @query("k07_max_by_score", "SELECT p_brand, arg_max(p_partkey, (p_retailprice, -p_size, -p_partkey)) AS best FROM part GROUP BY 1")

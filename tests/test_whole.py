@@ -1,9 +1,11 @@
-"""Queries over whole tables: what the id subsets of the queries they stand beside leave out."""
+"""Queries over whole tables: what the id subsets and row caps of the queries they stand beside leave out."""
 
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
+from plinth.operators.relational import placed
 from plinth.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -50,3 +52,17 @@ def test_the_graph_has_an_edge_of_every_row(spark):
         seen.add(at)
         at = at * 2 % n
     assert {r["id"] for r in run(spark, "r13_reachability_whole")} == seen
+
+
+@pytest.mark.parametrize(("name", "rows"), [("k02_ranking_order_whole", "part"), ("k06_tier_order_whole", "orders"), ("p08_boolean_sort_key_whole", "part")])
+def test_every_row_has_a_place(spark, name, rows):
+    assert sorted(r["place"] for r in run(spark, name)) == list(range(1, size(spark, rows) + 1))
+
+
+def test_later_tiers_and_nulls_have_places(spark):
+    assert {r["tier"] for r in run(spark, "k06_tier_order_whole")} == {0, 1, 2}
+    rows = [(i, None if i % 5 == 0 else i * 37 % 101) for i in range(1000)]
+    got = placed(spark.createDataFrame(rows, "id long, v long").repartition(7), [F.col("v").desc_nulls_last(), F.col("id")]).collect()
+    wanted = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert [tuple(r)[:2] for r in sorted(got, key=lambda r: r["place"])] == wanted
+    assert placed(spark.createDataFrame([], "id long"), [F.col("id")]).count() == 0
