@@ -214,22 +214,57 @@ def match_detections(found: DataFrame, truth: DataFrame, least: float = 0.5) ->
     return f.unionByName(t).groupBy("image", "class").applyInPandas(run, "image long, class long, id long, hit boolean")
 
 
-def plane_inliers(points: DataFrame, tolerance: float, hypotheses: int = 64, seed: int = 7) -> DataFrame:
-    """RANSAC: planes through seeded triples of a bounded hash-ordered sample, all scored in one pass over the points. (hypothesis, a, b, c, d, inliers), best first."""
-    sample = np.array([[r["x"], r["y"], r["z"]] for r in points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(3 * hypotheses).collect()])
-    planes = []
-    for h in range(len(sample) // 3):
-        p, q, r = sample[3 * h : 3 * h + 3]
-        n = np.cross(q - p, r - p)
-        if (length := np.linalg.norm(n)) > 1e-12:
-            n = n / length * (1 if n[np.abs(n).argmax()] > 0 else -1)
-            planes.append((h, *map(float, n), float(-n @ p)))
-    if not planes:
-        return points.sparkSession.createDataFrame([], "hypothesis int, a double, b double, c double, d double, inliers long")
-    near = lambda p: F.abs(F.col("x") * p[1] + F.col("y") * p[2] + F.col("z") * p[3] + p[4]) <= tolerance
-    counts = points.agg(*[F.count_if(near(p)).alias(str(p[0])) for p in planes]).first()
-    rows = [(*p, counts[str(p[0])]) for p in planes]
-    return points.sparkSession.createDataFrame(rows, "hypothesis int, a double, b double, c double, d double, inliers long").orderBy(F.desc("inliers"), "hypothesis")
+def _score_planes(points: DataFrame, planes: np.ndarray, tolerance: float, rows: int = 2000) -> dict[int, int]:
+    """Points within tolerance of each plane (a, b, c, d), counted in slices of `rows` points against all planes; a row per plane and task comes together."""
+
+    def run(batches):
+        counts = np.zeros(len(planes), np.int64)
+        for pdf in batches:
+            xyz = pdf.to_numpy(float)
+            for at in range(0, len(xyz), rows):
+                x, y, z = (xyz[at : at + rows, [i]] for i in range(3))
+                counts += (np.abs(x * planes[:, 0] + y * planes[:, 1] + z * planes[:, 2] + planes[:, 3]) <= tolerance).sum(axis=0)
+        yield pd.DataFrame({"plane": np.arange(len(planes)), "n": counts})
+
+    scored = points.select(*AXES).mapInPandas(run, "plane long, n long").groupBy("plane").agg(F.sum("n").alias("n"))
+    return {r["plane"]: r["n"] for r in scored.collect()}
+
+
+def _refit(inliers: DataFrame) -> np.ndarray:
+    """The least-squares plane (a, b, c, d) of points: moments from one pass, the least axis on the driver."""
+    m = inliers.agg(*[F.avg(a).alias(a) for a in AXES], *[F.covar_pop(a, b).alias(a + b) for a in AXES for b in AXES]).first()
+    n = np.linalg.eigh(np.array([[m[a + b] for b in AXES] for a in AXES]))[1][:, 0]
+    n = n * (1 if n[np.abs(n).argmax()] > 0 else -1)
+    return np.array([*n, -float(n @ np.array([m[a] for a in AXES]))])
+
+
+def fit_planes(points: DataFrame, tolerance: float, max_planes: int, min_inliers: int, hypotheses: int = 1000, seed: int = 7) -> DataFrame:
+    """RANSAC of several planes: (plane, a, b, c, d, id), a row per inlier. Seeded triples of a bounded hash-ordered sample make the hypotheses; the one with most inliers is taken, its inliers leave the cloud, and new hypotheses are drawn from the rest, until max_planes are found or the next has fewer than min_inliers. The plane returned is the least-squares one of its inliers. Points without finite coordinates belong to none."""
+    left = graphs.materialize(points.select("id", *[F.col(a).cast("double").alias(a) for a in AXES]).where(" AND ".join(f"abs({a}) < double('Infinity')" for a in AXES)))
+    found = left.limit(0).select(F.lit(0).alias("plane"), *[F.lit(0.0).alias(c) for c in "abcd"], "id")
+    for k in range(max_planes):
+        sample = np.array([[r[a] for a in AXES] for r in left.orderBy(F.xxhash64("id", F.lit(seed + k)), "id").limit(3 * hypotheses).collect()])
+        if len(sample) < max(3, min(min_inliers, 3 * hypotheses)):
+            break
+        rng = np.random.default_rng(seed + k)
+        p, q, r = (sample[i] for i in np.array([rng.choice(len(sample), 3, replace=False) for _ in range(hypotheses)]).T)
+        normals = np.cross(q - p, r - p)
+        length = np.linalg.norm(normals, axis=1)
+        normals, p = normals[length > 1e-12] / length[length > 1e-12, None], p[length > 1e-12]
+        if not len(normals):
+            break
+        planes = np.column_stack([normals, -(normals * p).sum(axis=1)])
+        counts = _score_planes(left, planes, tolerance)
+        best = max(counts, key=lambda h: (counts[h], -h))
+        if counts[best] < min_inliers:
+            break
+        a, b, c, d = map(float, planes[best])
+        near = F.abs(F.col("x") * a + F.col("y") * b + F.col("z") * c + d) <= tolerance
+        inliers = left.where(near)
+        fitted = [F.lit(float(v)).alias(name) for v, name in zip(_refit(inliers), "abcd", strict=True)]
+        found = found.unionByName(inliers.select(F.lit(k).alias("plane"), *fitted, "id"))
+        left = graphs.materialize(left.where(~near))
+    return found
 
 
 def similarity_fit(pairs: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:

@@ -176,7 +176,7 @@ def c07(spark, d):
 
 @query("c08_ransac_planes")
 def c08(spark, d):
-    return S.plane_inliers(_cloud(spark, d), 0.03)
+    return S.fit_planes(_cloud(spark, d), 0.03, max_planes=6, min_inliers=30)
 
 
 @query("c09_plane_class", "SELECT p_partkey, CASE WHEN p_size * 2 <= 25 THEN 'floor' WHEN p_size * 2 >= 65 THEN 'wall' ELSE 'other' END AS kind FROM part")
