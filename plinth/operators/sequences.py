@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,25 +16,36 @@ def step_lengths(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     return df.withColumn("step", F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)))
 
 
+def _fold(rows: DataFrame, columns: Sequence[str], keep: Callable[[tuple, tuple], bool], kind: str) -> DataFrame:
+    """The rows, with session and id, of which keep(last kept, row) holds, and the first of each session; both get tuples of the columns. Sessions are sorted streams: a task carries the last kept row from batch to batch, never a session."""
+
+    def run(batches):
+        session, last = None, None
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch, kept = whole.slice(at, 1000), []
+                for own, *row in zip(*[batch.column(c).to_pylist() for c in ("session", *columns)], strict=True):
+                    if session != (own,):
+                        session, last = (own,), None
+                    kept.append(last is None or bool(keep(last, row)))
+                    if kept[-1]:
+                        last = row
+                yield batch.filter(pa.array(kept, pa.bool_())).select(names)
+
+    names = [x.split()[0] for x in kind.split(", ")]
+    ordered = rows.repartition("session").sortWithinPartitions("session", F.col("id").asc_nulls_last(), *columns)
+    return ordered.mapInArrow(run, kind)
+
+
 def clean_trajectory(samples: DataFrame, max_speed: float, jitter: float) -> DataFrame:
     """samples: session, id, t, x, y in arrival order (id). Relative to the last kept sample: earlier ones, impossible jumps and stillness go. A session is one fold."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
-        keep, last = [], None
-        for t, x, y in zip(pdf["t"], pdf["x"], pdf["y"], strict=True):
-            if last is None:
-                ok = True
-            else:
-                dt, step = t - last[0], float(np.hypot(x - last[1], y - last[2]))
-                ok = dt > 0 and step <= max_speed * dt and step >= jitter
-            keep.append(ok)
-            if ok:
-                last = (t, x, y)
-        return pdf.loc[keep, ["session", "id", "t", "x", "y"]]
+    def keep(last, row) -> bool:
+        dt, step = row[0] - last[0], float(np.hypot(row[1] - last[1], row[2] - last[2]))
+        return dt > 0 and step <= max_speed * dt and step >= jitter
 
-    rows = samples.select(F.col("session").cast("long").alias("session"), F.col("id").cast("long").alias("id"), "t", "x", "y").where("t IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL")
-    return rows.groupBy("session").applyInPandas(run, "session long, id long, t double, x double, y double")
+    rows = samples.select(*[F.col(c).cast("long").alias(c) for c in ("session", "id")], *[F.col(c).cast("double").alias(c) for c in ("t", "x", "y")])
+    return _fold(rows.where("t IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL"), ["t", "x", "y"], keep, "session long, id long, t double, x double, y double")
 
 
 def resample(samples: DataFrame, step: float) -> DataFrame:
@@ -53,18 +64,11 @@ def resample(samples: DataFrame, step: float) -> DataFrame:
 def suppress_repeats(frames: DataFrame, session: str, order: str, vector: str, least: float) -> DataFrame:
     """Keeps a frame whose mean L1 distance (times 100) to the last kept one is at least `least`; the session's first is kept."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
-        kept, last = [], None
-        for v in pdf["v"]:
-            v = np.asarray(v, float)
-            ok = last is None or 100 * float(np.abs(v - last).mean()) >= least
-            kept.append(ok)
-            last = v if ok else last
-        return pdf.loc[kept, ["session", "id"]]
+    def keep(last, row) -> bool:
+        return 100 * float(np.abs(np.asarray(row[0], float) - np.asarray(last[0], float)).mean()) >= least
 
     rows = frames.select(F.col(session).cast("long").alias("session"), F.col(order).cast("long").alias("id"), F.col(vector).alias("v"))
-    return rows.groupBy("session").applyInPandas(run, "session long, id long")
+    return _fold(rows, ["v"], keep, "session long, id long")
 
 
 def grid_level_changes(grid: DataFrame, low: float, high: float) -> DataFrame:
