@@ -1,28 +1,33 @@
 """Removal of repeated byte strings by suffix buckets that are refined in place of a full suffix array.
 
-A string of LENGTH bytes that starts at two places is a repeat; each byte it covers goes, in all its places. Only suffixes
-that can matter are sorted into buckets, and only as deep as LENGTH:
+A string of LENGTH bytes that starts at two places is a repeat; each byte it covers goes, in all its places. Suffixes are
+sorted into buckets only where that can matter, and only as deep as LENGTH:
 
 1. Sampled suffixes. Of the LENGTH-byte window at each start, the anchor is the place with the smallest hash of GRAM bytes
-   (leftmost on ties). Anchors depend on the window alone, so equal windows have equal anchors at equal offsets, and each anchor
-   owns a run of starts. The initial buckets hold the anchors by the hash of their q-gram (q = GRAM). A bucket with one suffix is final: its starts
-   are no repeats.
-2. Refinement. A bucket's suffixes are told apart by the identifiers of their longer contexts at other offsets: first all owned
-   windows together, then aligned ranges of STEP starts, then single starts. At every level a range is settled without
-   looking further if nothing shares its core (no repeats) or all that share its core agree on its whole
-   context (all repeats); only the rest goes one level down. The next level sorts on the identifiers of the one before,
-   so work follows the edges of repeats and not their length, and never the pairs of a bucket.
+   (leftmost on ties of its first 24 bits). Anchors depend on the window alone, so equal windows have equal anchors at equal
+   offsets, and each anchor owns a run of starts. The initial buckets hold the anchors by their q-gram (q = GRAM). A bucket
+   with one suffix is final: its starts are no repeats. Suffixes that agree on all windows they own are one with a count.
+2. Refinement. In the buckets that are still open, the starts of a suffix are a range of offsets to the anchor. The core of
+   a range is what all its windows share; the initial core is the q-gram itself. A round cuts each open range into parts
+   (STEPS), whose cores reach further, and sorts the parts on (bucket identifier of the core so far, identifiers of the
+   strings at the offsets that the core gains on either side). That gives the bucket identifier of the longer core, which the
+   next round uses in its turn. A part whose new bucket holds no other suffix is final, without repeats; one whose bucket
+   agrees on all that its windows cover is final, all repeats; only the rest stays open. At the last step a part is one start.
 3. The settled starts of each text become spans, which are cut out of the text.
 
-Equal texts share one key (their digest), so a group of copies is one text with a count. All buckets are Spark
-groups that are pre-aggregated before the shuffle; no bucket is collected in one task. Identifiers are 64-bit hashes within the bucket of another 64-bit hash.
+So work follows the edges of repeats and not their length, and never the pairs of a bucket. Equal texts share one key (their
+digest). Buckets are Spark groups that are pre-aggregated before the shuffle, and what is joined to them comes from a written
+table, so that adaptive execution can split a hot bucket; no bucket is collected in one task. Identifiers are 64-bit hashes
+within the bucket of another 64-bit hash.
 
-Cases: null is empty; texts shorter than LENGTH bytes are kept whole; repeated rows and equal ids are rows of their own.
+Cases: null is empty; texts shorter than LENGTH bytes are kept whole; repeated rows and equal ids are rows of their own;
+columns of any other name stay as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +36,9 @@ from pyspark.sql import functions as F
 
 from .common import annotate, byte_codes, fresh, prefix_hash, signed, sliding_min, span_hash, table, text_chunks, through_disk
 
-LENGTH, GRAM, STEP = 400, 200, 16
+LENGTH, GRAM, STEPS = 400, 200, (64, 8, 1)
+#: Bits of an anchor's place in its chunk; the hash keeps the rest, whatever the chunk's size.
+_PLACE = 40
 
 
 def _key(text):
@@ -52,7 +59,7 @@ def anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 at = np.arange(n - gram + 1)
                 h = span_hash(sums, at, at + gram)
                 doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
-                bits = np.uint64((1 << n.bit_length()) - 1)
+                bits = np.uint64((1 << _PLACE) - 1)
                 order = (h & ~bits) | at.astype(np.uint64)  # ties go to the left
                 order[doc[: n - gram + 1] != doc[gram - 1 :]] |= ~bits
                 starts = np.flatnonzero(doc[: n - length + 1] == doc[length - 1 :])
@@ -72,10 +79,16 @@ def anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return texts.mapInArrow(run, "h long, whole long, t_lo int, t_hi int, key binary, place int")
 
 
+CONTEXT = "id long, t_lo int, t_hi int, context binary"
+
+
 def _contexts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of all windows of the wanted classes (h, whole, t_lo, t_hi, n, key, place)."""
-    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("h", "whole", "t_lo", "t_hi", "n", "place")).alias("wanted"))  # of one text: no more than its anchors
-    kinds = [("h", pa.int64()), ("whole", pa.int64()), ("t_lo", pa.int32()), ("t_hi", pa.int32()), ("n", pa.int64()), ("key", pa.binary()), ("place", pa.int32()), ("context", pa.binary())]
+    """The bytes of all windows of the wanted suffixes (id, t_lo, t_hi, key, place). Copies of a text may give a suffix again, under its id."""
+    lists = through_disk(wanted.groupBy("key").agg(F.collect_list(F.struct("id", "t_lo", "t_hi", "place")).alias("wanted")))  # of one text: no more than its anchors
+    kinds = [("id", pa.int64()), ("t_lo", pa.int32()), ("t_hi", pa.int32()), ("context", pa.binary())]
+
+    def made(rows):
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(zip(*rows, strict=True), kinds, strict=True)], [x for x, _ in kinds])
 
     def run(batches):
         before, rows = None, []
@@ -87,23 +100,22 @@ def _contexts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     continue
                 before, text = key, texts[i].as_buffer()
                 for w in lists[i].as_py():
-                    rows.append((w["h"], w["whole"], w["t_lo"], w["t_hi"], w["n"], key, w["place"], bytes(text[w["place"] - w["t_hi"] : w["place"] - w["t_lo"] + length])))
+                    rows.append((w["id"], w["t_lo"], w["t_hi"], bytes(text[w["place"] - w["t_hi"] : w["place"] - w["t_lo"] + length])))
                 if len(rows) >= 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(zip(*rows, strict=True), kinds, strict=True)], [x for x, _ in kinds])
+                    yield made(rows)
                     rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(zip(*rows, strict=True), kinds, strict=True)], [x for x, _ in kinds])
+            yield made(rows)
 
-    found = texts.join(lists, "key").mapInArrow(run, "h long, whole long, t_lo int, t_hi int, n long, key binary, place int, context binary")
-    return found
+    return texts.join(lists, "key").mapInArrow(run, CONTEXT)
 
 
-def _ranges(classes: DataFrame, length: int, step: int) -> DataFrame:
-    """Aligned ranges of starts of each class: core (bytes that all windows of the aligned range share) and whole (all windows that the class owns in it)."""
+def _parts(ranges: DataFrame, length: int, gram: int, before: int | None, step: int) -> DataFrame:
+    """Open ranges (id, bucket, low, high, t_hi, context) cut into parts of step starts: r, the identifiers of what the core gains on the left and on the right, and of what all windows of the part cover. before: the step of the open ranges; None at first, when the core is the gram."""
 
     def run(batches):
         for batch in batches:
-            h, ids, lo, hi = (batch.column(x).to_numpy() for x in ("h", "id", "t_lo", "t_hi"))
+            bucket, ids, lo, hi, top = (batch.column(x).to_numpy() for x in ("bucket", "id", "low", "high", "t_hi"))
             for a, z, data, offsets in text_chunks(batch, "context"):
                 sums = prefix_hash(byte_codes(data))
                 first, last = lo[a:z] // step, hi[a:z] // step
@@ -111,47 +123,55 @@ def _ranges(classes: DataFrame, length: int, step: int) -> DataFrame:
                 c = np.repeat(np.arange(z - a), many)
                 r = np.arange(len(c)) - np.repeat(np.cumsum(many) - many, many) + first[c]
                 low, high = np.maximum(lo[a:z][c], r * step), np.minimum(hi[a:z][c], r * step + step - 1)
-                zero = offsets[:-1][c] + hi[a:z][c]  # where the anchor stands
-                # the core reaches from the latest start of the aligned range to the end of its earliest window
-                core = span_hash(sums, zero - r * step, zero - (r * step + step - 1) + length)
+                zero = offsets[:-1][c] + top[a:z][c]  # where the anchor stands
+                reach = lambda r, step: np.minimum(r * step + step - 1, length - gram)  # noqa: E731  no window stands further from its anchor
+                left, right = zero - r * step, zero - reach(r, step) + length  # the core
+                if before is None:
+                    known_left, known_right = zero, zero + gram
+                else:
+                    up = r * step // before
+                    known_left, known_right = zero - up * before, zero - reach(up, before) + length
                 whole = span_hash(sums, zero - high, zero - low + length) ^ (low * 1024 + high).astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(h[a:z][c]), pa.array(r.astype(np.int32)), pa.array(signed(core)), pa.array(signed(whole)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(ids[a:z][c])], ["h", "r", "core", "whole", "low", "high", "id"])
-
-    return classes.select("h", "id", "t_lo", "t_hi", "context").mapInArrow(run, "h long, r int, core long, whole long, low int, high int, id long")
-
-
-def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = STEP) -> DataFrame:
+                columns = [pa.array(bucket[a:z][c]), pa.array(r.astype(np.int32)), pa.array(signed(span_hash(sums, left, known_left))), pa.array(signed(span_hash(sums, known_right, right))), pa.array(signed(whole)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(ids[a:z][c])]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "r", "left", "right", "whole", "low", "high", "id"])
+
+    return ranges.select("bucket", "id", "low", "high", "t_hi", "context").mapInArrow(run, "bucket long, r int, left long, right long, whole long, low int, high int, id long")
+
+
+def refine(contexts: DataFrame, buckets: DataFrame, length: int, gram: int, steps=STEPS) -> DataFrame:
+    """contexts (CONTEXT) and the initial bucket of each id. Rows (id, low, high): offsets of starts that are repeats."""
+    found, before = [], None
+    ranges = contexts.join(buckets, "id").withColumns({"low": F.col("t_lo"), "high": F.col("t_hi")})
+    for step in steps:
+        parts = through_disk(_parts(ranges, length, gram, before, step))
+        place = ["bucket", "r", "left", "right"]
+        # the same suffix can stand here again, so other suffixes show by their ids and not by the number of rows
+        shared = parts.groupBy(*place).agg(F.min("id").alias("a"), F.max("id").alias("z"), F.min("whole").alias("least"), F.max("whole").alias("most")).where("a < z")
+        shared = through_disk(shared.select(*place, F.xxhash64(*place).alias("finer"), (F.col("least") == F.col("most")).alias("agree")))
+        alive = parts.join(shared, place).select("id", F.col("finer").alias("bucket"), "low", "high", "agree")
+        if step == 1:
+            found.append(alive.select("id", "low", "high"))
+            break
+        alive = through_disk(alive)
+        found.append(alive.where("agree").select("id", "low", "high"))
+        ranges = alive.where("NOT agree").select("id", "bucket", "low", "high").join(contexts.select("id", "t_hi", "context"), "id")
+        before = step
+    return reduce(DataFrame.union, found)
+
+
+def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, steps=STEPS) -> DataFrame:
     """texts: key (of equal texts), text (binary). key and spans: array of (start, stop), each a run of repeats' bytes, maybe overlapping."""
     found = anchors(texts, length, gram)
-    shared = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    shared = through_disk(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     found = through_disk(found.join(shared, "h", "left_semi"))
     one = ["h", "whole", "t_lo", "t_hi"]
-    classes = through_disk(found.groupBy(one).agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("first")).select(*one, "n", "first.*"))
+    classes = through_disk(found.groupBy(one).agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("first")).select(*one, "n", "first.*").withColumn("id", F.monotonically_increasing_id()))
     settled = found.join(classes.where("n > 1").select(one), one, "left_semi").select("key", (F.col("place") - F.col("t_hi")).alias("start"), (F.col("place") - F.col("t_lo") + length).alias("stop"))
-    open_buckets = classes.groupBy("h").agg(F.count("*").alias("classes"), F.min("n").alias("least")).where("classes > 1 AND least = 1").select("h")
-    wanted = classes.join(open_buckets, "h", "left_semi")
-    contexts = through_disk(_contexts(texts, wanted, length).withColumn("id", F.monotonically_increasing_id()))
-    ranges = through_disk(_ranges(contexts, length, step))
-    cores = ranges.groupBy("h", "r", "core").agg(F.count_distinct("id").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b")).where("n > 1")
-    alive = through_disk(ranges.drop("whole").join(cores.select("h", "r", "core", (F.col("a") == F.col("b")).alias("all")), ["h", "r", "core"]))
-    by_range = alive.where("all").select("id", "low", "high")
-
-    def single(batches):
-        for batch in batches:
-            h, ids, hi, low, high = (batch.column(x).to_numpy() for x in ("h", "id", "t_hi", "low", "high"))
-            for a, z, data, offsets in text_chunks(batch, "context"):
-                sums = prefix_hash(byte_codes(data))
-                many = high[a:z] - low[a:z] + 1
-                c = np.repeat(np.arange(z - a), many)
-                t = np.arange(len(c)) - np.repeat(np.cumsum(many) - many, many) + low[a:z][c]
-                start = offsets[:-1][c] + hi[a:z][c] - t
-                yield pa.RecordBatch.from_arrays([pa.array(h[a:z][c]), pa.array(t.astype(np.int32)), pa.array(signed(span_hash(sums, start, start + length))), pa.array(ids[a:z][c])], ["h", "t", "window", "id"])
-
-    deeper = alive.where("NOT all").select("id", "low", "high").join(contexts.select("id", "h", "t_hi", "context"), "id")
-    windows = through_disk(deeper.mapInArrow(single, "h long, t int, window long, id long"))
-    twice = windows.groupBy("h", "t", "window").agg(F.count_distinct("id").alias("n")).where("n > 1").drop("n")
-    by_window = windows.join(twice, ["h", "t", "window"], "left_semi").select("id", F.col("t").alias("low"), F.col("t").alias("high"))
-    refined = by_range.union(by_window).join(contexts.where("n = 1").select("id", "key", "place"), "id").select("key", (F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + length).alias("stop"))
+    open_buckets = through_disk(classes.groupBy("h").agg(F.count("*").alias("classes"), F.min("n").alias("least")).where("classes > 1 AND least = 1").select("h"))
+    wanted = through_disk(classes.join(open_buckets, "h", "left_semi"))
+    contexts = through_disk(_contexts(texts, wanted, length))
+    refined = refine(contexts, wanted.select("id", F.col("h").alias("bucket")), length, gram, steps)
+    refined = refined.join(wanted.where("n = 1").select("id", "key", "place"), "id").select("key", (F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + length).alias("stop"))
     return settled.union(refined).groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
