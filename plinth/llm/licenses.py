@@ -1,27 +1,31 @@
-"""License scans: base phrases, and an exact set-similarity join with license notices, in DataFrame functions only.
+"""License scans: base phrases, and an exact set-similarity join of texts with license notices, in DataFrame functions only.
 
 A text block is a window of words, wherever lines break: for a template of n words, every run of ceil(n / THRESHOLD)
 words of the text, so up to a quarter more words (comment leaders, insertions) may stand between. A block meets a template when its
-set of words holds at least THRESHOLD of the template's distinct words. Template words are ordered by how many documents of the corpus
-have them, rarest first: a text that meets a template must have a word of its prefix, the first |T| - need + 1 words
-(prefix filter), and at least need of its words anywhere (length filter). The best window can start at a template word,
-and the need-th template word from there must still stand in it (positional filter). What passes is counted exactly, so
-every block at the threshold is found. Templates are a bounded argument and go into the expressions; the corpus is read
-without a shuffle, but for counting the template words.
+set of words holds at least THRESHOLD of the template's distinct words; `need` is their least number.
+
+The join: template words get one global order, rarest first, by how many documents of the corpus have them. A block that meets a template T
+must hold a word of its prefix, the first |T| - need + 1 words in that order (prefix filter). So the places of prefix words in the
+texts are the rows of one side, (text, place, word, the words around it), the prefixes of all templates those of the other
+(template, rank, word), and they meet on the word. A pair whose prefix word has rank r stands for the blocks around the place of which it is the rarest
+word of T: what it can still share are the words of rank r and on, and at least need of them must stand around the place (length
+and positional filter, on both sides), need of them within one window. What passes is counted exactly, window by window. So every
+block at the threshold is found. Templates are a table; the plan does not grow with them. Spark broadcasts the prefixes while they are
+below its threshold and shuffles by word beyond. Blocks depend on the text alone, so equal texts share their result, by digest.
 
 Cases: null text is empty. Repeated rows each get their row. Texts without words have n_words 0, no labels, null first
-and last word and score 0. Base phrases and blocks both cross line breaks. Template words further apart than a window do not meet, however long the line.
+and last word and score 0. Base phrases and blocks both cross line breaks. Template words further apart than a window do not meet, however
+long the line. Templates without words never match. No templates, or an empty table, leave the base phrases.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, fresh, lower_ascii, table
+from .common import fresh, lower_ascii, table, through_disk
 
 THRESHOLD = 0.8
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -43,89 +47,98 @@ TEMPLATES = [
 ]
 
 
-def _strings(values) -> Column:
-    return F.array(*[F.lit(x) for x in values])
-
 
 def word_array(low: Column) -> Column:
-    return F.filter(F.split(low, NON_WORD), lambda w: w != "")
-
-
-def template_order(documents: DataFrame, templates, text_col: str = "text") -> list[str]:
-    """The template words, rarest first: by the number of documents that have them, then by the word."""
-    known = sorted({w for _, notice in templates for w in notice.split()})
-    seen = documents.select(F.explode(F.array_intersect(F.split(lower_ascii(F.col(text_col)), NON_WORD), _strings(known))).alias("word"))
-    counts = {r["word"]: r["count"] for r in seen.groupBy("word").count().collect()}  # a row per template word
-    return sorted(known, key=lambda w: (counts.get(w, 0), w))
-
-
-def _bound(value: Column, use) -> Column:
-    """use(value), with value computed once."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
-def _filters(notice: str, rank: dict[str, int], threshold: float) -> tuple[list[str], int]:
-    """The distinct words of the notice, rarest first, and how many of them a block needs; the prefix is all but need - 1 of them."""
-    words = sorted(set(notice.split()), key=rank.__getitem__)
-    return words, max(1, ceil(threshold * len(words) - 1e-9))
-
-
-def _template_score(tokens: Column, known: Column, rank: dict[str, int], notice: str, threshold: float) -> Column:
-    """The largest containment of the notice in a window of tokens, 0 below the threshold. known: the template words of the text."""
-    words, need = _filters(notice, rank, threshold)
-    width = ceil(len(notice.split()) / max(threshold, 0.1) - 1e-9)
-
-    def best(hits: Column) -> Column:
-        starts = F.filter(hits, lambda at, j: F.get(hits, j + (need - 1)) - at < width)
-        shared = lambda at: F.size(F.array_intersect(_strings(words), F.slice(tokens, at + 1, width)))
-        return F.aggregate(starts, F.lit(0), lambda most, at: F.greatest(most, shared(at)))
-
-    hits = F.array_compact(F.transform(tokens, lambda w, i: F.when(w.isin(*words), i)))
-    may = F.arrays_overlap(known, _strings(words[: len(words) - need + 1])) & (F.size(F.array_intersect(_strings(words), known)) >= need)
-    return F.when(may, _bound(_bound(hits, best), lambda most: F.when(most >= need, most / len(words)).otherwise(0.0))).otherwise(0.0)
+    """The words of a lower-cased text, with an empty string before or after them where it does not begin or end with a word."""
+    return F.split(low, NON_WORD)
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+
+
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+
+
+def template_prefixes(documents: DataFrame, templates: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """templates (label, notice) by the words of their prefixes: word, rank, label, words (distinct, rarest first), need, width (words of a block)."""
+    own = templates.select(F.monotonically_increasing_id().alias("template"), "label", F.array_compact(F.transform(word_array(lower_ascii(F.col("notice"))), lambda w: F.when(w != "", w))).alias("all")).where(F.size("all") > 0)
+    own = through_disk(own)
+    each = own.select("template", F.explode(F.array_distinct("all")).alias("word"))
+    vocabulary = [r["word"] for r in each.select("word").distinct().collect()]  # of the templates, not of the corpus
+    seen = documents.select(F.explode(F.array_distinct(word_array(lower_ascii(_text(text_col))))).alias("word")).where(F.col("word").isin(vocabulary))
+    counts = seen.groupBy("word").agg(F.count("*").alias("n"))
+    ordered = each.join(counts, "word", "left").groupBy("template").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("order"))  # a row per template
+    n = F.size("order")
+    sized = own.join(ordered, "template").select("label", F.col("order.word").alias("words"), F.greatest(F.lit(1), F.ceil(threshold * n - 1e-9).cast("int")).alias("need"), F.ceil(F.size("all") / max(threshold, 0.1) - 1e-9).cast("int").alias("width"))
+    return through_disk(sized.select("label", "words", "need", "width", F.posexplode(F.slice("words", F.lit(1), F.size("words") - F.col("need") + 1)).alias("rank", "word")))
+
+
+def matched_texts(documents: DataFrame, prefixes: DataFrame, text_col: str = "text") -> DataFrame:
+    """key (digest of the text), labels (distinct) and score (the largest containment) of the texts in which a block meets a template."""
+    sides = prefixes.agg(F.max("width").alias("width"), F.collect_set("word").alias("words")).first()  # a word per prefix place of the templates
+    if not sides["words"]:
+        return documents.sparkSession.createDataFrame([], "key binary, labels array<string>, score double")
+    reach = int(sides["width"])
+    tokens = documents.select(_text(text_col).alias("text")).withColumn("tokens", word_array(lower_ascii(F.col("text"))))
+    tokens = tokens.where(F.arrays_overlap("tokens", F.array(*[F.lit(w) for w in sorted(sides["words"])]))).select(_digest(F.col("text")).alias("key"), "tokens")
+
+    def around(word: Column, at: Column) -> Column:
+        start = F.greatest(F.lit(0), at - (reach - 1))
+        return F.when(word.isin(sides["words"]), F.struct(word.alias("word"), (at - start).alias("at"), F.slice("tokens", start + 1, F.lit(2 * reach - 1)).alias("near")))
+
+    places = tokens.select("key", F.explode(F.array_compact(F.transform("tokens", around))).alias("place")).select("key", "place.*")
+    start = F.greatest(F.lit(0), F.col("at") - (F.col("width") - 1))  # only what a block of this template can hold
+    pairs = places.join(prefixes, "word").withColumn("near", F.slice("near", start + 1, F.least(F.col("at") + F.col("width"), F.size("near")) - start)).withColumn("at", F.col("at") - start)
+    pairs = pairs.withColumn("left", F.slice("words", F.col("rank") + 1, F.size("words") - F.col("rank")))
+    pairs = pairs.where(F.size(F.array_intersect("left", "near")) >= F.col("need"))
+    pairs = pairs.withColumn("hits", F.array_compact(F.transform("near", lambda w, i: F.when(F.array_contains("left", w), i))))
+    fits = lambda x, k: (F.get("hits", k + F.col("need") - 1) - x < F.col("width")) & (x <= F.col("at")) & (x + F.col("width") > F.col("at"))
+    pairs = pairs.withColumn("starts", F.filter("hits", fits))
+    shared = lambda most, x: F.greatest(most, F.size(F.array_intersect("left", F.slice("near", x + 1, F.col("width")))))
+    pairs = pairs.withColumn("most", F.aggregate("starts", F.lit(0), shared)).where(F.col("most") >= F.col("need"))
+    return pairs.groupBy("key").agg(F.collect_set("label").alias("labels"), F.max(F.col("most") / F.size("words")).alias("score"))
 
 
 def scan_licenses(documents: DataFrame, templates=None, phrases=None, threshold: float = THRESHOLD, text_col: str = "text") -> tuple[DataFrame, str]:
-    """documents with a struct column (n_words, n_base, first_word, last_word, base_labels, labels, score), and its name."""
+    """documents with a struct column (n_words, n_base, first_word, last_word, base_labels, labels, score), and its name. templates: (label, notice) pairs or a DataFrame of them."""
     templates, phrases = TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases
-    order = template_order(documents, templates, text_col)
-    name, low, tokens, known = fresh(documents, "licenses"), fresh(documents, "low"), fresh(documents, "tokens"), fresh(documents, "known")
-    rank = {w: i for i, w in enumerate(order)}
-    prefixes = set()
-    for _, notice in templates:
-        words, need = _filters(notice, rank, threshold)
-        prefixes.update(words[: len(words) - need + 1])
-    has = lambda words: reduce(lambda a, b: a | b, [F.contains(F.col(low), F.lit(w)) for w in words], F.lit(False))
-    none = F.array().cast("array<string>")
-    df = documents.withColumn(low, lower_ascii(F.coalesce(F.col(text_col), F.lit(""))))
-    # only a text that has the last word of a phrase, or a prefix word, as a substring can match; the others skip the arrays
-    df = df.withColumn(tokens, F.when(has({p.split()[-1] for p in phrases} | prefixes), word_array(F.col(low))).otherwise(none))
-    df = df.withColumn(known, F.array_intersect(_strings(order), F.col(tokens)) if order else none)
+    if not isinstance(templates, DataFrame):
+        templates = documents.sparkSession.createDataFrame(list(templates), "label string, notice string")
+    matched = through_disk(matched_texts(documents, template_prefixes(documents, templates, threshold, text_col), text_col))
+    name, low, tokens, key, hit = (fresh(documents, x) for x in ("licenses", "low", "tokens", "key", "hit"))
+    df = documents.withColumn(low, lower_ascii(_text(text_col))).withColumn(tokens, word_array(F.col(low)))
+    lead = F.when(F.get(F.col(tokens), 0) == "", 1).otherwise(0)
 
     def places(phrase: str) -> Column:
         parts = phrase.split()
         at = lambda i: reduce(lambda a, b: a & b, [F.get(F.col(tokens), i + j) == w for j, w in enumerate(parts)])
-        found = F.filter(F.transform(F.col(tokens), lambda w, i: F.when((w == parts[0]) & at(i), i).otherwise(-1)), lambda i: i >= 0)
-        return F.when(has({parts[-1]}), found).otherwise(F.array().cast("array<int>"))
+        found = F.array_compact(F.transform(F.col(tokens), lambda w, i: F.when((w == parts[0]) & at(i), i - lead)))
+        # only a text that has its last word as a substring can hold the phrase; the others skip the arrays
+        return F.when(F.contains(F.col(low), F.lit(parts[-1])), found).otherwise(F.array().cast("array<int>"))
 
     found = [(label, places(phrase)) for phrase, label in phrases.items()]
-    scores = [(label, _template_score(F.col(tokens), F.col(known), rank, notice, threshold)) for label, notice in templates]
-    a, b = fresh(documents, "found"), fresh(documents, "scores")
-    df = df.withColumn(a, F.array(*[p for _, p in found])).withColumn(b, F.array(*[s for _, s in scores]))
-    base = F.array_compact(F.array(*[F.when(F.size(F.get(F.col(a), i)) > 0, label) for i, (label, _) in enumerate(found)]))
-    more = F.array_compact(F.array(*[F.when(F.get(F.col(b), i) > 0, label) for i, (label, _) in enumerate(scores)]))
+    a, key_text = fresh(documents, "found"), _text(text_col)
+    df = df.withColumn(a, F.array(*[p for _, p in found]) if found else F.array().cast("array<array<int>>"))
+    base = F.array_compact(F.array(*[F.when(F.size(F.get(F.col(a), i)) > 0, label) for i, (label, _) in enumerate(found)])) if found else F.array().cast("array<string>")
     every = F.flatten(F.col(a))
-    best = F.array_max(F.col(b)) if scores else F.lit(0.0)
-    result = F.struct(
-        F.regexp_count(F.col(low), F.lit(WORD_PATTERN)).cast("long").alias("n_words"),
+    ends = F.when(F.get(F.col(tokens), F.size(tokens) - 1) == "", 1).otherwise(0)
+    own = F.struct(
+        F.greatest(F.lit(0), F.size(tokens) - lead - ends).cast("long").alias("n_words"),
         F.size(every).cast("long").alias("n_base"),
         F.array_min(every).cast("long").alias("first_word"),
         F.array_max(every).cast("long").alias("last_word"),
-        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union(base, more)), ",").alias("labels"),
-        F.when(F.size(every) > 0, 1.0).otherwise(best).alias("score"),
+        base.alias("base"),
     )
-    return df.withColumn(name, result).drop(low, tokens, known, a, b), name
+    # the arrays end here, so that the join moves the documents' own columns and a few numbers
+    df = df.withColumn(name, own).withColumn(key, _digest(key_text)).drop(low, tokens, a)
+    df = df.join(matched.select(F.col("key").alias(key), F.struct("labels", "score").alias(hit)), key, "left")
+    x = lambda field: F.col(f"{name}.{field}")
+    labels = F.array_union(x("base"), F.coalesce(F.col(f"{hit}.labels"), F.array().cast("array<string>")))
+    score = F.when(x("n_base") > 0, 1.0).otherwise(F.coalesce(F.col(f"{hit}.score"), F.lit(0.0)))
+    result = F.struct(x("n_words"), x("n_base"), x("first_word"), x("last_word"), F.array_join(F.array_sort(F.array_distinct(x("base"))), ",").alias("base_labels"), F.array_join(F.array_sort(labels), ",").alias("labels"), score.alias("score"))
+    return df.withColumn(name, result).select(*documents.columns, name), name
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,3 +90,34 @@ def test_windows_equal_brute_force(spark):
                 wanted.add(label)
                 best = max(best, shared)
         assert (found, round(score, 9)) == (",".join(sorted(wanted)), round(best, 9))
+
+
+def test_hundreds_of_templates_with_wrapped_notices(spark):
+    rng = random.Random(12)
+    pool = [f"w{i}" for i in range(400)]
+    templates = [(f"l{i}", " ".join(rng.choices(pool, k=rng.randrange(3, 60)))) for i in range(300)] + [("none", "..."), ("none", "")]
+    texts = []
+    for i in range(90):
+        w = templates[rng.randrange(300)][1].split()
+        for _ in range(rng.randrange(0, 1 + len(w) // 4)):
+            w[rng.randrange(len(w))] = rng.choice(pool)
+        texts.append(textwrap.fill(" ".join([*rng.choices(pool, k=rng.randrange(40)), *w, *rng.choices(pool, k=rng.randrange(40))]), 60, initial_indent="# ", subsequent_indent="# "))
+    texts += ["", None, texts[0], " ".join(rng.choices(pool, k=3000))]
+    frame = spark.createDataFrame(templates, "label string, notice string")
+    found, name = scan_licenses(documents(spark, [(i, x, "en", "s") for i, x in enumerate(texts)]), frame, {})
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in found.select("doc_id", f"{name}.labels", f"{name}.score").collect()}
+    for i, text in enumerate(texts):
+        w, wanted, best = words(text), set(), 0.0
+        for label, notice in templates[:300]:
+            n, width = set(notice.split()), -(-len(notice.split()) * 5 // 4)
+            shared = max((len(n & set(w[j : j + width])) for j in range(len(w))), default=0) / len(n)
+            if shared >= 0.8 - 1e-9:
+                wanted.add(label)
+                best = max(best, shared)
+        assert got[i] == (",".join(sorted(wanted)), round(best, 9))
+
+
+def test_the_plan_does_not_grow_with_the_templates(spark):
+    docs = documents(spark, [(1, "a b c", "en", "s")])
+    nodes = [scan_licenses(docs, [(f"l{i}", f"word{i} other{i} third{i}") for i in range(n)])[0]._jdf.queryExecution().optimizedPlan().treeString().count("\n") for n in (2, 200)]
+    assert nodes[0] == nodes[1]
