@@ -201,3 +201,23 @@ def annotate(df: DataFrame, function, name: str, kind: str, rows: int = 1024) ->
                 yield pa.RecordBatch.from_arrays([*batch.columns, made.cast(want) if made.type != want else made], [*batch.schema.names, name])
 
     return df.mapInArrow(run, schema)
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys out of sorted batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        turn = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        for a, z in zip(np.r_[0, turn], np.r_[turn, batch.num_rows], strict=True):
+            key = tuple(c[a] for c in columns)
+            if last is not None and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, z - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)

@@ -17,14 +17,12 @@ square of their number, in blocks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, mix, prefix_hash, signed, span_hash, table, text_chunks, through_disk, word_hashes, words
+from .common import fresh, groups, mix, prefix_hash, signed, span_hash, table, text_chunks, through_disk, word_hashes, words
 
 SHINGLE, THRESHOLD, TREES, MOST_DEPTH, RECALL, BLOCK = 5, 0.8, 16, 8, 0.999, 256
 
@@ -119,26 +117,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of rows with equal keys out of sorted batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy() for k in keys]
-        turn = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-        for a, z in zip(np.r_[0, turn], np.r_[turn, batch.num_rows], strict=True):
-            key = tuple(c[a] for c in columns)
-            if last is not None and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, z - a))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _compare(group: pa.Table, threshold: float):
     """Links of one pair of blocks: a spanning forest (a, b) and, for each id, how many documents it is linked to."""
     ids, first = np.unique(group["id"].to_numpy(), return_index=True)
@@ -203,7 +181,7 @@ def verified_links(keyed: DataFrame, classes: DataFrame, clusters: DataFrame, th
     dealt = dealt.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "copies", "block", "set")
 
     def compare(batches):
-        for group in _groups(batches, unit):
+        for group in groups(batches, unit):
             forest, counts = _compare(group, threshold)
             rows = [(a, b, None) for a, b in forest] + [(a, None, n) for a, n in counts]
             if rows:
