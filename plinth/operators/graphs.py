@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_local: list[str] = []
-
+from ..sources.shared import shared_dir
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes df below spark.checkpoint.dir and reads it back: later rounds neither recompute it nor depend on an executor. Only without that setting (tests) is the folder local."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        _local or _local.append(tempfile.mkdtemp(prefix="plinth-"))
-        base = _local[0]
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """Writes df below spark.checkpoint.dir and reads it back: later rounds neither recompute it nor depend on an executor."""
+    path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

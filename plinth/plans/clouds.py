@@ -234,32 +234,19 @@ def c31(spark, d):
     return S.merge_boxes(_boxes(spark, d, 0).withColumnRenamed("image", "frame"))
 
 
-_EDGES = "SELECT id AS a, id * 2 % 499 AS b, 1.0 + id % 7 AS length FROM (SELECT vec_id AS id FROM embeddings WHERE vec_id < 499)"
+_EDGES = "SELECT vec_id AS a, vec_id * 2 % (SELECT max(vec_id) + 1 FROM embeddings) AS b, (1.0 + vec_id % 7)::DOUBLE AS length FROM embeddings"
 
 
 def _edges(spark, d):
-    i = F.col("vec_id")
-    return table(spark, d, "embeddings").where("vec_id < 499").select(i.alias("a"), (i * 2 % 499).alias("b"), (1.0 + i % 7).cast("double").alias("length"))
-
-
-_ALL_EDGES = "SELECT vec_id AS a, vec_id * 2 % (SELECT max(vec_id) + 1 FROM embeddings) AS b, (1.0 + vec_id % 7)::DOUBLE AS length FROM embeddings"
-
-
-def _all_edges(spark, d):
     """The edges of every row, and the number of ids, which no path without a cycle exceeds."""
     i, rows = F.col("vec_id"), table(spark, d, "embeddings")
     n = rows.agg(F.coalesce(F.max(i), F.lit(0)) + 1).first()[0]
     return rows.select(i.alias("a"), (i * 2 % n).alias("b"), (1.0 + i % 7).cast("double").alias("length")), n
 
 
-@query("r04_bidirectional", f"WITH e AS ({_EDGES}) SELECT a, b, length::DOUBLE AS length FROM e UNION ALL SELECT b, a, length::DOUBLE FROM e")
+@query("r04_bidirectional", f"WITH e AS ({_EDGES}) SELECT a, b, length FROM e UNION ALL SELECT b, a, length FROM e")
 def r04(spark, d):
-    return graphs.both_ways(_edges(spark, d))
-
-
-@query("r04_bidirectional_whole", f"WITH e AS ({_ALL_EDGES}) SELECT a, b, length FROM e UNION ALL SELECT b, a, length FROM e")
-def r04_whole(spark, d):
-    return graphs.both_ways(_all_edges(spark, d)[0])
+    return graphs.both_ways(_edges(spark, d)[0])
 
 
 @query("r05_snap_to_node", f"WITH p AS ({_P}) SELECT id FROM p ORDER BY sqrt(x * x + y * y + z * z), id LIMIT 1")
@@ -267,16 +254,10 @@ def r05(spark, d):
     return _cloud(spark, d).orderBy(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2), "id").limit(1).select("id")
 
 
-@query("r06_shortest_paths", f"""WITH RECURSIVE e AS ({_EDGES}), w AS (SELECT 1::BIGINT AS id, 0.0::DOUBLE AS distance, 0 AS hops UNION ALL SELECT b, distance + length, hops + 1 FROM w JOIN e ON a = id WHERE hops < 170)
+@query("r06_shortest_paths", f"""WITH RECURSIVE e AS ({_EDGES}), n AS (SELECT count(*) AS n FROM e), w AS (SELECT 1::BIGINT AS id, 0.0::DOUBLE AS distance, 0 AS hops UNION ALL SELECT b, distance + length, hops + 1 FROM w JOIN e ON a = id CROSS JOIN n WHERE hops < n)
 SELECT id, min(distance) AS distance FROM w GROUP BY 1""")
 def r06(spark, d):
-    return graphs.shortest_paths(_edges(spark, d), 1, rounds=600).select("id", "distance")
-
-
-@query("r06_shortest_paths_whole", f"""WITH RECURSIVE e AS ({_ALL_EDGES}), n AS (SELECT count(*) AS n FROM e), w AS (SELECT 1::BIGINT AS id, 0.0::DOUBLE AS distance, 0 AS hops UNION ALL SELECT b, distance + length, hops + 1 FROM w JOIN e ON a = id CROSS JOIN n WHERE hops < n)
-SELECT id, min(distance) AS distance FROM w GROUP BY 1""")
-def r06_whole(spark, d):
-    edges, n = _all_edges(spark, d)
+    edges, n = _edges(spark, d)
     return graphs.shortest_paths(edges, 1, rounds=n + 1).select("id", "distance")
 
 
@@ -304,12 +285,7 @@ def r12(spark, d):
 
 @query("r13_reachability", f"WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT 3::BIGINT AS id UNION SELECT b FROM r JOIN e ON a = id) SELECT id FROM r")
 def r13(spark, d):
-    return graphs.reachable(_edges(spark, d), spark.createDataFrame([(3,)], "id long"))
-
-
-@query("r13_reachability_whole", f"WITH RECURSIVE e AS ({_ALL_EDGES}), r AS (SELECT 3::BIGINT AS id UNION SELECT b FROM r JOIN e ON a = id) SELECT id FROM r")
-def r13_whole(spark, d):
-    edges, n = _all_edges(spark, d)
+    edges, n = _edges(spark, d)
     return graphs.reachable(edges, spark.createDataFrame([(3,)], "id long"), rounds=n + 1)
 
 

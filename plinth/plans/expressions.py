@@ -140,13 +140,8 @@ def f20(spark, d):
     return e.select("event_id", (k > 1).alias("refused"), F.when(k > 1, 60 - F.floor(ms / 1000) % 60).alias("retry_after"))
 
 
-@query("f21_pricing", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_quantity::DECIMAL(18,6) * 1.25::DECIMAL(18,6) / 3600, 6)::DOUBLE AS cost FROM lineitem WHERE l_quantity % 9 = 0")
+@query("f21_pricing", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_quantity::DECIMAL(18,6) * 1.25::DECIMAL(18,6) / 3600, 6)::DOUBLE AS cost FROM lineitem")
 def f21(spark, d):
-    return _priced(table(spark, d, "lineitem").where("l_quantity % 9 = 0"))
-
-
-@query("f21_pricing_whole", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_quantity::DECIMAL(18,6) * 1.25::DECIMAL(18,6) / 3600, 6)::DOUBLE AS cost FROM lineitem")
-def f21_whole(spark, d):
     return _priced(table(spark, d, "lineitem"))
 
 
@@ -320,13 +315,8 @@ def f48(spark, d):
     return _part(spark, d).select("p_partkey", F.coalesce(exact[F.col("p_type")], F.when(F.col("p_name").rlike("red|blue"), "furniture"), F.lit("clutter")).alias("bucket"))
 
 
-@query("f49_alignment_confidence", "SELECT l_orderkey, l_linenumber, l_partkey, round(least(greatest(l_quantity / 50 * greatest(0, 1 - l_discount / 0.05), 0), 1), 8) AS confidence FROM lineitem WHERE l_orderkey % 20 = 0")
+@query("f49_alignment_confidence", "SELECT l_orderkey, l_linenumber, l_partkey, round(least(greatest(l_quantity / 50 * greatest(0, 1 - l_discount / 0.05), 0), 1), 8) AS confidence FROM lineitem")
 def f49(spark, d):
-    return _confidence(table(spark, d, "lineitem").where("l_orderkey % 20 = 0"))
-
-
-@query("f49_alignment_confidence_whole", "SELECT l_orderkey, l_linenumber, l_partkey, round(least(greatest(l_quantity / 50 * greatest(0, 1 - l_discount / 0.05), 0), 1), 8) AS confidence FROM lineitem")
-def f49_whole(spark, d):
     return _confidence(table(spark, d, "lineitem"))
 
 

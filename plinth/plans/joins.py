@@ -200,13 +200,8 @@ def u04(spark, d):
     return table(spark, d, "lineitem").select("l_returnflag", "l_linestatus").distinct()
 
 
-@query("u05_set_difference", "SELECT user_id, list_sort(list_filter(['click', 'error', 'purchase', 'signup', 'view'], lambda x: NOT list_contains(list(DISTINCT event_type), x)))::VARCHAR AS unserved FROM events WHERE event_id % 7 = 0 GROUP BY 1")
+@query("u05_set_difference", "SELECT user_id, list_sort(list_filter(['click', 'error', 'purchase', 'signup', 'view'], lambda x: NOT list_contains(list(DISTINCT event_type), x)))::VARCHAR AS unserved FROM events GROUP BY 1")
 def u05(spark, d):
-    return _unserved(table(spark, d, "events").where("event_id % 7 = 0"))
-
-
-@query("u05_set_difference_whole", "SELECT user_id, list_sort(list_filter(['click', 'error', 'purchase', 'signup', 'view'], lambda x: NOT list_contains(list(DISTINCT event_type), x)))::VARCHAR AS unserved FROM events GROUP BY 1")
-def u05_whole(spark, d):
     return _unserved(table(spark, d, "events"))
 
 
@@ -224,29 +219,16 @@ def _versions(spark, d):
     return table(spark, d, "part").select(k.alias("id"), F.when(k > 1, F.floor(k / 2)).alias("parent"), F.col("p_size").alias("version"))
 
 
-@query("u06_recursive_ancestors", f"""WITH RECURSIVE t AS ({_TREE}), l AS (SELECT id AS start, id, parent, 0 AS depth FROM t WHERE id % 50 = 0
+@query("u06_recursive_ancestors", f"""WITH RECURSIVE t AS ({_TREE}), l AS (SELECT id AS start, id, parent, 0 AS depth FROM t
 UNION ALL SELECT l.start, t.id, t.parent, depth + 1 FROM l JOIN t ON t.id = l.parent) SELECT start, id, depth FROM l""")
 def u06(spark, d):
-    return graphs.ancestors(_versions(spark, d), "id", "parent", F.col("id") % 50 == 0)
-
-
-@query("u06_recursive_ancestors_whole", f"""WITH RECURSIVE t AS ({_TREE}), l AS (SELECT id AS start, id, parent, 0 AS depth FROM t
-UNION ALL SELECT l.start, t.id, t.parent, depth + 1 FROM l JOIN t ON t.id = l.parent) SELECT start, id, depth FROM l""")
-def u06_whole(spark, d):
     return graphs.ancestors(_versions(spark, d), "id", "parent", F.lit(True))
 
 
-@query("u07_best_in_lineage", f"""WITH RECURSIVE t AS ({_TREE}), l AS (SELECT id AS start, id, parent, version FROM t WHERE id % 50 = 0
+@query("u07_best_in_lineage", f"""WITH RECURSIVE t AS ({_TREE}), l AS (SELECT id AS start, id, parent, version FROM t
 UNION ALL SELECT l.start, t.id, t.parent, t.version FROM l JOIN t ON t.id = l.parent), r AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY (version % 2 = 0) DESC, version DESC, id) AS k FROM l)
 SELECT start, id, version FROM r WHERE k = 1""")
 def u07(spark, d):
-    return _best_in_lineage(_versions(spark, d), F.col("id") % 50 == 0)
-
-
-@query("u07_best_in_lineage_whole", f"""WITH RECURSIVE t AS ({_TREE}), l AS (SELECT id AS start, id, parent, version FROM t
-UNION ALL SELECT l.start, t.id, t.parent, t.version FROM l JOIN t ON t.id = l.parent), r AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY (version % 2 = 0) DESC, version DESC, id) AS k FROM l)
-SELECT start, id, version FROM r WHERE k = 1""")
-def u07_whole(spark, d):
     return _best_in_lineage(_versions(spark, d), F.lit(True))
 
 

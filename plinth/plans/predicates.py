@@ -113,16 +113,8 @@ def p07(spark, d):
     return o.select("o_orderkey", (~F.col("a").eqNullSafe(F.col("b"))).alias("differs"))
 
 
-@query("p08_boolean_sort_key", "SELECT p_partkey, row_number() OVER (ORDER BY (p_size > 25) DESC, p_partkey) AS place FROM part ORDER BY place LIMIT 50")
+@query("p08_boolean_sort_key", "SELECT p_partkey, row_number() OVER (ORDER BY (p_size > 25) DESC, p_partkey) AS place FROM part")
 def p08(spark, d):
-    top = table(spark, d, "part").orderBy((F.col("p_size") > 25).desc(), "p_partkey").limit(50)
-    from pyspark.sql import Window
-
-    return top.select("p_partkey", F.row_number().over(Window.orderBy((F.col("p_size") > 25).desc(), "p_partkey")).cast("long").alias("place"))
-
-
-@query("p08_boolean_sort_key_whole", "SELECT p_partkey, row_number() OVER (ORDER BY (p_size > 25) DESC, p_partkey) AS place FROM part")
-def p08_whole(spark, d):
     return R.placed(table(spark, d, "part"), [(F.col("p_size") > 25).desc(), F.col("p_partkey")]).select("p_partkey", "place")
 
 

@@ -110,10 +110,7 @@ def w14(spark, d):
     return steps.select("id", F.round(F.col("step") / F.nullif("dt", F.lit(0.0)), 8).alias("speed"))
 
 
-_HITS = "SELECT l_linenumber AS class, l_orderkey AS id, row_number() OVER w AS k, sum((l_returnflag = 'R')::INT) OVER w AS tp FROM lineitem WHERE l_orderkey % 10 = 0 WINDOW w AS (PARTITION BY l_linenumber ORDER BY l_extendedprice DESC, l_orderkey, l_partkey)"
-
-
-_ALL_HITS = "SELECT l_linenumber AS class, row_number() OVER w AS k, sum((l_returnflag = 'R')::INT) OVER w AS tp FROM lineitem WINDOW w AS (PARTITION BY l_linenumber ORDER BY l_extendedprice DESC, l_orderkey, l_partkey ROWS UNBOUNDED PRECEDING)"
+_HITS = "SELECT l_linenumber AS class, row_number() OVER w AS k, sum((l_returnflag = 'R')::INT) OVER w AS tp FROM lineitem WINDOW w AS (PARTITION BY l_linenumber ORDER BY l_extendedprice DESC, l_orderkey, l_partkey ROWS UNBOUNDED PRECEDING)"
 
 
 def _running(rows):
@@ -133,21 +130,11 @@ def _envelope(rows):
 
 @query("w15_running_precision", f"SELECT class, k, round(tp / k, 9) AS precision FROM ({_HITS})")
 def w15(spark, d):
-    return _precision(table(spark, d, "lineitem").where("l_orderkey % 10 = 0"))
-
-
-@query("w15_running_precision_whole", f"SELECT class, k, round(tp / k, 9) AS precision FROM ({_ALL_HITS})")
-def w15_whole(spark, d):
     return _precision(table(spark, d, "lineitem"))
 
 
 @query("w16_precision_envelope", f"SELECT class, k, round(max(tp / k) OVER (PARTITION BY class ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 9) AS envelope FROM ({_HITS})")
 def w16(spark, d):
-    return _envelope(table(spark, d, "lineitem").where("l_orderkey % 10 = 0"))
-
-
-@query("w16_precision_envelope_whole", f"SELECT class, k, round(max(tp / k) OVER (PARTITION BY class ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 9) AS envelope FROM ({_ALL_HITS})")
-def w16_whole(spark, d):
     return _envelope(table(spark, d, "lineitem"))
 
 
@@ -164,15 +151,8 @@ def k01(spark, d):
     return table(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20).select("o_orderkey", "o_totalprice")
 
 
-@query("k02_ranking_order", """SELECT p_partkey, row_number() OVER (ORDER BY (p_size > 10) DESC, nullif(p_size, 20) DESC NULLS LAST, p_brand, p_type DESC, p_retailprice DESC NULLS LAST, p_name, p_partkey) AS place FROM part ORDER BY place LIMIT 100""")
+@query("k02_ranking_order", """SELECT p_partkey, row_number() OVER (ORDER BY (p_size > 10) DESC, nullif(p_size, 20) DESC NULLS LAST, p_brand, p_type DESC, p_retailprice DESC NULLS LAST, p_name, p_partkey) AS place FROM part""")
 def k02(spark, d):
-    order = _ranking_order()
-    top = table(spark, d, "part").orderBy(*order).limit(100)
-    return top.select("p_partkey", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
-
-
-@query("k02_ranking_order_whole", """SELECT p_partkey, row_number() OVER (ORDER BY (p_size > 10) DESC, nullif(p_size, 20) DESC NULLS LAST, p_brand, p_type DESC, p_retailprice DESC NULLS LAST, p_name, p_partkey) AS place FROM part""")
-def k02_whole(spark, d):
     return R.placed(table(spark, d, "part"), _ranking_order()).select("p_partkey", "place")
 
 
@@ -192,15 +172,8 @@ def k04(spark, d):
 
 
 @query("k06_tier_order", """WITH t AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 WHEN 'P' THEN 2 ELSE 3 END AS tier, o_totalprice AS distance FROM orders)
-SELECT o_orderkey, tier, row_number() OVER (ORDER BY tier, distance NULLS LAST, o_orderkey) AS place FROM t ORDER BY place LIMIT 60""")
-def k06(spark, d):
-    top = _tiers(spark, d).orderBy(*_tier_order()).limit(60)
-    return top.select("o_orderkey", "tier", F.row_number().over(Window.orderBy(*_tier_order())).cast("long").alias("place"))
-
-
-@query("k06_tier_order_whole", """WITH t AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 WHEN 'P' THEN 2 ELSE 3 END AS tier, o_totalprice AS distance FROM orders)
 SELECT o_orderkey, tier, row_number() OVER (ORDER BY tier, distance NULLS LAST, o_orderkey) AS place FROM t""")
-def k06_whole(spark, d):
+def k06(spark, d):
     return R.placed(_tiers(spark, d), _tier_order()).select("o_orderkey", "tier", "place")
 
 

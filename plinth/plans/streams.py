@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
 from ..sources.tables import table
 from ..streaming import telemetry as X
 from .registry import query
@@ -15,17 +13,6 @@ _AS_OF = "2024-01-20 00:00:00"
 #: Files of a table come in any order of event time, so the whole span may be late.
 _ANY_LATENESS = "400 days"
 _JOBS = [("view", "click"), ("click", "purchase"), ("click", "view"), ("purchase", "view"), ("view", "view")]
-_local: list[str] = []
-
-
-def _shared(spark):
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests), a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _local:
-            _local.append(tempfile.mkdtemp(prefix="plinth-stream-"))
-        base = _local[0]
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def _events(spark, d, stream=False):
@@ -46,7 +33,7 @@ def x01(spark, d):
 @query("x03_windows_on_stream", "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def x03(spark, d):
     counts = X.window_counts(_events(spark, d, stream=True), "ts", ["event_type"], "1 hour", lateness=_ANY_LATENESS)
-    return X.upsert_stream(counts, _shared(spark), ["start", "event_type"]).withColumn("start", F.unix_micros("start"))
+    return X.upsert_stream(counts, shared_dir(spark), ["start", "event_type"]).withColumn("start", F.unix_micros("start"))
 
 
 @query("x05_tracking_state", f"""WITH l AS (SELECT user_id, max(ts) AS seen, arg_max(event_type, (ts, event_id)) AS said FROM events WHERE ts <= TIMESTAMP '{_AS_OF}' GROUP BY 1)
@@ -73,7 +60,7 @@ def x10(spark, d):
 def x11(spark, d):
     keyed = _events(spark, d, stream=True).withColumn("day", F.to_date("ts")).withWatermark("ts", _ANY_LATENESS)
     once = keyed.dropDuplicatesWithinWatermark(["user_id", "event_type", "day"]).select("user_id", "event_type", "day")
-    return X.run_available(once, _shared(spark)).drop("batch")
+    return X.run_available(once, shared_dir(spark)).drop("batch")
 
 
 @query("x12_silences", """WITH b AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -87,7 +74,7 @@ def x13(spark, d):
     """Stateful, so without SQL; a test compares with a plain loop."""
     seconds = F.unix_micros("ts") / 1e6
     poses = _events(spark, d, stream=True).select(F.col("user_id").alias("session"), F.col("event_id").alias("id"), seconds.alias("t"), (F.col("value") / 10).alias("x"), (F.col("event_id") % 17).cast("double").alias("y"), (F.col("event_id") % 360).cast("double").alias("yaw"))
-    return X.run_available(X.throttle_poses(poses, least=3600.0, most=36000.0, moved=9.0, turned=120.0), _shared(spark)).drop("batch")
+    return X.run_available(X.throttle_poses(poses, least=3600.0, most=36000.0, moved=9.0, turned=120.0), shared_dir(spark)).drop("batch")
 
 
 @query("x14_arrivals", """WITH m AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, value < 120 AS near, sum(CASE WHEN value < 120 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events)

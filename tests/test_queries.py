@@ -1,6 +1,7 @@
 """Every registered query that has an oracle gives the oracle's rows on the smallest tables."""
 
 import math
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -23,8 +24,8 @@ def database():
 def plain(value):
     if value is None or (isinstance(value, float) and math.isnan(value)):
         return "null"
-    if isinstance(value, float):
-        return f"{value:.6g}"
+    if isinstance(value, (float, Decimal)):
+        return f"{float(value):.6g}"
     if isinstance(value, (list, tuple)):
         return "[" + ",".join(map(plain, value)) + "]"
     if isinstance(value, dict):
