@@ -6,8 +6,6 @@ every function takes the offsets of the documents and breaks words and windows t
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 #: Bytes of text that one kernel call works on; a single longer document makes a chunk of its own.
 CHUNK_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTE_CODE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_OTHER_CODE = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 #: A-Z to a-z; every other byte stays.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -107,8 +108,9 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, np.flatnonzero(last) + 1, np.searchsorted(start, offsets)
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return span_hash(prefix_hash(byte_codes(LOWER[data])), start, end)
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: bool = False) -> np.ndarray:
+    """other: a second, independent hash."""
+    return span_hash(prefix_hash((_OTHER_CODE if other else _BYTE_CODE)[LOWER[data]]), start, end)
 
 
 def gram_hashes(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,15 +145,6 @@ def sliding_max(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor and the driver see; only where that is unset (tests), a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _powers.setdefault("dir", None) or tempfile.mkdtemp(prefix="plinth-")  # type: ignore[arg-type]
-        _powers["dir"] = base  # type: ignore[assignment]
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def through_disk(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it again: later steps reread it instead of computing it twice, and lost executors cost nothing."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)

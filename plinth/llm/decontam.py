@@ -3,10 +3,11 @@
 A window is n consecutive words of a benchmark item (the whole item if it has fewer words, but some). Of each window,
 only the smallest k-gram hash is kept as its fingerprint. A document's windows are fingerprinted in the same way, so a
 shared window always has the same fingerprint on both sides: no shared span of n words can be missed. Fingerprints
-that meet are extended to the whole window, whose hash and words must agree.
+that meet are extended to the whole window, whose words must agree.
 
 Up to broadcast_windows benchmark windows (counted first) are sent to the executors and the corpus is read once with no
-shuffle; beyond that, the fingerprints are joined by shuffle and give the same rows.
+shuffle; beyond that, the fingerprints are joined by shuffle and give the same rows. There, words agree if two
+independent 64-bit hashes of them do.
 
 Cases: null and empty texts have no words and no hits. Repeated document rows each get their row. Items that share a
 window are all counted. Null item ids are left out of the list of items but their windows count as hits. An empty
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, annotate, fresh, gram_hashes, prefix_hash, signed, sliding_min, span_hash, table, text_chunks, through_disk, word_hashes, words
 
 WINDOW, GRAM = 10, 5
-#: Benchmark windows up to which they are broadcast: 300,000 of ten words are under 60 MB.
-BROADCAST_WINDOWS = 300_000
+#: Benchmark windows up to which they are broadcast. A Python worker holds about 700 bytes for one of ten words, so at most some 70 MB.
+BROADCAST_WINDOWS = 100_000
 
 _LAST = np.uint64(2**64 - 1)
 
@@ -42,14 +43,14 @@ def _fingerprints(hashes: np.ndarray, first: np.ndarray, n: int, k: int) -> tupl
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = WINDOW, k: int = GRAM, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """One row per window of every item: item, n, fp, h, words (lower-cased, joined by spaces)."""
+    """One row per window of every item: item, n, fp, h, h2 (another hash), words (lower-cased, joined by spaces)."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column("item").to_pylist()
             for a, z, data, offsets in text_chunks(batch, "text"):
                 start, end, first = words(data, offsets)
-                hashes, low = word_hashes(data, start, end), LOWER[data].tobytes()
+                hashes, other, low = word_hashes(data, start, end), word_hashes(data, start, end, True), LOWER[data].tobytes()
                 rows = []
                 for d in range(z - a):
                     f, l = int(first[d]), int(first[d + 1])
@@ -59,12 +60,13 @@ def benchmark_windows(benchmark: DataFrame, n: int = WINDOW, k: int = GRAM, id_c
                     own = np.array([0, l - f])
                     fp, _ = _fingerprints(hashes[f:l], own, m, k)
                     h, _ = gram_hashes(hashes[f:l], own, m)
-                    rows += [(ids[a + d], m, int(p), int(q), " ".join(low[start[j] : end[j]].decode("utf-8", "replace") for j in range(f + i, f + i + m))) for i, (p, q) in enumerate(zip(signed(fp), signed(h), strict=True))]
+                    h2, _ = gram_hashes(other[f:l], own, m)
+                    rows += [(ids[a + d], m, int(p), int(q), int(r), " ".join(low[start[j] : end[j]].decode("utf-8", "replace") for j in range(f + i, f + i + m))) for i, (p, q, r) in enumerate(zip(signed(fp), signed(h), signed(h2), strict=True))]
                 for at in range(0, len(rows), 50_000):
-                    item, m, fp, h, text = zip(*rows[at : at + 50_000], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(m, pa.int32()), pa.array(fp, pa.int64()), pa.array(h, pa.int64()), pa.array(text, pa.string())], ["item", "n", "fp", "h", "words"])
+                    item, m, fp, h, h2, text = zip(*rows[at : at + 50_000], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(m, pa.int32()), pa.array(fp, pa.int64()), pa.array(h, pa.int64()), pa.array(h2, pa.int64()), pa.array(text, pa.string())], ["item", "n", "fp", "h", "h2", "words"])
 
-    return benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "item long, n int, fp long, h long, words string")
+    return benchmark.select(F.expr(f"try_cast(`{id_col}` AS bigint)").alias("item"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "item long, n int, fp long, h long, h2 long, words string")
 
 
 def items_digest(items: list[int]) -> str:
@@ -77,7 +79,7 @@ RESULT = "struct<n_words:bigint,n_hit:bigint,n_items:bigint,items:array<bigint>,
 def _by_broadcast(documents: DataFrame, windows: list, k: int, text_col: str, name: str) -> DataFrame:
     known: dict[int, dict[int, dict[str, set[int]]]] = {}
     prints: dict[int, set[int]] = {}
-    for item, n, fp, h, text in windows:
+    for item, n, fp, h, _, text in windows:
         known.setdefault(n, {}).setdefault(h, {}).setdefault(text, set()).update(() if item is None else (item,))
         prints.setdefault(n, set()).add(fp)
     sent = documents.sparkSession.sparkContext.broadcast((known, {n: np.sort(np.array(list(x), np.int64)) for n, x in prints.items()}))
@@ -131,8 +133,8 @@ def _by_shuffle(documents: DataFrame, windows: DataFrame, lengths: list[int], k:
             for a, z, data, offsets in text_chunks(batch, "text"):
                 start, end, first = words(data, offsets)
                 hashes, counts = word_hashes(data, start, end), np.diff(first)
-                sums = prefix_hash(hashes)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[a:z]), pa.array(counts), pa.nulls(z - a, pa.int32()), pa.nulls(z - a, pa.int64()), pa.nulls(z - a, pa.int64()), pa.nulls(z - a, pa.list_(pa.int64()))], ["row", "n_words", "n", "fp", "start", "hs"])
+                sums, others = prefix_hash(hashes), prefix_hash(word_hashes(data, start, end, True))
+                yield pa.RecordBatch.from_arrays([pa.array(rows[a:z]), pa.array(counts), pa.nulls(z - a, pa.int32()), pa.nulls(z - a, pa.int64()), pa.nulls(z - a, pa.int64()), pa.nulls(z - a, pa.list_(pa.int64())), pa.nulls(z - a, pa.list_(pa.int64()))], ["row", "n_words", "n", "fp", "start", "hs", "h2s"])
                 for n in lengths:
                     fp, whole = _fingerprints(hashes, first, n, k)
                     at = np.flatnonzero(whole)
@@ -140,13 +142,13 @@ def _by_shuffle(documents: DataFrame, windows: DataFrame, lengths: list[int], k:
                         continue
                     doc = np.searchsorted(first, at, "right") - 1
                     turn = np.flatnonzero(np.r_[True, (fp[at[1:]] != fp[at[:-1]]) | (doc[1:] != doc[:-1])])
-                    lists = pa.ListArray.from_arrays(pa.array(np.r_[turn, len(at)], pa.int32()), pa.array(signed(span_hash(sums, at, at + n))))
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[a + doc[turn]]), pa.nulls(len(turn), pa.int64()), pa.array(np.full(len(turn), n, np.int32)), pa.array(signed(fp[at[turn]])), pa.array((at - first[doc])[turn]), lists], ["row", "n_words", "n", "fp", "start", "hs"])
+                    lists = [pa.ListArray.from_arrays(pa.array(np.r_[turn, len(at)], pa.int32()), pa.array(signed(span_hash(x, at, at + n)))) for x in (sums, others)]
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[a + doc[turn]]), pa.nulls(len(turn), pa.int64()), pa.array(np.full(len(turn), n, np.int32)), pa.array(signed(fp[at[turn]])), pa.array((at - first[doc])[turn]), *lists], ["row", "n_words", "n", "fp", "start", "hs", "h2s"])
 
-    made = through_disk(numbered.select(F.col(row).alias("row"), F.col(text_col).alias("text")).mapInArrow(run, "row long, n_words long, n int, fp long, start long, hs array<long>"))
-    near = made.where("fp is not null").join(windows.select("n", "fp").distinct(), ["n", "fp"], "left_semi")
-    spans = near.select("row", "n", "fp", "start", F.posexplode("hs").alias("i", "h")).withColumn("start", F.col("start") + F.col("i"))
-    hits = through_disk(spans.join(windows.select("n", "fp", "h", "item").distinct(), ["n", "fp", "h"]).select("row", "n", "start", "item"))
+    made = through_disk(numbered.select(F.col(row).alias("row"), F.col(text_col).alias("text")).mapInArrow(run, "row long, n_words long, n int, fp long, start long, hs array<long>, h2s array<long>"))
+    near = made.where("fp is not null").join(through_disk(windows.select("n", "fp").distinct()), ["n", "fp"], "left_semi")
+    spans = near.select("row", "n", "fp", "start", F.posexplode(F.arrays_zip("hs", "h2s")).alias("i", "w")).select("row", "n", "fp", (F.col("start") + F.col("i")).alias("start"), F.col("w.hs").alias("h"), F.col("w.h2s").alias("h2"))
+    hits = through_disk(spans.join(windows.select("n", "fp", "h", "h2", "item").distinct(), ["n", "fp", "h", "h2"]).select("row", "n", "start", "item"))
     by_start = Window.partitionBy("row").orderBy("start", "stop")
     ends = hits.select("row", "start", (F.col("start") + F.col("n")).alias("stop")).distinct().withColumn("before", F.coalesce(F.max("stop").over(by_start.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     n_hit = ends.groupBy("row").agg(F.sum(F.greatest(F.lit(0), F.col("stop") - F.greatest("start", "before"))).alias("n_hit"))

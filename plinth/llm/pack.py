@@ -10,7 +10,9 @@ the end token), n_tokens, cu_seqlens (segment s is cu_seqlens[s] to cu_seqlens[s
 again at 0), doc_ids and doc_offsets (of which document a segment is, and from which of its tokens on).
 
 Cases: null and empty texts are one end token. Repeated rows are packed each time. Null ids stay null in doc_ids. An
-empty table gives no rows. A text over CUT characters is tokenized in parts that end before a space, where it has one.
+empty table gives no rows. Whole numbers are ids; what does not cast to long is null. A text over CUT characters is tokenized in parts that end before
+a single space between other characters, where the pattern always starts a new piece, so token ids are those of the whole text; a text without
+such a space is tokenized whole.
 """
 
 from __future__ import annotations
@@ -80,10 +82,22 @@ def best_fit(lengths: np.ndarray, seq_len: int) -> list[list[int]]:
 
 
 def _parts(text: str, cut: int) -> list[str]:
+    """Parts of about cut characters, which give the token ids of the whole."""
     out, at = [], 0
+
+    def between(i: int) -> bool:
+        return 0 < i < len(text) - 1 and not text[i - 1].isspace() and not text[i + 1].isspace()
+
     while len(text) - at > cut:
         to = text.rfind(" ", at + 1, at + cut)
-        to = to if to > at else at + cut
+        while to > at and not between(to):
+            to = text.rfind(" ", at + 1, to)
+        if to <= at:
+            to = text.find(" ", at + cut)
+            while to >= 0 and not between(to):
+                to = text.find(" ", to + 1)
+            if to < 0:
+                break
         out.append(text[at:to])
         at = to
     return [*out, text[at:]]
@@ -136,7 +150,7 @@ def pack_tokens(documents: DataFrame, seq_len: int = SEQ_LEN, tokenizer: str = T
         if pieces:
             yield from packed(pieces)
 
-    return documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "pack_id long, input_ids binary, n_tokens int, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, doc_offsets array<long>")
+    return documents.select(F.expr(f"try_cast(`{id_col}` AS bigint)").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "pack_id long, input_ids binary, n_tokens int, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, doc_offsets array<long>")
 
 
 def op8_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,6 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,11 +54,15 @@ def _cuts(payload: memoryview, chunk_bytes: int):
             return
 
 
+def _record(page: int | None, digest: str) -> str:
+    """The identifier of a page's record: that of a revisit's response follows from the revisit's own digest. Only rows equal in id and payload share one."""
+    return f"urn:page:{page}:{digest[:32]}"
+
+
 def write_warc(planned: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", chunk_bytes: int = CHUNK_BYTES) -> None:
     """planned: page_id, url, payload, digest, n_bytes, type, refers_to."""
 
     def run(batches):
-        task, serial = TaskContext.get().partitionId(), 0
         out: list[bytes] = []
         size = 0
 
@@ -73,8 +76,7 @@ def write_warc(planned: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z"
             columns = [batch.column(x) for x in ("page_id", "url", "payload", "digest", "n_bytes", "type", "refers_to")]
             for i in range(batch.num_rows):
                 page, url, payload, digest, n_bytes, kind, refers = (c[i].as_buffer() if c is columns[2] else c[i].as_py() for c in columns)
-                record = f"urn:page:{page}:{task}-{serial}"
-                serial += 1
+                record = _record(page, digest)
                 http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
                 pieces = [(b"", True)] if kind == "revisit" else _cuts(memoryview(payload), chunk_bytes)
                 for number, (piece, last) in enumerate(pieces, 1):
@@ -83,7 +85,7 @@ def write_warc(planned: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z"
                     if number == 1:
                         head += [("WARC-Payload-Digest", f"sha256:{digest}"), *([] if page is None else [("WARC-Page", str(page))])]
                     if kind == "revisit":
-                        head += [("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers}>")]
+                        head += [("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{_record(refers, digest)}>")]
                     if number > 1 or not last:
                         head += [("WARC-Segment-Number", str(number)), *([("WARC-Segment-Origin-ID", f"<{record}>")] if number > 1 else []), *([("WARC-Segment-Total-Length", str(n_bytes + len(http)))] if last else [])]
                     block = http + piece if number == 1 else piece
@@ -120,7 +122,7 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
         digest = fields.get("WARC-Payload-Digest", "").removeprefix("sha256:")
         own = digest if revisit else hashlib.sha256(block).hexdigest() if whole else None
         last = whole or "WARC-Segment-Total-Length" in fields
-        return record, number, last, fields["WARC-Type"], None if page is None else int(page), None if refers is None else int(refers.rpartition(":")[2].rstrip(">")), digest, total if revisit else len(block), own, None if whole else block
+        return record, number, last, fields["WARC-Type"], None if page is None else int(page), None if refers is None else int(refers.split(":")[2]), digest, total if revisit else len(block), own, None if whole else block
 
     def run(batches):
         kinds = (pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary())
@@ -139,25 +141,33 @@ def read_records(chunks: DataFrame) -> DataFrame:
     """One row per record: page_id, payload_bytes, payload_digest (both of what was read), record_type, refers_to."""
 
     def run(batches):
-        digest, n, first, want = None, 0, None, 1
+        digest, n, first, at, copies, again = None, 0, None, 0, 1, 1
         for batch in batches:
             out = []
             for row in zip(*(c.to_pylist() if c.type != pa.binary() else c for c in batch.columns), strict=True):
                 record, number, last, kind, page, refers, told, n_bytes, own, piece = row
+                count = 1
                 if own is None:
-                    if number != (want if digest is not None and first[0] == record else 1):
+                    inside = digest is not None and first[0] == record
+                    if inside and number == at:  # the same chunk of an equal row
+                        again += 1
+                        copies = copies if number > 1 else again
+                        if again > copies:
+                            raise ValueError(f"record {record}: chunk {number} stands too often")
+                    elif number != (at + 1 if inside else 1) or (digest is not None and not inside) or (inside and again != copies):
                         raise ValueError(f"record {record}: chunk {number} out of order")
-                    if number == 1:
-                        digest, n, first = hashlib.sha256(), 0, row
-                    digest.update(piece.as_buffer())
-                    n, want = n + n_bytes, number + 1
-                    if not last:
+                    else:
+                        if number == 1:
+                            digest, n, first, copies = hashlib.sha256(), 0, row, 1
+                        digest.update(piece.as_buffer())
+                        n, at, again = n + n_bytes, number, 1
+                    if not last or again < copies:
                         continue
-                    own, n_bytes, (_, _, _, kind, page, refers, told, *_) = digest.hexdigest(), n, first
+                    own, n_bytes, (_, _, _, kind, page, refers, told, *_), count = digest.hexdigest(), n, first, copies
                     digest = None
                 if own != told:
                     raise ValueError(f"record {record}: its digest is {own}, its header says {told}")
-                out.append((page, n_bytes, own, kind, refers))
+                out += [(page, n_bytes, own, kind, refers)] * count
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
         if digest is not None:

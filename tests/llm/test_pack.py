@@ -5,7 +5,7 @@ import numpy as np
 import tiktoken
 from helpers import documents, random_text
 
-from plinth.llm.pack import END_TOKEN, PATTERN, TOKENIZER, RoomTree, best_fit, pack_tokens
+from plinth.llm.pack import END_TOKEN, PATTERN, TOKENIZER, RoomTree, _parts, best_fit, pack_tokens
 
 
 def encoding():
@@ -60,8 +60,16 @@ def test_round_trip(spark):
             assert o == at
             joined, at = joined + ids, at + len(ids)
         assert joined[-1] == END_TOKEN and enc.decode(joined[:-1]) == (text or "")
-        if text and len(text) < 200_000:
-            assert joined[:-1] == enc.encode_ordinary(text)
+        assert joined[:-1] == enc.encode_ordinary(text or "")
+
+
+def test_parts_give_the_ids_of_the_whole():
+    rng, enc = random.Random(6), encoding()
+    for n in (1, 7, 50, 400):
+        text = "".join(rng.choice(["ab", "1", " ", "  ", "\n", ".", "'s", "é", "\t ", "x", "\u00a0"]) for _ in range(n))
+        for cut in (1, 3, 10, 50):
+            parts = _parts(text, cut)
+            assert "".join(parts) == text and [t for x in parts for t in enc.encode_ordinary(x)] == enc.encode_ordinary(text)
 
 
 def test_repeats_null_ids_and_empty_table(spark):

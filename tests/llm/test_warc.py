@@ -63,3 +63,13 @@ def test_payloads_that_end_like_a_separator(spark, tmp_path, chunk_bytes):
     chunks = read_chunks(spark, f"{tmp_path}/warc")
     assert sorted(map(tuple, read_records(chunks).collect()), key=repr) == brute(pages)
     assert (chunks.agg(F.max(F.octet_length("bytes"))).first()[0] or 0) <= chunk_bytes
+
+
+def test_revisits_name_a_record(spark, tmp_path):
+    pages = [(1, "u", BIG), (2, "v", BIG), (2, "v", BIG), (3, "w", "y" * 200), (4, "w", "y" * 200)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").select("page_id", "url", F.col("html").cast("binary").alias("payload"))
+    write_warc(plan_revisits(frame), f"{tmp_path}/warc")
+    fields = [dict(x.split(": ", 1) for x in r[0].split("\r\n\r\n")[0].split("\r\n") if ": " in x) for r in spark.read.option("lineSep", MARK).text(f"{tmp_path}/warc").collect() if r[0]]
+    responses = {f["WARC-Record-ID"] for f in fields if f["WARC-Type"] == "response"}
+    revisits = [f["WARC-Refers-To"] for f in fields if f["WARC-Type"] == "revisit"]
+    assert len(revisits) == 3 and set(revisits) == responses
