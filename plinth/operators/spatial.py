@@ -281,23 +281,6 @@ def similarity_fit(pairs: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
     return scale, rotation, q - scale * rotation @ p
 
 
-def held_karp(cost: np.ndarray) -> tuple[float, list[int]]:
-    """Shortest order of all stops from stop 0, over a matrix of at most a dozen stops."""
-    n = len(cost)
-    best = {(1, 0): (0.0, (0,))}
-    for _ in range(n - 1):
-        step: dict[tuple[int, int], tuple[float, tuple[int, ...]]] = {}
-        for (seen, at), (c, path) in best.items():
-            for to in range(1, n):
-                if not seen >> to & 1:
-                    key, value = (seen | 1 << to, to), (c + float(cost[at, to]), (*path, to))
-                    if key not in step or value < step[key]:
-                        step[key] = value
-        best = step
-    c, path = min(best.values())
-    return c, list(path)
-
-
 def grid_start(n: int, volume: float, dims: int = 3) -> float:
     """A first radius for k-nearest search: the side of a cell that holds a few points on average."""
     return max(1e-9, (volume * 8 / max(n, 1)) ** (1 / dims)) if volume > 0 else sqrt(ceil(max(n, 1)))

@@ -289,17 +289,6 @@ def r13(spark, d):
     return graphs.reachable(edges, spark.createDataFrame([(3,)], "id long"), rounds=n + 1)
 
 
-@query("r14_held_karp", "SELECT 6 AS stops, true AS optimal")
-def r14(spark, d):
-    stops = np.array([[r["x"], r["y"], r["z"]] for r in _cloud(spark, d).where("id < 6").orderBy("id").collect()])  # six stops
-    cost = np.sqrt(((stops[:, None] - stops[None]) ** 2).sum(axis=2))
-    best, path = S.held_karp(cost)
-    from itertools import permutations
-
-    brute = min(sum(cost[a, b] for a, b in zip((0, *p), p, strict=False)) for p in permutations(range(1, 6)))
-    return spark.createDataFrame([(len(path), bool(abs(best - brute) < 1e-9))], "stops int, optimal boolean")
-
-
 @query("r17_obstacle_admission", "SELECT event_id, CASE WHEN epoch_us(TIMESTAMP '2024-01-15') - epoch_us(ts) > 86400000000 THEN 'STALE' WHEN epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-15') > 10000000 THEN 'FUTURE' WHEN event_type = 'view' THEN 'FRAME_MISMATCH' END AS reason FROM events")
 def r17(spark, d):
     age = F.unix_micros(F.lit("2024-01-15").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
