@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import in_polygon
+
 #: Hex digits of one lane of a fingerprint; four lanes use 60 of a digest's 64 digits.
 LANE_DIGITS, LANES = 15, 4
 EMAIL = r"[A-Za-z0-9._]+@[A-Za-z0-9]+[.][A-Za-z]+"
@@ -90,3 +92,53 @@ def missing_outputs(df: DataFrame, key: str, kind: str, required: Sequence[str])
 def next_stage(stages: Column, done: Column) -> Column:
     """The stage after done, null after the last; nothing done yet means the first."""
     return F.when(done.isNull(), F.get(stages, F.lit(0))).when(F.array_position(stages, done) > 0, F.get(stages, F.array_position(stages, done).cast("int")))
+
+
+#: The stages of a full run, of a re-scan of one region, of one room and of a stitch of rooms, in order.
+FULL = ["INPUT_VALIDATION", "FFMPEG_PREPROCESS", "FRAME_QUALITY_FILTER", "PRIVACY_PREPROCESS", "POSE_ESTIMATION", "SPLAT_RECONSTRUCTION", "SEMANTIC_SEGMENTATION", "GEOMETRIC_CLEANUP", "PLANE_FITTING", "ARTIFACT_GENERATION", "SEMANTIC_INDEXING", "NAVIGATION_BAKING"]
+INCREMENTAL = ["INPUT_VALIDATION", "FFMPEG_PREPROCESS", "FRAME_QUALITY_FILTER", "PRIVACY_PREPROCESS", "POSE_ESTIMATION", "SPLAT_RECONSTRUCTION", "SEMANTIC_SEGMENTATION", "GEOMETRIC_CLEANUP", "REGION_ALIGNMENT", "REGION_SPLICE", "PLANE_FITTING", "ARTIFACT_GENERATION", "SEMANTIC_INDEXING", "NAVIGATION_BAKING"]
+ROOM = ["INPUT_VALIDATION", "FFMPEG_PREPROCESS", "FRAME_QUALITY_FILTER", "PRIVACY_PREPROCESS", "POSE_ESTIMATION", "SPLAT_RECONSTRUCTION", "SEMANTIC_SEGMENTATION", "GEOMETRIC_CLEANUP", "PLANE_FITTING", "ARTIFACT_GENERATION"]
+STITCH = ["ROOM_REGISTRATION", "ROOM_STITCH", "PLANE_FITTING", "ARTIFACT_GENERATION", "NAVIGATION_BAKING"]
+
+
+def stage_plan(kind: Column, privacy: Column, navigation: Column) -> Column:
+    """The stages of a run of kind FULL, INCREMENTAL, ROOM or STITCH (null for others): without the privacy stage where it was disabled, and, of a re-scan, without navigation where the parent has none."""
+    plans = {"FULL": FULL, "INCREMENTAL": INCREMENTAL, "ROOM": ROOM, "STITCH": STITCH}
+    every = F.coalesce(*[F.when(kind == name, F.array(*map(F.lit, stages))) for name, stages in plans.items()])
+    return F.filter(every, lambda s: (privacy | (s != "PRIVACY_PREPROCESS")) & (navigation | (kind != "INCREMENTAL") | (s != "NAVIGATION_BAKING")))
+
+
+def supersede_in_region(points: DataFrame, regions: DataFrame) -> DataFrame:
+    """points: id, floor, source, deleted, x, y; regions: floor, version, ring (array of x, y). The points with superseded_by: the version of the smallest region of their floor that holds them, if they were detected and are not deleted; rings of fewer than three corners hold nothing."""
+    rings = regions.where(F.size("ring") >= 3).select("floor", "version", "ring")
+    live = points.where("source = 'AUTO_DETECTED' AND NOT deleted").select("id", "floor", "x", "y")
+    hit = live.join(rings, "floor").where(in_polygon(F.col("x"), F.col("y"), F.col("ring"))).groupBy("id").agg(F.min("version").alias("superseded_by"))
+    return points.join(hit, "id", "left")
+
+
+#: What a rate card may hold.
+CARD_FIELDS, CARD_KINDS, MOST_RATE, MOST_SOURCE = ("currency", "workerClasses", "storagePerGbMonth"), ("CLOUD_LIST_PRICE", "CLOUD_CONTRACT_RATE", "LOCAL_HARDWARE"), 1_000_000, 300
+
+
+def rate_card_problem(card: Column) -> Column:
+    """Why a rate card (JSON text) is invalid: the first of NOT_JSON, UNKNOWN_FIELD, CURRENCY, WORKER_CLASSES, CLASS_NAME, KIND, RATE, SOURCE; null if it is valid or blank."""
+    rate, name = "struct<hourly:string,rate:string,kind:string,source:string>", r"^[A-Za-z0-9._:-]{1,100}$"
+    fields, doc = F.json_object_keys(card), F.from_json(card, f"currency string, workerClasses map<string,{rate}>, storagePerGbMonth {rate}")
+    classes = doc["workerClasses"]
+    entries = F.map_values(classes)
+    number = lambda v: v.try_cast("double")
+    bad_rate = lambda v: ~F.coalesce(number(v).between(0, MOST_RATE), F.lit(False))
+    bad_source = lambda s: ~F.coalesce(F.length(F.trim(s)).between(1, MOST_SOURCE), F.lit(False))
+    storage = doc["storagePerGbMonth"]
+    tests = {
+        "NOT_JSON": fields.isNull(),
+        "UNKNOWN_FIELD": F.size(F.array_except(fields, F.array(*map(F.lit, CARD_FIELDS)))) > 0,
+        "CURRENCY": ~F.coalesce(F.regexp_like(doc["currency"], F.lit("^[A-Z]{3}$")), F.lit(False)),
+        "WORKER_CLASSES": F.coalesce(F.size(F.map_keys(classes)), F.lit(0)) < 1,
+        "CLASS_NAME": F.exists(F.map_keys(classes), lambda k: ~F.regexp_like(k, F.lit(name))),
+        "KIND": F.exists(entries, lambda r: ~F.coalesce(r["kind"].isin(*CARD_KINDS), F.lit(False))),
+        "RATE": F.exists(entries, lambda r: bad_rate(r["hourly"])) | (storage.isNotNull() & bad_rate(storage["rate"])),
+        "SOURCE": F.exists(entries, lambda r: bad_source(r["source"])) | (storage.isNotNull() & bad_source(storage["source"])),
+    }
+    problem = F.coalesce(*[F.when(F.coalesce(t, F.lit(False)), name) for name, t in tests.items()])
+    return F.when(F.trim(F.coalesce(card, F.lit(""))) != "", problem)

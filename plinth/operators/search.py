@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -46,8 +46,11 @@ ACCESSIBLE = ["wheelchair accessible", "wheelchair friendly", "wheelchair access
 #: Phrases around the subject of a request.
 LEADING = ["where is", "where s", "wheres", "where are", "where can i find", "where do i find", "where can i get", "how do i get to", "how can i get to", "how to get to", "take me to", "navigate to", "directions to", "guide me to", "get me to", "go to", "show me", "find me", "find", "locate", "search for", "look for", "looking for", "i need", "i want", "i m looking for", "im looking for", "is there", "are there", "the", "a", "an", "some", "any", "my", "to"]
 TRAILING = ["please", "here", "in here", "in this building", "located", "pls"]
+#: Words that are never corrected and never corrected into, beside those of the phrases above.
+FUNCTION_WORDS = ["and", "or", "of", "for", "with", "in", "on", "at", "near", "from", "me", "is", "are", "can"]
+PROTECTED = sorted({w for phrases in (NEAREST, ACCESSIBLE, LEADING, TRAILING, FUNCTION_WORDS) for p in phrases for w in p.split(" ")})
 #: Fixed values of the ranking.
-MARGIN, LEAST_PEERS, LEXICAL_MIN, LEXICAL_WEIGHT, EVIDENCE_WEIGHT, CANDIDATES, FOLD_METRES, LOW_CONFIDENCE = 0.078, 8, 0.5, 0.05, 0.05, 200, 0.75, 0.5
+MARGIN, LEAST_PEERS, LEXICAL_MIN, LEXICAL_WEIGHT, EVIDENCE_WEIGHT, CANDIDATES, FOLD_METRES, LOW_CONFIDENCE, FALLBACK_MIN = 0.078, 8, 0.5, 0.05, 0.05, 200, 0.75, 0.5, 0.2
 
 
 def _plain(text: str) -> str:
@@ -65,10 +68,14 @@ class Request:
     groups: list[str] = field(default_factory=list)
     nearest: bool = False
     accessible: bool = False
+    typed: str = ""
+    corrections: dict[str, str] = field(default_factory=dict)
 
 
-def interpret(query: str) -> Request:
-    """Reads one query string: modifiers out, request phrases off both ends, synonyms of what is left."""
+def interpret(query: str, correct: Callable[[list[str]], dict[str, str]] | None = None, inflect: Callable[[str], list[str]] | None = None) -> Request:
+    """Reads one query string: modifiers out, request phrases off both ends, misspelt words corrected, synonyms and inflections of what is left.
+
+    correct: corrections of words, where there are any; inflect: the singular and plural forms of a word that the venue uses."""
     normalized = _plain(query)
     rest, flags = f" {normalized} ", []
     for phrases in (NEAREST, ACCESSIBLE):
@@ -87,14 +94,31 @@ def interpret(query: str) -> Request:
         for p in sorted(TRAILING, key=lambda x: (-len(x), x)):
             if rest.endswith(f" {p}"):
                 rest, changed = rest[: -len(p) - 1], True
-    subject = rest or normalized
-    terms, groups = [subject], []
-    for member, group in _MEMBERS.items():
-        if f" {member} " in f" {subject} ":
+    typed = rest or normalized
+    fixes = correct(typed.split(" ")) if correct else {}
+    subject = " ".join(fixes.get(w, w) for w in typed.split(" "))
+    terms, groups, left = [subject, typed], [], f" {subject} "
+    for member in sorted(_MEMBERS, key=lambda m: (-len(m), m)):  # a phrase within a longer one that was found is not its own
+        if f" {member} " in left:
+            group = _MEMBERS[member]
             if group[0] not in groups:
                 groups.append(group[0])
             terms += [f" {subject} ".replace(f" {member} ", f" {other} ").strip() for other in group]
-    return Request(normalized, subject, list(dict.fromkeys(terms)), groups, *flags)
+            left = left.replace(f" {member} ", " ")
+    terms += inflect(subject) if inflect else []
+    return Request(normalized, subject, list(dict.fromkeys(terms)), groups, *flags, typed, fixes)
+
+
+def read_requests(asked: DataFrame, column: str) -> DataFrame:
+    """The same reading for a table of queries, without spelling: normalized, nearest, accessible and subject of each row."""
+    text = F.concat(F.lit(" "), F.col("normalized"), F.lit(" "))
+    for phrases in (NEAREST, ACCESSIBLE):
+        text = F.regexp_replace(text, rf"(?<= )(?:{'|'.join(sorted(phrases, key=lambda p: (-len(p), p)))})(?= )", " ")
+    plain = F.trim(F.regexp_replace(text, " +", " "))
+    lead, trail = ("|".join(sorted(x, key=lambda p: (-len(p), p))) for x in (LEADING, TRAILING))
+    subject = F.regexp_replace(F.regexp_replace(plain, rf"^(?:(?:{lead}) )+", ""), rf"(?: (?:{trail}))+$", "")
+    read = asked.withColumn("normalized", T.normalize(F.col(column))).withColumn("subject", subject)
+    return read.withColumn("subject", F.when(F.col("subject") == "", F.col("normalized")).otherwise(F.col("subject"))).withColumns({"nearest": asks_nearest(F.col("normalized")), "accessible": asks_accessible(F.col("normalized"))})
 
 
 def _group_map(of: str) -> Column:
@@ -127,6 +151,8 @@ def asks_accessible(text: Column) -> Column:
 def correct_spelling(asked: DataFrame, column: str, dictionary: DataFrame, word: str) -> DataFrame:
     """Each asked word with its correction: the one dictionary word nearest within 1 edit (5 to 7 letters) or 2 (8 or more).
 
+    Never corrected are dictionary words, their singulars and plurals, protected words and words with digits; never corrected into are protected words and words under 4 letters.
+
     Deleting up to two letters of either side maps words within two edits to a shared key (a swap costs one deletion on each side), so the
     candidates come from an equi-join; the exact distance follows."""
     cut = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, 1, i - 1), F.substr(w, i + 1))))
@@ -137,8 +163,11 @@ def correct_spelling(asked: DataFrame, column: str, dictionary: DataFrame, word:
 
     words = dictionary.select(F.col(word).alias("w")).distinct()
     typed = asked.select(F.col(column).alias("asked")).distinct()
-    unknown = typed.join(words, typed["asked"] == words["w"], "left_anti").where(F.length("asked") >= 5)
-    pairs = unknown.withColumn("k", F.explode(keys(F.col("asked")))).join(words.where(F.length("w") >= 3).withColumn("k", F.explode(keys(F.col("w")))), "k").select("asked", "w").distinct()
+    a = F.col("asked")
+    forms = F.array_compact(F.array(a, F.concat(a, F.lit("s")), F.concat(a, F.lit("es")), F.when(a.endswith("s") & (F.length(a) > 3), F.substr(a, F.lit(1), F.length(a) - 1)), F.when(a.endswith("es") & (F.length(a) > 4), F.substr(a, F.lit(1), F.length(a) - 2))))
+    known = typed.withColumn("w", F.explode(forms)).join(words, "w", "left_semi").select("asked")
+    unknown = typed.join(known, "asked", "left_anti").where((F.length("asked") >= 5) & ~a.isin(PROTECTED) & ~F.regexp_like("asked", F.lit(r"\d")))
+    pairs = unknown.withColumn("k", F.explode(keys(F.col("asked")))).join(words.where((F.length("w") >= 4) & ~F.col("w").isin(PROTECTED)).withColumn("k", F.explode(keys(F.col("w")))), "k").select("asked", "w").distinct()
     near = pairs.withColumn("edits", T.osa_distance(F.col("asked"), F.col("w"))).where(F.col("edits") <= F.when(F.length("asked") >= 8, 2).otherwise(1))
     least = near.groupBy("asked").agg(F.min("edits").alias("least"))
     best = near.join(least, "asked").where("edits = least").groupBy("asked").agg(F.min("w").alias("w"), F.count("*").alias("n")).where("n = 1")
@@ -207,17 +236,59 @@ def fold_duplicates(results: DataFrame, metres: float = FOLD_METRES) -> DataFram
     return results.groupBy("floor", "fold_group").applyInPandas(run, schema)
 
 
-def hybrid_search(points: DataFrame, query: str, text_query: Sequence[float] | None, top_k: int = 10, accessible_column: str | None = None, label_vectors: Sequence[Sequence[float]] = ()) -> DataFrame:
-    """The ranked answer to one query: relevant points, best first."""
-    request = interpret(query)
+def vocabulary(points: DataFrame) -> DataFrame:
+    """word: the words of all labels, categories and tags."""
+    return points.select(F.explode(F.split(T.normalize(F.concat_ws(" ", "label", "category", F.concat_ws(" ", "tags"))), " ")).alias("word")).where("word <> ''").distinct()
+
+
+def read_request(points: DataFrame, query: str) -> Request:
+    """interpret() with the spelling and the inflections of the venue's own words; only words of five letters and more ask the venue."""
+    spark, words = points.sparkSession, vocabulary(points)
+
+    def correct(asked: list[str]) -> dict[str, str]:
+        doubtful = [(w,) for w in set(asked) if len(w) >= 5 and w not in PROTECTED]
+        if not doubtful:
+            return {}
+        synonyms = spark.createDataFrame([(w,) for m in _MEMBERS for w in m.split(" ")], "word string")
+        found = correct_spelling(spark.createDataFrame(doubtful, "asked string"), "asked", words.union(synonyms), "word")
+        return {r["asked"]: r["corrected"] for r in found.where("asked <> corrected").collect()}  # of one query's words
+
+    def inflect(subject: str) -> list[str]:
+        if " " in subject or not subject:
+            return []
+        forms = [f"{subject}s", f"{subject}es", *([subject[:-1]] if subject.endswith("s") and len(subject) > 3 else []), *([subject[:-2]] if subject.endswith("es") and len(subject) > 4 else [])]
+        have = {r["word"] for r in words.where(F.col("word").isin(forms)).collect()}  # at most four
+        return [x for x in forms if x in have]
+
+    return interpret(query, correct, inflect)
+
+
+def hybrid_search(points: DataFrame, query: str, text_query: Sequence[float] | None, top_k: int = 10, accessible_column: str | None = None, label_vectors: Sequence[Sequence[float]] = (), position: tuple[float, float] | None = None) -> DataFrame:
+    """The ranked answer to one query: relevant points, best first. points: id, label, category, tags, embedding, image_embedding, confidence, views and, to be folded or ordered by nearness, floor, x, y.
+
+    The request is read with the venue's spelling and inflections. Without a vector, and if nothing is relevant, trigrams of the label decide (matched_by LEXICAL).
+    Detected results of one kind on one spot are folded into the best. A request for the nearest orders the candidates by their distance to `position`."""
+    top_k = max(1, min(50, top_k))
+    request = read_request(points, query)
     keep = F.col(accessible_column).isNull() | F.col(accessible_column) if request.accessible and accessible_column else None
     scored = score_points(points, text_query, request.terms, label_vectors, keep)
-    synonyms = [t for t in request.terms if t != request.subject]
+    synonyms = [t for t in request.terms if t not in (request.subject, request.typed)]
     by_synonym = T.contains_any(T.normalize(F.concat_ws(" ", "label", "category")), synonyms) if synonyms else None
-    return ranked(scored.where("relevant"), max(1, min(50, top_k))).withColumn("matched_by", matched_by(by_synonym))
-
-
-def lexical_fallback(points: DataFrame, term: str, least: float = 0.2) -> DataFrame:
+    found = ranked(scored.where("relevant")).withColumn("matched_by", matched_by(by_synonym))
+    if text_query is None:
+        similar = T.trigram_similarity(F.lit(request.subject), F.col("label"))
+        lexical = scored.withColumn("similarity", similar).where((similar > FALLBACK_MIN) | F.contains(F.lower("label"), F.lit(request.subject)))
+        found = ranked(lexical.withColumn("score", F.col("similarity"))).withColumn("matched_by", F.lit("LEXICAL"))
+    if {"floor", "x", "y"} <= set(points.columns):
+        kind = F.coalesce(synonym_group(T.normalize(F.col("label"))), T.merge_key(F.col("label")))
+        found = fold_duplicates(found.withColumn("fold_group", kind).withColumn("foldable", F.col("confidence").isNotNull())).drop("fold_group", "foldable")
+        if request.nearest and position is not None:
+            found = found.withColumn("distance", F.hypot(F.col("x") - position[0], F.col("y") - position[1]))
+            return found.withColumn("rank", F.row_number().over(Window.orderBy(F.col("distance").asc_nulls_last(), "rank", "id"))).where(F.col("rank") <= top_k)  # over the candidates
+    return found.withColumn("rank", F.row_number().over(Window.orderBy("rank", "id"))).where(F.col("rank") <= top_k)
+
+
+def lexical_fallback(points: DataFrame, term: str, least: float = FALLBACK_MIN) -> DataFrame:
     """Without an embedding: trigram similarity of the label, or containment in it."""
     similarity = T.trigram_similarity(F.lit(term), F.col("label"))
     contained = F.contains(F.lower("label"), F.lit(term.lower()))

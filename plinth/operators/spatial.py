@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import product
-from math import ceil, sqrt
+from math import sqrt
 
 import numpy as np
 import pandas as pd
@@ -47,12 +47,33 @@ def nearest(a: DataFrame, b: DataFrame, bound: float, axes: Sequence[str] = AXES
     return a.select("id").join(best, "id", "left").select("id", F.col("n.b_id").alias("b_id"), F.col("n.distance").alias("distance"))
 
 
-def k_nearest(a: DataFrame, b: DataFrame, k: int, start: float, axes: Sequence[str] = AXES, rounds: int = 40) -> DataFrame:
-    """(id, b_id, distance, rank) of the k nearest b of every a, a itself included if it is in b. The radius doubles for the points that have fewer than k inside it, so the answer is exact."""
-    todo, radius, out = graphs.materialize(a.select("id", *axes)), start, None
-    total = b.count()
-    most = min(k, total)
-    for _ in range(rounds):
+def placeable(points: DataFrame, axes: Sequence[str] = AXES) -> DataFrame:
+    """Points with finite coordinates only."""
+    for x in axes:
+        points = points.where(F.coalesce(F.abs(x) < float("inf"), F.lit(False)) & ~F.isnan(F.col(x).cast("double")))
+    return points
+
+
+def first_radius(points: DataFrame, k: int, axes: Sequence[str] = AXES) -> float:
+    """A radius within which most points have k others: from the box around the points and from how many cells of it they occupy, which tells surfaces and clusters from a filled volume."""
+    m = points.agg(F.count("*").alias("n"), *[(F.max(x) - F.min(x)).cast("double").alias(x) for x in axes]).first()
+    sides = [m[x] for x in axes if m["n"] and m[x] > 0]
+    if not sides:
+        return 1.0
+    size = float(np.prod(sides) * k / m["n"]) ** (1 / len(sides))
+    held = m["n"] / points.select(*_cells(axes, size)).distinct().count()
+    return size * min(4.0, max(0.5, sqrt(2 * k / held)))
+
+
+def k_nearest(a: DataFrame, b: DataFrame, k: int, start: float | None = None, axes: Sequence[str] = AXES, rounds: int = 40) -> DataFrame:
+    """(id, b_id, distance, rank) of the k nearest b of every a, a itself included if it is in b; ties take the smaller id. The radius grows for the points that have fewer than k inside it, so the answer is exact. start: the first radius, by default from the density. Points without finite coordinates have no neighbours and are none."""
+    a, b = placeable(a, axes), placeable(b, axes)
+    todo, out = graphs.materialize(a.select("id", *axes)), None
+    most = min(k, b.count())
+    if not most:
+        return radius_pairs(todo, b, 1.0, axes).select(F.col("a_id").alias("id"), "b_id", "distance", F.lit(1).alias("rank"))
+    radius = start or first_radius(b, k, axes)
+    for n in range(rounds):
         w = Window.partitionBy("a_id").orderBy("distance", "b_id")
         pairs = graphs.materialize(radius_pairs(todo, b, radius, axes).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
         done = pairs.groupBy("a_id").agg(F.count("*").alias("n")).where(F.col("n") >= most).select("a_id")
@@ -61,18 +82,18 @@ def k_nearest(a: DataFrame, b: DataFrame, k: int, start: float, axes: Sequence[s
         todo = graphs.materialize(todo.join(done, todo["id"] == done["a_id"], "left_anti"))
         if todo.isEmpty():
             return out.select(F.col("a_id").alias("id"), "b_id", "distance", "rank")
-        radius *= 2
+        radius *= 2 if n < 2 else 4
     raise RuntimeError(f"no {k} neighbours within {radius}")
 
 
-def median_spacing(points: DataFrame, start: float, axes: Sequence[str] = AXES, sample: int = 20_000) -> DataFrame:
+def median_spacing(points: DataFrame, start: float | None = None, axes: Sequence[str] = AXES, sample: int = 20_000) -> DataFrame:
     """Median distance to the nearest other point, over a hash-ordered sample of points against all."""
     probe = points.orderBy(F.xxhash64("id"), "id").limit(sample)
     near = k_nearest(probe, points, 2, start, axes).where("rank = 2")
     return near.agg(F.percentile("distance", 0.5).alias("spacing"))
 
 
-def statistical_outliers(points: DataFrame, k: int, sigmas: float, start: float, axes: Sequence[str] = AXES) -> DataFrame:
+def statistical_outliers(points: DataFrame, k: int, sigmas: float, start: float | None = None, axes: Sequence[str] = AXES) -> DataFrame:
     """(id, mean_distance, keep): mean distance of the k nearest, itself included, at most mean + sigmas * population deviation."""
     means = graphs.materialize(k_nearest(points, points, k, start, axes).groupBy("id").agg(F.avg("distance").alias("mean_distance")))
     limit = means.agg((F.avg("mean_distance") + sigmas * F.stddev_pop("mean_distance")).alias("limit"))
@@ -149,25 +170,30 @@ def voxel_owner(points: DataFrame, size: float) -> DataFrame:
 
 
 def cluster_by_label(detections: DataFrame, reach: float) -> DataFrame:
-    """Greedy clustering per label in the order (confidence descending, id): a detection joins the nearest cluster whose running centroid is within reach, or opens one."""
+    """(id, label, cluster): greedy clustering per label in the order (confidence descending, id): a detection joins the nearest cluster whose running centroid is within reach, or opens one. cluster is the id of the detection that opened it.
+
+    A centroid always has a member within reach, so a detection can only meet clusters that have a member within 2 * reach of it: detections that no chain
+    of such steps connects are folded apart, each connected set in one task, which holds its centroids."""
+    rows = placeable(detections).select(F.col("id").cast("long").alias("id"), F.col("label").cast("string").alias("label"), "confidence", *[F.col(a).cast("double").alias(a) for a in AXES])
+    rows = graphs.materialize(rows)
+    pairs = radius_pairs(rows, rows, 2 * reach, keep=("label",)).where("a_label = b_label AND a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    sets = graphs.components(rows.select("id"), pairs)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["confidence", "id"], ascending=[False, True], kind="stable")
-        centres, counts, out = np.zeros((0, 3)), [], []
-        for p in pdf[["x", "y", "z"]].to_numpy(float):
-            distance = np.sqrt(((centres - p) ** 2).sum(axis=1)) if len(counts) else np.zeros(0)
-            c = int(distance.argmin()) if len(counts) and distance.min() <= reach else -1
-            if c < 0:
-                centres, c = np.vstack([centres, p]), len(counts)
-                counts.append(1)
-            else:
-                centres[c] = (centres[c] * counts[c] + p) / (counts[c] + 1)
-                counts[c] += 1
-            out.append(c)
+        centres, counts, names, out = np.zeros((len(pdf), 3)), np.zeros(len(pdf)), [], []
+        for name, p in zip(pdf["id"].tolist(), pdf[list(AXES)].to_numpy(float), strict=True):
+            n = len(names)
+            distance = np.sqrt(((centres[:n] - p) ** 2).sum(axis=1))
+            c = int(distance.argmin()) if n and distance.min() <= reach else n
+            if c == n:
+                names.append(name)
+            centres[c] = (centres[c] * counts[c] + p) / (counts[c] + 1)
+            counts[c] += 1
+            out.append(names[c])
         return pd.DataFrame({"id": pdf["id"].to_numpy(), "label": pdf["label"].to_numpy(), "cluster": out})
 
-    rows = detections.select(F.col("id").cast("long").alias("id"), F.col("label").cast("string").alias("label"), "confidence", "x", "y", "z")
-    return rows.groupBy("label").applyInPandas(run, "id long, label string, cluster int")
+    return rows.join(sets, "id").groupBy("label", "component").applyInPandas(lambda pdf: run(pdf), "id long, label string, cluster long")
 
 
 def merge_boxes(boxes: DataFrame, overlap: float = 0.3) -> DataFrame:
@@ -279,8 +305,3 @@ def similarity_fit(pairs: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
     rotation = u @ sign @ vt
     scale = float((s * np.diag(sign)).sum() / (m["square"] - p @ p))
     return scale, rotation, q - scale * rotation @ p
-
-
-def grid_start(n: int, volume: float, dims: int = 3) -> float:
-    """A first radius for k-nearest search: the side of a cell that holds a few points on average."""
-    return max(1e-9, (volume * 8 / max(n, 1)) ** (1 / dims)) if volume > 0 else sqrt(ceil(max(n, 1)))

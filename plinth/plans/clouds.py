@@ -28,13 +28,13 @@ def _halves(spark, d):
 @query("j20_nearest_neighbour", f"WITH p AS ({_P}), r AS (SELECT a.id, b.id AS b_id, {_PAIR} AS dist, row_number() OVER (PARTITION BY a.id ORDER BY {_PAIR}, b.id) AS k FROM p a, p b WHERE a.id % 2 = 0 AND b.id % 2 = 1) SELECT id, b_id, round(dist, 8) AS distance FROM r WHERE k = 1")
 def j20(spark, d):
     a, b = _halves(spark, d)
-    return S.k_nearest(a, b, 1, 0.05).select("id", "b_id", F.round("distance", 8).alias("distance"))
+    return S.k_nearest(a, b, 1).select("id", "b_id", F.round("distance", 8).alias("distance"))
 
 
 @query("j21_k_nearest", f"WITH p AS ({_P}), r AS (SELECT a.id, {_PAIR} AS dist, row_number() OVER (PARTITION BY a.id ORDER BY {_PAIR}, b.id) AS k FROM p a, p b) SELECT id, round(avg(dist), 8) AS mean_distance FROM r WHERE k <= 5 GROUP BY 1")
 def j21(spark, d):
     p = _cloud(spark, d)
-    return S.k_nearest(p, p, 5, 0.05).groupBy("id").agg(F.round(F.avg("distance"), 8).alias("mean_distance"))
+    return S.k_nearest(p, p, 5).groupBy("id").agg(F.round(F.avg("distance"), 8).alias("mean_distance"))
 
 
 @query("j22_radius_pairs", f"WITH p AS ({_P}) SELECT a.id AS a_id, b.id AS b_id FROM p a JOIN p b ON a.id < b.id AND {_PAIR} <= 0.03")
@@ -91,7 +91,7 @@ def j29(spark, d):
 
 def _boxes(spark, d, shift):
     k = F.col("p_partkey")
-    return table(spark, d, "part").select(k.alias("id"), (k % 50).alias("image"), (F.col("p_size") % 3).cast("long").alias("class"), F.col("p_retailprice").alias("score"), ((k * 7 + shift) % 40).cast("double").alias("x"), ((k * 3) % 30).cast("double").alias("y"), F.lit(12.0).alias("w"), F.lit(10.0).alias("h"))
+    return table(spark, d, "part").select(k.alias("id"), F.floor(k / 20).alias("image"), (F.col("p_size") % 3).cast("long").alias("class"), F.col("p_retailprice").alias("score"), ((k * 7 + shift) % 40).cast("double").alias("x"), ((k * 3) % 30).cast("double").alias("y"), F.lit(12.0).alias("w"), F.lit(10.0).alias("h"))
 
 
 @query("j30_greedy_matching")
@@ -126,7 +126,7 @@ def g37(spark, d):
 
 @query("g38_median_spacing", f"WITH p AS ({_P}), n AS (SELECT a.id, min({_PAIR}) AS s FROM p a JOIN p b ON a.id <> b.id GROUP BY 1) SELECT round(median(s), 8) AS spacing FROM n")
 def g38(spark, d):
-    return S.median_spacing(_cloud(spark, d), 0.05).select(F.round("spacing", 8).alias("spacing"))
+    return S.median_spacing(_cloud(spark, d)).select(F.round("spacing", 8).alias("spacing"))
 
 
 @query("g39_sigma_threshold", "SELECT round(avg(l_quantity) + 2 * stddev_pop(l_quantity), 6) AS threshold FROM lineitem")
@@ -136,7 +136,7 @@ def g39(spark, d):
 
 @query("c01_statistical_outliers", f"WITH p AS ({_P}), r AS (SELECT a.id, {_PAIR} AS dist, row_number() OVER (PARTITION BY a.id ORDER BY {_PAIR}, b.id) AS k FROM p a, p b), m AS (SELECT id, avg(dist) AS md FROM r WHERE k <= 20 GROUP BY 1) SELECT id, md <= (SELECT avg(md) + 2 * stddev_pop(md) FROM m) AS keep FROM m")
 def c01(spark, d):
-    return S.statistical_outliers(_cloud(spark, d), 20, 2.0, 0.1).select("id", "keep")
+    return S.statistical_outliers(_cloud(spark, d), 20, 2.0).select("id", "keep")
 
 
 @query("c02_radius_outliers", f"WITH p AS ({_P}) SELECT a.id, count(*) >= 4 AS keep FROM p a JOIN p b ON {_PAIR} <= 0.05 GROUP BY 1")

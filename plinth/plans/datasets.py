@@ -129,3 +129,30 @@ def n05(spark, d):
 @query("n06_latest_artifact_of_kind", "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2")
 def n06(spark, d):
     return R.first_per_key(table(spark, d, "events"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id")
+
+
+@query("n01_stage_plans", """WITH k AS (SELECT c_custkey AS run, c_nationkey % 4 AS kind, c_custkey % 2 = 0 AS privacy, c_custkey % 3 = 0 AS navigation FROM customer)
+SELECT run, CASE kind WHEN 0 THEN 12 - (NOT privacy)::INT WHEN 1 THEN 14 - (NOT privacy)::INT - (NOT navigation)::INT WHEN 2 THEN 10 - (NOT privacy)::INT ELSE 5 END AS stages, kind <> 3 AND privacy AS private, kind IN (0, 3) OR (kind = 1 AND navigation) AS baked FROM k""")
+def n01(spark, d):
+    k = F.col("c_custkey")
+    kind = F.element_at(F.array(*map(F.lit, ("FULL", "INCREMENTAL", "ROOM", "STITCH"))), F.col("c_nationkey") % 4 + 1)
+    plan = D.stage_plan(kind, k % 2 == 0, k % 3 == 0)
+    return table(spark, d, "customer").select(k.alias("run"), F.size(plan).alias("stages"), F.array_contains(plan, "PRIVACY_PREPROCESS").alias("private"), F.array_contains(plan, "NAVIGATION_BAKING").alias("baked"))
+
+
+@query("n07_supersede_in_region", """SELECT p_partkey AS id, CASE WHEN p_size % 3 <> 0 AND p_size % 7 <> 0 AND p_partkey % 5 < 2 AND p_partkey % 13 * 0.4 BETWEEN 1 AND 3 AND p_partkey % 7 * 0.4 BETWEEN 0.5 AND 1.9 THEN (p_partkey % 5 + 10)::INT END AS superseded_by FROM part""")
+def n07(spark, d):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    points = table(spark, d, "part").select(k.alias("id"), (k % 5).cast("int").alias("floor"), F.when(s % 3 != 0, "AUTO_DETECTED").otherwise("MANUAL").alias("source"), (s % 7 == 0).alias("deleted"), (k % 13 * 0.4).alias("x"), (k % 7 * 0.4).alias("y"))
+    box = [(1.0, 0.5), (3.0, 0.5), (3.0, 1.9), (1.0, 1.9)]
+    regions = spark.createDataFrame([(0, 10, box), (1, 11, box), (1, 12, box), (2, 13, box[:2])], "floor int, version int, ring array<struct<x:double,y:double>>")
+    return D.supersede_in_region(points, regions).select("id", "superseded_by")
+
+
+@query("f23_rate_cards", """SELECT p_partkey, CASE p_size % 9 WHEN 0 THEN NULL WHEN 1 THEN 'NOT_JSON' WHEN 2 THEN 'UNKNOWN_FIELD' WHEN 3 THEN 'CURRENCY' WHEN 4 THEN 'WORKER_CLASSES' WHEN 5 THEN 'CLASS_NAME' WHEN 6 THEN 'KIND' WHEN 7 THEN CASE WHEN p_retailprice > 1000 THEN 'RATE' END ELSE 'SOURCE' END AS problem FROM part""")
+def f23(spark, d):
+    card = lambda name="gpu-1", kind="LOCAL_HARDWARE", hourly=F.lit("1.25"), source="list of 2024", currency="USD", more="": F.concat(F.lit(f'{{"currency":"{currency}",{more}"workerClasses":{{"{name}":{{"hourly":'), hourly, F.lit(f',"kind":"{kind}","source":"{source}"}}}}}}'))
+    price = F.when(F.col("p_retailprice") > 1000, F.lit("-1")).otherwise(F.col("p_retailprice").cast("string"))
+    kinds = [card(), F.lit("{nope"), card(more='"extra":1,'), card(currency="usd"), F.lit('{"currency":"EUR","workerClasses":{}}'), card(name="no spaces"), card(kind="GUESS"), card(hourly=price), card(source=" ")]
+    text = F.coalesce(*[F.when(F.col("p_size") % 9 == i, c) for i, c in enumerate(kinds)])
+    return table(spark, d, "part").select("p_partkey", D.rate_card_problem(text).alias("problem"))

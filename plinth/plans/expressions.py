@@ -59,18 +59,30 @@ def f08(spark, d):
     return _part(spark, d).select("p_partkey", T.osa_distance(b, F.concat(F.substring(b, 2, 1), F.substring(b, 1, 1), F.substring(b, 3, 1000))).alias("distance"))
 
 
-@query("f09_spelling")
+_WORDS = "SELECT DISTINCT w FROM (SELECT unnest(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' ')) AS w FROM part UNION ALL SELECT unnest(string_split(trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')), ' ')) FROM part UNION ALL SELECT unnest(['armchairs', 'there', 'sofa', 'den']))"
+
+
+@query("f09_spelling", f"""WITH d AS ({_WORDS}), t AS (SELECT DISTINCT unnest([left(w, 2) || substr(w, 4), w || 'q', left(w, 1) || substr(w, 3, 1) || substr(w, 2, 1) || substr(w, 4), w || 's', w]) AS asked FROM d UNION SELECT unnest(['armchair', 'where', 'theer', 'sofaa1', 'closets'])),
+u AS (SELECT asked FROM t WHERE length(asked) >= 5 AND NOT regexp_matches(asked, '[0-9]') AND asked NOT IN ('where', 'closest', 'nearest', 'accessible', 'wheelchair') AND NOT EXISTS (SELECT 1 FROM d WHERE w IN (asked, asked || 's', asked || 'es') OR (asked LIKE '%s' AND length(asked) > 3 AND w = left(asked, -1)) OR (asked LIKE '%es' AND length(asked) > 4 AND w = left(asked, -2)))),
+p AS (SELECT asked, w, damerau_levenshtein(asked, w) AS n FROM u JOIN d ON length(w) >= 4 AND w NOT IN ('where', 'there', 'here') AND damerau_levenshtein(asked, w) <= CASE WHEN length(asked) >= 8 THEN 2 ELSE 1 END),
+b AS (SELECT asked, min(w) AS w FROM p WHERE n = (SELECT min(n) FROM p q WHERE q.asked = p.asked) GROUP BY 1 HAVING count(*) = 1) SELECT asked, coalesce(w, asked) AS corrected FROM t LEFT JOIN b USING (asked)""")
 def f09(spark, d):
     from ..operators import search as Q
 
-    words = _part(spark, d).select(F.explode(F.split(T.normalize(F.col("p_name")), " ")).alias("word")).distinct()
-    typos = words.where("length(word) >= 5").select(F.concat(F.substring("word", 1, 2), F.substring("word", 4, 100)).alias("asked"))
-    return Q.correct_spelling(typos, "asked", words, "word")
+    word = lambda *names: F.explode(F.split(T.normalize(F.concat_ws(" ", *names)), " ")).alias("word")
+    more = lambda *words: spark.createDataFrame([(w,) for w in words], "word string")
+    words = _part(spark, d).select(word("p_name", "p_type")).distinct().union(more("armchairs", "there", "sofa", "den"))
+    cut = lambda a, n=100: F.substring("word", a, n)
+    typos = F.array(F.concat(cut(1, 2), cut(4)), F.concat("word", F.lit("q")), F.concat(cut(1, 1), cut(3, 1), cut(2, 1), cut(4)), F.concat("word", F.lit("s")), F.col("word"))
+    asked = words.select(F.explode(typos).alias("asked")).union(more("armchair", "where", "theer", "sofaa1", "closets")).distinct()
+    return Q.correct_spelling(asked, "asked", words, "word")
 
 
-@query("f10_inflection", "SELECT p_partkey, p_type || 's' = p_type || 's' AS plural, false AS other FROM part")
+@query("f10_inflection", "SELECT p_partkey, p_size % 5 < 3 AS same FROM part")
 def f10(spark, d):
-    return _part(spark, d).select("p_partkey", T.is_inflection(F.col("p_type"), F.concat("p_type", F.lit("s"))).alias("plural"), T.is_inflection(F.col("p_type"), F.concat("p_type", F.lit("x"))).alias("other"))
+    t, n = F.col("p_type"), F.col("p_size") % 5
+    other = F.when(n == 0, t).when(n == 1, F.concat(t, F.lit("s"))).when(n == 2, F.concat(t, F.lit("es"))).when(n == 3, F.concat(t, F.lit("x"))).otherwise(F.concat(t, F.lit("ly")))
+    return _part(spark, d).select("p_partkey", T.is_inflection(F.when(F.col("p_size") % 2 == 0, t).otherwise(other), F.when(F.col("p_size") % 2 == 0, other).otherwise(t)).alias("same"))
 
 
 @query("f11_synonyms", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'elevator,elevators,lift,lifts' ELSE 'bathroom,bathrooms,lavatory,loo,restroom,restrooms,toilet,toilets,washroom,wc' END AS terms FROM part")
@@ -125,10 +137,10 @@ def f18(spark, d):
     return _part(spark, d).select("p_partkey", F.least(F.lit(3600.0), 30 * F.pow(F.lit(2.0), F.least(F.col("p_size") % 12, F.lit(20)))).cast("long").alias("seconds"))
 
 
-@query("f19_upload_backoff")
+@query("f19_upload_backoff", "SELECT p_partkey, round(least(60.0, 2.0 ** (p_size % 10)) * (('0x' || left(sha256('backoff:' || p_partkey), 12))::BIGINT / 281474976710656.0), 8) AS wait FROM part")
 def f19(spark, d):
     wait = F.least(F.lit(60.0), F.pow(F.lit(2.0), F.col("p_size") % 10))
-    return _part(spark, d).select("p_partkey", (wait * F.rand(7)).alias("wait"))
+    return _part(spark, d).select("p_partkey", F.round(wait * T.hash_share("backoff", F.col("p_partkey").cast("string")), 8).alias("wait"))  # the jitter of a key is the same wherever it is worked on
 
 
 @query("f20_rate_window", """WITH w AS (SELECT event_id, user_id, epoch_ms(ts) // 60000 AS minute, row_number() OVER (PARTITION BY user_id, epoch_ms(ts) // 60000 ORDER BY ts, event_id) AS k, 60 - (epoch_ms(ts) // 1000) % 60 AS retry FROM events)

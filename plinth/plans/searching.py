@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import search as S
+from ..sources.files import append_returning
+from ..sources.shared import shared_dir
 from ..sources.tables import table
 from .registry import query
 
@@ -28,7 +30,7 @@ def _query_vector(spark, d):
 
 @query("q00_hybrid_search")
 def q00(spark, d):
-    found = S.hybrid_search(_points(spark, d), "where is the nearest red lift", _query_vector(spark, d), 50, "accessible")
+    found = S.hybrid_search(_points(spark, d), "where is the nearest red lift", _query_vector(spark, d), 50, "accessible", position=(1.0, 1.0))
     return found.select("rank", "id", "label", "tier", F.round("score", 6).alias("score"), F.round("lexical", 6).alias("lexical"), "matched_by")
 
 
@@ -37,6 +39,17 @@ def q01(spark, d):
     return table(spark, d, "part").select(F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("doc")).distinct()
 
 
+_ASKED = {0: ("", ""), 1: ("Where is the nearest ", "?"), 2: ("show me an accessible ", " please"), 3: ("wheelchair accessible ", " near me")}
+
+
+@query("q02_query_interpretation", """WITH p AS (SELECT p_partkey AS id, p_partkey % 4 AS k, lower(p_name) AS name FROM part) SELECT id, CASE k WHEN 1 THEN 'where is the nearest ' WHEN 2 THEN 'show me an accessible ' WHEN 3 THEN 'wheelchair accessible ' ELSE '' END || trim(regexp_replace(name, '[^a-z0-9]+', ' ', 'g')) || CASE k WHEN 2 THEN ' please' WHEN 3 THEN ' near me' ELSE '' END AS normalized,
+trim(regexp_replace(name, '[^a-z0-9]+', ' ', 'g')) AS subject, k IN (1, 3) AS nearest, k IN (2, 3) AS accessible FROM p""")
+def q02(spark, d):
+    k = F.col("p_partkey") % 4
+    said = F.coalesce(*[F.when(k == i, F.concat(F.lit(a), F.col("p_name"), F.lit(z))) for i, (a, z) in _ASKED.items()])
+    return S.read_requests(table(spark, d, "part").select(F.col("p_partkey").alias("id"), said.alias("said")), "said").select("id", "normalized", "subject", "nearest", "accessible")
+
+
 @query("q03_scope", "SELECT p_partkey FROM part WHERE p_partkey % 5 = 2 AND p_size % 4 <> 3")
 def q03(spark, d):
     return _points(spark, d).where("floor = 2").join(table(spark, d, "part").where("p_size % 4 <> 3").select(F.col("p_partkey").alias("id")), "id", "left_semi").select(F.col("id").alias("p_partkey"))
@@ -63,7 +76,11 @@ def q06(spark, d):
     return S.score_points(_points(spark, d), _query_vector(spark, d), ["red"]).select("id", "by_text")
 
 
-@query("q07_image_test")
+_COS = "list_dot_product({0}::DOUBLE[], {1}::DOUBLE[]) / sqrt(list_dot_product({0}::DOUBLE[], {0}::DOUBLE[]) * list_dot_product({1}::DOUBLE[], {1}::DOUBLE[]))"
+
+
+@query("q07_image_test", f"""WITH v AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), l AS (SELECT embedding AS label_vec FROM embeddings WHERE vec_id IN (3, 4, 5)), s AS (SELECT p_partkey AS id, p_size, embedding, {_COS.format("embedding", "q")} AS sim, (SELECT max({_COS.format("embedding", "label_vec")}) FROM l) AS best FROM part, v LEFT JOIN embeddings ON vec_id = p_partkey)
+SELECT id, coalesce(sim >= best AND NOT coalesce(p_size % 3 = 0 AND (p_size % 10) / 10.0 < 0.5, false), false) AS by_image FROM s""")
 def q07(spark, d):
     labels = [[float(x) for x in r["embedding"]] for r in table(spark, d, "embeddings").where("vec_id IN (3, 4, 5)").orderBy("vec_id").collect()]  # three detector labels
     return S.score_points(_points(spark, d), _query_vector(spark, d), ["red"], labels).select("id", "by_image")
@@ -85,6 +102,17 @@ def q10(spark, d):
     return s.select("id", F.round(F.col("score") - S.LEXICAL_WEIGHT * F.col("lexical"), 6).alias("score"))
 
 
+@query("q11_relevant", f"WITH {_SIM} SELECT id, coalesce(peers >= 8 AND sim - mean >= 0.078, false) OR (sim IS NOT NULL AND peers < 8) AS relevant FROM s, m")
+def q11(spark, d):
+    return S.score_points(_points(spark, d), _query_vector(spark, d), ["zzzz"]).select("id", "relevant")
+
+
+@query("q13_matched_by", f"WITH {_SIM} SELECT id, CASE WHEN coalesce(peers >= 8 AND sim - mean >= 0.078, false) THEN 'TEXT' WHEN p_brand LIKE '%3' THEN 'SYNONYM' END AS matched_by FROM s, m JOIN part ON p_partkey = id")
+def q13(spark, d):
+    s = S.score_points(_points(spark, d), _query_vector(spark, d), ["zzzz"])
+    return s.select("id", S.matched_by(F.col("category").endswith("3")).alias("matched_by"))
+
+
 @query("q12_ranked_candidates")
 def q12(spark, d):
     s = S.score_points(_points(spark, d), _query_vector(spark, d), ["red part"])
@@ -109,7 +137,11 @@ def q17(spark, d):
     return _points(spark, d).where(F.col("accessible").isNull() | F.col("accessible")).select("id")
 
 
-@query("q18_lexical_fallback")
+_GRAMS = "list_distinct(flatten(list_transform(list_filter(string_split(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> ''), lambda w: list_transform(generate_series(1, length(w) + 1), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+@query("q18_lexical_fallback", f"""WITH t AS (SELECT p_partkey AS id, p_name, {_GRAMS.format("p_name")} AS a, {_GRAMS.format("'red part'")} AS b FROM part), s AS (SELECT id, p_name, length(list_intersect(a, b)) / length(list_distinct(list_concat(a, b))) AS similarity FROM t)
+SELECT id, round(similarity, 6) AS similarity FROM s WHERE similarity > 0.2 OR contains(lower(p_name), 'red part')""")
 def q18(spark, d):
     return S.lexical_fallback(_points(spark, d), "red part").select("id", F.round("similarity", 6).alias("similarity"))
 
@@ -131,6 +163,14 @@ def q21(spark, d):
     return hits.select(F.when(F.col("named") & (F.col("n") == 1), "NAMED_PLACE").when(F.col("n") > 0, "CATEGORY").otherwise("DESCRIPTION").alias("kind"))
 
 
+@query("q22_query_log", "SELECT c_custkey AS actor, lower(c_mktsegment) AS query, c_nationkey AS results FROM customer")
+def q22(spark, d):
+    path = shared_dir(spark)
+    for part in (0, 1):
+        append_returning(table(spark, d, "customer").where(F.col("c_custkey") % 2 == part).select(F.col("c_custkey").alias("actor"), F.lower("c_mktsegment").alias("query"), F.col("c_nationkey").alias("results")), path)
+    return spark.read.parquet(path)
+
+
 @query("q23_embedding_backlog", "SELECT p_partkey AS id, CASE WHEN embedding IS NULL THEN 'PENDING' ELSE 'STALE_MODEL' END AS state FROM part LEFT JOIN embeddings ON vec_id + 1 = p_partkey WHERE embedding IS NULL OR p_size % 2 = 1 ORDER BY id LIMIT 100")
 def q23(spark, d):
     model = F.when(F.col("id") % 1 == 0, F.lit("m1"))

@@ -87,3 +87,34 @@ def x14(spark, d):
 @query("x17_rate_windows", "SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start, user_id, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 3")
 def x17(spark, d):
     return X.over_rate(_events(spark, d), "ts", "user_id", "1 day", 3).withColumn("start", F.unix_micros("start"))
+
+
+@query("x02_event_order", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS place FROM events")
+def x02(spark, d):
+    return X.in_event_order(_events(spark, d), "user_id", F.unix_millis("ts"), "event_id").select("event_id", "place")
+
+
+def _sightings(events):
+    i = F.col("event_id")
+    kind = F.when(F.col("event_type") == "view", "PERSON").when(F.col("event_type") != "error", "UNCLASSIFIED")
+    return events.select((F.col("user_id") % 5).alias("floor"), (F.floor(i / 4) * 0.5).alias("t"), i.alias("id"), kind.alias("category"), (i % 17 * 0.7).alias("x"), (i % 5 * 0.7).alias("y"), ((i * 7 % 10) / 10).alias("confidence"), F.lit(0.2).alias("uncertainty"))
+
+
+@query("x06_obstacle_tracks")
+def x06(spark, d):
+    """Tracked on a stream whose files hold the sightings in order; the newest state of each floor."""
+    path = shared_dir(spark)
+    whole = _sightings(_events(spark, d))
+    whole.repartitionByRange(4, "t").sortWithinPartitions("t", "id").write.parquet(path)
+    stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 64).parquet(path)
+    log = X.run_available(X.track_obstacles(stream), shared_dir(spark), "append")
+    newest = log.groupBy("floor").agg(F.max("batch").alias("batch"))
+    return log.join(newest, ["floor", "batch"], "left_semi").select("floor", "track", "category", "hits", "status")
+
+
+@query("x07_track_expiry", "WITH l AS (SELECT user_id AS track, CASE WHEN user_id % 2 = 0 THEN 'PERSON' ELSE 'UNCLASSIFIED' END AS category, max(event_id) * 0.1 AS last_t FROM events GROUP BY 1) SELECT track, category FROM l WHERE (SELECT max(event_id) * 0.1 FROM events) + 9 - last_t <= CASE category WHEN 'PERSON' THEN 10 ELSE 30 END")
+def x07(spark, d):
+    e = table(spark, d, "events")
+    tracks = e.groupBy(F.col("user_id").alias("track")).agg((F.max("event_id") * 0.1).alias("last_t")).withColumn("category", F.when(F.col("track") % 2 == 0, "PERSON").otherwise("UNCLASSIFIED"))
+    now = e.agg((F.max("event_id") * 0.1 + 9).alias("now"))
+    return X.living(tracks.crossJoin(F.broadcast(now)), F.col("now")).select("track", "category")  # one row
