@@ -13,18 +13,23 @@ then by a few single copies, the largest that fits each time. Reruns agree.
 Targets: sources in code point order, null last, have weights 3, 1, 2, repeating, and share SHARE of all words; a target
 stops at MOST times its source's words and the excess is shared again.
 
+Sources are ranked, and their targets found, in Spark. Only a row per source reaches the driver, and of at most MAX_SOURCES at
+once: more sources are mixed in groups of that many, which do not touch each other once the targets stand.
+
 Cases: null and empty texts have size 0 and are taken 0 times their 0 words; null is a source of its own. Repeated rows are rounded
-each on their own. An empty table gives no rows. More than MAX_SOURCES sources raise an error: weights are
-set by hand for each, and only a row per source ever reaches the driver.
+each on their own; rows that agree in size and id are alike, so which of them gets a copy does not show. An empty table gives no rows.
+Columns of any other name stay as they are.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.relational import placed
 from .common import fresh, table, through_disk
 
 WEIGHTS, SHARE, MOST, CELL, MAX_SOURCES = (3.0, 1.0, 2.0), 1.5, 2.0, 4096, 100_000
@@ -36,20 +41,24 @@ def word_size(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> dict[str | None, float]:
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    left, free, out = share * sum(sizes.values()), list(order), {}
-    while free:
-        unit = left / sum(weight[s] for s in free)
-        full = [s for s in free if unit * weight[s] > most * sizes[s]]
-        if not full:
-            return out | {s: unit * weight[s] for s in free}
-        for s in full:
-            out[s] = most * sizes[s]
-            left -= out[s]
-        free = [s for s in free if s not in out]
-    return out
+def targets(counted: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """counted: source, size, n. source, total, n, place (from 1) and target of every source.
+
+    The targets are least(unit * weight, most * total) for the one unit at which they add up to the share of all words: each round the sources that the
+    last unit has filled up leave the sum, which raises the unit, until no more fill up."""
+    totals = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total"), F.sum("n").alias("n"))
+    ranked = placed(totals, [F.col("source").isNull(), F.col("source")])
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
+    ranked = through_disk(ranked.withColumn("weight", weight))
+    unit, filled = 0.0, -1
+    while True:
+        full = F.lit(unit) * F.col("weight") > most * F.col("total")
+        r = ranked.agg(F.sum("total").alias("all"), F.count_if(full).alias("filled"), F.sum(F.when(full, most * F.col("total"))).alias("taken"), F.sum(F.when(~full, F.col("weight"))).alias("weights")).first()
+        if r["filled"] == filled or not r["weights"]:
+            break
+        filled, unit = r["filled"], (share * r["all"] - (r["taken"] or 0.0)) / r["weights"]
+    full = F.lit(unit) * F.col("weight") > most * F.col("total")
+    return ranked.select("source", "total", "n", "place", F.when(full, most * F.col("total")).otherwise(F.lit(unit) * F.col("weight")).alias("target"))
 
 
 def solve_rates(histogram: DataFrame, stats: dict, wanted: dict, most: float = MOST, rounds: int = ROUNDS) -> dict:
@@ -83,15 +92,28 @@ def solve_rates(histogram: DataFrame, stats: dict, wanted: dict, most: float = M
 
 def mix_sources(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str | None = None) -> tuple[DataFrame, str]:
     """documents with a struct column (size, source_size, target, copies), and its name. copies * size is what the mix takes; size_col: sizes that are counted already."""
-    spark = documents.sparkSession
     name, size, key = fresh(documents, "mix"), fresh(documents, "size"), fresh(documents, "row")
     sized = documents.withColumn(size, F.col(size_col) if size_col else word_size(F.col(text_col)))
     counted = through_disk(sized.groupBy(F.col(source_col).cast("string").alias("source"), F.col(size).alias("size")).agg(F.count("*").alias("n")))
-    found = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total"), F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    stats = {r["source"]: (r["total"], r["n"]) for r in found}
-    wanted = targets({s: total for s, (total, _) in stats.items()})
+    wanted = through_disk(targets(counted))
+    groups = max(1, ceil(wanted.count() / MAX_SOURCES))
+    if groups == 1:
+        return _mixed_group(documents, sized, counted, wanted, name, size, key, id_col, source_col), name
+    group, out = fresh(sized, "group"), []
+    renamed = wanted.select(F.col("source").alias(f"{group}_source"), (F.col("place") % groups).alias(group))
+    own = lambda df, column: through_disk(df.join(renamed, F.col(column).cast("string").eqNullSafe(F.col(f"{group}_source"))).drop(f"{group}_source"))
+    sized, counted = own(sized, source_col), own(counted, "source")
+    for g in range(groups):
+        one = F.col(group) == g
+        out.append(_mixed_group(documents, sized.where(one).drop(group), counted.where(one).drop(group), wanted.where(F.col("place") % groups == g), name, size, key, id_col, source_col))
+    return reduce(DataFrame.union, out), name
+
+
+def _mixed_group(documents: DataFrame, sized: DataFrame, counted: DataFrame, targeted: DataFrame, name: str, size: str, key: str, id_col: str, source_col: str) -> DataFrame:
+    """The mix of at most MAX_SOURCES sources."""
+    spark = documents.sparkSession
+    rows = targeted.collect()
+    stats, wanted = {r["source"]: (r["total"], r["n"]) for r in rows}, {r["source"]: r["target"] for r in rows}
     tilt = solve_rates(counted, stats, wanted)
     full = lambda s: stats[s][0] > 0 and wanted[s] >= MOST * stats[s][0]
     plan = spark.createDataFrame(
@@ -122,7 +144,7 @@ def mix_sources(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     changes = changes.select([F.col(c).alias(n) for c, n in moved.items()])
     mended = rounded.join(changes, F.col(f"{key}.key") == F.col(moved["key"]), "left")
     copies = F.col(f"{name}.copies") + F.coalesce(F.col(moved["change"]), F.lit(0))
-    return mended.withColumn(name, F.col(name).withField("copies", copies)).select(*documents.columns, name), name
+    return mended.withColumn(name, F.col(name).withField("copies", copies)).select(*documents.columns, name)
 
 
 def _gaps(rows: DataFrame, wanted: dict) -> dict:
