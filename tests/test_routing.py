@@ -95,3 +95,13 @@ def test_portal_without_boxes_and_a_shut_one(spark):
     boxes = spark.createDataFrame([(2, -1.0, -1.0, 3.0, 1.0), (3, -0.2, 5.5, 0.2, 5.6)], "id int, min_x double, min_y double, max_x double, max_y double")
     got = {r["id"]: (round(r["widest"], 6), r["passes"]) for r in R.portal_openings(portals, boxes, 0.1).collect()}
     assert got == {1: (2.0, True), 2: (0.0, False), 3: (0.4, True)}
+
+
+def test_one_task_and_joins_agree(spark):
+    rng = random.Random(9)
+    edges = spark.createDataFrame([(rng.randrange(40), rng.randrange(40), rng.random()) for _ in range(80)], "a long, b long, length double")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    short = lambda df: sorted((r["id"], round(r["distance"], 9), r["previous"] is None) for r in df.collect())
+    assert short(graphs.shortest_paths(edges, 3)) == short(graphs.shortest_paths(edges, 3, one_task=0))
+    start = spark.createDataFrame([(3,), (7,)], "id long")
+    assert rows(graphs.reachable(edges, start)) == rows(graphs.reachable(edges, start, one_task=0))
