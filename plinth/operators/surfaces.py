@@ -97,6 +97,13 @@ def compare_surfaces(parent: DataFrame, merged: DataFrame, ring: Sequence[tuple[
     return total.withColumn("consistent", F.col("differing") == 0)
 
 
+def distance_to_mask(cells: DataFrame, mask: DataFrame, size: float) -> DataFrame:
+    """(i, j, distance) of all cells: the Euclidean distance between their middle and that of the nearest mask cell, 0 for those in it; null if the mask is empty."""
+    placed = lambda df: df.select("i", "j").distinct().select(cell_id(F.col("i"), F.col("j")).alias("id"), F.col("i").alias("x"), F.col("j").alias("y"))
+    near = k_nearest(placed(cells), placed(mask), 1, axes=("x", "y")).select("id", (F.col("distance") * size).alias("distance"))
+    return placed(cells).join(near, "id", "left").select(F.col("x").alias("i"), F.col("y").alias("j"), "distance")
+
+
 def coverage_state(observations: DataFrame, mass: float, angle: float) -> DataFrame:
     """observations: cell, weight, bearing (degrees). Per cell its observed mass, the widest angle between two bearings, and f = min(1, mass / a0) * min(1, angle / g0). The widest angle comes from all bearings: sorted around the circle, 180 less what the nearest opposite lacks."""
     bearings = observations.where("bearing IS NOT NULL").select("cell", F.pmod("bearing", F.lit(360.0)).alias("b")).distinct()

@@ -108,12 +108,20 @@ def f13(spark, d):
     return _part(spark, d).select("p_partkey", Q.synonym_group(label).alias("grp"))
 
 
-@query("f14_strict_word_similarity")
-def f14(spark, d):
-    return _part(spark, d).select("p_partkey", F.round(T.strict_word_similarity("red", F.col("p_name")), 6).alias("similarity"))
+_TRI = "list_distinct(flatten(list_transform(list_filter(string_split(trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 
 
-_TRI = "list_distinct(flatten(list_transform(list_filter(string_split(trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+def strict_similarity_sql(rows: str, terms: list[str]) -> str:
+    """Rows (id, similarity) of rows (id, text): the largest trigram similarity of any term with a run of whole words, over all runs."""
+    words = "string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ')"
+    runs = f"SELECT id, array_to_string(w[i:j], ' ') AS run FROM (SELECT id, {words} AS w FROM ({rows})), unnest(range(1, length(w) + 1)) AS a(i), unnest(range(1, length(w) + 1)) AS b(j) WHERE j >= i"
+    pairs = f"SELECT id, {_TRI.format('run')} AS a, {_TRI.format('term')} AS b FROM ({runs}), (SELECT unnest({terms}) AS term)"
+    return f"SELECT id, max(length(list_intersect(a, b)) / length(list_distinct(list_concat(a, b)))) AS similarity FROM ({pairs}) GROUP BY 1"
+
+
+@query("f14_strict_word_similarity", f"SELECT id AS p_partkey, round(similarity, 6) AS similarity FROM ({strict_similarity_sql('SELECT p_partkey AS id, p_name AS text FROM part', ['red'])})")
+def f14(spark, d):
+    return _part(spark, d).select("p_partkey", F.round(T.strict_word_similarity("red", F.col("p_name")), 6).alias("similarity"))
 
 
 @query("f15_similarity", f"WITH t AS (SELECT p_partkey, {_TRI.format('p_name')} AS a, {_TRI.format('p_type')} AS b FROM part) SELECT p_partkey, round(length(list_intersect(a, b)) / length(list_distinct(list_concat(a, b))), 6) AS similarity FROM t")

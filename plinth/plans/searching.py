@@ -9,6 +9,7 @@ from ..operators import search as S
 from ..sources.files import append_returning
 from ..sources.shared import shared_dir
 from ..sources.tables import table
+from .expressions import strict_similarity_sql
 from .registry import query
 
 
@@ -86,7 +87,7 @@ def q07(spark, d):
     return S.score_points(_points(spark, d), _query_vector(spark, d), ["red"], labels).select("id", "by_image")
 
 
-@query("q08_lexical_term")
+@query("q08_lexical_term", f"""SELECT id, round(similarity, 6) AS lexical, similarity >= 0.5 AS by_lexical FROM ({strict_similarity_sql("SELECT p_partkey AS id, p_name || ' ' || p_brand || ' ' || p_type AS text FROM part", ["red part", "blue"])})""")
 def q08(spark, d):
     return S.score_points(_points(spark, d), None, ["red part", "blue"]).select("id", F.round("lexical", 6).alias("lexical"), "by_lexical")
 

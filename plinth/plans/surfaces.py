@@ -89,6 +89,12 @@ _OUT = "greatest(abs((i + 0.5) * 0.05) - 0.1, abs((j + 0.5) * 0.05) - 0.1) > 0 A
 _SURFACE = "SELECT floor(x / 0.05)::BIGINT AS i, floor(y / 0.05)::BIGINT AS j, round(min(z), 6) AS ground, count(*) % 2 = 0 AS obstacle, count(*) > 3 AS level_change FROM ({0}) GROUP BY 1, 2"
 
 
+@query("c24_distance_transform", f"""WITH c AS (SELECT floor(x / 0.05)::BIGINT AS i, floor(y / 0.05)::BIGINT AS j, count(*) AS n FROM ({_P}) GROUP BY 1, 2) SELECT a.i, a.j, round(min(sqrt((a.i - b.i) ** 2 + (a.j - b.j) ** 2)) * 0.05, 8) AS distance FROM c a, c b WHERE b.n > 4 GROUP BY 1, 2""")
+def c24(spark, d):
+    cells = S.cells_of(_cloud(spark, d), 0.05).groupBy("i", "j").agg(F.count("*").alias("n"))
+    return S.distance_to_mask(cells, cells.where("n > 4"), 0.05).withColumn("distance", F.round("distance", 8))
+
+
 @query("c26_cells_outside_region", f"SELECT i, j FROM (SELECT DISTINCT floor(x / 0.05)::BIGINT AS i, floor(y / 0.05)::BIGINT AS j FROM ({_P})) WHERE {_OUT}")
 def c26(spark, d):
     return S.outside_region(S.cells_of(_cloud(spark, d), 0.05).select("i", "j").distinct(), _RING, 0.05, 0.04)
