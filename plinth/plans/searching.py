@@ -114,7 +114,10 @@ def q13(spark, d):
     return s.select("id", S.matched_by(F.col("category").endswith("3")).alias("matched_by"))
 
 
-@query("q12_ranked_candidates")
+@query("q12_ranked_candidates", f"""WITH {_SIM}, x AS ({strict_similarity_sql("SELECT p_partkey AS id, p_name || ' ' || p_brand || ' ' || p_type AS text FROM part", ["red part"])}),
+e AS (SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN (p_size % 10) / 10.0 ELSE 1.0 END * CASE 1 + p_size % 3 WHEN 3 THEN 1.0 WHEN 2 THEN 0.75 ELSE 0.5 END AS evidence FROM part),
+o AS (SELECT s.id, sim + 0.05 * similarity + 0.05 * (evidence - 1) AS score, similarity AS lexical, sim, evidence FROM s JOIN x ON x.id = s.id JOIN e ON e.id = s.id)
+SELECT row_number() OVER (ORDER BY score DESC NULLS LAST, lexical DESC, sim DESC NULLS LAST, evidence DESC, id) AS rank, id, round(score, 6) AS score FROM o ORDER BY rank LIMIT 200""")
 def q12(spark, d):
     s = S.score_points(_points(spark, d), _query_vector(spark, d), ["red part"])
     return S.ranked(s).select("rank", "id", F.round("score", 6).alias("score"))
