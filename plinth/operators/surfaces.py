@@ -335,3 +335,20 @@ def grid_edges(cells: DataFrame) -> DataFrame:
 def cell_id(i: Column, j: Column) -> Column:
     """The node id of a cell in grid_edges."""
     return F.shiftleft((i + F.lit(1 << 30)).cast("long"), 32) + j + F.lit(1 << 30)
+
+
+def estimate_gravity(planes: DataFrame, cameras: DataFrame, most_angle: float = 30.0, consistency: float = 0.5, above: float = 0.9) -> DataFrame:
+    """planes: plane, nx, ny, nz, d, inliers (the planes fitted to one cloud: a bounded list); cameras: x, y, z and ux, uy, uz (up). The floor: of the planes whose normal, turned to the cameras' mean up, is within most_angle of it and has at least the share `above` of the cameras on its upper side, the one with most inliers (ties: smaller plane). plane, the up direction, its angle and share; no row if the ups disagree (their mean is shorter than `consistency`) or no plane passes."""
+    length = F.sqrt(F.col("ux") ** 2 + F.col("uy") ** 2 + F.col("uz") ** 2)
+    ups = placeable(cameras, ("x", "y", "z", "ux", "uy", "uz")).withColumn("l", length).where("l > 0")
+    mean = ups.agg(*[F.avg(F.col(f"u{a}") / F.col("l")).alias(f"m{a}") for a in AXES]).withColumn("m", F.sqrt(F.col("mx") ** 2 + F.col("my") ** 2 + F.col("mz") ** 2)).where(F.col("m") >= consistency)
+    size = F.sqrt(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2)
+    turned = planes.withColumn("l", size).where("l > 0").crossJoin(F.broadcast(mean))  # one row
+    dot = sum((F.col(f"n{a}") * F.col(f"m{a}") for a in AXES), F.lit(0.0)) / (F.col("l") * F.col("m"))
+    turned = turned.withColumn("dot", dot).withColumn("side", F.when(F.col("dot") < 0, -1.0).otherwise(1.0))
+    tilted = turned.withColumn("angle", F.degrees(F.acos(F.least(F.lit(1.0), F.abs("dot"))))).where(F.col("angle") <= most_angle)
+    tilted = tilted.select("plane", "inliers", "angle", *[(F.col("side") * F.col(c) / F.col("l")).alias(c) for c in ("nx", "ny", "nz", "d")])
+    height = sum((F.col(f"n{a}") * F.col(a) for a in AXES), F.lit(0.0)) + F.col("d")
+    seen = ups.select("x", "y", "z").crossJoin(F.broadcast(tilted)).groupBy("plane").agg(F.avg((height > 0).cast("double")).alias("share"))  # the planes are few
+    fit = tilted.join(seen, "plane").where(F.col("share") >= above)
+    return fit.orderBy(F.desc("inliers"), "plane").limit(1).select("plane", "nx", "ny", "nz", "angle", "share")

@@ -172,6 +172,19 @@ def _rooms(spark, d):
     return rooms, doors.select("building", "a", "b", (F.col("a") * 1000 + F.col("b") % 1000).alias("id"), ((F.col("a") * 31 + F.col("b") * 17) % 101).cast("double").alias("weight"), (F.col("b") - F.col("a")).cast("double").alias("dx"), F.lit(1.0).alias("dy"))
 
 
+_PLANES = "SELECT s_suppkey AS plane, (s_suppkey % 5 - 2) * 0.2::DOUBLE AS nx, (s_suppkey % 3 - 1) * 0.3::DOUBLE AS ny, CASE WHEN s_suppkey % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS nz, (s_nationkey - 12) * 0.02::DOUBLE AS d, round(s_acctbal) AS inliers FROM supplier"
+
+
+@query("c42_gravity", f"""WITH c AS (SELECT x, y, abs(z) AS z, x * 0.2 AS ux, y * 0.2 AS uy, 1.0::DOUBLE AS uz FROM ({_P})), m AS (SELECT avg(ux / l) AS mx, avg(uy / l) AS my, avg(uz / l) AS mz FROM (SELECT *, sqrt(ux * ux + uy * uy + uz * uz) AS l FROM c)), n AS (SELECT *, sqrt(mx * mx + my * my + mz * mz) AS m FROM m),
+p AS (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS l FROM ({_PLANES})), t AS (SELECT p.*, (nx * mx + ny * my + nz * mz) / (l * m) AS dot FROM p, n WHERE m >= 0.5), k AS (SELECT plane, inliers, degrees(acos(least(1, abs(dot)))) AS angle, sign(dot) * nx / l AS nx, sign(dot) * ny / l AS ny, sign(dot) * nz / l AS nz, sign(dot) * d / l AS d FROM t),
+s AS (SELECT plane, avg((nx * x + ny * y + nz * z + d > 0)::INT) AS share FROM k, c GROUP BY 1) SELECT plane, round(nz, 8) AS nz, round(angle, 6) AS angle, round(share, 8) AS share FROM k JOIN s USING (plane) WHERE angle <= 30 AND share >= 0.5 ORDER BY inliers DESC, plane LIMIT 1""")
+def c42(spark, d):
+    k = F.col("s_suppkey")
+    planes = table(spark, d, "supplier").select(k.alias("plane"), ((k % 5 - 2) * 0.2).alias("nx"), ((k % 3 - 1) * 0.3).alias("ny"), F.when(k % 2 == 0, 1.0).otherwise(-1.0).alias("nz"), ((F.col("s_nationkey") - 12) * 0.02).alias("d"), F.round("s_acctbal").alias("inliers"))
+    cameras = _cloud(spark, d).select("x", "y", F.abs("z").alias("z"), (F.col("x") * 0.2).alias("ux"), (F.col("y") * 0.2).alias("uy"), F.lit(1.0).alias("uz"))
+    return S.estimate_gravity(planes, cameras, above=0.5).select("plane", F.round("nz", 8).alias("nz"), F.round("angle", 6).alias("angle"), F.round("share", 8).alias("share"))
+
+
 @query("r22_loop_confirmed")
 def r22(spark, d):
     return S.loop_confirmed(*_rooms(spark, d))
