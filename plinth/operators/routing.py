@@ -275,3 +275,31 @@ def nearest_by_route(ranked: DataFrame, distances: DataFrame, k: int) -> DataFra
     return top.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # over k rows
 
 
+
+
+def two_opt(stops: DataFrame, most: int = 500) -> DataFrame:
+    """stops: tour, at (0 is the fixed start), stop, x, y. (tour, at, stop, length): the walk after turning round stretches of it as long as that shortens it, and its length; the end is free. A tour is one task's work; more than `most` stops raise an error."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["at", "stop"], kind="stable")
+        if len(pdf) > most:
+            raise ValueError(f"tour {key[0]}: {len(pdf)} stops, at most {most}")
+        xy = pdf[["x", "y"]].to_numpy(float)
+        d = np.hypot(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1])
+        order, n, better = np.arange(len(xy)), len(xy), True
+        while better:
+            better = False
+            for i in range(1, n - 1):
+                j = np.arange(i + 1, n)  # the stretch order[i..j] turned round
+                old = d[order[i - 1], order[i]] + np.where(j + 1 < n, d[order[j], order[np.minimum(j + 1, n - 1)]], 0.0)
+                new = d[order[i - 1], order[j]] + np.where(j + 1 < n, d[order[i], order[np.minimum(j + 1, n - 1)]], 0.0)
+                gain = old - new
+                if gain.max() > 1e-9:
+                    k = int(j[gain.argmax()])
+                    order[i : k + 1] = order[i : k + 1][::-1]
+                    better = True
+        length = float(d[order[:-1], order[1:]].sum())
+        return pd.DataFrame({"tour": key[0], "at": np.arange(n), "stop": pdf["stop"].to_numpy()[order], "length": length})
+
+    kind = {c: stops.schema[c].dataType.simpleString() for c in ("tour", "stop")}
+    return stops.select("tour", "at", "stop", "x", "y").groupBy("tour").applyInPandas(run, f"tour {kind['tour']}, at int, stop {kind['stop']}, length double")

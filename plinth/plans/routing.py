@@ -148,3 +148,13 @@ def q15(spark, d):
     ranked = p.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("rank"), F.when(F.col("p_size") % 5 != 0, F.col("p_retailprice")).alias("straight"))
     walked = p.where("p_size % 3 = 0").select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") * 1.5).alias("walked"))
     return R.nearest_by_route(ranked, walked, 20).select("id", "by", "place")
+
+
+@query("c37_two_opt", f"""WITH t AS ({_TOURS}) SELECT tour, count(*) AS stops, true AS not_longer FROM t GROUP BY 1""")
+def c37(spark, d):
+    t = _tours(spark, d).select("tour", "at", "stop", F.col("v").alias("x"), F.col("w").cast("double").alias("y"))
+    w = Window.partitionBy("tour").orderBy("at")
+    step = F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))
+    before = t.withColumn("step", step).groupBy("tour").agg(F.sum("step").alias("before"))
+    after = R.two_opt(t).groupBy("tour").agg(F.count_distinct("stop").alias("stops"), F.max("length").alias("length"))
+    return after.join(before, "tour").select("tour", "stops", (F.col("length") <= F.col("before") + 1e-9).alias("not_longer"))

@@ -105,3 +105,19 @@ def test_one_task_and_joins_agree(spark):
     assert short(graphs.shortest_paths(edges, 3)) == short(graphs.shortest_paths(edges, 3, one_task=0))
     start = spark.createDataFrame([(3,), (7,)], "id long")
     assert rows(graphs.reachable(edges, start)) == rows(graphs.reachable(edges, start, one_task=0))
+
+
+def test_two_opt_leaves_no_stretch_to_turn(spark):
+    rng = random.Random(12)
+    stops = [(t, at, t * 100 + at, rng.random(), rng.random()) for t in range(5) for at in range(rng.randrange(1, 25))]
+    place = {s: (x, y) for _, _, s, x, y in stops}
+    length = lambda p: sum(math.dist(place[a], place[b]) for a, b in zip(p, p[1:], strict=False))
+    rows = R.two_opt(spark.createDataFrame(stops, "tour int, at int, stop long, x double, y double")).collect()
+    for t in range(5):
+        path = [r["stop"] for r in sorted((r for r in rows if r["tour"] == t), key=lambda r: r["at"])]
+        assert sorted(path) == [s for u, _, s, _, _ in stops if u == t] and path[0] == t * 100
+        own = length(path)
+        assert next(r["length"] for r in rows if r["tour"] == t) == pytest.approx(own)
+        for i in range(1, len(path)):
+            for j in range(i + 1, len(path)):
+                assert length(path[:i] + path[i : j + 1][::-1] + path[j + 1 :]) >= own - 1e-9
