@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, warc
+from . import ballmeans, chat, exact, merkle, warc
 from .ann import op7_nearest
 from .decontam import op1_decontamination
 from .langid import op9_language_id
@@ -27,9 +27,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_packing": op8_token_packing,
     "op9_language_id": op9_language_id,
     "op10_license_scan": op10_license_scan,
+    "op11_ball_kmeans": ballmeans.op11_ball_kmeans,
+    "op12_exact_dedup": exact.op12_exact_dedup,
+    "op13_merkle": merkle.op13_merkle,
 }
 
 ORACLES: dict[str, str] = {
     "op3_warc": warc.ORACLE,
     "op6_chat_format": chat.ORACLE,
+    "op11_ball_kmeans": ballmeans.ORACLE,
+    "op12_exact_dedup": exact.ORACLE,
+    "op13_merkle": merkle.ORACLE,
 }
