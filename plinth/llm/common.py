@@ -6,6 +6,7 @@ every function takes the offsets of the documents and breaks words and windows t
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,11 @@ from ..sources.shared import shared_dir
 #: Bytes of text that one kernel call works on; a single longer document makes a chunk of its own.
 CHUNK_BYTES = 1 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Bases of two independent polynomial hashes, and their inverses.
+_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+_INVERSES = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES)
+#: Words of more bytes are hashed by BLAKE2: polynomials modulo a power of two collide on long patterns of two letters.
+LONG_WORD = 64
 _BYTE_CODE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _OTHER_CODE = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -58,16 +62,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix_hash(codes: np.ndarray) -> np.ndarray:
-    """Prefix sums of codes[i] * base**i modulo 2**64; span_hash() reads the hash of any span from them."""
+def prefix_hash(codes: np.ndarray, other: bool = False) -> np.ndarray:
+    """Prefix sums of codes[i] * base**i modulo 2**64; span_hash() reads the hash of any span from them. other: by the second base."""
     out = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(codes * _power("up", _BASE, len(codes)), out=out[1:])
+    np.cumsum(codes * _power(f"up{other}", _BASES[other], len(codes)), out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of codes[start:end], the same wherever the span stands; the length is part of it."""
-    inverse = _power("down", _INVERSE, len(prefix))
+def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, other: bool = False) -> np.ndarray:
+    """Hash of codes[start:end], the same wherever the span stands; the length is part of it. other: as in prefix_hash()."""
+    inverse = _power(f"down{other}", _INVERSES[other], len(prefix))
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
 
@@ -109,12 +113,16 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: bool = False) -> np.ndarray:
-    """other: a second, independent hash."""
-    return span_hash(prefix_hash((_OTHER_CODE if other else _BYTE_CODE)[LOWER[data]]), start, end)
+    """A hash of each word, lower-cased. other: a second, independent one, of another base and other codes."""
+    low = LOWER[data]
+    out = span_hash(prefix_hash((_OTHER_CODE if other else _BYTE_CODE)[low], other), start, end, other)
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        out[i] = np.frombuffer(hashlib.blake2b(low[start[i] : end[i]].tobytes(), digest_size=16).digest(), np.uint64)[int(other)]
+    return out
 
 
-def gram_hashes(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every n consecutive words by its first word, and whether they are of one document."""
+def gram_hashes(hashes: np.ndarray, first: np.ndarray, n: int, other: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every n consecutive words by its first word, and whether they are of one document. other: by the second base."""
     total = len(hashes)
     if total < n:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
@@ -123,7 +131,7 @@ def gram_hashes(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarr
     for j in range(1, n):  # a window that a document's start cuts
         cut = first[1:-1] - j
         whole[cut[(cut >= 0) & (cut < len(whole))]] = False
-    return span_hash(prefix_hash(hashes), at, at + n), whole
+    return span_hash(prefix_hash(hashes, other), at, at + n, other), whole
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:

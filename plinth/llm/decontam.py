@@ -7,21 +7,21 @@ that meet are extended to the whole window, whose words must agree.
 
 Up to broadcast_windows benchmark windows (counted first) are sent to the executors and the corpus is read once with no
 shuffle; beyond that, the fingerprints are joined by shuffle and give the same rows. There, words agree if two
-independent 64-bit hashes of them do.
+64-bit hashes of other bases and other codes do; words of over 64 bytes go into both as halves of a BLAKE2 digest.
 
 Cases: null and empty texts have no words and no hits. Repeated document rows each get their row. Items that share a
-window are all counted. Null item ids are left out of the list of items but their windows count as hits. An empty
+window are all counted. Item ids keep their type, whatever it is. Null item ids are left out of the list of items but their windows count as hits. An empty
 benchmark contaminates nothing.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from .common import LOWER, annotate, fresh, gram_hashes, prefix_hash, signed, sliding_min, span_hash, table, text_chunks, through_disk, word_hashes, words
 
@@ -47,7 +47,7 @@ def benchmark_windows(benchmark: DataFrame, n: int = WINDOW, k: int = GRAM, id_c
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("item").to_pylist()
+            ids, kind = batch.column("item").to_pylist(), batch.column("item").type
             for a, z, data, offsets in text_chunks(batch, "text"):
                 start, end, first = words(data, offsets)
                 hashes, other, low = word_hashes(data, start, end), word_hashes(data, start, end, True), LOWER[data].tobytes()
@@ -60,24 +60,27 @@ def benchmark_windows(benchmark: DataFrame, n: int = WINDOW, k: int = GRAM, id_c
                     own = np.array([0, l - f])
                     fp, _ = _fingerprints(hashes[f:l], own, m, k)
                     h, _ = gram_hashes(hashes[f:l], own, m)
-                    h2, _ = gram_hashes(other[f:l], own, m)
+                    h2, _ = gram_hashes(other[f:l], own, m, True)
                     rows += [(ids[a + d], m, int(p), int(q), int(r), " ".join(low[start[j] : end[j]].decode("utf-8", "replace") for j in range(f + i, f + i + m))) for i, (p, q, r) in enumerate(zip(signed(fp), signed(h), signed(h2), strict=True))]
                 for at in range(0, len(rows), 50_000):
                     item, m, fp, h, h2, text = zip(*rows[at : at + 50_000], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(m, pa.int32()), pa.array(fp, pa.int64()), pa.array(h, pa.int64()), pa.array(h2, pa.int64()), pa.array(text, pa.string())], ["item", "n", "fp", "h", "h2", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array(item, kind), pa.array(m, pa.int32()), pa.array(fp, pa.int64()), pa.array(h, pa.int64()), pa.array(h2, pa.int64()), pa.array(text, pa.string())], ["item", "n", "fp", "h", "h2", "words"])
 
-    return benchmark.select(F.expr(f"try_cast(`{id_col}` AS bigint)").alias("item"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "item long, n int, fp long, h long, h2 long, words string")
+    items = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).cast("string").alias("text"))
+    return items.mapInArrow(run, f"item {items.schema['item'].dataType.simpleString()}, n int, fp long, h long, h2 long, words string")
 
 
-def items_digest(items: list[int]) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+def items_digest(items: Column) -> Column:
+    """SHA-256 of the ids, sorted as strings and joined by commas."""
+    return F.sha2(F.array_join(F.array_sort(items.cast("array<string>")), ","), 256)
 
 
-RESULT = "struct<n_words:bigint,n_hit:bigint,n_items:bigint,items:array<bigint>,contaminated:boolean>"
+def _result(kind: str) -> str:
+    return f"struct<n_words:bigint,n_hit:bigint,n_items:bigint,items:array<{kind}>,contaminated:boolean>"
 
 
-def _by_broadcast(documents: DataFrame, windows: list, k: int, text_col: str, name: str) -> DataFrame:
-    known: dict[int, dict[int, dict[str, set[int]]]] = {}
+def _by_broadcast(documents: DataFrame, windows: list, kind: str, k: int, text_col: str, name: str) -> DataFrame:
+    known: dict[int, dict[int, dict[str, set]]] = {}
     prints: dict[int, set[int]] = {}
     for item, n, fp, h, _, text in windows:
         known.setdefault(n, {}).setdefault(h, {}).setdefault(text, set()).update(() if item is None else (item,))
@@ -118,12 +121,13 @@ def _by_broadcast(documents: DataFrame, windows: list, k: int, text_col: str, na
             for d, (n_words, hit) in enumerate(zip(np.diff(first).tolist(), n_hit.tolist(), strict=True)):
                 items = sorted(found.get(d, ()))
                 out.append({"n_words": n_words, "n_hit": hit, "n_items": len(items), "items": items, "contaminated": hit > 0})
-        return pa.array(out, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.int64())), ("contaminated", pa.bool_())]))
+        return pa.array(out, to_arrow_type(schema))
 
-    return annotate(documents, of_batch, name, RESULT)
+    schema = StructType.fromDDL(f"x {_result(kind)}")["x"].dataType
+    return annotate(documents, of_batch, name, _result(kind))
 
 
-def _by_shuffle(documents: DataFrame, windows: DataFrame, lengths: list[int], k: int, text_col: str, name: str) -> DataFrame:
+def _by_shuffle(documents: DataFrame, windows: DataFrame, lengths: list[int], kind: str, k: int, text_col: str, name: str) -> DataFrame:
     row = fresh(documents, "row")
     numbered = through_disk(documents.withColumn(row, F.monotonically_increasing_id()))
 
@@ -133,7 +137,7 @@ def _by_shuffle(documents: DataFrame, windows: DataFrame, lengths: list[int], k:
             for a, z, data, offsets in text_chunks(batch, "text"):
                 start, end, first = words(data, offsets)
                 hashes, counts = word_hashes(data, start, end), np.diff(first)
-                sums, others = prefix_hash(hashes), prefix_hash(word_hashes(data, start, end, True))
+                sums, others = prefix_hash(hashes), prefix_hash(word_hashes(data, start, end, True), True)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[a:z]), pa.array(counts), pa.nulls(z - a, pa.int32()), pa.nulls(z - a, pa.int64()), pa.nulls(z - a, pa.int64()), pa.nulls(z - a, pa.list_(pa.int64())), pa.nulls(z - a, pa.list_(pa.int64()))], ["row", "n_words", "n", "fp", "start", "hs", "h2s"])
                 for n in lengths:
                     fp, whole = _fingerprints(hashes, first, n, k)
@@ -142,7 +146,7 @@ def _by_shuffle(documents: DataFrame, windows: DataFrame, lengths: list[int], k:
                         continue
                     doc = np.searchsorted(first, at, "right") - 1
                     turn = np.flatnonzero(np.r_[True, (fp[at[1:]] != fp[at[:-1]]) | (doc[1:] != doc[:-1])])
-                    lists = [pa.ListArray.from_arrays(pa.array(np.r_[turn, len(at)], pa.int32()), pa.array(signed(span_hash(x, at, at + n)))) for x in (sums, others)]
+                    lists = [pa.ListArray.from_arrays(pa.array(np.r_[turn, len(at)], pa.int32()), pa.array(signed(span_hash(x, at, at + n, other)))) for x, other in ((sums, False), (others, True))]
                     yield pa.RecordBatch.from_arrays([pa.array(rows[a + doc[turn]]), pa.nulls(len(turn), pa.int64()), pa.array(np.full(len(turn), n, np.int32)), pa.array(signed(fp[at[turn]])), pa.array((at - first[doc])[turn]), *lists], ["row", "n_words", "n", "fp", "start", "hs", "h2s"])
 
     made = through_disk(numbered.select(F.col(row).alias("row"), F.col(text_col).alias("text")).mapInArrow(run, "row long, n_words long, n int, fp long, start long, hs array<long>, h2s array<long>"))
@@ -154,19 +158,20 @@ def _by_shuffle(documents: DataFrame, windows: DataFrame, lengths: list[int], k:
     n_hit = ends.groupBy("row").agg(F.sum(F.greatest(F.lit(0), F.col("stop") - F.greatest("start", "before"))).alias("n_hit"))
     items = hits.where("item is not null").select("row", "item").distinct().groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
     found = made.where("n_words is not null").select("row", "n_words").join(n_hit, "row", "left").join(items, "row", "left")
-    result = F.struct("n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
-    found = found.withColumn("items", F.coalesce("items", F.array().cast("array<bigint>"))).select(F.col("row").alias(row), result.alias(name))
-    return numbered.join(found, row).drop(row)
+    none = F.array().cast(f"array<{kind}>")
+    result = F.struct("n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
+    return numbered.join(found.select(F.col("row").alias(row), result.alias(name)), row).drop(row)
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, k: int = GRAM, text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> tuple[DataFrame, str]:
     """documents with a struct column (n_words, n_hit, n_items, items, contaminated), and that column's name."""
     name = fresh(documents, "contamination")
     windows = through_disk(benchmark_windows(benchmark, n, k))
+    kind = windows.schema["item"].dataType.simpleString()
     sizes = windows.groupBy("n").count().collect()  # at most n rows
     if sum(x["count"] for x in sizes) <= broadcast_windows:
-        return _by_broadcast(documents, [tuple(x) for x in windows.collect()], k, text_col, name), name
-    return _by_shuffle(documents, windows, [x["n"] for x in sizes], k, text_col, name), name
+        return _by_broadcast(documents, [tuple(x) for x in windows.collect()], kind, k, text_col, name), name
+    return _by_shuffle(documents, windows, [x["n"] for x in sizes], kind, k, text_col, name), name
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -177,5 +182,4 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> Data
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, name = find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    items = F.col(f"{name}.items")
-    return found.select("doc_id", f"{name}.n_words", f"{name}.n_hit", f"{name}.n_items", F.sha2(F.array_join(F.array_sort(items.cast("array<string>")), ","), 256).alias("items_sha256"), f"{name}.contaminated")
+    return found.select("doc_id", f"{name}.n_words", f"{name}.n_hit", f"{name}.n_items", items_digest(F.col(f"{name}.items")).alias("items_sha256"), f"{name}.contaminated")

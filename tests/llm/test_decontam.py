@@ -1,9 +1,10 @@
+import hashlib
 import random
 
 import pytest
 from helpers import documents, random_text, words
 
-from plinth.llm.decontam import decontaminate, find_contamination
+from plinth.llm.decontam import decontaminate, find_contamination, items_digest
 
 
 def brute(rows, items, n=10):
@@ -59,3 +60,25 @@ def test_empty_tables_and_columns(spark, case, broadcast_windows):
     kept = decontaminate(docs, none, broadcast_windows=broadcast_windows)
     assert kept.columns == docs.columns and kept.count() == len(rows)
     assert decontaminate(docs.limit(0), spark.createDataFrame(items, "item_id long, text string"), broadcast_windows=broadcast_windows).count() == 0
+
+
+@pytest.mark.parametrize("broadcast_windows", [300_000, 0])
+def test_long_words_of_two_letters_do_not_collide(spark, broadcast_windows):
+    """Two Thue-Morse words, each the complement of the other: any polynomial hash modulo a power of two gives both the same value."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    rest = "some words that stand around a long one here"
+    rows = [(1, f"{one} {rest}", "en", "s"), (2, f"{two} {rest}", "en", "s")]
+    found, name = find_contamination(documents(spark, rows), spark.createDataFrame([(7, f"{one} {rest}")], "item_id long, text string"), broadcast_windows=broadcast_windows)
+    assert {(r["doc_id"], r["n_hit"]) for r in found.select("doc_id", f"{name}.n_hit").collect()} == {(1, 10), (2, 0)}
+
+
+@pytest.mark.parametrize("broadcast_windows", [300_000, 0])
+def test_item_ids_of_any_type(spark, broadcast_windows):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "en", "s"), (2, "none of it", "en", "s")]
+    items = spark.createDataFrame([("q-1", text), ("q-10", f"{text} eleven"), ("q-1", "ten words that stand nowhere else in this whole test"), (None, text)], "item_id string, text string")
+    found, name = find_contamination(documents(spark, rows), items, broadcast_windows=broadcast_windows)
+    assert {(r["doc_id"], r["n_items"], tuple(r["items"])) for r in found.select("doc_id", f"{name}.*").collect()} == {(1, 2, ("q-1", "q-10")), (2, 0, ())}
+    digest = found.select(items_digest(found[name]["items"]).alias("x")).where(f"{name}.n_hit > 0").first()["x"]
+    assert digest == hashlib.sha256(b"q-1,q-10").hexdigest()
