@@ -39,12 +39,11 @@ def frequent(rows: DataFrame, share: float = SHARE) -> DataFrame:
     """mark (a hash of digest) of all digests with more than share of the rows (row, digest), and of some others; at most 1 / share marks.
 
     A summary of m counters misses no value of more than about 7 / m of the rows; it has 8 / share of them."""
-    if rows.isEmpty():
-        return rows.select(F.xxhash64("digest").alias("mark"))
     most, counters = math.ceil(1 / share), math.ceil(8 / share)
     part = (F.shiftright("row", 33) % FAN).alias("part")  # by the partition that a row was read in
     parts = rows.select(part, F.xxhash64("digest").alias("mark")).groupBy("part").agg(F.expr(f"approx_top_k_accumulate(mark, {counters})").alias("summary"))
-    top = parts.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(summary, {counters}), {most})").alias("top"))
+    # grouped, for a task without rows must give no summary: an empty one cannot be merged
+    top = parts.groupBy(F.lit(0)).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(summary, {counters}), {most})").alias("top"))
     return top.select(F.explode("top").alias("x")).select(F.col("x.item").alias("mark"))
 
 
