@@ -43,7 +43,7 @@ def frequent(rows: DataFrame, share: float = SHARE) -> DataFrame:
     part = (F.shiftright("row", 33) % FAN).alias("part")  # by the partition that a row was read in
     parts = rows.select(part, F.xxhash64("digest").alias("mark")).groupBy("part").agg(F.expr(f"approx_top_k_accumulate(mark, {counters})").alias("summary"))
     # grouped, for a task without rows must give no summary: an empty one cannot be merged
-    top = parts.groupBy(F.lit(0)).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(summary, {counters}), {most})").alias("top"))
+    top = parts.groupBy(F.lit("all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(summary, {counters}), {most})").alias("top"))
     return top.select(F.explode("top").alias("x")).select(F.col("x.item").alias("mark"))
 
 
