@@ -5,13 +5,14 @@ words of the text, so up to a quarter more words (comment leaders, insertions) m
 set of words holds at least THRESHOLD of the template's distinct words; `need` is their least number.
 
 The join: template words get one global order, rarest first, by how many documents of the corpus have them. A block that meets a template T
-must hold a word of its prefix, the first |T| - need + 1 words in that order (prefix filter). So the places of prefix words in the
-texts are the rows of one side, (text, place, word, the words around it), the prefixes of all templates those of the other
-(template, rank, word), and they meet on the word. A pair whose prefix word has rank r stands for the blocks around the place of which it is the rarest
-word of T: what it can still share are the words of rank r and on, and at least need of them must stand around the place (length
-and positional filter, on both sides), need of them within one window. What passes is counted exactly, window by window. So every
-block at the threshold is found. Templates are a table; the plan does not grow with them. Spark broadcasts the prefixes while they are
-below its threshold and shuffles by word beyond. Blocks depend on the text alone, so equal texts share their result, by digest.
+must hold a word of its prefix, the first |T| - need + 1 words in that order (prefix filter). So places of prefix words in the
+texts, (text, place, word), meet the prefixes of all templates, (template, word), on the word. Around each place, only as many words as a block of
+that template can hold are looked at (length filter); overlapping stretches are joined into one. A stretch goes on if it holds at
+least `need` places of the template's words (positional filter). What passes is counted exactly, and in time that is linear in its length: a place of a
+template word adds one to the blocks that begin behind the word's place before it, and end behind the place; running sums over these
+beginnings and ends are the distinct words of every block. So every block at the threshold is found, and a notice of a thousand words costs
+what its words cost. Templates are a table, joined on words; the plan does not grow with them and no word comes to the driver. Up to
+MOST_SENT words of the templates are broadcast (counted first); beyond, Spark shuffles by word. Equal texts share their result, by digest.
 
 Cases: null text is empty. Repeated rows each get their row. Texts without words have n_words 0, no labels, null first
 and last word and score 0. Base phrases and blocks both cross line breaks. Template words further apart than a window do not meet, however
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, lower_ascii, table, through_disk
@@ -45,7 +46,10 @@ TEMPLATES = [
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("proprietary", "all rights reserved"),
 ]
-
+#: Rows of template words up to which they are broadcast, and words up to which texts are looked through for them one by one.
+MOST_SENT, MOST_LOOKED_UP = 100_000, 1_000
+#: More words than a text has.
+MOST_WORDS = 1 << 30
 
 
 def word_array(low: Column) -> Column:
@@ -61,44 +65,50 @@ def _text(text_col: str) -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
 
-def template_prefixes(documents: DataFrame, templates: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """templates (label, notice) by the words of their prefixes: word, rank, label, words (distinct, rarest first), need, width (words of a block)."""
-    own = templates.select(F.monotonically_increasing_id().alias("template"), "label", F.array_compact(F.transform(word_array(lower_ascii(F.col("notice"))), lambda w: F.when(w != "", w))).alias("all")).where(F.size("all") > 0)
-    own = through_disk(own)
-    each = own.select("template", F.explode(F.array_distinct("all")).alias("word"))
-    vocabulary = [r["word"] for r in each.select("word").distinct().collect()]  # of the templates, not of the corpus
-    seen = documents.select(F.explode(F.array_distinct(word_array(lower_ascii(_text(text_col))))).alias("word")).where(F.col("word").isin(vocabulary))
-    counts = seen.groupBy("word").agg(F.count("*").alias("n"))
-    ordered = each.join(counts, "word", "left").groupBy("template").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("order"))  # a row per template
-    n = F.size("order")
-    sized = own.join(ordered, "template").select("label", F.col("order.word").alias("words"), F.greatest(F.lit(1), F.ceil(threshold * n - 1e-9).cast("int")).alias("need"), F.ceil(F.size("all") / max(threshold, 0.1) - 1e-9).cast("int").alias("width"))
-    return through_disk(sized.select("label", "words", "need", "width", F.posexplode(F.slice("words", F.lit(1), F.size("words") - F.col("need") + 1)).alias("rank", "word")))
+def _sent(df: DataFrame) -> DataFrame:
+    """A written table, broadcast if it has few rows."""
+    return F.broadcast(df) if len(df.take(MOST_SENT + 1)) <= MOST_SENT else df
 
 
-def matched_texts(documents: DataFrame, prefixes: DataFrame, text_col: str = "text") -> DataFrame:
-    """key (digest of the text), labels (distinct) and score (the largest containment) of the texts in which a block meets a template."""
-    sides = prefixes.agg(F.max("width").alias("width"), F.collect_set("word").alias("words")).first()  # a word per prefix place of the templates
-    if not sides["words"]:
-        return documents.sparkSession.createDataFrame([], "key binary, labels array<string>, score double")
-    reach = int(sides["width"])
-    tokens = documents.select(_text(text_col).alias("text")).withColumn("tokens", word_array(lower_ascii(F.col("text"))))
-    tokens = tokens.where(F.arrays_overlap("tokens", F.array(*[F.lit(w) for w in sorted(sides["words"])]))).select(_digest(F.col("text")).alias("key"), "tokens")
+def ranked_templates(documents: DataFrame, templates: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """templates (label, notice) by their distinct words: template, label, word, rank (from 0, rarest first), n (distinct words), need, width (words of a block)."""
+    all_words = F.filter(word_array(lower_ascii(F.coalesce(F.col("notice"), F.lit("")))), lambda w: w != "")
+    own = templates.select(F.monotonically_increasing_id().alias("template"), "label", all_words.alias("all")).where(F.size("all") > 0)
+    sized = own.withColumn("distinct", F.array_distinct("all")).withColumn("n", F.size("distinct"))
+    sized = sized.select("template", "label", "n", F.greatest(F.lit(1), F.ceil(threshold * F.col("n") - 1e-9).cast("int")).alias("need"), F.ceil(F.size("all") / max(threshold, 0.1) - 1e-9).cast("int").alias("width"), F.explode("distinct").alias("word"))
+    each = through_disk(sized)
+    vocabulary = through_disk(each.select("word").distinct())
+    seen = documents.select(F.explode(F.array_distinct(word_array(lower_ascii(_text(text_col))))).alias("word")).join(_sent(vocabulary), "word", "left_semi")
+    counts = seen.groupBy("word").agg(F.count("*").alias("seen"))
+    order = Window.partitionBy("template").orderBy(F.coalesce("seen", F.lit(0)), "word")
+    return through_disk(each.join(counts, "word", "left").withColumn("rank", F.row_number().over(order) - 1).drop("seen"))
 
-    def around(word: Column, at: Column) -> Column:
-        start = F.greatest(F.lit(0), at - (reach - 1))
-        return F.when(word.isin(sides["words"]), F.struct(word.alias("word"), (at - start).alias("at"), F.slice("tokens", start + 1, F.lit(2 * reach - 1)).alias("near")))
 
-    places = tokens.select("key", F.explode(F.array_compact(F.transform("tokens", around))).alias("place")).select("key", "place.*")
-    start = F.greatest(F.lit(0), F.col("at") - (F.col("width") - 1))  # only what a block of this template can hold
-    pairs = places.join(prefixes, "word").withColumn("near", F.slice("near", start + 1, F.least(F.col("at") + F.col("width"), F.size("near")) - start)).withColumn("at", F.col("at") - start)
-    pairs = pairs.withColumn("left", F.slice("words", F.col("rank") + 1, F.size("words") - F.col("rank")))
-    pairs = pairs.where(F.size(F.array_intersect("left", "near")) >= F.col("need"))
-    pairs = pairs.withColumn("hits", F.array_compact(F.transform("near", lambda w, i: F.when(F.array_contains("left", w), i))))
-    fits = lambda x, k: (F.get("hits", k + F.col("need") - 1) - x < F.col("width")) & (x <= F.col("at")) & (x + F.col("width") > F.col("at"))
-    pairs = pairs.withColumn("starts", F.filter("hits", fits))
-    shared = lambda most, x: F.greatest(most, F.size(F.array_intersect("left", F.slice("near", x + 1, F.col("width")))))
-    pairs = pairs.withColumn("most", F.aggregate("starts", F.lit(0), shared)).where(F.col("most") >= F.col("need"))
-    return pairs.groupBy("key").agg(F.collect_set("label").alias("labels"), F.max(F.col("most") / F.size("words")).alias("score"))
+def matched_texts(documents: DataFrame, ranked: DataFrame, text_col: str = "text") -> DataFrame:
+    """key (digest of the text), labels (distinct) and score (the largest containment) of the texts in which a block meets a template."""
+    prefixes = through_disk(ranked.where("rank <= n - need").select("word", "template", "width"))
+    rare = through_disk(prefixes.select("word").distinct())
+    tokens = documents.select(_text(text_col).alias("text")).withColumn("tokens", word_array(lower_ascii(F.col("text"))))
+    if len(rare.take(MOST_LOOKED_UP + 1)) <= MOST_LOOKED_UP:  # most texts go before their words become rows; they would find no partner below either
+        tokens = tokens.where(F.arrays_overlap("tokens", rare.agg(F.collect_list("word").alias("words")).scalar()))
+    texts = through_disk(tokens.select(F.monotonically_increasing_id().alias("row"), _digest(F.col("text")).alias("key"), "tokens"))
+
+    places = texts.select("row", F.posexplode("tokens").alias("at", "word")).join(_sent(prefixes), "word")
+    in_turn = Window.partitionBy("row", "template").orderBy("at")
+    apart = F.coalesce(F.col("at") - F.lag("at").over(in_turn) >= 2 * F.col("width"), F.lit(True))
+    stretches = places.withColumn("apart", apart).withColumn("stretch", F.sum(F.col("apart").cast("int")).over(in_turn)).groupBy("row", "template", "stretch", "width").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    low = F.greatest(F.lit(0), F.col("low") - F.col("width") + 1)
+    around = texts.join(stretches, "row").select("row", "key", "template", "stretch", low.alias("low"), F.posexplode(F.slice("tokens", low + 1, F.col("high") - low + F.col("width"))).alias("i", "word"))
+    known = ranked.select("template", "word", "label", "n", "need", "width")
+    hits = around.join(_sent(known), ["template", "word"]).withColumn("at", F.col("low") + F.col("i"))
+    one = ["row", "key", "template", "stretch", "label", "n", "need"]
+    enough = F.count("*").over(Window.partitionBy("row", "template", "stretch")) >= F.col("need")
+    before = F.lag("at").over(Window.partitionBy("row", "template", "stretch", "word").orderBy("at"))
+    first = F.greatest(F.col("at") - F.col("width"), F.coalesce(before, F.lit(-MOST_WORDS))) + 1  # the earliest block that counts this place
+    turns = hits.withColumn("enough", enough).where("enough").withColumn("first", first).select(*one, F.explode(F.array(F.struct(F.col("first").alias("at"), F.lit(1).alias("one")), F.struct((F.col("at") + 1).alias("at"), F.lit(-1).alias("one")))).alias("turn"))
+    running = F.sum("turn.one").over(Window.partitionBy("row", "template", "stretch").orderBy("turn.at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    best = turns.select(*one, running.alias("shared")).groupBy("row", "key", "template", "label", "n", "need").agg(F.max("shared").alias("most")).where("most >= need")
+    return best.groupBy("key").agg(F.collect_set("label").alias("labels"), F.max(F.col("most") / F.col("n")).alias("score"))
 
 
 def scan_licenses(documents: DataFrame, templates=None, phrases=None, threshold: float = THRESHOLD, text_col: str = "text") -> tuple[DataFrame, str]:
@@ -106,7 +116,7 @@ def scan_licenses(documents: DataFrame, templates=None, phrases=None, threshold:
     templates, phrases = TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases
     if not isinstance(templates, DataFrame):
         templates = documents.sparkSession.createDataFrame(list(templates), "label string, notice string")
-    matched = through_disk(matched_texts(documents, template_prefixes(documents, templates, threshold, text_col), text_col))
+    matched = through_disk(matched_texts(documents, ranked_templates(documents, templates, threshold, text_col), text_col))
     name, low, tokens, key, hit = (fresh(documents, x) for x in ("licenses", "low", "tokens", "key", "hit"))
     df = documents.withColumn(low, lower_ascii(_text(text_col))).withColumn(tokens, word_array(F.col(low)))
     lead = F.when(F.get(F.col(tokens), 0) == "", 1).otherwise(0)

@@ -1,8 +1,10 @@
 import random
 import textwrap
+import time
 
 from helpers import documents, random_text, words
 
+from plinth.llm import licenses
 from plinth.llm.licenses import PHRASES, TEMPLATES, scan_licenses
 
 
@@ -121,3 +123,42 @@ def test_the_plan_does_not_grow_with_the_templates(spark):
     docs = documents(spark, [(1, "a b c", "en", "s")])
     nodes = [scan_licenses(docs, [(f"l{i}", f"word{i} other{i} third{i}") for i in range(n)])[0]._jdf.queryExecution().optimizedPlan().treeString().count("\n") for n in (2, 200)]
     assert nodes[0] == nodes[1]
+
+
+def test_notices_of_a_thousand_words(spark):
+    """Full license texts are long: the cost of one that is really there may only grow with its words."""
+    rng = random.Random(13)
+    common, pool = [f"c{i}" for i in range(50)], [f"w{i}" for i in range(20_000)]
+    templates = [(f"l{i}", " ".join(rng.choice(common) if rng.random() < 0.4 else rng.choice(pool) for _ in range(1000))) for i in range(5)] + [("short", "all rights reserved")]
+    texts, wanted = [], []
+    for i in range(200):
+        label, notice = templates[i % 5]
+        w = notice.split()
+        for _ in range(rng.choice([0, 50, 400])):
+            w[rng.randrange(1000)] = rng.choice(pool)
+        texts.append(" ".join([*rng.choices([*pool, *common], k=1500), *w, *rng.choices([*pool, *common], k=1500)]))
+        own, n, best = words(texts[-1]), set(notice.split()), 0
+        counts, here = {}, 0
+        for j, x in enumerate(own):  # a plain sliding count
+            if x in n:
+                counts[x] = counts.get(x, 0) + 1
+                here += counts[x] == 1
+            if j >= 1250 and own[j - 1250] in n:
+                counts[own[j - 1250]] -= 1
+                here -= counts[own[j - 1250]] == 0
+            best = max(best, here)
+        wanted.append((label, round(best / len(n), 9)) if best >= 0.8 * len(n) - 1e-9 else ("", 0.0))
+    docs = documents(spark, [(i, x, "en", "s") for i, x in enumerate(texts)])
+    began = time.monotonic()
+    found, name = scan_licenses(docs, spark.createDataFrame(templates, "label string, notice string"), {})
+    got = [(r["labels"], round(r["score"], 9)) for r in found.select("doc_id", f"{name}.labels", f"{name}.score").orderBy("doc_id").collect()]
+    assert time.monotonic() - began < 60
+    assert got == wanted and {x for x, _ in wanted} == {"", "l0", "l1", "l2", "l3", "l4"}
+
+
+def test_many_template_words_are_joined_by_shuffle(spark, monkeypatch):
+    texts = ["x all rights reserved y", "licensed under the apache license version 2 0", "rights all of it reserved", None]
+    wanted = labels(spark, texts)
+    for name in ("MOST_SENT", "MOST_LOOKED_UP"):
+        monkeypatch.setattr(licenses, name, 0)
+    assert labels(spark, texts) == wanted
