@@ -1,6 +1,6 @@
 """All query modules, imported so that the registry is full."""
 
-from . import aggregates, clouds, datasets, expressions, files, joins, planning, predicates, rankings, routing, searching, streams, surfaces
+from . import aggregates, clouds, datasets, expressions, files, joins, planning, predicates, rankings, routing, searching, streams, surfaces, walkable
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "clouds", "datasets", "expressions", "files", "joins", "planning", "predicates", "rankings", "routing", "searching", "streams", "surfaces"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "clouds", "datasets", "expressions", "files", "joins", "planning", "predicates", "rankings", "routing", "searching", "streams", "surfaces", "walkable"]
