@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import shared_dir
 from ..sources.tables import table
 from ..streaming import telemetry as X
+from ..streaming import tracks as T
 from .registry import query
 
 _AS_OF = "2024-01-20 00:00:00"
@@ -107,7 +108,7 @@ def x06(spark, d):
     whole = _sightings(_events(spark, d))
     whole.repartitionByRange(4, "t").sortWithinPartitions("t", "id").write.parquet(path)
     stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 64).parquet(path)
-    log = X.run_available(X.track_obstacles(stream), shared_dir(spark), "append")
+    log = X.run_available(T.track_obstacles(stream), shared_dir(spark), "append")
     newest = log.groupBy("floor").agg(F.max("batch").alias("batch"))
     return log.join(newest, ["floor", "batch"], "left_semi").select("floor", "track", "category", "hits", "status")
 
@@ -117,4 +118,4 @@ def x07(spark, d):
     e = table(spark, d, "events")
     tracks = e.groupBy(F.col("user_id").alias("track")).agg((F.max("event_id") * 0.1).alias("last_t")).withColumn("category", F.when(F.col("track") % 2 == 0, "PERSON").otherwise("UNCLASSIFIED"))
     now = e.agg((F.max("event_id") * 0.1 + 9).alias("now"))
-    return X.living(tracks.crossJoin(F.broadcast(now)), F.col("now")).select("track", "category")  # one row
+    return T.living(tracks.crossJoin(F.broadcast(now)), F.col("now")).select("track", "category")  # one row

@@ -7,10 +7,8 @@ leaves no second copy, and reading keeps the newest row of each key.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -149,91 +147,6 @@ def upsert_stream(stream: DataFrame, path: str, keys: Sequence[str], shape: Call
     return newest(run_available(shape(stream), path, "update"), keys)
 
 
-#: Fixed values of obstacle tracks: metres within which a sighting is of a track, sightings that confirm it, clear looks that end it, seconds it lives unseen, the share of a newest velocity, and the speed of what moves.
-NEAR, CONFIRM, CLEAR_LOOKS, TTL, VELOCITY_GAIN, MOVING = 1.0, 2, 3, {"PERSON": 10.0, "UNCLASSIFIED": 30.0}, 0.5, 0.4
-SIGHTINGS = ("floor", "t", "id", "category", "x", "y", "confidence", "uncertainty")
-TRACKS = "floor long, track long, category string, x double, y double, first_t double, last_t double, hits int, misses int, vx double, vy double, status string"
-
-
-def _fold_frame(tracks: list[dict], next_id: int, t: float, rows: list[tuple]) -> tuple[list[dict], int]:
-    """Tracks after one frame: rows (category, x, y, confidence, uncertainty) of one moment, a null category saying that the place was seen clear."""
-    agree = lambda a, b: a == b or "UNCLASSIFIED" in (a, b)
-    apart = lambda k, x, y: float(np.hypot(k["x"] - x, k["y"] - y))
-    sightings = sorted((r for r in rows if r[0] is not None), key=lambda r: (-r[3], r[1], r[2], r[0]))
-    clear, touched, born = [r for r in rows if r[0] is None], set(), []
-    for category, x, y, _, uncertainty in sightings:
-        fits = [(apart(k, x, y), k["track"], k) for k in tracks if k["track"] not in touched and agree(k["category"], category) and apart(k, x, y) <= NEAR + k["uncertainty"] + uncertainty]
-        if not fits:
-            twin = next((k for k in [*tracks, *born] if k["last_t"] == t and agree(k["category"], category) and apart(k, x, y) <= NEAR), None)
-            if twin is None:
-                born.append({"track": next_id, "category": category, "x": x, "y": y, "uncertainty": uncertainty, "first_t": t, "last_t": t, "hits": 1, "misses": 0, "v": None})
-                next_id += 1
-            elif category == "PERSON":
-                twin |= {"category": category, "x": x, "y": y, "uncertainty": uncertainty}
-            continue
-        k = min(fits, key=lambda f: f[:2])[2]
-        touched.add(k["track"])
-        dt = t - k["last_t"]
-        if dt >= 0.2:
-            now = [(x - k["x"]) / dt, (y - k["y"]) / dt]
-            k["v"] = now if k["v"] is None else [a + VELOCITY_GAIN * (b - a) for a, b in zip(k["v"], now, strict=True)]
-        k |= {"category": "PERSON" if "PERSON" in (k["category"], category) else "UNCLASSIFIED", "x": x, "y": y, "uncertainty": uncertainty, "last_t": t, "hits": k["hits"] + 1, "misses": 0}
-    left = []
-    for k in tracks:
-        if k["last_t"] < t:
-            if t - k["last_t"] > TTL[k["category"]]:
-                continue
-            k["misses"] += any(apart(k, x, y) <= u for _, x, y, _, u in clear)
-            if k["misses"] >= CLEAR_LOOKS:
-                continue
-        left.append(k)
-    return left + born, next_id
-
-
-def _status(k: dict) -> str:
-    if k["hits"] < CONFIRM:
-        return "TENTATIVE"
-    return "MOVING" if k["category"] == "PERSON" and k["v"] is not None and float(np.hypot(*k["v"])) > MOVING else "STATIONARY"
-
-
-def track_obstacles(sightings: DataFrame) -> DataFrame:
-    """sightings (SIGHTINGS), a null category marking a place seen clear within its uncertainty: the tracks of each floor, TRACKS.
-
-    On a stream, every micro-batch gives each floor's tracks as they stand then (those of its newest batch); the state is the floor's living tracks, and
-    sightings older than the last frame are dropped as late. Frames are the rows of one (floor, t); equal confidences go by place. A task holds one floor's rows of one micro-batch. Rows without floor, t, x or y take no part."""
-
-    def fold(state, pdf: pd.DataFrame):
-        tracks, next_id, until = state
-        for t, frame in pdf.sort_values(["t", "id"], kind="stable").groupby("t", sort=True):
-            if until is not None and t <= until:
-                continue
-            rows = [(c if isinstance(c, str) else None, float(x), float(y), float(p), float(u)) for c, x, y, p, u in frame[["category", "x", "y", "confidence", "uncertainty"]].itertuples(index=False)]
-            tracks, next_id = _fold_frame(tracks, next_id, float(t), rows)
-            until = float(t)
-        return tracks, next_id, until
-
-    def rows(floor, tracks: list[dict]) -> pd.DataFrame:
-        names = [x.split()[0] for x in TRACKS.split(", ")]
-        return pd.DataFrame([(floor, k["track"], k["category"], k["x"], k["y"], k["first_t"], k["last_t"], k["hits"], k["misses"], *(k["v"] or (None, None)), _status(k)) for k in tracks], columns=names)
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = json.loads(state.get[0]) if state.exists else ([], 1, None)
-        known = fold(known, pd.concat(parts, ignore_index=True))
-        state.update((json.dumps(known),))
-        yield rows(key[0], known[0])
-
-    whole = sightings.select(F.col("floor").cast("long").alias("floor"), F.col("t").cast("double").alias("t"), *SIGHTINGS[2:4], *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in ("confidence", "uncertainty") else F.col(c).cast("double").alias(c) for c in SIGHTINGS[4:]]).dropna(subset=["floor", "t", "x", "y"])
-    if whole.isStreaming:
-        return whole.groupBy("floor").applyInPandasWithState(step, TRACKS, "tracks string", "append", GroupStateTimeout.NoTimeout)
-    return whole.groupBy("floor").applyInPandas(lambda key, pdf: rows(key[0], fold(([], 1, None), pdf)[0]), TRACKS)
-
-
-def living(tracks: DataFrame, now: Column) -> DataFrame:
-    """Tracks within their time to live at a moment without a new frame."""
-    ttl = F.coalesce(*[F.when(F.col("category") == c, s) for c, s in TTL.items()])
-    return tracks.where(now - F.col("last_t") <= ttl)
-
-
 def in_event_order(df: DataFrame, key: str, t: Column, arrival: str) -> DataFrame:
     """A place per key in the order of event time, ties in the order of arrival: late rows move what came before them."""
     return df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(t, arrival)))

@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 
 from plinth.operators import spatial, surfaces
-from plinth.streaming import telemetry as X
 
 
 def test_hulls_equal_brute_force(spark):
@@ -105,22 +104,3 @@ def test_greedy_clusters_equal_one_fold(spark):
                 clusters.append(c := [i, p, 1])
             wanted[i] = c[0]
     assert got == wanted
-
-
-SIGHTING = "floor long, t double, id long, category string, x double, y double, confidence double, uncertainty double"
-
-
-def test_obstacle_tracks(spark, tmp_path):
-    person = [(1, t, i, "PERSON", t, 0.0, 0.9, 0.1) for i, t in enumerate((0.0, 0.5, 1.0, 1.5))]
-    box = [(1, t, 10 + i, "UNCLASSIFIED", 20.0, 20.0, 0.5, 0.1) for i, t in enumerate((0.0, 1.0))]
-    clear = [(1, t, 20 + i, None, 20.0, 20.0, 0.0, 1.0) for i, t in enumerate((2.0, 2.5, 3.0))]
-    lost = [(2, 0.0, 30, "PERSON", 0.0, 0.0, 0.9, 0.1), (2, 11.0, 31, "UNCLASSIFIED", 50.0, 0.0, 0.9, 0.1), (None, 0.0, 32, "PERSON", 0.0, 0.0, 0.9, 0.1)]
-    frame = spark.createDataFrame(person + box + clear + lost, SIGHTING)
-    got = sorted((r["floor"], r["category"], r["hits"], r["status"]) for r in X.track_obstacles(frame).collect())
-    assert got == [(1, "PERSON", 4, "MOVING"), (2, "UNCLASSIFIED", 1, "TENTATIVE")]
-    for n in range(4):  # the same rows on a stream, a file after another
-        frame.where(f"floor IS NULL OR cast(t as int) = {n} OR ({n} = 3 AND t > 3)").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
-    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
-    log = X.run_available(X.track_obstacles(stream), f"{tmp_path}/out")
-    newest = log.groupBy("floor").agg({"batch": "max"}).withColumnRenamed("max(batch)", "batch")
-    assert sorted((r["floor"], r["category"], r["hits"], r["status"]) for r in log.join(newest, ["floor", "batch"]).collect()) == got
