@@ -37,17 +37,6 @@ def c13(spark, d):
 _TURN = np.array([[0.96, -0.28, 0.0], [0.28, 0.96, 0.0], [0.0, 0.0, 1.0]])
 
 
-@query("c16_icp", "SELECT 1.02::DOUBLE AS scale, 0.96::DOUBLE AS r00, -0.28::DOUBLE AS r01, 0.01::DOUBLE AS tx, -0.02::DOUBLE AS ty, 0.015::DOUBLE AS tz")
-def c16(spark, d):
-    # a copy of the cloud, spread so that a point's own image is its nearest, moved by a known similarity
-    spread = _cloud(spark, d).withColumns({a: F.col(a) * 4 for a in S.AXES})
-    moved = S._moved(spread, 1.02, np.eye(3), np.array([0.01, -0.02, 0.015]))
-    scale, rotation, move = S.align_clouds(spread, moved, [0.6, 0.2])
-    turned = S._moved(spread, 1.0, _TURN, np.zeros(3))
-    back = S.similarity_fit(spread.join(turned.toDF("id", "u", "v", "w", "other"), "id"))[1]
-    return spark.createDataFrame([(round(scale, 6), round(float(back[0, 0]), 6), round(float(back[0, 1]), 6), *[round(float(v), 6) for v in move])], "scale double, r00 double, r01 double, tx double, ty double, tz double")
-
-
 _NEAR = "sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)"
 
 
@@ -163,6 +152,9 @@ def c41(spark, d):
 
 
 
+_ROOMS = "SELECT c_custkey // 50 AS building, c_custkey AS room, (c_custkey % 10)::DOUBLE AS x, (c_custkey % 7)::DOUBLE AS y FROM customer"
+
+
 def _rooms(spark, d):
     """Fifty customers make a building. Doors lead two rooms back and, from some, five or eleven; the first room stands where it is."""
     k = F.col("c_custkey")
