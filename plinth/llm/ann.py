@@ -3,8 +3,8 @@
 Pivots are a bounded sample: the distinct vectors with the n_pivots smallest hashes. A vector is represented by its
 `depth` nearest pivots in order of nearness. The index is a table, written once: the rows are dealt by hash into blocks of about BLOCK_ROWS, and a block has
 its vectors and its inverted files, one row per pivot, with the vectors that have the pivot among their nearest, each with the pivot's rank.
-Search brings the queries to the blocks, in groups of about QUERY_BLOCK (a join on the block; what a task holds is one block and one group),
-walks the files of the query's own pivots, and so gets the footrule distance of the two truncated orders (a
+Search brings the queries to the blocks: every block gets each query once (rows / BLOCK_ROWS of them; the index itself is not copied), reads its own entries first and then answers the queries as they stream in, so a task holds one block and
+one batch of queries. It walks the files of the query's own pivots, and so gets the footrule distance of the two truncated orders (a
 pivot that is missing stands at rank `depth`): each shared pivot lowers it by 2 * (depth - max(rank, rank')). The
 nearest `share` of a block by footrule are reranked by exact cosine in double precision, and only the k best per query and block travel on.
 
@@ -14,7 +14,7 @@ steps a pair and the exact measure the share. Vectors with clear neighbours allo
 vectors share one entry per block, so copies cannot crowd others out of the candidates.
 
 Cases: null, empty and zero vectors, those with null or non-finite components, and null ids take no part. Ids are whole numbers (cast to long; what does not cast counts as null). Vectors
-of different length never meet. Equal ids are rows of their own. Ties go to the smaller id. An empty table gives no rows. Other columns are not read.
+of different length never meet. Very large and very small vectors are scaled by a power of two first, which changes no cosine and lets no square overflow or vanish. Equal ids are rows of their own. Ties go to the smaller id. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import groups, table, through_disk
 
-N_PIVOTS, DEPTH, SHARE, BLOCK_ROWS, QUERY_BLOCK = 512, 32, 0.15, 4096, 1024
+N_PIVOTS, DEPTH, SHARE, BLOCK_ROWS = 512, 32, 0.15, 8192
 #: Fewest candidates of a block that are reranked.
 LEAST = 100
 FOUND = "query_id long, rank int, vec_id long, score double"
@@ -42,6 +42,12 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def scaled(vector: Column) -> Column:
+    """A vector whose largest component is far from 1, divided by a power of two near it: exact, and of the same direction."""
+    top = F.array_max(F.transform(vector, F.abs))
+    return F.when(top.between(1e-100, 1e100), vector).otherwise(F.transform(vector, lambda x: x / F.pow(F.lit(2.0), F.floor(F.log2(top)))))
+
+
 def _matrix(column, dtype=np.float64) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False)
@@ -85,6 +91,7 @@ def _entries(group: pa.Table, pivots: np.ndarray, depth: int):
 def build_index(vectors: DataFrame, n_pivots: int = N_PIVOTS, depth: int = DEPTH, block_rows: int = BLOCK_ROWS, id_col: str = "vec_id", vec_col: str = "embedding") -> list[Index]:
     """One index per vector length."""
     rows = vectors.select(F.expr(f"try_cast(`{id_col}` AS bigint)").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & usable(F.col("vec")))
+    rows = rows.withColumn("vec", scaled(F.col("vec")))
     rows = through_disk(rows.withColumn("dim", F.size("vec")).withColumn("h", F.xxhash64("vec")).withColumn("row", F.monotonically_increasing_id()))
     built = []
     for dim, n in sorted(tuple(r) for r in rows.groupBy("dim").count().collect()):  # a row per vector length
@@ -107,36 +114,40 @@ def build_index(vectors: DataFrame, n_pivots: int = N_PIVOTS, depth: int = DEPTH
     return built
 
 
-def _search(group: pa.Table, pivots: np.ndarray, depth: int, k: int, share: float):
-    """Of one block and one group of queries, the k best rows for each query: query rows, ids and scores."""
-    kind = group["kind"].to_numpy()
-    asked, own, files = (group.take(pa.array(np.flatnonzero(kind == x))) for x in (0, 1, 2))
-    if not len(asked) or not len(own):
-        return [], [], []
-    slot, rows, ids = own["slot"].to_numpy(), own["row"].to_numpy(), own["id"].to_numpy()  # in the order of ids
-    members = np.argsort(slot, kind="stable")  # copies stay in the order of their ids
-    n = int(slot.max()) + 1
-    starts = np.searchsorted(slot[members], np.arange(n + 1))
-    unique = _matrix(own["vec"].combine_chunks().take(pa.array(members[starts[:-1]])))
-    norms = _norms(unique)
-    posted = {p: (np.frombuffer(w, np.int32), np.frombuffer(r, np.int16)) for p, w, r in zip(files["slot"].to_pylist(), files["who"].to_pylist(), files["ranks"].to_pylist(), strict=True)}
-    queries = _matrix(asked["vec"])
-    most = min(n, max(LEAST, ceil(share * n)))
+class _Block:
+    """A block that is ready for queries."""
+
+    def __init__(self, entries: pa.Table):
+        kind = entries["kind"].to_numpy()
+        own, files = (entries.take(pa.array(np.flatnonzero(kind == x))) for x in (1, 2))
+        self.slot, self.rows, self.ids = own["slot"].to_numpy(), own["row"].to_numpy(), own["id"].to_numpy()  # in the order of ids
+        self.members = np.argsort(self.slot, kind="stable")  # copies stay in the order of their ids
+        self.n = int(self.slot.max()) + 1
+        self.starts = np.searchsorted(self.slot[self.members], np.arange(self.n + 1))
+        self.unique = _matrix(own["vec"].combine_chunks().take(pa.array(self.members[self.starts[:-1]])))
+        self.norms = _norms(self.unique)
+        self.posted = {p: (np.frombuffer(w, np.int32), np.frombuffer(r, np.int16)) for p, w, r in zip(files["slot"].to_pylist(), files["who"].to_pylist(), files["ranks"].to_pylist(), strict=True)}
+
+
+def _search(block: _Block, asked: pa.RecordBatch, pivots: np.ndarray, depth: int, k: int, share: float):
+    """The k best rows of a block for each query: query rows, ids and scores."""
+    queries = _matrix(asked.column("vec"))
+    most = min(block.n, max(LEAST, ceil(share * block.n)))
     out_row, out_id, out_score = [], [], []
-    for query_row, query, order in zip(asked["row"].to_pylist(), queries, _orders(queries, pivots, depth).tolist(), strict=True):
-        near = np.zeros(n, np.int32)
+    for query_row, query, order in zip(asked.column("row").to_pylist(), queries, _orders(queries, pivots, depth).tolist(), strict=True):
+        near = np.zeros(block.n, np.int32)
         for r, p in enumerate(order):
-            if p in posted:
-                who, rank = posted[p]
+            if p in block.posted:
+                who, rank = block.posted[p]
                 near[who] += depth - np.maximum(rank, r)
-        candidates = np.argpartition(-near, most - 1)[:most] if most < n else np.arange(n)
-        scores = (unique[candidates] * query).sum(axis=1) / (norms[candidates] * np.sqrt((query * query).sum()))
+        candidates = np.argpartition(-near, most - 1)[:most] if most < block.n else np.arange(block.n)
+        scores = (block.unique[candidates] * query).sum(axis=1) / (block.norms[candidates] * np.sqrt((query * query).sum()))
         at = max(0, len(scores) - k - 1)
         good = scores >= np.partition(scores, at)[at]
         best = []
         for c, s in zip(candidates[good].tolist(), scores[good].tolist(), strict=True):
-            same = members[starts[c] : min(starts[c] + k + 1, starts[c + 1])]
-            best += [(-s, int(ids[m])) for m in same if rows[m] != query_row]
+            same = block.members[block.starts[c] : min(block.starts[c] + k + 1, block.starts[c + 1])]
+            best += [(-s, int(block.ids[m])) for m in same if block.rows[m] != query_row]
         best = sorted(best)[:k]
         out_row += [query_row] * len(best)
         out_id += [b for _, b in best]
@@ -144,29 +155,37 @@ def _search(group: pa.Table, pivots: np.ndarray, depth: int, k: int, share: floa
     return out_row, out_id, out_score
 
 
-def search(index: Index, is_query: Column, k: int = 5, share: float = SHARE, query_block: int = QUERY_BLOCK) -> DataFrame:
+def search(index: Index, is_query: Column, k: int = 5, share: float = SHARE) -> DataFrame:
     """query_id, rank, vec_id, score for the indexed rows on which is_query (over id) holds."""
     queries = index.vectors.where(is_query)
-    n_groups = max(1, ceil(queries.count() / query_block))
     sent = index.entries.sparkSession.sparkContext.broadcast(index.pivots)
 
     def run(batches, sent=sent, depth=index.depth):
-        for group in groups(batches, ["block", "part"]):
-            row, vec, score = _search(group, sent.value, depth, k, share)
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.float64())], ["row", "vec_id", "score"])
+        held, ready, at = [], None, None
+        for batch in batches:
+            block, asked = batch.column("block").to_numpy(), batch.column("kind").to_numpy() == 0
+            turns = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (asked[1:] != asked[:-1])]) if len(block) else []
+            for a, z in zip(turns, np.r_[turns[1:], len(block)].astype(int), strict=True):
+                if block[a] != at:
+                    held, ready, at = [], None, block[a]
+                if not asked[a]:
+                    held.append(batch.slice(a, z - a))
+                elif held:
+                    ready = ready or _Block(pa.Table.from_batches(held))
+                    row, vec, score = _search(ready, batch.slice(a, z - a), sent.value, depth, k, share)
+                    yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.float64())], ["row", "vec_id", "score"])
 
-    count_to = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     none = lambda kind: F.lit(None).cast(kind)
-    asked = queries.select(F.pmod(F.xxhash64("row"), F.lit(n_groups)).cast("int").alias("part"), F.lit(0).alias("kind"), F.lit(0).alias("slot"), "row", "id", "vec", none("binary").alias("who"), none("binary").alias("ranks")).withColumn("block", count_to(index.blocks))
-    both = index.entries.withColumn("part", count_to(n_groups)).unionByName(asked)
-    met = both.repartition("block", "part").sortWithinPartitions("block", "part", "kind", "id", "row")
+    to_all = F.explode(F.sequence(F.lit(0), F.lit(index.blocks - 1)))
+    asked = queries.select(to_all.alias("block"), F.lit(0).alias("kind"), F.lit(0).alias("slot"), "row", "id", "vec", none("binary").alias("who"), none("binary").alias("ranks"))
+    met = index.entries.unionByName(asked).repartition(index.blocks, "block").sortWithinPartitions("block", F.desc("kind"), "id", "row")  # a block's entries, then its queries
     best = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
     top = met.mapInArrow(run, "row long, vec_id long, score double").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return top.join(queries.select("row", F.col("id").alias("query_id")), "row").select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, share: float = SHARE, query_block: int = QUERY_BLOCK, **options) -> DataFrame:
-    found = [search(x, is_query, k, share, query_block) for x in build_index(vectors, **options)]  # one per vector length
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, share: float = SHARE, **options) -> DataFrame:
+    found = [search(x, is_query, k, share) for x in build_index(vectors, **options)]  # one per vector length
     return reduce(DataFrame.union, found) if found else vectors.sparkSession.createDataFrame([], FOUND)
 
 

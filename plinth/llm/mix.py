@@ -171,7 +171,7 @@ def _single_mends(rows: DataFrame, wanted: dict) -> list[tuple[int, int]]:
     for _ in range(MENDS):
         if not gaps:
             break
-        fresh_rows = rows.where(~F.col("key").isin([k for k, _ in changes])) if changes else rows
+        fresh_rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame(changes, "key long, change long").select("key")), "key", "left_anti") if changes else rows  # at most MENDS a source
         best = _fitting(fresh_rows, gaps).groupBy("g_source").agg(F.max(F.struct("size", (-F.col("key")).alias("k"))).alias("best")).collect()
         left = {}
         for r in best:
@@ -182,11 +182,13 @@ def _single_mends(rows: DataFrame, wanted: dict) -> list[tuple[int, int]]:
     return changes
 
 
-def mixed(documents: DataFrame, **columns) -> DataFrame:
-    """The mix itself: each document as often as its copies, with its own columns."""
-    found, name = mix_sources(documents, **columns)
-    copy = fresh(found, "copy")
-    return found.where(F.col(f"{name}.copies") > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{name}.copies")))).drop(copy, name)
+def mixed(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: each document as often as its copies, with its own columns. Only ids, sources and sizes are sorted and rounded; the documents are joined to their copies once."""
+    row, words, copies = (fresh(documents, x) for x in ("row", "words", "copies"))
+    numbered = through_disk(documents.withColumn(row, F.monotonically_increasing_id()))
+    found, name = mix_sources(numbered.select(row, id_col, source_col, word_size(F.col(text_col)).alias(words)), id_col, source_col=source_col, size_col=words)
+    taken = found.select(row, F.col(f"{name}.copies").alias(copies)).where(F.col(copies) > 0)
+    return numbered.join(taken, row).withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*documents.columns)
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,7 +71,7 @@ def test_packing_holds_every_document(stages):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "conversations"):
+    for table in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SMALL}/{table}.parquet')")
     asked = con.execute(queries.ORACLES[name])
     columns = [x[0] for x in asked.description]
