@@ -1,11 +1,9 @@
-"""Recursion, closures, components and shortest paths as joins over edge tables. Loops cut lineage by writing to the shared folder each round."""
+"""Recursion, closures and components as joins over edge tables. Loops cut lineage by writing to the shared folder each round."""
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,83 +71,6 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-#: Edges of a graph that one task walks: a building, not a city. The count is checked; larger graphs are joined round by round.
-ONE_TASK = 200_000
-
-
-def _in_one_task(edges: DataFrame, walk: Callable, schema: str) -> DataFrame:
-    return edges.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(walk, schema)
-
-
-def shortest_paths(edges: DataFrame, source: object, rounds: int = 1000, hops: int = 8, one_task: int = ONE_TASK) -> DataFrame:
-    """(id, distance, previous) from one source over edges (a, b, length >= 0); ties take the smaller predecessor. Up to one_task edges a task searches best-first; beyond, the edges of nodes that came nearer are relaxed by joins, several hops between two writes."""
-    edges = materialize(edges.select("a", "b", "length"))
-    kind = edges.schema["a"].dataType.simpleString()
-    if 0 < edges.count() <= one_task:
-
-        def search(pdf: pd.DataFrame) -> pd.DataFrame:
-            ahead: dict = {}
-            for a, b, length in zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["length"].tolist(), strict=True):
-                ahead.setdefault(a, []).append((length, b))
-            done, heap = {}, [(0.0, source, None)]
-            while heap:
-                distance, at, before = heapq.heappop(heap)
-                if at in done:
-                    continue
-                done[at] = (distance, before)
-                for length, to in ahead.get(at, ()):
-                    if to not in done:
-                        heapq.heappush(heap, (distance + length, to, at))
-            rows = pd.DataFrame([(i, d, p) for i, (d, p) in done.items()], columns=["id", "distance", "previous"])
-            return rows.astype({"previous": "Int64"}) if kind in ("int", "bigint") else rows
-
-        return _in_one_task(edges, search, f"id {kind}, distance double, previous {kind}")
-    best = changed = materialize(edges.sparkSession.createDataFrame([(source, 0.0, None)], f"id {kind}, distance double, previous {kind}"))
-    for _ in range(rounds):
-        front = changed
-        for _ in range(hops):
-            here = F.struct("id", "distance", "previous")
-            there = F.struct(F.col("b").alias("id"), (F.col("distance") + F.col("length")).alias("distance"), F.col("a").alias("previous"))
-            both = front.join(edges, front["id"] == edges["a"], "left").select(F.explode(F.array(here, there)).alias("r"))
-            front = both.where("r.id IS NOT NULL").groupBy("r.id").agg(F.min(F.struct("r.distance", "r.previous")).alias("n")).select("id", "n.distance", "n.previous")
-        known = best.select("id", F.struct("distance", "previous").alias("o"))
-        # the order of (distance, previous) decreases strictly, so equal distances settle on one predecessor
-        better = materialize(front.join(known, "id", "left").where("o IS NULL OR distance < o.distance OR (distance = o.distance AND previous < o.previous)").select("id", "distance", "previous"))
-        if better.isEmpty():
-            return best
-        best = materialize(best.join(better, "id", "left_anti").unionByName(better))
-        changed = better
-    raise RuntimeError(f"paths did not settle in {rounds} rounds")
-
-
-def reachable(edges: DataFrame, start: DataFrame, hops: int = 8, rounds: int = 1000, one_task: int = ONE_TASK) -> DataFrame:
-    """Nodes (id) that are reached from start (id) along edges (a, b), cycles included. Up to one_task edges and starts a task walks them; beyond, joins do, several hops between two writes."""
-    edges, start = materialize(edges.select("a", "b").distinct()), materialize(start.select("id").distinct())
-    n = edges.count() + start.count()
-    if 0 < n <= one_task:
-        kind = start.schema["id"].dataType.simpleString()
-
-        def walk_all(pdf: pd.DataFrame) -> pd.DataFrame:
-            ahead: dict = {}
-            for a, b in zip(*(pdf.loc[pdf["edge"], c].tolist() for c in "ab"), strict=True):
-                ahead.setdefault(a, []).append(b)
-            front = pdf.loc[~pdf["edge"], "a"].tolist()
-            seen = set(front)
-            while front:
-                front = [b for a in front for b in ahead.get(a, ()) if not (b in seen or seen.add(b))]
-            return pd.DataFrame({"id": sorted(seen)})
-
-        both = edges.select("a", "b", F.lit(True).alias("edge")).unionByName(start.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(False).alias("edge")))
-        return _in_one_task(both, walk_all, f"id {kind}")
-
-    def walk(new: DataFrame) -> DataFrame:
-        for _ in range(hops):
-            new = new.join(edges, new["id"] == edges["a"], "left").select(F.explode(F.array("id", "b")).alias("id")).where("id IS NOT NULL").distinct()
-        return new
-
-    return closure(start.select("id"), [walk], rounds)
-
-
 def mutual_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): nodes that reach each other share the smallest such id. For small graphs (floors of a building): the closure holds a row per reachable pair."""
     pairs = nodes.select(F.col("id").alias("a"), F.col("id").alias("b"))

@@ -2,7 +2,7 @@
 
 Frames: nodes (graph, id, x, y, z, floor), edges (graph, a, b, cost and columns of their own), requests (request, graph, source, target). A graph is
 one building; requests of a busy one are dealt over several tasks, each with its edges. Graphs beyond `most_edges` edges do not go through these tasks but
-through graphs.shortest_paths, which relaxes edges by joins."""
+through searches.searches(), which settles them block by block."""
 
 from __future__ import annotations
 
@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import segment_hits_box
-
+from . import searches
+from .graphs import materialize
 
 #: Seconds in an elevator, speeds on stairs and of walkers in metres a second.
 ELEVATOR_SECONDS, STAIRS_SPEED, WALKING, STEP_FREE_WALKING = 45.0, 0.5, 1.3, 1.0
@@ -102,9 +103,18 @@ def routes(requests: DataFrame, edges: DataFrame, cost: str = "length", most_edg
     A request whose graph has no edges reaches only its own source."""
     asked = requests.select("request", "graph", F.col("source").cast("long"), F.col("target").cast("long")).withColumn("part", F.pmod(F.xxhash64("source"), F.lit(parts)).cast("int"))
     sizes = edges.groupBy("graph").agg(F.count("*").alias("n"), F.min(cost).alias("least"))
-    wrong = sizes.where((F.col("n") > most_edges) | (F.col("least") < 0)).limit(1).collect()
+    wrong = sizes.where(F.col("least") < 0).limit(1).collect()
     if wrong:
-        raise ValueError(f"graph {wrong[0]['graph']}: {wrong[0]['n']} edges, of which {most_edges} fit a task (use graphs.shortest_paths), or a negative cost")
+        raise ValueError(f"graph {wrong[0]['graph']} has edges of negative cost")
+    large = sizes.where(F.col("n") > most_edges).select("graph")
+    if not large.isEmpty():
+        beyond, rest = asked.join(large, "graph", "left_semi"), routes(requests.join(large, "graph", "left_anti"), edges.join(large, "graph", "left_anti"), cost, most_edges, parts)
+        key = F.struct("graph", "source").alias("key")
+        keys = materialize(beyond.select(key).distinct().withColumn("search", F.monotonically_increasing_id()))
+        own = materialize(beyond.withColumn("key", key).join(keys, "key").drop("key"))
+        found = searches.searches(edges.join(large, "graph", "left_semi").select("graph", F.col("a").cast("long"), F.col("b").cast("long"), F.col(cost).alias("length")), own.select("search", "graph", F.col("source").alias("id")))
+        walked = searches.paths(found, own.select("search", "request", "target"))
+        return rest.unionByName(own.select("request", "graph").join(walked, "request").select("request", "graph", "cost", "path"))
     dealt = edges.select("graph", F.col("a").cast("long"), F.col("b").cast("long"), F.col(cost).cast("double").alias("step")).join(asked.select("graph", "part").distinct(), "graph")
     kinds = requests.schema
     out = f"request {kinds['request'].dataType.simpleString()}, graph {kinds['graph'].dataType.simpleString()}, cost double, path array<bigint>"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import graphs
+from ..operators import searches
 from ..operators import spatial as S
 from ..sources.tables import table
 from .registry import query
@@ -258,7 +259,7 @@ def r05(spark, d):
 SELECT id, min(distance) AS distance FROM w GROUP BY 1""")
 def r06(spark, d):
     edges, n = _edges(spark, d)
-    return graphs.shortest_paths(edges, 1, rounds=n + 1).select("id", "distance")
+    return searches.shortest_paths(edges, 1).select("id", "distance")
 
 
 @query("r10_hop_seconds", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 45.0 WHEN 'O' THEN o_totalprice / 1000 / 0.5 ELSE o_totalprice / 1000 / 1.3 END AS seconds FROM orders")
@@ -286,7 +287,7 @@ def r12(spark, d):
 @query("r13_reachability", f"WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT 3::BIGINT AS id UNION SELECT b FROM r JOIN e ON a = id) SELECT id FROM r")
 def r13(spark, d):
     edges, n = _edges(spark, d)
-    return graphs.reachable(edges, spark.createDataFrame([(3,)], "id long"), rounds=n + 1)
+    return searches.reachable(edges, spark.createDataFrame([(3,)], "id long"))
 
 
 @query("r17_obstacle_admission", "SELECT event_id, CASE WHEN epoch_us(TIMESTAMP '2024-01-15') - epoch_us(ts) > 86400000000 THEN 'STALE' WHEN epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-15') > 10000000 THEN 'FUTURE' WHEN event_type = 'view' THEN 'FRAME_MISMATCH' END AS reason FROM events")

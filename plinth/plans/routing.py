@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import routing as R
+from ..operators import searches
 from ..sources.tables import table
 from .registry import query
 
@@ -59,13 +60,12 @@ def r07(spark, d):
     n = _nodes(spark, d)
     edges = R.placed_edges(n, _edges(n)).select("graph", "a", "b", "length")
     first = n.where("x = 1").select("graph", F.col("id").alias("source"))
-    found = R.routes(n.select(F.col("id").alias("request"), "graph", F.col("id").alias("target")).join(first, "graph"), edges)
-    steps = found.select("request", "graph", "cost", F.posexplode("path").alias("at", "a"))
-    steps = steps.withColumn("b", F.lead("a").over(Window.partitionBy("request").orderBy("at"))).join(edges, ["graph", "a", "b"], "left")
-    ends = steps.groupBy("request").agg(F.min(F.struct("at", "a")).alias("first"), F.max(F.struct("at", "a")).alias("last"), F.coalesce(F.sum("length"), F.lit(0.0)).alias("walked"), F.max("cost").alias("cost"), F.max("graph").alias("graph"))
-    ends = ends.join(first, "graph")
-    whole = (F.col("first.a") == F.col("source")) & (F.col("last.a") == F.col("request")) & (F.abs(F.col("walked") - F.col("cost")) < 1e-6)
-    return ends.select("graph", F.col("request").alias("target"), F.round("cost", 6).alias("cost"), whole.alias("whole"))
+    found = searches.searches(edges, first.select(F.col("graph").alias("search"), "graph", F.col("source").alias("id")))
+    # a path is whole if every node's cost is its predecessor's and the edge between them, down to the source
+    before = found.select("search", F.col("id").alias("previous"), F.col("distance").alias("there"))
+    steps = found.join(before, ["search", "previous"], "left").join(edges.groupBy("graph", F.col("a").alias("previous"), F.col("b").alias("id")).agg(F.min("length").alias("length")), ["graph", "previous", "id"], "left").join(first, "graph")
+    whole = F.when(F.col("previous").isNull(), (F.col("id") == F.col("source")) & (F.col("distance") == 0)).otherwise(F.coalesce(F.abs(F.col("there") + F.col("length") - F.col("distance")) < 1e-9, F.lit(False)))
+    return steps.select("graph", F.col("id").alias("target"), F.round("distance", 6).alias("cost"), whole.alias("whole"))
 
 
 def _corridors(spark, d):

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graphs
 from ..operators import routing as R
+from ..operators import searches
 from ..operators import surfaces as S
 from ..sources.tables import table
 from .clouds import _P, _cloud
@@ -191,14 +193,21 @@ def _grid(spark, d):
     return S.cells_of(_thirds(spark, d)[0], 0.05).select(F.lit(0).alias("graph"), "i", "j").distinct()
 
 
-@query("r26_grid_paths", f"""WITH RECURSIVE c AS ({_CELLS}), s AS (SELECT min((i, j)) AS first FROM c), e AS (SELECT a.i, a.j, b.i AS ti, b.j AS tj, abs(a.i - b.i) + abs(a.j - b.j) AS turns FROM c a JOIN c b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND (a.i, a.j) <> (b.i, b.j)
-WHERE abs(a.i - b.i) + abs(a.j - b.j) = 1 OR ((b.i, a.j) IN (SELECT (i, j) FROM c) AND (a.i, b.j) IN (SELECT (i, j) FROM c))), r AS (SELECT first[1] AS i, first[2] AS j FROM s UNION SELECT e.ti, e.tj FROM r JOIN e USING (i, j)) SELECT i, j, (i, j) IN (SELECT (i, j) FROM r) AS reached FROM c""")
+@query("r26_grid_paths", f"""WITH RECURSIVE c AS MATERIALIZED ({_CELLS}), s AS (SELECT min((i, j)) AS first FROM c), e AS MATERIALIZED (SELECT a.i, a.j, b.i AS ti, b.j AS tj, CASE abs(a.i - b.i) + abs(a.j - b.j) WHEN 1 THEN 1 ELSE sqrt(2) END AS length FROM c a JOIN c b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND (a.i, a.j) <> (b.i, b.j)
+WHERE abs(a.i - b.i) + abs(a.j - b.j) = 1 OR ((b.i, a.j) IN (SELECT (i, j) FROM c) AND (a.i, b.j) IN (SELECT (i, j) FROM c))),
+w(i, j, d) USING KEY (i, j) AS (SELECT first[1], first[2], 0.0::DOUBLE FROM s UNION SELECT e.ti, e.tj, min(w.d + e.length) FROM w JOIN e USING (i, j) LEFT JOIN recurring.w r ON r.i = e.ti AND r.j = e.tj WHERE r.d IS NULL OR w.d + e.length < r.d - 1e-12 GROUP BY e.ti, e.tj)
+SELECT c.i, c.j, w.d IS NOT NULL AS reached, round(w.d, 6) AS cost, w.d IS NOT NULL AS whole FROM c LEFT JOIN w USING (i, j)""")
 def r26(spark, d):
-    cells = _grid(spark, d)
-    first = cells.agg(F.min(F.struct("i", "j")).alias("s")).select(S.cell_id(F.col("s.i"), F.col("s.j")).alias("source"))
-    asked = cells.select("graph", "i", "j", S.cell_id(F.col("i"), F.col("j")).alias("target")).withColumn("request", F.col("target")).crossJoin(F.broadcast(first))  # one row
-    found = R.routes(asked, S.grid_edges(cells))
-    return cells.withColumn("request", S.cell_id(F.col("i"), F.col("j"))).join(found.select("request", F.col("cost").isNotNull().alias("reached")), "request").select("i", "j", "reached")
+    """Every cell with the cost of its way from the first cell; whole: the cells of the way stand next to each other, and their steps add up to the cost."""
+    cells = graphs.materialize(_grid(spark, d).withColumn("id", S.cell_id(F.col("i"), F.col("j"))))
+    edges = S.grid_edges(cells).select("graph", "a", "b", "length")
+    first = cells.agg(F.min(F.struct("i", "j")).alias("s")).select(F.lit(0).alias("search"), F.lit(0).alias("graph"), S.cell_id(F.col("s.i"), F.col("s.j")).alias("id"))
+    found = graphs.materialize(searches.searches(edges, first))
+    ways = searches.paths(found, cells.select(F.lit(0).alias("search"), F.col("id").alias("request"), F.col("id").alias("target")))
+    steps = ways.select("request", F.posexplode("path").alias("at", "b")).withColumn("a", F.lag("b").over(Window.partitionBy("request").orderBy("at"))).where("a IS NOT NULL").join(edges, ["a", "b"], "left")
+    sums = steps.groupBy("request").agg(F.sum("length").alias("walked"), F.count("*").alias("n"), F.count("length").alias("known"))
+    whole = F.coalesce((F.abs(F.coalesce("walked", F.lit(0.0)) - F.col("cost")) < 1e-9) & (F.coalesce("n", F.lit(0)) == F.coalesce("known", F.lit(0))), F.lit(False))
+    return cells.withColumnRenamed("id", "request").join(ways, "request").join(sums, "request", "left").select("i", "j", F.col("cost").isNotNull().alias("reached"), F.round("cost", 6).alias("cost"), whole.alias("whole"))
 
 
 @query("r27_grid_reachability", f"""WITH RECURSIVE c AS ({_CELLS}), r AS (SELECT min(i) AS i, min((i, j))[2] AS j FROM c UNION SELECT c.i, c.j FROM r JOIN c ON abs(c.i - r.i) + abs(c.j - r.j) = 1) SELECT i, j FROM r""")
@@ -206,4 +215,4 @@ def r27(spark, d):
     cells = _grid(spark, d)
     first = cells.agg(F.min(F.struct("i", "j")).alias("s")).select(S.cell_id(F.col("s.i"), F.col("s.j")).alias("id"))
     straight = S.grid_edges(cells).where("length = 1").select("a", "b")
-    return cells.withColumn("id", S.cell_id(F.col("i"), F.col("j"))).join(graphs.reachable(straight, first), "id", "left_semi").select("i", "j")
+    return cells.withColumn("id", S.cell_id(F.col("i"), F.col("j"))).join(searches.reachable(straight, first), "id", "left_semi").select("i", "j")

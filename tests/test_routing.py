@@ -1,14 +1,17 @@
 """Routes against brute force, and the hand-made building with a narrow passage and two steps."""
 
+import heapq
 import math
 import random
 from itertools import permutations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from plinth.operators import graphs
+from plinth.operators import graphs, searches
 from plinth.operators import routing as R
+from plinth.operators.graphs import materialize
 
 NODES = {"A": (0, 0), "B": (10, 0), "C": (20, 0), "D": (20, 10), "E": (10, 10), "S": (5, 5), "L": (25, 5)}
 EDGES = [("A", "B", 2.0, True), ("B", "C", 2.0, True), ("C", "D", 2.0, True), ("D", "E", 2.0, True), ("B", "E", 0.7, True), ("A", "E", 1.5, False), ("A", "S", 2.0, True), ("C", "L", 2.0, True)]
@@ -97,14 +100,52 @@ def test_portal_without_boxes_and_a_shut_one(spark):
     assert got == {1: (2.0, True), 2: (0.0, False), 3: (0.4, True)}
 
 
-def test_one_task_and_joins_agree(spark):
+def brute_paths(edges, source):
+    """Plain best-first search: distance, and the smallest predecessor that gives it."""
+    done, heap = {}, [(0.0, source)]
+    while heap:
+        far, at = heapq.heappop(heap)
+        if at not in done:
+            done[at] = far
+            for a, b, length in edges:
+                if a == at:
+                    heapq.heappush(heap, (far + length, b))
+    before = {i: min((a for a, b, length in edges if b == i and a in done and length > 0 and done[a] + length == d), default=None) for i, d in done.items()}
+    return {i: (d, None if i == source else before[i]) for i, d in done.items()}
+
+
+@pytest.mark.parametrize("block_nodes", [3, 20_000])
+def test_blocks_of_any_size_give_the_shortest_paths(spark, block_nodes):
     rng = random.Random(9)
-    edges = spark.createDataFrame([(rng.randrange(40), rng.randrange(40), rng.random()) for _ in range(80)], "a long, b long, length double")
-    rows = lambda df: sorted(map(tuple, df.collect()))
-    short = lambda df: sorted((r["id"], round(r["distance"], 9), r["previous"] is None) for r in df.collect())
-    assert short(graphs.shortest_paths(edges, 3)) == short(graphs.shortest_paths(edges, 3, one_task=0))
-    start = spark.createDataFrame([(3,), (7,)], "id long")
-    assert rows(graphs.reachable(edges, start)) == rows(graphs.reachable(edges, start, one_task=0))
+    edges = [(rng.randrange(40), rng.randrange(40), float(rng.randrange(1, 9))) for _ in range(90)]
+    odd = [(1, None, 1.0), (None, 2, 1.0), (3, 39, None), (3, 38, float("nan"))]
+    frame = spark.createDataFrame([*edges, *odd], "a long, b long, length double")
+    got = {r["id"]: (r["distance"], r["previous"]) for r in searches.shortest_paths(frame, 3, block_nodes).collect()}
+    assert got == brute_paths(edges, 3)
+    start = spark.createDataFrame([(3,), (7,), (None,)], "id long")
+    assert {r["id"] for r in searches.reachable(frame, start, block_nodes).collect()} >= set(got)
+    with pytest.raises(ValueError):
+        searches.shortest_paths(spark.createDataFrame([(1, 2, -1.0)], "a long, b long, length double"), 1)
+
+
+def test_string_ids_and_a_source_without_edges(spark):
+    frame = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 0.0), ("c", "b", 0.0)], "a string, b string, length double")
+    assert {(r["id"], r["distance"], r["previous"]) for r in searches.shortest_paths(frame, "a", 1).collect()} == {("a", 0.0, None), ("b", 1.0, "a"), ("c", 1.0, "b")}
+    assert [tuple(r) for r in searches.shortest_paths(frame, "z").collect()] == [("z", 0.0, None)]
+
+
+def test_three_hundred_thousand_edges(spark):
+    """A grid of 280 by 280 with steps to four sides, far beyond one task of routes()."""
+    n = 280
+    cells = spark.range(n * n).select(F.lit(5).alias("graph"), F.col("id").alias("a"), F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((1, 0), (-1, 0), (0, 1), (0, -1))])).alias("m"))
+    edges = cells.withColumns({"i": F.floor(F.col("a") / n) + F.col("m.x"), "j": F.col("a") % n + F.col("m.y")}).where(f"i BETWEEN 0 AND {n - 1} AND j BETWEEN 0 AND {n - 1}").select("graph", "a", (F.col("i") * n + F.col("j")).alias("b"), F.lit(1.0).alias("length"))
+    edges = materialize(edges)
+    assert edges.count() > 300_000
+    found = searches.searches(edges, spark.createDataFrame([(1, 5, 0)], "search int, graph int, id long"))
+    assert found.where(F.col("distance") != F.floor(F.col("id") / n) + F.col("id") % n).count() == 0 and found.count() == n * n
+    asked = spark.createDataFrame([(1, 5, 0, n * n - 1), (2, 5, 7, 7), (3, 6, 1, 2)], "request int, graph int, source long, target long")
+    got = {r["request"]: (r["cost"], r["path"]) for r in R.routes(asked, edges).collect()}
+    assert got[1][0] == 2.0 * (n - 1) and len(got[1][1]) == 2 * n - 1 and got[2] == (0.0, [7]) and got[3] == (None, None)
 
 
 def test_two_opt_leaves_no_stretch_to_turn(spark):

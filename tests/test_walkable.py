@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from plinth.operators import graphs
+from plinth.operators import searches
 from plinth.operators import walkable as W
 
 
@@ -83,7 +83,7 @@ def test_a_route_over_the_built_graph(spark):
     rows += [("f", 20 + n, ring((2 * n, -2, 0), (2 * n + 2, -2, 0), (2 * n + 2, 0, 0), (2 * n, 0, 0)), False) for n in range(5)]  # beside it
     _, edges = W.routing_graph(spark.createDataFrame(rows, SCHEMA), climb=0.2, ramp=5.0)
     for only in (edges, edges.where("step_free")):
-        way = graphs.shortest_paths(only.select("a", "b", "length").unionByName(only.select(F.col("b").alias("a"), F.col("a").alias("b"), "length")), 0)
+        way = searches.shortest_paths(only.select("a", "b", "length").unionByName(only.select(F.col("b").alias("a"), F.col("a").alias("b"), "length")), 0)
         costs = {r["id"]: r["distance"] for r in way.collect()}
         assert len(costs) == (15 if only is edges else 13)  # the room at the step has no other way
         assert costs[4] == pytest.approx(2.5 + 8 + 2.5 + (0 if only is edges else 4))
