@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import shared_dir
 from ..sources.tables import table
+from ..streaming import leases as L
 from ..streaming import telemetry as X
 from ..streaming import tracks as T
 from .registry import query
@@ -119,3 +120,18 @@ def x07(spark, d):
     tracks = e.groupBy(F.col("user_id").alias("track")).agg((F.max("event_id") * 0.1).alias("last_t")).withColumn("category", F.when(F.col("track") % 2 == 0, "PERSON").otherwise("UNCLASSIFIED"))
     now = e.agg((F.max("event_id") * 0.1 + 9).alias("now"))
     return T.living(tracks.crossJoin(F.broadcast(now)), F.col("now")).select("track", "category")  # one row
+
+
+_LEASE = 8 * 3_600_000
+
+
+@query("x08_lease_expiry", f"""WITH m AS (SELECT user_id AS key, epoch_us(ts) // 1000 AS since, lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts) AS after FROM events), e AS (SELECT max(epoch_us(ts)) // 1000 - 3600000 AS mark FROM events)
+SELECT key, since, since + {_LEASE} AS expired FROM m, e WHERE coalesce(after >= since + {_LEASE}, since + {_LEASE} <= mark)""")
+def x08(spark, d):
+    """A lease of eight hours per user, that every event renews, on a stream with timers."""
+    before = spark.conf.get(L._STORE, None)
+    try:
+        signs = _events(spark, d, stream=True).select(F.col("user_id").alias("key"), "ts")
+        return X.run_available(L.expired_leases(signs, _LEASE, "1 hour"), shared_dir(spark)).drop("batch")
+    finally:
+        spark.conf.set(L._STORE, before) if before else spark.conf.unset(L._STORE)
