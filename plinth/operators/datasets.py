@@ -108,11 +108,15 @@ def stage_plan(kind: Column, privacy: Column, navigation: Column) -> Column:
     return F.filter(every, lambda s: (privacy | (s != "PRIVACY_PREPROCESS")) & (navigation | (kind != "INCREMENTAL") | (s != "NAVIGATION_BAKING")))
 
 
-def supersede_in_region(points: DataFrame, regions: DataFrame) -> DataFrame:
-    """points: id, floor, source, deleted, x, y; regions: floor, version, ring (array of x, y). The points with superseded_by: the version of the smallest region of their floor that holds them, if they were detected and are not deleted; rings of fewer than three corners hold nothing."""
-    rings = regions.where(F.size("ring") >= 3).select("floor", "version", "ring")
-    live = points.where("source = 'AUTO_DETECTED' AND NOT deleted").select("id", "floor", "x", "y")
-    hit = live.join(rings, "floor").where(in_polygon(F.col("x"), F.col("y"), F.col("ring"))).groupBy("id").agg(F.min("version").alias("superseded_by"))
+def supersede_in_region(points: DataFrame, regions: DataFrame, cell: float = 2.0) -> DataFrame:
+    """points: id, floor, source, deleted, x, y; regions: floor, version, ring (array of x, y). The points with superseded_by: the version of the smallest region of their floor that holds them, if they were detected and are not deleted; rings of fewer than three corners hold nothing.
+
+    Regions cover the cells of their bounding box (cell: metres), and points meet the regions of their own cell only."""
+    side = lambda f, a: F.floor(f(F.transform("ring", lambda v: v[a])) / cell).cast("long")
+    rings = regions.where(F.size("ring") >= 3).select("floor", "version", "ring", F.explode(F.sequence(side(F.array_min, "x"), side(F.array_max, "x"))).alias("cx"))
+    rings = rings.withColumn("cy", F.explode(F.sequence(side(F.array_min, "y"), side(F.array_max, "y"))))
+    live = points.where("source = 'AUTO_DETECTED' AND NOT deleted").select("id", "floor", "x", "y", *[F.floor(F.col(a) / cell).cast("long").alias(f"c{a}") for a in "xy"])
+    hit = live.join(rings, ["floor", "cx", "cy"]).where(in_polygon(F.col("x"), F.col("y"), F.col("ring"))).groupBy("id").agg(F.min("version").alias("superseded_by"))
     return points.join(hit, "id", "left")
 
 

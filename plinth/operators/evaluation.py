@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import running_sums
+
 
 def confusion(df: DataFrame, truth: str, said: str) -> DataFrame:
     return df.groupBy(F.col(truth).alias("truth"), F.col(said).alias("said")).agg(F.count("*").alias("n"))
@@ -101,8 +103,8 @@ def search_scores(results: DataFrame, kind: str, q: str, order: Sequence[Column]
 def calibrate_threshold(scores: DataFrame, score: str, good: str) -> DataFrame:
     """The threshold (score >= t) of best balanced accuracy, the lowest on ties. Counts per distinct score come first, so the running sums see no raw rows."""
     counts = scores.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(good)).alias("p"), F.count_if(~F.col(good)).alias("n"))
-    down = Window.orderBy(F.col("threshold").desc())
-    summed = counts.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down), "pp": F.sum("p").over(Window.partitionBy()), "nn": F.sum("n").over(Window.partitionBy())})
+    summed = running_sums(counts, [F.col("threshold").desc()], {"tp": "p", "fp": "n"})
+    summed = summed.crossJoin(F.broadcast(counts.agg(F.sum("p").alias("pp"), F.sum("n").alias("nn"))))  # one row
     return summed.withColumn("balanced", F.round((F.col("tp") / F.nullif("pp", F.lit(0)) + 1 - F.col("fp") / F.nullif("nn", F.lit(0))) / 2, 9)).orderBy(F.col("balanced").desc(), "threshold").limit(1)
 
 

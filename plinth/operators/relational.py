@@ -25,6 +25,16 @@ def placed(df: DataFrame, order: Sequence[Column], name: str = "place") -> DataF
     return rows.join(F.broadcast(counts), "__part").select(*df.columns, (F.col("__before") + F.col("__row") + 1).alias(name))
 
 
+def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, str]) -> DataFrame:
+    """df with the running sum of each column in sums (new name: column) in a total order over the whole table, and no window over all of it: parts of the range sort are summed on their own, and the sums of the parts before are added."""
+    rows = materialize(df.orderBy(*order).withColumn("__row", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__row", 33)))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a part
+    parts = rows.groupBy("__part").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    parts = parts.select("__part", *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums])
+    upto = Window.partitionBy("__part").orderBy("__row").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(F.broadcast(parts), "__part").select(*df.columns, *[(F.coalesce(F.sum(c).over(upto), F.lit(0)) + F.col(f"__{n}")).alias(n) for n, c in sums.items()])
+
+
 def lateral_first(outer: DataFrame, inner: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Each outer row with the first inner row of its key, or nulls: the inner side is ranked once, not once per outer row."""
     return outer.join(first_per_key(inner, keys, order), list(keys), "left")

@@ -27,13 +27,17 @@ def _around(cells: DataFrame) -> DataFrame:
     return cells.select(F.explode(moves).alias("m"), "i", "j").select((F.col("i") + F.col("m.a")).alias("i"), (F.col("j") + F.col("m.b")).alias("j")).distinct()
 
 
-def convex_hulls(points: DataFrame) -> DataFrame:
-    """points: part, x, y. part and hull (array of (x, y), counter-clockwise from the leftmost lowest, without points on its edges). Of each x only the lowest and the highest point can be corners, so a task gets two points per distinct x of a part."""
-    ends = placeable(points, ("x", "y")).groupBy("part", "x").agg(F.min("y").alias("low"), F.max("y").alias("high"))
+#: Points that one task makes a hull of at a time.
+HULL_POINTS = 50_000
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        xy = sorted({(float(x), float(y)) for x, low, high in pdf[["x", "low", "high"]].itertuples(index=False) for y in (low, high)})
 
+def convex_hulls(points: DataFrame, most: int = HULL_POINTS) -> DataFrame:
+    """points: part, x, y. part and hull (array of (x, y), counter-clockwise from the leftmost lowest, without points on its edges). A part is dealt into slices of about `most` points; the hull of a part is that of its slices' hulls."""
+    own = graphs.materialize(placeable(points, ("x", "y")).select("part", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).distinct())
+    slices = own.groupBy(F.col("part").alias("of")).agg(F.ceil(F.count("*") / most).alias("slices"))
+    kind = points.schema["part"].dataType.simpleString()
+
+    def hull(xy: list[tuple[float, float]]) -> list[tuple[float, float]]:
         def chain(path):
             out: list[tuple[float, float]] = []
             for p in path:
@@ -42,10 +46,13 @@ def convex_hulls(points: DataFrame) -> DataFrame:
                 out.append(p)
             return out[:-1]
 
-        hull = chain(xy) + chain(xy[::-1]) if len(xy) > 2 else xy
-        return pd.DataFrame({"part": [key[0]], "hull": [[list(p) for p in hull]]})
+        xy = sorted(set(xy))
+        return chain(xy) + chain(xy[::-1]) if len(xy) > 2 else xy
 
-    return ends.groupBy("part").applyInPandas(run, f"part {points.schema['part'].dataType.simpleString()}, hull array<array<double>>")
+    corners = lambda pdf: hull(list(zip(pdf["x"].tolist(), pdf["y"].tolist(), strict=True)))
+    dealt = own.join(slices, F.col("part").eqNullSafe(F.col("of"))).select("part", "x", "y", F.pmod(F.xxhash64("x", "y"), F.col("slices")).alias("slice"))
+    few = dealt.groupBy("part", "slice").applyInPandas(lambda key, pdf: pd.DataFrame([(key[0], *p) for p in corners(pdf)], columns=["part", "x", "y"]), f"part {kind}, x double, y double")
+    return few.groupBy("part").applyInPandas(lambda key, pdf: pd.DataFrame({"part": [key[0]], "hull": [[list(p) for p in corners(pdf)]]}), f"part {kind}, hull array<array<double>>")
 
 
 def splice_coverage(removed: DataFrame, added: DataFrame, size: float) -> DataFrame:
@@ -337,8 +344,12 @@ def cell_id(i: Column, j: Column) -> Column:
     return F.shiftleft((i + F.lit(1 << 30)).cast("long"), 32) + j + F.lit(1 << 30)
 
 
+#: Planes that are held against all cameras at a time.
+PLANES = 32
+
+
 def estimate_gravity(planes: DataFrame, cameras: DataFrame, most_angle: float = 30.0, consistency: float = 0.5, above: float = 0.9) -> DataFrame:
-    """planes: plane, nx, ny, nz, d, inliers (the planes fitted to one cloud: a bounded list); cameras: x, y, z and ux, uy, uz (up). The floor: of the planes whose normal, turned to the cameras' mean up, is within most_angle of it and has at least the share `above` of the cameras on its upper side, the one with most inliers (ties: smaller plane). plane, the up direction, its angle and share; no row if the ups disagree (their mean is shorter than `consistency`) or no plane passes."""
+    """planes: plane, nx, ny, nz, d, inliers (any number); cameras: x, y, z and ux, uy, uz (up). The floor: of the planes whose normal, turned to the cameras' mean up, is within most_angle of it and has at least the share `above` of the cameras on its upper side, the one with most inliers (ties: smaller plane). plane, the up direction, its angle and share; no row if the ups disagree (their mean is shorter than `consistency`) or no plane passes."""
     length = F.sqrt(F.col("ux") ** 2 + F.col("uy") ** 2 + F.col("uz") ** 2)
     ups = placeable(cameras, ("x", "y", "z", "ux", "uy", "uz")).withColumn("l", length).where("l > 0")
     mean = ups.agg(*[F.avg(F.col(f"u{a}") / F.col("l")).alias(f"m{a}") for a in AXES]).withColumn("m", F.sqrt(F.col("mx") ** 2 + F.col("my") ** 2 + F.col("mz") ** 2)).where(F.col("m") >= consistency)
@@ -348,7 +359,16 @@ def estimate_gravity(planes: DataFrame, cameras: DataFrame, most_angle: float =
     turned = turned.withColumn("dot", dot).withColumn("side", F.when(F.col("dot") < 0, -1.0).otherwise(1.0))
     tilted = turned.withColumn("angle", F.degrees(F.acos(F.least(F.lit(1.0), F.abs("dot"))))).where(F.col("angle") <= most_angle)
     tilted = tilted.select("plane", "inliers", "angle", *[(F.col("side") * F.col(c) / F.col("l")).alias(c) for c in ("nx", "ny", "nz", "d")])
+    tilted = graphs.materialize(tilted.where("inliers IS NOT NULL"))
+    cameras = graphs.materialize(ups.select("x", "y", "z"))
     height = sum((F.col(f"n{a}") * F.col(a) for a in AXES), F.lit(0.0)) + F.col("d")
-    seen = ups.select("x", "y", "z").crossJoin(F.broadcast(tilted)).groupBy("plane").agg(F.avg((height > 0).cast("double")).alias("share"))  # the planes are few
-    fit = tilted.join(seen, "plane").where(F.col("share") >= above)
-    return fit.orderBy(F.desc("inliers"), "plane").limit(1).select("plane", "nx", "ny", "nz", "angle", "share")
+    after = None
+    while True:  # the planes in order of their inliers, PLANES at a time, until one passes
+        rest = tilted if after is None else tilted.where((F.col("inliers") < after[0]) | ((F.col("inliers") == after[0]) & (F.col("plane") > after[1])))
+        some = graphs.materialize(rest.orderBy(F.desc("inliers"), "plane").limit(PLANES))
+        last = some.orderBy("inliers", F.desc("plane")).limit(1).collect()
+        seen = cameras.crossJoin(F.broadcast(some)).groupBy("plane").agg(F.avg((height > 0).cast("double")).alias("share"))  # at most PLANES rows are sent
+        fit = graphs.materialize(some.join(seen, "plane").where(F.col("share") >= above).orderBy(F.desc("inliers"), "plane").limit(1).select("plane", "nx", "ny", "nz", "angle", "share"))
+        if not last or not fit.isEmpty():
+            return fit
+        after = (last[0]["inliers"], last[0]["plane"])
