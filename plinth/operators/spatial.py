@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import product
 from math import sqrt
 
@@ -65,23 +66,70 @@ def first_radius(points: DataFrame, k: int, axes: Sequence[str] = AXES) -> float
     return size * min(4.0, max(0.5, sqrt(2 * k / held)))
 
 
+#: Distances that one step of a block's search holds.
+STEP_PAIRS = 2_000_000
+
+
+def _nearest_in_block(here: np.ndarray, there: np.ndarray, b_ids: np.ndarray, most: int, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of here whose `most` nearest of there lie within radius, and, row by row, the ids and distances of these, nearest first, ties by the smaller id."""
+    order = np.argsort(b_ids, kind="stable")
+    there, b_ids = there[order], b_ids[order]
+    rows, ids, distances = [np.zeros(0, int)], [np.zeros((0, most), b_ids.dtype)], [np.zeros((0, most))]
+    step = max(1, STEP_PAIRS // max(1, len(there)))
+    for at in range(0, len(here), step) if len(there) >= most else ():
+        square = np.zeros((len(here[at : at + step]), len(there)))
+        for axis in range(here.shape[1]):
+            gap = here[at : at + step, axis, None] - there[None, :, axis]
+            square += gap * gap
+        near = np.argpartition(square, most - 1, axis=1)[:, :most]
+        last = np.sqrt(np.take_along_axis(square, near, 1).max(1))
+        good = np.flatnonzero(last <= radius)
+        far = np.sqrt(square[good])
+        near, last = near[good], last[good]
+        for r in np.flatnonzero((far <= last[:, None]).sum(1) > most):  # ties at the end: the smaller ids
+            all_near = np.flatnonzero(far[r] <= last[r])
+            near[r] = all_near[np.argsort(far[r, all_near], kind="stable")][:most]
+        near.sort(axis=1)  # in the order of ids, which the next sort keeps where distances are equal
+        d = np.take_along_axis(far, near, 1)
+        turn = np.argsort(d, axis=1, kind="stable")
+        rows.append(at + good)
+        ids.append(b_ids[np.take_along_axis(near, turn, 1)])
+        distances.append(np.take_along_axis(d, turn, 1))
+    return np.concatenate(rows), np.concatenate(ids), np.concatenate(distances)
+
+
 def k_nearest(a: DataFrame, b: DataFrame, k: int, start: float | None = None, axes: Sequence[str] = AXES, rounds: int = 40) -> DataFrame:
-    """(id, b_id, distance, rank) of the k nearest b of every a, a itself included if it is in b; ties take the smaller id. The radius grows for the points that have fewer than k inside it, so the answer is exact. start: the first radius, by default from the density. Points without finite coordinates have no neighbours and are none."""
-    a, b = placeable(a, axes), placeable(b, axes)
-    todo, out = graphs.materialize(a.select("id", *axes)), None
-    most = min(k, b.count())
+    """(id, b_id, distance, rank) of the k nearest b of every a, a itself included if it is in b; ties take the smaller id. start: the first radius, by default from the density. Points without finite coordinates have no neighbours and are none.
+
+    Space is cut into blocks four radii wide. A task has a block's a and the b of the block and of a rim one radius wide around it (some three copies of each b), and answers the points that have k b within the radius, which no b beyond the rim can change. The radius grows for the rest, and only blocks with such points go on, so the answer is exact."""
+    kind, b_kind = a.schema["id"].dataType.simpleString(), b.schema["id"].dataType.simpleString()
+    todo = graphs.materialize(placeable(a, axes).select("id", *[F.col(x).cast("double").alias(x) for x in axes]))
+    there = graphs.materialize(placeable(b, axes).select(F.col("id").alias("b_id"), *[F.col(x).cast("double").alias(x) for x in axes]))
+    most, found = min(k, there.count()), []
+    schema = f"id {kind}, b_id {b_kind}, distance double, rank int"
     if not most:
-        return radius_pairs(todo, b, 1.0, axes).select(F.col("a_id").alias("id"), "b_id", "distance", F.lit(1).alias("rank"))
-    radius = start or first_radius(b, k, axes)
+        return todo.sparkSession.createDataFrame([], schema)
+    radius, cells = start or first_radius(there.withColumnRenamed("b_id", "id"), k, axes), [f"c_{x}" for x in axes]
+
+    def search(radius: float):
+        def run(here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+            rows, ids, distances = _nearest_in_block(here[list(axes)].to_numpy(float), there[list(axes)].to_numpy(float), there["b_id"].to_numpy(), most, radius)
+            rank = np.tile(np.arange(1, most + 1, dtype=np.int32), len(rows))
+            return pd.DataFrame({"id": np.repeat(here["id"].to_numpy()[rows], most), "b_id": ids.ravel(), "distance": distances.ravel(), "rank": rank})
+
+        return run
+
     for n in range(rounds):
-        w = Window.partitionBy("a_id").orderBy("distance", "b_id")
-        pairs = graphs.materialize(radius_pairs(todo, b, radius, axes).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
-        done = pairs.groupBy("a_id").agg(F.count("*").alias("n")).where(F.col("n") >= most).select("a_id")
-        found = pairs.join(done, "a_id", "left_semi")
-        out = found if out is None else out.unionByName(found)
-        todo = graphs.materialize(todo.join(done, todo["id"] == done["a_id"], "left_anti"))
+        edge, rim = 4 * radius, radius * (1 + 1e-9)
+        asked = todo.select("*", *[F.floor(F.col(x) / edge).alias(c) for x, c in zip(axes, cells, strict=True)])
+        spread = there
+        for x, c in zip(axes, cells, strict=True):
+            spread = spread.withColumn(c, F.explode(F.sequence(F.floor((F.col(x) - rim) / edge), F.floor((F.col(x) + rim) / edge))))
+        spread = spread.join(asked.select(*cells).distinct(), cells, "left_semi").select("b_id", *axes, *[F.col(c).alias(c) for c in cells])
+        found.append(graphs.materialize(asked.groupBy(*cells).cogroup(spread.groupBy(*cells)).applyInPandas(search(radius), schema)))
+        todo = graphs.materialize(todo.join(found[-1].where("rank = 1").select("id"), "id", "left_anti"))
         if todo.isEmpty():
-            return out.select(F.col("a_id").alias("id"), "b_id", "distance", "rank")
+            return reduce(DataFrame.unionByName, found)
         radius *= 2 if n < 2 else 4
     raise RuntimeError(f"no {k} neighbours within {radius}")
 
