@@ -1,10 +1,9 @@
-"""N-gram Jaccard join by a MinHash LSH forest, with exact verification.
+"""N-gram Jaccard join by MinHash prefixes at one depth (banding in place of an LSH forest; the README says why), with exact verification.
 
-Texts are sets of hashed SHINGLE-word shingles (a text of fewer words, but some, is one shingle). Equal texts are one class with a count. A forest has TREES
-prefix tries over minhash signatures of up to MOST_DEPTH values; two texts meet in a tree if they share a prefix. The prefix starts at
-full depth and is shortened until the predicted recall of a pair at the threshold, 1 - (1 - threshold**depth)**TREES, reaches
-RECALL; signatures are computed only that deep. A trie node's members are tied to its smallest member, so nodes of
-any size give a row per member; nodes that share members make a candidate cluster.
+Texts are sets of hashed SHINGLE-word shingles (a text of fewer words, but some, is one shingle). Equal texts are one class with a count. There are TREES
+signatures of minhash values; two texts meet in a tree if the first `depth` values agree. The depth is the largest, MOST_DEPTH at most, at which the predicted recall of a pair at the threshold, 1 - (1 - threshold**depth)**TREES, reaches
+RECALL; it is the same for all texts, and signatures are computed only that deep. The texts of a prefix are tied to the smallest of them, so prefixes of
+any number of texts give a row per text; prefixes that share texts make a candidate cluster.
 
 Verification is exact and loses no pair of a cluster: its texts are dealt into blocks of about BLOCK, and each pair of blocks is compared in a
 task of its own, with a length filter and overlap counts on sorted shingles. Only a spanning forest of the links and
