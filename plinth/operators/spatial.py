@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import product
 from math import sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,74 +68,180 @@ def first_radius(points: DataFrame, k: int, axes: Sequence[str] = AXES) -> float
     return size * min(4.0, max(0.5, sqrt(2 * k / held)))
 
 
-#: Distances that one step of a block's search holds.
-STEP_PAIRS = 2_000_000
-
-
-def _nearest_in_block(here: np.ndarray, there: np.ndarray, b_ids: np.ndarray, most: int, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The rows of here whose `most` nearest of there lie within radius, and, row by row, the ids and distances of these, nearest first, ties by the smaller id."""
-    order = np.argsort(b_ids, kind="stable")
-    there, b_ids = there[order], b_ids[order]
-    rows, ids, distances = [np.zeros(0, int)], [np.zeros((0, most), b_ids.dtype)], [np.zeros((0, most))]
-    step = max(1, STEP_PAIRS // max(1, len(there)))
-    for at in range(0, len(here), step) if len(there) >= most else ():
-        square = np.zeros((len(here[at : at + step]), len(there)))
-        for axis in range(here.shape[1]):
-            gap = here[at : at + step, axis, None] - there[None, :, axis]
+#: Distances that one step of a search holds, rows that a task takes at once (a block is never cut), and how many points a block should have at most, as most points see it.
+STEP_PAIRS, STEP_ROWS, BLOCK_POINTS = 500_000, 60_000, 20_000
+#: Candidates per neighbour from which a smaller radius is tried first, and how much smaller.
+CROWD, FINER = 12, sqrt(2)
+#: What cells and rims are wider than the radius, so that rounded coordinates do not matter.
+SLACK = 1 + 1e-6
+#: Blocks begin off the origin by this part of their edge: floors and walls often lie on the axes.
+SHIFT = 0.37
+
+
+class _Blocks:
+    """The points a (here) and b (there, in the order of their ids) of some blocks of a width, looked up by cells. Each point has its coordinates, its block's number and its place in the block, from the block's lower corner."""
+
+    def __init__(self, here: tuple[np.ndarray, np.ndarray, np.ndarray], there: tuple[np.ndarray, np.ndarray, np.ndarray], width: float, most: int):
+        self.here, self.here_block, self.here_place = here
+        self.there, self.there_block, self.there_place = there
+        self.width, self.most = width, most
+        self.answers: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def _keys(self, place: np.ndarray, block: np.ndarray, edge: float, shift: tuple[int, ...] = ()) -> np.ndarray:
+        side = int(np.ceil(self.width / edge)) + 4
+        key = block
+        for axis in range(place.shape[1]):
+            step = np.floor(place[:, axis] / edge).astype(np.int64) + 2  # two cells of margin for the shifts
+            key = key * side + step + (shift[axis] if shift else 0)
+        return key
+
+    def search(self, rows: np.ndarray, radius: float, levels: int) -> np.ndarray:
+        """Answers the rows whose `most` nearest lie within radius and returns the others. Crowded rows try a smaller radius first."""
+        if not len(rows):
+            return rows
+        edge = radius * SLACK
+        keys = self._keys(self.there_place, self.there_block, edge)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        place, block, axes = self.here_place[rows], self.here_block[rows], self.here.shape[1]
+        low, high = [], []
+        for shift in product((-1, 0, 1), repeat=axes - 1):  # the three cells along the last axis follow each other
+            key = self._keys(place, block, edge, (*shift, 0))
+            low.append(np.searchsorted(keys, key - 1, "left"))
+            high.append(np.searchsorted(keys, key + 1, "right"))
+        low, size, sorted_there = np.stack(low, 1), np.stack(high, 1) - np.stack(low, 1), self.there[order].T.copy()
+        count = size.sum(1)
+        crowded = (count > CROWD * self.most) & (levels > 0)
+        missed = self.search(rows[crowded], radius / FINER, levels - 1)
+        again = np.isin(rows, missed, assume_unique=True) if len(missed) else np.zeros(len(rows), bool)
+        todo = np.flatnonzero((count >= self.most) & (~crowded | again))
+        todo = todo[np.argsort(count[todo], kind="stable")]
+        open_rows, start = [rows[count < self.most]], 0
+        while start < len(todo):
+            ahead = count[todo[start : start + STEP_PAIRS // self.most]]  # ascending, and the table is as wide as the last
+            end = start + max(1, int(np.searchsorted(ahead * np.arange(1, len(ahead) + 1), STEP_PAIRS, "right")))
+            part, start = todo[start:end], end
+            open_rows.append(rows[part[~self._take(rows[part], low[part], size[part], order, sorted_there, radius)]])
+        return np.concatenate(open_rows)
+
+    def _take(self, rows: np.ndarray, low: np.ndarray, size: np.ndarray, order: np.ndarray, sorted_there: np.ndarray, radius: float) -> np.ndarray:
+        """Keeps the answers among the candidates low : low + size of each row, places in cell order, and tells which rows have one."""
+        flat, count = size.ravel(), size.sum(1)
+        before = np.cumsum(flat) - flat
+        found = np.arange(flat.sum()) + np.repeat(low.ravel() - before, flat)
+        first = np.cumsum(count) - count
+        owner = np.repeat(np.arange(len(rows)), count)
+        square = np.zeros(len(found))
+        for axis in range(self.here.shape[1]):
+            gap = self.here[rows, axis][owner] - sorted_there[axis][found]
             square += gap * gap
-        near = np.argpartition(square, most - 1, axis=1)[:, :most]
-        last = np.sqrt(np.take_along_axis(square, near, 1).max(1))
-        good = np.flatnonzero(last <= radius)
-        far = np.sqrt(square[good])
-        near, last = near[good], last[good]
-        for r in np.flatnonzero((far <= last[:, None]).sum(1) > most):  # ties at the end: the smaller ids
-            all_near = np.flatnonzero(far[r] <= last[r])
-            near[r] = all_near[np.argsort(far[r, all_near], kind="stable")][:most]
-        near.sort(axis=1)  # in the order of ids, which the next sort keeps where distances are equal
-        d = np.take_along_axis(far, near, 1)
-        turn = np.argsort(d, axis=1, kind="stable")
-        rows.append(at + good)
-        ids.append(b_ids[np.take_along_axis(near, turn, 1)])
-        distances.append(np.take_along_axis(d, turn, 1))
-    return np.concatenate(rows), np.concatenate(ids), np.concatenate(distances)
-
-
-def k_nearest(a: DataFrame, b: DataFrame, k: int, start: float | None = None, axes: Sequence[str] = AXES, rounds: int = 40) -> DataFrame:
-    """(id, b_id, distance, rank) of the k nearest b of every a, a itself included if it is in b; ties take the smaller id. start: the first radius, by default from the density. Points without finite coordinates have no neighbours and are none.
-
-    Space is cut into blocks four radii wide. A task has a block's a and the b of the block and of a rim one radius wide around it (some three copies of each b), and answers the points that have k b within the radius, which no b beyond the rim can change. The radius grows for the rest, and only blocks with such points go on, so the answer is exact."""
+        distance, column = np.sqrt(square), np.arange(len(found)) - first[owner]
+        table = np.full((len(rows), int(count.max())), np.inf)
+        table[owner, column] = distance
+        last = np.partition(table, self.most - 1, axis=1)[:, self.most - 1]
+        good = last <= radius
+        kept = np.flatnonzero((distance <= last[owner]) & good[owner])
+        found = order[found[kept]]
+        turn = np.lexsort((found, distance[kept], owner[kept]))
+        kept, found = kept[turn], found[turn]
+        mine = owner[kept]
+        begins = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]]) if len(mine) else np.zeros(0, int)
+        place = np.arange(len(mine)) - np.repeat(begins, np.diff(np.r_[begins, len(mine)]))
+        nearest = place < self.most
+        self.answers.append((rows[good], found[nearest].reshape(-1, self.most), distance[kept[nearest]].reshape(-1, self.most)))
+        return good
+
+
+def _answer(rows: pa.Table, axes: Sequence[str], edge: float, radius: float, most: int, summary: bool) -> Iterator[pa.Table]:
+    """The answers of whole blocks, given as rows of a (side 0, id) and b (side 1, b_id) in the order of their cells."""
+    cells = np.stack([rows.column(f"c_{x}").to_numpy() for x in axes], 1)
+    block = np.cumsum(np.r_[False, (cells[1:] != cells[:-1]).any(axis=1)]).astype(np.int64)
+    at = np.stack([rows.column(x).to_numpy() for x in axes], 1)
+    place, is_b = at - ((cells - SHIFT) * edge - radius * SLACK), rows.column("side").to_numpy() == 1
+    here, there = np.flatnonzero(~is_b), np.flatnonzero(is_b)
+    there = there[pc.sort_indices(rows.column("b_id").take(pa.array(there))).to_numpy()]
+    row, ids, b_ids = rows.column("row").take(pa.array(here)), rows.column("id").take(pa.array(here)), rows.column("b_id").take(pa.array(there))
+    work = _Blocks(*[(at[x], block[x], place[x]) for x in (here, there)], edge + 2 * radius * SLACK, most)
+    # smaller radii that keep cells above the rounding of coordinates, and keys within 62 bits
+    rounding, sides = 1e-8 * float(np.abs(at).max()), (2.0**62 / (block[-1] + 1)) ** (1 / len(axes)) - 5
+    work.search(np.arange(len(here)), radius, int(max(0, min(24, *[np.log(x) / np.log(FINER) for x in (sides * radius / work.width, *([radius / rounding] if rounding else []))]))))
+    for own, found, distance in work.answers:
+        if summary:
+            yield pa.table({"row": row.take(pa.array(own)), "id": ids.take(pa.array(own)), "mean_distance": distance.mean(axis=1)})
+        else:
+            rank = np.tile(np.arange(1, most + 1, dtype=np.int32), len(own))
+            own = pa.array(np.repeat(own, most))
+            yield pa.table({"row": row.take(own), "id": ids.take(own), "b_id": b_ids.take(pa.array(found.ravel())), "distance": distance.ravel(), "rank": rank})
+
+
+def _search(a: DataFrame, b: DataFrame, k: int, start: float | None, axes: Sequence[str], rounds: int, summary: bool) -> DataFrame:
     kind, b_kind = a.schema["id"].dataType.simpleString(), b.schema["id"].dataType.simpleString()
-    todo = graphs.materialize(placeable(a, axes).select("id", *[F.col(x).cast("double").alias(x) for x in axes]))
+    todo = graphs.materialize(placeable(a, axes).select(F.monotonically_increasing_id().alias("row"), "id", *[F.col(x).cast("double").alias(x) for x in axes]))
     there = graphs.materialize(placeable(b, axes).select(F.col("id").alias("b_id"), *[F.col(x).cast("double").alias(x) for x in axes]))
     most, found = min(k, there.count()), []
-    schema = f"id {kind}, b_id {b_kind}, distance double, rank int"
+    schema = f"row long, id {kind}, mean_distance double" if summary else f"row long, id {kind}, b_id {b_kind}, distance double, rank int"
     if not most:
-        return todo.sparkSession.createDataFrame([], schema)
+        return todo.sparkSession.createDataFrame([], schema).drop("row")
     radius, cells = start or first_radius(there.withColumnRenamed("b_id", "id"), k, axes), [f"c_{x}" for x in axes]
-
-    def search(radius: float):
-        def run(here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-            rows, ids, distances = _nearest_in_block(here[list(axes)].to_numpy(float), there[list(axes)].to_numpy(float), there["b_id"].to_numpy(), most, radius)
-            rank = np.tile(np.arange(1, most + 1, dtype=np.int32), len(rows))
-            return pd.DataFrame({"id": np.repeat(here["id"].to_numpy()[rows], most), "b_id": ids.ravel(), "distance": distances.ravel(), "rank": rank})
+    wide, left = 16.0, todo.count()
+    for _ in range(40):  # a smaller radius where most points, or those of one place, share large blocks
+        full = there.groupBy(*[F.floor(F.col(x) / (wide * radius)) for x in axes]).agg(F.count("*").cast("double").alias("n")).agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("usual"), F.max("n").alias("most")).first()
+        if full["usual"] <= BLOCK_POINTS and full["most"] <= 10 * BLOCK_POINTS:
+            break
+        radius /= 2
+
+    def search(edge: float, radius: float):
+        def run(batches: Iterator[pa.RecordBatch]):
+            held = None
+            for batch in batches:
+                rows = pa.Table.from_batches([batch])
+                held = rows if held is None else pa.concat_tables([held, rows])
+                if held.num_rows < STEP_ROWS:
+                    continue
+                at = np.stack([held.column(c).to_numpy() for c in cells], 1)
+                other = np.flatnonzero((at != at[-1]).any(axis=1))
+                cut = int(other[-1]) + 1 if len(other) else 0  # the last block may go on in the next batch
+                if cut:
+                    for made in _answer(held.slice(0, cut), axes, edge, radius, most, summary):
+                        yield from made.to_batches(100_000)
+                    held = held.slice(cut)
+            if held is not None and held.num_rows:
+                for made in _answer(held, axes, edge, radius, most, summary):
+                    yield from made.to_batches(100_000)
 
         return run
 
     for n in range(rounds):
-        edge, rim = 4 * radius, radius * (1 + 1e-9)
-        asked = todo.select("*", *[F.floor(F.col(x) / edge).alias(c) for x, c in zip(axes, cells, strict=True)])
-        spread = there
+        edge, rim = wide * radius, radius * SLACK
+        asked = todo.select("row", "id", F.lit(None).cast(b_kind).alias("b_id"), F.lit(0).alias("side"), *axes, *[F.floor(F.col(x) / edge + SHIFT).alias(c) for x, c in zip(axes, cells, strict=True)])
+        spread = there.select(F.lit(None).cast("long").alias("row"), F.lit(None).cast(kind).alias("id"), "b_id", F.lit(1).alias("side"), *axes)
         for x, c in zip(axes, cells, strict=True):
-            spread = spread.withColumn(c, F.explode(F.sequence(F.floor((F.col(x) - rim) / edge), F.floor((F.col(x) + rim) / edge))))
-        spread = spread.join(asked.select(*cells).distinct(), cells, "left_semi").select("b_id", *axes, *[F.col(c).alias(c) for c in cells])
-        found.append(graphs.materialize(asked.groupBy(*cells).cogroup(spread.groupBy(*cells)).applyInPandas(search(radius), schema)))
-        todo = graphs.materialize(todo.join(found[-1].where("rank = 1").select("id"), "id", "left_anti"))
-        if todo.isEmpty():
-            return reduce(DataFrame.unionByName, found)
-        radius *= 2 if n < 2 else 4
+            spread = spread.withColumn(c, F.explode(F.sequence(F.floor((F.col(x) - rim) / edge + SHIFT), F.floor((F.col(x) + rim) / edge + SHIFT))))
+        if n:
+            spread = spread.join(asked.select(*cells).distinct(), cells, "left_semi").select(*asked.columns)
+        parts = min(20_000, 8 + left // 10_000)  # by number, as few bytes take much time here
+        rows = asked.unionByName(spread).repartition(parts, *cells).sortWithinPartitions(*cells)
+        found.append(graphs.materialize(rows.mapInArrow(search(edge, radius), schema)))
+        todo = graphs.materialize(todo.join((found[-1] if summary else found[-1].where("rank = 1")).select("row"), "row", "left_anti"))
+        left = todo.count()
+        if not left:
+            return reduce(DataFrame.unionByName, found).drop("row")
+        wide, radius = max(2.0, wide / 2), radius * (2 if n < 2 else 4)
     raise RuntimeError(f"no {k} neighbours within {radius}")
 
 
+def k_nearest(a: DataFrame, b: DataFrame, k: int, start: float | None = None, axes: Sequence[str] = AXES, rounds: int = 40) -> DataFrame:
+    """(id, b_id, distance, rank) of the k nearest b of every a, a itself included if it is in b; ties take the smaller id. start: the first radius, by default from the density. Points without finite coordinates have no neighbours and are none. Null and repeated ids are points like others; among b, null ids come last in ties.
+
+    Space is cut into blocks up to sixteen radii wide. A task has the a of its blocks and the b of each block and of a rim one radius wide around it, and looks neighbours up in cells, smaller ones where it is crowded; it answers the points that have k b within the radius, which no b beyond the rim can change. The radius grows for the rest, and only blocks with such points go on, so the answer is exact. A place where many b share a few coordinates is one block."""
+    return _search(a, b, k, start, axes, rounds, False)
+
+
+def mean_distances(a: DataFrame, b: DataFrame, k: int, start: float | None = None, axes: Sequence[str] = AXES, rounds: int = 40) -> DataFrame:
+    """(id, mean_distance): the mean of the k distances of k_nearest, taken where they are found."""
+    return _search(a, b, k, start, axes, rounds, True)
+
+
 def median_spacing(points: DataFrame, start: float | None = None, axes: Sequence[str] = AXES, sample: int = 20_000) -> DataFrame:
     """Median distance to the nearest other point, over a hash-ordered sample of points against all."""
     probe = points.orderBy(F.xxhash64("id"), "id").limit(sample)
@@ -143,7 +251,7 @@ def median_spacing(points: DataFrame, start: float | None = None, axes: Sequence
 
 def statistical_outliers(points: DataFrame, k: int, sigmas: float, start: float | None = None, axes: Sequence[str] = AXES) -> DataFrame:
     """(id, mean_distance, keep): mean distance of the k nearest, itself included, at most mean + sigmas * population deviation."""
-    means = graphs.materialize(k_nearest(points, points, k, start, axes).groupBy("id").agg(F.avg("distance").alias("mean_distance")))
+    means = graphs.materialize(mean_distances(points, points, k, start, axes))
     limit = means.agg((F.avg("mean_distance") + sigmas * F.stddev_pop("mean_distance")).alias("limit"))
     return means.crossJoin(F.broadcast(limit)).select("id", "mean_distance", (F.col("mean_distance") <= F.col("limit")).alias("keep"))
 
