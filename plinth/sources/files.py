@@ -6,7 +6,6 @@ written as many parts of bounded size."""
 
 from __future__ import annotations
 
-import io
 import tarfile
 from collections.abc import Iterator
 
@@ -180,44 +179,56 @@ def read_colmap_images(spark: SparkSession, path: str) -> DataFrame:
     return records.select(whole.alias("image_id"), F.get("f", 9).alias("name"), f(8, "long").alias("camera_id"), F.array(*[f(i, "double") for i in range(1, 5)]).alias("rotation_wxyz"), F.array(*[f(i, "double") for i in range(5, 8)]).alias("translation"))
 
 
-def pack_frames(frames: DataFrame, path: str) -> None:
-    """frames: archive, name, content (binary). One uncompressed tar per archive, its files sorted by name; an archive is the frames of one stage, which one task holds."""
+def _member(name: str, size: int) -> bytes:
+    info = tarfile.TarInfo(name)
+    info.size = size
+    return info.tobuf(tarfile.USTAR_FORMAT)
 
-    def run(key, pdf):
-        import pandas as pd
 
-        made = io.BytesIO()
-        with tarfile.open(fileobj=made, mode="w", format=tarfile.USTAR_FORMAT) as tar:
-            for name, content in sorted(zip(pdf["name"], pdf["content"], strict=True)):
-                info = tarfile.TarInfo(name)
-                info.size = len(content)
-                tar.addfile(info, io.BytesIO(content))
-        return pd.DataFrame({"archive": [key[0]], "content": [made.getvalue()]})
+def pack_frames(frames: DataFrame, path: str) -> None:
+    """frames: archive, name, content (binary; null is empty). One uncompressed tar per archive, in a folder archive=<its name> below path, members sorted by name. A null or empty archive goes to Spark's default folder; a null name raises an error.
 
-    tars = frames.select("archive", "name", "content").groupBy("archive").applyInPandas(run, "archive string, content binary")
+    Members stream: Spark sorts them and its text writer puts one after another, so a task holds two of them and never an archive. The writer's line separator
+    is a zero byte, which stands for the last byte of a header (zero in this format) or of the archive's end; a row is what lies between two of these."""
 
-    def plain(batches):
+    def run(batches):
+        archive, number, body = None, 0, b""
         for batch in batches:
-            for x in batch.column("content").to_pylist():
-                yield _as_text([x])
-
-    tars.mapInArrow(plain, "value string").write.option("lineSep", _SEPARATOR).option("maxRecordsPerFile", 1).mode("overwrite").text(path)
+            names, contents = batch.column("name").to_pylist(), batch.column("content")
+            for i, owner in enumerate(batch.column("archive").to_pylist()):
+                if owner != archive:
+                    if archive is not None:
+                        yield row(archive, number, body + bytes(1023))
+                    archive, number, body = owner, 0, b""
+                content = contents[i].as_py() or b""
+                yield row(archive, number, body + _member(names[i], len(content))[:-1])
+                number, body = number + 1, content + bytes(-len(content) % 512)
+        if archive is not None:
+            yield row(archive, number, body + bytes(1023))
+
+    def row(archive: str, number: int, value: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([number], pa.int64()), pa.array([value], pa.binary()).view(pa.string())], ["archive", "number", "value"])
+
+    members = frames.select(F.coalesce(F.col("archive").cast("string"), F.lit("")).alias("archive"), "name", "content").repartition("archive").sortWithinPartitions("archive", "name")
+    rows = members.mapInArrow(run, "archive string not null, number long, value string")  # not null: the writer then keeps this order
+    rows = rows.sortWithinPartitions("archive", "number")
+    rows.select("archive", "value").write.partitionBy("archive").option("lineSep", "\0").option("maxRecordsPerFile", 0).mode("overwrite").text(path)
 
 
 def unpack_frames(spark: SparkSession, path: str) -> DataFrame:
-    """archive (its file), name, content, sha256. A member that is not a plain file directly inside raises an error."""
+    """archive (its file), name, content, sha256. A member that is not a plain file directly inside raises an error. An archive is read in place, a member at a time."""
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 archive = batch.column("path")[i].as_py()
-                with tarfile.open(fileobj=io.BytesIO(batch.column("content")[i].as_py())) as tar:
+                with tarfile.open(fileobj=pa.BufferReader(batch.column("content")[i].as_buffer()), mode="r:") as tar:
                     for member in tar:
                         if not member.isfile() or "/" in member.name or "\\" in member.name or member.name.startswith("."):
                             raise ValueError(f"{archive}: unsafe member {member.name!r}")
                         yield pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([member.name]), pa.array([tar.extractfile(member).read()], pa.binary())], ["archive", "name", "content"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
     return files.mapInArrow(run, "archive string, name string, content binary").withColumn("sha256", F.sha2("content", 256))
 
 

@@ -66,3 +66,28 @@ def test_spelling_and_reading_of_a_request(spark):
 def test_fallback_folds_and_orders_by_nearness(spark):
     found = search.hybrid_search(points(spark), "nearest elevator", None, position=(4.0, 0.0)).orderBy("rank").collect()
     assert [r["id"] for r in found] == [3] and found[0]["matched_by"] == "LEXICAL"
+
+
+def test_archives_stream_and_any_tar_reader_reads_them(spark, tmp_path):
+    """Contents of every length around a block, zero and high bytes, and one archive with most of the members."""
+    rows = [("big" if i % 8 else f"small{i % 3}", f"f{i:04d}", bytes((i * 7 + j) % 256 for j in range(i if i < 1100 else 512 * (i % 5)))) for i in range(0, 1200, 3)]
+    rows += [("empty", "none", None), ("empty", "zero", bytes(512))]
+    path = str(tmp_path / "tars")
+    files.pack_frames(spark.createDataFrame(rows, "archive string, name string, content binary").repartition(8), path)
+    executions = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plan = executions.apply(executions.size() - 1).physicalPlanDescription()
+    sorts = [line for line in plan.split("WriteFiles")[1].splitlines() if "Sort (" in line]
+    assert "MapInArrow" in plan.split("WriteFiles")[1].split(sorts[1])[0]  # one sort behind the writer, which keeps members in order
+    assert any(line.startswith("Arguments: [archive#") and "number#" in line for line in plan.splitlines())
+    found = []
+    for archive in {r[0] for r in rows}:
+        (part,) = (tmp_path / "tars" / f"archive={archive}").glob("part-*")
+        assert part.stat().st_size % 512 == 0
+        with tarfile.open(part, "r:") as tar:
+            names = tar.getnames()
+            assert names == sorted(names)
+            found += [(archive, m.name, tar.extractfile(m).read()) for m in tar]
+    wanted = sorted((a, n, c or b"") for a, n, c in rows)
+    assert sorted(found) == wanted
+    back = files.unpack_frames(spark, path).selectExpr("regexp_extract(archive, 'archive=([^/]+)', 1)", "name", "content").collect()
+    assert sorted((a, n, bytes(c)) for a, n, c in back) == wanted
