@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import times
 from ..sources.shared import shared_dir
 from ..sources.tables import table
 from ..streaming import leases as L
@@ -93,7 +94,7 @@ def x17(spark, d):
 
 @query("x02_event_order", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS place FROM events")
 def x02(spark, d):
-    return X.in_event_order(_events(spark, d), "user_id", F.unix_millis("ts"), "event_id").select("event_id", "place")
+    return X.in_event_order(_events(spark, d), "user_id", times.epoch_millis(F.col("ts")), "event_id").select("event_id", "place")
 
 
 def _sightings(events):
