@@ -87,7 +87,7 @@ SELECT id, round(CASE WHEN d > 180 THEN d - 360 ELSE d END, 4) AS turn FROM m"""
 def w11(spark, d):
     w = Window.partitionBy("session").orderBy("t", "id")
     near = _track(spark, d).withColumns({"px": F.lag("x").over(w), "py": F.lag("y").over(w), "nx": F.lead("x").over(w), "ny": F.lead("y").over(w)}).where("px IS NOT NULL AND nx IS NOT NULL")
-    return near.select("id", F.round(G.turn_degrees(*map(F.col, ("px", "py", "x", "y", "nx", "ny"))), 4).alias("turn"))
+    return near.select("id", G.round_away(G.turn_degrees(*map(F.col, ("px", "py", "x", "y", "nx", "ny"))), 4).alias("turn"))
 
 
 @query("w12_depth_layers", """WITH l AS (SELECT p_brand AS frame, p_partkey AS id, p_retailprice AS depth, CASE WHEN p_retailprice - lag(p_retailprice) OVER w > 5 THEN 1 ELSE 0 END AS b FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey)),
