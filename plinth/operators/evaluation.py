@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graphs import materialize
 from .relational import running_sums
 
 
@@ -54,16 +55,39 @@ def paired_bootstrap(df: DataFrame, key: str, a: str, b: str, n_boot: int = 1000
     return _resamples(paired, key, ["gap"], lambda p: p["gap"].to_numpy(float), n_boot, seed, alpha)
 
 
+def _parts(rows: DataFrame, keys: Sequence[str], **sums: Column) -> DataFrame:
+    """One row per key and part of the range sort: named aggregates over it."""
+    return materialize(rows.groupBy(*[F.col(k).alias(f"__of_{k}") for k in keys], F.col("__part").alias("__at")).agg(*[x.alias(n) for n, x in sums.items()]))
+
+
+def _with_parts(rows: DataFrame, parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    same = F.col("__part") == F.col("__at")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__of_{k}"))
+    return rows.join(parts, same).drop("__at", *[f"__of_{k}" for k in keys])
+
+
 def _ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], hit: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    one = F.col(hit).cast("int")
-    return df.withColumns({"__k": F.row_number().over(w), "__tp": F.sum(one).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__total": F.sum(one).over(Window.partitionBy(*keys))})
+    """keys, hit, __k (rank), __tp (hits so far) and __total of all rows. The range sort over keys and order is written once; its parts are ranked on their own and what lies before them is added, so a key's rows are not one task's."""
+    one = F.coalesce(F.col(hit).cast("int"), F.lit(0))
+    rows = df.orderBy(*keys, *order).select(*keys, hit, F.monotonically_increasing_id().alias("__row"))
+    rows = materialize(rows.withColumn("__part", F.shiftright("__row", 33)))
+    of = Window.partitionBy(*[f"__of_{k}" for k in keys])
+    before = of.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)  # over one row a part
+    parts = _parts(rows, keys, __n=F.count("*"), __hits=F.sum(one))
+    parts = parts.withColumns({"__n0": F.coalesce(F.sum("__n").over(before), F.lit(0)), "__tp0": F.coalesce(F.sum("__hits").over(before), F.lit(0)), "__total": F.sum("__hits").over(of)}).drop("__n", "__hits")
+    upto = Window.partitionBy(*keys, "__part").orderBy("__row")
+    ranked = _with_parts(rows, parts, keys).withColumns({"__k": F.col("__n0") + F.row_number().over(upto), "__tp": F.col("__tp0") + F.sum(one).over(upto.rowsBetween(Window.unboundedPreceding, 0))})
+    return ranked.drop("__n0", "__tp0")
 
 
 def average_precision(df: DataFrame, keys: Sequence[str], order: Sequence[Column], hit: str) -> DataFrame:
-    """All-point interpolated: the precision envelope is a reverse running maximum."""
-    after = Window.partitionBy(*keys).orderBy("__k").rowsBetween(0, Window.unboundedFollowing)
-    ranked = _ranked(df, keys, order, hit).withColumn("__envelope", F.max(F.col("__tp") / F.col("__k")).over(after))
+    """All-point interpolated: the precision envelope is a running maximum from the end, over the rows of a part and the maxima of the parts behind it."""
+    ranked = materialize(_ranked(df, keys, order, hit).withColumn("__p", F.col("__tp") / F.col("__k")))
+    behind = Window.partitionBy(*[f"__of_{k}" for k in keys]).orderBy(F.col("__at").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    parts = _parts(ranked, keys, __best=F.max("__p")).withColumn("__best", F.max("__best").over(behind))
+    after = Window.partitionBy(*keys, "__part").orderBy(F.col("__row").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = _with_parts(ranked, parts, keys).withColumn("__envelope", F.greatest(F.max("__p").over(after), "__best"))
     return ranked.groupBy(*keys).agg((F.sum(F.when(F.col(hit), F.col("__envelope")).otherwise(0.0)) / F.nullif(F.max("__total"), F.lit(0))).alias("ap"))
 
 
