@@ -1,7 +1,7 @@
 """File formats of scans: JSON lines, PLY clouds, OBJ meshes, COLMAP text models, tar archives of frames and trajectory uploads.
 
 Everything is read through Spark's text, JSON and binary sources and written through its writers, so paths may lie in any store that Spark reaches.
-Line order within a file matters for meshes and pose lists: such a file is read whole, as one row, and its lines numbered. Clouds are
+Line order within a file matters for meshes and pose lists: such a file is read block by block and its lines numbered. Clouds are
 written as many parts of bounded size."""
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import graphs
+
 IMAGES = "image_id string, relative_path string, width int, height int, venue_id string, floor_id string, split string, group_id string, content_sha256 string, origin string, license string, semantic_mask string, negative boolean"
 ANNOTATIONS = "annotation_id string, image_id string, object_class string, bounding_box struct<x:double,y:double,width:double,height:double,normalized:boolean>, provenance struct<source:string,annotator:string,created_at:string,review_status:string,model_id:string>"
 
@@ -112,10 +114,15 @@ def read_ply(spark: SparkSession, path: str, drop_higher_sh: bool = False) -> Da
     return files.mapInArrow(run, "file string, " + ", ".join(f"{p} float" for p in PLY_PROPERTIES))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line (from 0), value of all lines, each file read as one row: for formats in which a line's meaning hangs on those before it."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
+def numbered_lines(spark: SparkSession, path: str, kept: Column | None = None) -> DataFrame:
+    """file, line (from 0), value of all lines, or of those kept: for formats in which a line's meaning hangs on those before it. A file is read block by block, never as one row: lines are numbered within their block and the counts of the blocks before are added."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.regexp_replace("value", r"\r\z", "").alias("value"))
+    lines = lines if kept is None else lines.where(kept)
+    lines = graphs.materialize(lines.withColumn("row", F.monotonically_increasing_id()))  # without gaps within a block
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # over one row a block
+    blocks = graphs.materialize(lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("row").alias("first")))
+    blocks = blocks.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return lines.join(blocks, ["file", "block"]).select("file", (F.col("row") + F.col("shift")).alias("line"), "value")
 
 
 def _fields(value: Column) -> Column:
@@ -150,8 +157,11 @@ def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return vertices, triangles
 
 
+_RECORD = "trim(value) <> '' AND NOT startswith(trim(value), '#')"
+
+
 def _records(lines: DataFrame) -> DataFrame:
-    return lines.where("trim(value) <> '' AND NOT startswith(trim(value), '#')").withColumn("f", _fields(F.col("value")))
+    return lines.where(_RECORD).withColumn("f", _fields(F.col("value")))
 
 
 #: Camera models and how many parameters each has.
@@ -173,7 +183,7 @@ def read_colmap_points(spark: SparkSession, path: str) -> DataFrame:
 
 def read_colmap_images(spark: SparkSession, path: str) -> DataFrame:
     """image_id, name, camera_id, rotation_wxyz, translation: every other record of each file, from the first; those between list image points. A shorter pose line raises an error."""
-    records = _records(numbered_lines(spark, path)).withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("line"))).where("n % 2 = 1")
+    records = numbered_lines(spark, path, F.expr(_RECORD)).where("line % 2 = 0").withColumn("f", _fields(F.col("value")))
     f = lambda i, kind: F.get("f", i).cast(kind)
     whole = F.when(F.size("f") < 10, F.raise_error(F.concat(F.lit("malformed images.txt line: "), "value"))).otherwise(f(0, "long"))
     return records.select(whole.alias("image_id"), F.get("f", 9).alias("name"), f(8, "long").alias("camera_id"), F.array(*[f(i, "double") for i in range(1, 5)]).alias("rotation_wxyz"), F.array(*[f(i, "double") for i in range(5, 8)]).alias("translation"))
