@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import in_polygon, point_segment_distance
 from . import graphs
-from .spatial import AXES, k_nearest, nearest, placeable, similarity_fit
+from .spatial import AXES, indexed, k_nearest, nearest, placeable, similarity_fit
 
 #: Heights above a floor that count as free space, the clearance of an observer's own points, and the fewest candidates that can be judged.
 FREE_HEIGHT, FREE_CLEARANCE, FREE_LEAST = (0.3, 1.8), 0.15, 50
@@ -215,11 +215,12 @@ def align_clouds(source: DataFrame, target: DataFrame, schedule: Sequence[float]
     """Iterative closest point: scale, rotation and move that bring source onto target. Each round pairs the moved source points with their nearest target points within the stage's distance and solves for the pairs' sums; schedule: distances of the stages, widest first. Fewer than three pairs raise an error."""
     scale, rotation, move = 1.0, np.eye(3), np.zeros(3)
     there = target.select(F.col("id").alias("b_id"), *[F.col(a).alias(b) for a, b in zip(AXES, ("u", "v", "w"), strict=True)])
+    index = indexed(target, 1)
     for reach in schedule:
         before = np.inf
         for _ in range(rounds):
             placed = graphs.materialize(_moved(source.select("id", *AXES), scale, rotation, move))
-            pairs = nearest(placed, target, reach).where("b_id IS NOT NULL")
+            pairs = nearest(placed, target, reach, index=index).where("b_id IS NOT NULL")
             matched = graphs.materialize(pairs.join(source.select("id", *AXES), "id").join(there, "b_id"))
             stats = matched.agg(F.count("*").alias("n"), F.avg(F.col("distance") ** 2).alias("mse")).first()
             if stats["n"] < 3:
