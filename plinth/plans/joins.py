@@ -233,7 +233,7 @@ def u07(spark, d):
 
 
 def _best_in_lineage(t, is_start):
-    line = graphs.ancestors(t, "id", "parent", is_start).join(t.select("id", "version"), "id")
+    line = graphs.ancestors(t, "id", "parent", is_start).join(t.select("id", "version").hint("merge"), "id")  # no broadcast through the driver
     return R.first_per_key(line, ["start"], [(F.col("version") % 2 == 0).desc(), F.col("version").desc(), F.col("id")]).select("start", "id", "version")
 
 
