@@ -1,6 +1,8 @@
 """Work that must not grow faster than the tables."""
 
-from plinth.operators import spatial
+from pyspark.sql import functions as F
+
+from plinth.operators import graphs, searches, spatial
 
 
 def test_clusters_make_no_pairs_of_detections(spark, monkeypatch):
@@ -12,3 +14,22 @@ def test_clusters_make_no_pairs_of_detections(spark, monkeypatch):
     got = {r["id"]: r["cluster"] for r in spatial.cluster_by_label(spark.createDataFrame(rows, "id long, label string, confidence double, x double, y double, z double"), 0.6).collect()}
     assert len(got) == 41 and got[99] == 99 and len({got[i] for i in range(1, 40, 2)}) == 1
     assert all(got[i] == i for i in range(0, 40, 2))  # without a label each is its own
+
+
+def test_a_search_gathers_nodes_whose_ids_lie_apart(spark):
+    n = 4 * 601  # cycles of 25, every step far from the ids before it
+    edges = spark.range(n).select(F.lit(0).alias("graph"), F.col("id").alias("a"), (F.col("id") * 2 % n).alias("b"), (1.0 + F.col("id") % 7).alias("length"))
+    start = spark.createDataFrame([(0, 0, 3)], "search int, graph int, id long")
+    got = {r["id"]: (r["distance"], r["previous"]) for r in searches.searches(edges, start, block_nodes=200, rounds=4).collect()}
+    want, at, far, before = {}, 3, 0.0, None
+    while at not in want:
+        want[at] = (far, before)
+        far, before, at = far + 1.0 + at % 7, at, at * 2 % n
+    assert got == want
+
+
+def test_clusters_stay_below_their_size(spark):
+    ids = spark.range(300).select(F.xxhash64("id").alias("id"))
+    chain = spark.range(299).select(F.xxhash64("id").alias("a"), F.xxhash64(F.col("id") + 1).alias("b"))
+    found = graphs.clusters(ids, chain, 50).groupBy("cluster").count().toPandas()["count"]
+    assert found.sum() == 300 and found.max() <= 50 and len(found) < 60
