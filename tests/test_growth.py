@@ -1,8 +1,9 @@
 """Work that must not grow faster than the tables."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from plinth.operators import graphs, searches, spatial
+from plinth.operators import graphs, registration, searches, spatial
 
 
 def test_clusters_make_no_pairs_of_detections(spark, monkeypatch):
@@ -33,3 +34,22 @@ def test_clusters_stay_below_their_size(spark):
     chain = spark.range(299).select(F.xxhash64("id").alias("a"), F.xxhash64(F.col("id") + 1).alias("b"))
     found = graphs.clusters(ids, chain, 50).groupBy("cluster").count().toPandas()["count"]
     assert found.sum() == 300 and found.max() <= 50 and len(found) < 60
+
+
+def test_placements_that_are_the_same_are_scored_once(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    p = rng.normal(size=(400, 3))
+    turn = registration._yawed(np.array(0.7))
+    q = np.where((np.arange(400) < 250)[:, None], p @ turn.T + [1.0, 0.5, 0.1], rng.normal(size=(400, 3)) * 3)
+    pairs = spark.createDataFrame([(i, *map(float, a), *map(float, b)) for i, (a, b) in enumerate(zip(p, q, strict=True))], "id long, x double, y double, z double, u double, v double, w double")
+    asked, plain = [], registration.scores
+    monkeypatch.setattr(registration, "scores", lambda pairs, linear, move, reach: asked.append(len(linear)) or plain(pairs, linear, move, reach))
+    found = registration.yaw_hypotheses(pairs, 0.01, most=1, support=20)
+    assert abs(found[0][0] - 0.7) < 1e-6 and found[0][2] == 250
+    drawn = len(asked) and sum(asked)
+    yaw, move = np.array([0.7, 0.7 + 1e-12, 0.3, 0.7 - 2e-12]), np.array([[1.0, 0.5, 0.1]] * 4)
+    asked.clear()
+    reach = 0.5 + 1e-3
+    got = registration._counts(pairs, yaw, move, reach, 5.0, 15.0)
+    assert (got == plain(pairs, registration._yawed(yaw), move, reach)[0]).all()
+    assert drawn < 500  # 1,000 draws and more, most of them two right correspondences
