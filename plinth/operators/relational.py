@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .graphs import materialize
 
@@ -25,6 +30,37 @@ def placed(df: DataFrame, order: Sequence[Column], name: str = "place") -> DataF
     return rows.join(F.broadcast(counts), "__part").select(*df.columns, (F.col("__before") + F.col("__row") + 1).alias(name))
 
 
+def in_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Column], run: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, rows: int = 50_000) -> DataFrame:
+    """What run makes of many whole groups at once: it gets their rows, group by group and each in the order asked, and where the groups begin. For groups of a few rows, of which a call for each would cost more than its work. A task holds some `rows` rows, or its largest group."""
+
+    def begins(held: pa.Table) -> np.ndarray:
+        new = np.zeros(held.num_rows, bool)
+        for k in keys:
+            code = held.column(k).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            new[1:] |= code[1:] != code[:-1]
+        return np.r_[0, np.flatnonzero(new)]
+
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    made = lambda held: pa.RecordBatch.from_pandas(run(held.to_pandas(), begins(held)), kinds, preserve_index=False)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+        for batch in batches:
+            waiting.append(pa.Table.from_batches([batch]))
+            size += batch.num_rows
+            if size < rows:
+                continue
+            held = pa.concat_tables(waiting)
+            cut = int(begins(held)[-1])  # the last group may go on in the next batch
+            if cut:
+                yield made(held.slice(0, cut))
+            waiting, size = [held.slice(cut)], 0  # as many rows again before the next look
+        if waiting and (held := pa.concat_tables(waiting)).num_rows:
+            yield made(held)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(parts, schema)
+
+
 def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, str]) -> DataFrame:
     """df with the running sum of each column in sums (new name: column) in a total order over the whole table, and no window over all of it: parts of the range sort are summed on their own, and the sums of the parts before are added."""
     rows = materialize(df.orderBy(*order).withColumn("__row", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__row", 33)))

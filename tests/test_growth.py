@@ -1,9 +1,10 @@
 """Work that must not grow faster than the tables."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from plinth.operators import graphs, registration, searches, spatial
+from plinth.operators import graphs, registration, relational, searches, spatial
 
 
 def test_clusters_make_no_pairs_of_detections(spark, monkeypatch):
@@ -53,3 +54,16 @@ def test_placements_that_are_the_same_are_scored_once(spark, monkeypatch):
     got = registration._counts(pairs, yaw, move, reach, 5.0, 15.0)
     assert (got == plain(pairs, registration._yawed(yaw), move, reach)[0]).all()
     assert drawn < 500  # 1,000 draws and more, most of them two right correspondences
+
+
+def test_many_small_groups_share_a_call(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 7 == 0, None).otherwise(F.floor(F.col("id") / 3)).alias("k"), "id")
+
+    def run(pdf, begins):
+        size = np.diff(np.r_[begins, len(pdf)])
+        return pd.DataFrame({"k": pdf["k"], "n": np.repeat(size, size), "calls": len(begins)})
+
+    got = relational.in_groups(rows, ["k"], [F.col("id")], run, "k long, n int, calls int", rows=500).toPandas()
+    want = rows.groupBy(F.coalesce("k", F.lit(-1)).alias("k")).count().toPandas().set_index("k")["count"]
+    assert len(got) == 3000 and (got.groupby(got["k"].fillna(-1))["n"].first().to_numpy() == want.sort_index().to_numpy()).all()
+    assert got["calls"].max() > 20
