@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import segment_hits_box
 from . import searches
 from .graphs import materialize
+from .relational import in_groups
 
 #: Seconds in an elevator, speeds on stairs and of walkers in metres a second.
 ELEVATOR_SECONDS, STAIRS_SPEED, WALKING, STEP_FREE_WALKING = 45.0, 0.5, 1.3, 1.0
@@ -290,11 +291,7 @@ def nearest_by_route(ranked: DataFrame, distances: DataFrame, k: int) -> DataFra
 def two_opt(stops: DataFrame, most: int = 500) -> DataFrame:
     """stops: tour, at (0 is the fixed start), stop, x, y. (tour, at, stop, length): the walk after turning round stretches of it as long as that shortens it, and its length; the end is free. A tour is one task's work; more than `most` stops raise an error."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "stop"], kind="stable")
-        if len(pdf) > most:
-            raise ValueError(f"tour {key[0]}: {len(pdf)} stops, at most {most}")
-        xy = pdf[["x", "y"]].to_numpy(float)
+    def turned(xy: np.ndarray) -> tuple[np.ndarray, float]:
         d = np.hypot(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1])
         order, n, better = np.arange(len(xy)), len(xy), True
         while better:
@@ -308,8 +305,16 @@ def two_opt(stops: DataFrame, most: int = 500) -> DataFrame:
                     k = int(j[gain.argmax()])
                     order[i : k + 1] = order[i : k + 1][::-1]
                     better = True
-        length = float(d[order[:-1], order[1:]].sum())
-        return pd.DataFrame({"tour": key[0], "at": np.arange(n), "stop": pdf["stop"].to_numpy()[order], "length": length})
+        return order, float(d[order[:-1], order[1:]].sum())
+
+    def run(pdf: pd.DataFrame, begins: np.ndarray) -> pd.DataFrame:
+        xy, way, at, length = pdf[["x", "y"]].to_numpy(float), np.arange(len(pdf)), np.zeros(len(pdf), np.int32), np.zeros(len(pdf))
+        for a, z in zip(begins, np.r_[begins[1:], len(pdf)], strict=True):
+            if z - a > most:
+                raise ValueError(f"tour {pdf['tour'].iloc[a]}: {z - a} stops, at most {most}")
+            order, length[a:z] = turned(xy[a:z])
+            way[a:z], at[a:z] = a + order, np.arange(z - a)
+        return pd.DataFrame({"tour": pdf["tour"], "at": at, "stop": pdf["stop"].to_numpy()[way], "length": length})
 
     kind = {c: stops.schema[c].dataType.simpleString() for c in ("tour", "stop")}
-    return stops.select("tour", "at", "stop", "x", "y").groupBy("tour").applyInPandas(run, f"tour {kind['tour']}, at int, stop {kind['stop']}, length double")
+    return in_groups(stops.select("tour", "at", "stop", "x", "y"), ["tour"], [F.asc_nulls_last("at"), F.asc_nulls_last("stop")], run, f"tour {kind['tour']}, at int, stop {kind['stop']}, length double")
