@@ -67,3 +67,14 @@ def test_many_small_groups_share_a_call(spark):
     want = rows.groupBy(F.coalesce("k", F.lit(-1)).alias("k")).count().toPandas().set_index("k")["count"]
     assert len(got) == 3000 and (got.groupby(got["k"].fillna(-1))["n"].first().to_numpy() == want.sort_index().to_numpy()).all()
     assert got["calls"].max() > 20
+
+
+def test_systems_side_by_side_equal_each_alone():
+    rng = np.random.default_rng(1)
+    diagonal = np.eye(2) * 5 + rng.normal(size=(7, 2, 2)) * 0.1
+    diagonal, right, owner = diagonal + np.swapaxes(diagonal, 1, 2), rng.normal(size=(7, 2)), np.array([0, 0, 0, 1, 1, 1, 1])
+    a, b, block = np.array([0, 1, 3, 4, 5]), np.array([1, 2, 4, 5, 6]), rng.normal(size=(5, 2, 2))
+    both = registration.conjugate_gradients(diagonal, a, b, block, right, owner=owner)
+    for own, at in ((slice(0, 3), slice(0, 2)), (slice(3, 7), slice(2, 5))):
+        alone = registration.conjugate_gradients(diagonal[own], a[at] - own.start, b[at] - own.start, block[at], right[own])
+        assert np.abs(alone - both[own]).max() < 1e-9
