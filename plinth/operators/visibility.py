@@ -103,8 +103,13 @@ def choose_views(seen: DataFrame, places: DataFrame, targets: DataFrame, most: i
     own = seen.select("cell", "weight", "bearing")
     known = graphs.materialize(own.where("false") if known is None else known.select("cell", "weight", "bearing"))
 
+    # the bearing farthest from another lies opposite it. Of the bearings within some degrees the smallest and the largest do: only if one between them is farther do they matter, and then all of them are farther than the angle asked, beyond which nothing is gained.
+    grain = min(10.0, 180.0 - angle)
+    slot = F.floor(F.col("bearing") / grain) if grain > 0 else F.col("bearing")
+
     def state_after(chosen: DataFrame) -> tuple[DataFrame, float]:
-        sums = known.unionByName(chosen).groupBy("cell").agg(F.sum("weight").alias("mass"), F.collect_set("bearing").alias("bearings"))  # the views of one cell
+        slots = known.unionByName(chosen).groupBy("cell", slot.alias("slot")).agg(F.sum("weight").alias("mass"), F.min("bearing").alias("low"), F.max("bearing").alias("high"))
+        sums = slots.groupBy("cell").agg(F.sum("mass").alias("mass"), F.array_distinct(F.flatten(F.collect_list(F.array("low", "high")))).alias("bearings"))
         widest = F.coalesce(F.array_max(F.transform("bearings", lambda a: F.array_max(F.transform("bearings", lambda b: _apart(a, b))))), F.lit(0.0))
         state = graphs.materialize(sums.select("cell", "mass", widest.alias("angle"), "bearings"))
         return state, state.join(targets, "cell").agg(F.sum(F.col("importance") * _covered(F.col("mass"), F.col("angle"), mass, angle))).first()[0] or 0.0

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from plinth.operators import graphs, registration, relational, searches, spatial
+from plinth.operators import graphs, registration, relational, searches, spatial, visibility
 
 
 def test_clusters_make_no_pairs_of_detections(spark, monkeypatch):
@@ -78,3 +78,15 @@ def test_systems_side_by_side_equal_each_alone():
     for own, at in ((slice(0, 3), slice(0, 2)), (slice(3, 7), slice(2, 5))):
         alone = registration.conjugate_gradients(diagonal[own], a[at] - own.start, b[at] - own.start, block[at], right[own])
         assert np.abs(alone - both[own]).max() < 1e-9
+
+
+def test_a_cell_keeps_few_bearings(spark, monkeypatch):
+    asked, plain = [], visibility.gains
+    monkeypatch.setattr(visibility, "gains", lambda seen, state, *rest: asked.append(state.agg(F.max(F.size("bearings"))).first()[0]) or plain(seen, state, *rest))
+    known = spark.range(2000).select(F.lit(1).alias("cell"), F.lit(1e-5).alias("weight"), (F.col("id") * 0.05).alias("bearing"))  # 100 degrees of them
+    seen = spark.createDataFrame([(1, 1, 0.5, 130.0), (2, 1, 0.5, 50.0)], "view int, cell int, weight double, bearing double")
+    places = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.0)], "view int, x double, y double")
+    targets = spark.createDataFrame([(1, 1.0)], "cell int, importance double")
+    picks, _ = visibility.choose_views(seen, places, targets, 1, 1.0, 120.0, (0.0, 0.0), 1.0, known=known)
+    assert max(asked) <= 72
+    assert picks[0][0] == 1 and abs(picks[0][3] - (0.52 - 0.02 * 99.95 / 120)) < 1e-8  # 130 against 0 degrees is wide enough
