@@ -1,6 +1,10 @@
 """Obstacle tracks: batch and stream, and the rules one by one."""
 
+import random
+import time
+
 import numpy as np
+import pytest
 
 from plinth.streaming import telemetry as X
 from plinth.streaming import tracks as T
@@ -75,3 +79,27 @@ def test_nearest_pairs_go_first():
     assert T.one_to_one(apart, apart < 1).tolist() == [1, 0]
     assert T.one_to_one(apart, apart < 0.3).tolist() == [1, -1]
     assert T.one_to_one(np.zeros((0, 2)), np.zeros((0, 2), bool)).tolist() == []
+
+
+def walk(frames, rows, seed=5):
+    """Frames of up to `rows` sightings on a grid on which many distances are the same."""
+    rng = random.Random(seed)
+    return [(k * 0.25, [(rng.choice((O, O, P, None)), rng.randrange(17) * 0.7, rng.randrange(5) * 0.7) for _ in range(rng.randrange(rows + 1))]) for k in range(frames)]
+
+
+@pytest.mark.parametrize("rows", [3, 40])
+def test_loops_and_arrays_find_the_same_pairs(monkeypatch, rows):
+    frames = walk(200, rows)
+    loops = feed(*frames)
+    monkeypatch.setattr(T, "MANY", 0)
+    arrays = feed(*frames)
+    assert len(loops) and loops.equals(arrays)
+
+
+def test_small_frames_cost_microseconds(spark):
+    """A floor is followed frame by frame, so the seconds of a busy floor are those of its frames."""
+    n = 200_000
+    rows = spark.range(n).selectExpr("1L AS floor", "id * 0.5 AS t", "id", "IF(id % 3 = 0, 'PERSON', 'UNCLASSIFIED') AS category", "id % 17 * 0.7 AS x", "id % 5 * 0.7 AS y", "0.5 AS confidence", "0.2 AS uncertainty")
+    start = time.monotonic()
+    assert T.track_obstacles(rows).count() > 0
+    assert time.monotonic() - start < 20
