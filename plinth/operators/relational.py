@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -71,6 +73,23 @@ def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, str]) -
     return rows.join(F.broadcast(parts), "__part").select(*df.columns, *[(F.coalesce(F.sum(c).over(upto), F.lit(0)) + F.col(f"__{n}")).alias(n) for n, c in sums.items()])
 
 
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys and, by name, the exact percentiles of value at the shares, interpolated; null without a value. Equal values are counted first, and running sums over the range-sorted counts tell which of them lie at the places asked, so no task holds the values of a key."""
+    counts = df.groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(value).alias("__n"))
+    ranked = materialize(running_sums(counts, [*[F.col(k) for k in keys], F.col("__v")], {"__upto": "__n"}))
+    of = ranked.groupBy(*[F.col(k).alias(f"__of_{k}") for k in keys]).agg(F.sum("__n").alias("__all"), F.max("__upto").alias("__end"))
+    same = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys]
+    both = ranked.join(of, reduce(and_, same)) if keys else ranked.crossJoin(F.broadcast(of))  # one row
+    upto = F.col("__upto") - F.col("__end") + F.col("__all")  # within the key
+    at = {name: share * (F.col("__all") - 1) for name, share in shares.items()}
+    holds = lambda place: (place >= upto - F.col("__n")) & (place < upto)
+    ends = {f"__{end}_{name}": F.max(F.when(holds(cut(place)), F.col("__v"))) for name, place in at.items() for end, cut in (("low", F.floor), ("high", F.ceil))}
+    found = both.groupBy(*keys).agg(F.max("__all").alias("__all"), *[v.alias(n) for n, v in ends.items()])
+    low, high = (lambda name: F.col(f"__low_{name}")), (lambda name: F.col(f"__high_{name}"))
+    between = lambda name, place: (F.ceil(place) - place) * low(name) + (place - F.floor(place)) * high(name)
+    return found.select(*keys, *[F.when(low(name) == high(name), low(name)).otherwise(between(name, place)).alias(name) for name, place in at.items()])
+
+
 def lateral_first(outer: DataFrame, inner: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Each outer row with the first inner row of its key, or nulls: the inner side is ranked once, not once per outer row."""
     return outer.join(first_per_key(inner, keys, order), list(keys), "left")

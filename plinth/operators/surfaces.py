@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import in_polygon, point_segment_distance
 from . import graphs
+from .relational import percentiles
 from .spatial import AXES, indexed, k_nearest, nearest, placeable, similarity_fit
 
 #: Heights above a floor that count as free space, the clearance of an observer's own points, and the fewest candidates that can be judged.
@@ -70,7 +71,7 @@ def floor_footprint(points: DataFrame, size: float, ground: Sequence[str] | None
     if ground is not None:
         floor = points.where(F.col("label").isin(list(ground)))
     else:
-        low = points.agg(F.percentile("z", 0.02).alias("low"))
+        low = percentiles(points, [], "z", {"low": 0.02})
         floor = points.crossJoin(F.broadcast(low)).where(F.col("z") <= F.col("low") + band)  # one row
     return cells_of(floor, size).select("i", "j").distinct()
 
@@ -238,9 +239,10 @@ def align_clouds(source: DataFrame, target: DataFrame, schedule: Sequence[float]
 
 def alignment_metrics(source: DataFrame, target: DataFrame, reach: float) -> DataFrame:
     """One row for clouds in one frame: source points, those with a target point within reach, their share, and mean, median and root mean square of their distances (null without any)."""
-    near = nearest(source, target, reach)
+    near = graphs.materialize(nearest(source, target, reach))
     d = F.col("distance")
-    return near.agg(F.count("*").alias("points"), F.count("b_id").alias("inliers"), F.coalesce(F.count("b_id") / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("ratio"), F.avg(d).alias("mean"), F.percentile(d, 0.5).alias("median"), F.sqrt(F.avg(d * d)).alias("rms"))
+    found = near.agg(F.count("*").alias("points"), F.count("b_id").alias("inliers"), F.coalesce(F.count("b_id") / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("ratio"), F.avg(d).alias("mean"), F.sqrt(F.avg(d * d)).alias("rms"))
+    return found.crossJoin(percentiles(near, [], "distance", {"median": 0.5})).select("points", "inliers", "ratio", "mean", "median", "rms")  # one row each
 
 
 def seam_step(added: DataFrame, kept: DataFrame, ring: Sequence[tuple[float, float]], band: float, k: int = 8) -> DataFrame:
@@ -251,8 +253,9 @@ def seam_step(added: DataFrame, kept: DataFrame, ring: Sequence[tuple[float, flo
     normals = graphs.materialize(surface_normals(across, k).join(across.select("id", *[F.col(a).alias(f"k{a}") for a in AXES]), "id").withColumnRenamed("id", "b_id"))
     pairs = nearest(inside, across, 2 * band).where("b_id IS NOT NULL").join(normals, "b_id").join(inside.select("id", *AXES), "id")
     step = F.abs(sum(((F.col(a) - F.col(f"k{a}")) * F.col(f"n{a}") for a in AXES), F.lit(0.0)))
+    steps = graphs.materialize(pairs.select(step.alias("off")))
     sizes = inside.agg(F.count("*").alias("band_points")).crossJoin(across.agg(F.count("*").alias("kept_points")))  # one row each
-    found = pairs.agg(F.count("*").alias("matched"), F.percentile(step, 0.5).alias("step"))
+    found = steps.agg(F.count("*").alias("matched")).crossJoin(percentiles(steps, [], "off", {"step": 0.5}))
     return sizes.crossJoin(found).withColumn("step", F.when(F.col("matched") >= 3, F.col("step")))
 
 

@@ -71,7 +71,8 @@ def g10(spark, d):
 
 @query("g11_percentiles", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95 FROM lineitem GROUP BY 1")
 def g11(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.percentile("l_extendedprice", 0.5), 4).alias("p50"), F.round(F.percentile("l_extendedprice", 0.95), 4).alias("p95"))
+    found = R.percentiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p50": 0.5, "p95": 0.95})
+    return found.select("l_returnflag", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"))
 
 
 @query("g12_array_agg_distinct", "SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type) FILTER (value > 40)), ',') AS kinds FROM events GROUP BY 1")
@@ -224,9 +225,11 @@ def g32(spark, d):
 count(DISTINCT vec_id % 16) AS frames, round(median(embedding[4]::DOUBLE), 6) AS depth_spread, round(sqrt(var_pop(embedding[1]::DOUBLE) + var_pop(embedding[2]::DOUBLE)), 5) AS rms FROM embeddings GROUP BY 1""")
 def g40(spark, d):
     x = lambda i: F.col("embedding")[i].cast("double")
-    return table(spark, d, "embeddings").groupBy("label").agg(
+    spread = R.percentiles(table(spark, d, "embeddings").select(F.col("label").alias("of"), x(3).alias("depth")), ["of"], "depth", {"middle": 0.5})
+    found = table(spark, d, "embeddings").groupBy("label").agg(
         F.round(F.avg(x(0)), 5).alias("x"), F.round(F.avg(x(1)), 5).alias("y"), F.max(F.round(x(2), 6)).alias("confidence"), (-F.max(F.struct(x(2), -F.col("vec_id")))["col2"]).alias("strongest"),
-        F.count_distinct(F.col("vec_id") % 16).alias("frames"), F.round(F.percentile(x(3), 0.5), 6).alias("depth_spread"), F.round(F.sqrt(F.var_pop(x(0)) + F.var_pop(x(1))), 5).alias("rms"))
+        F.count_distinct(F.col("vec_id") % 16).alias("frames"), F.round(F.sqrt(F.var_pop(x(0)) + F.var_pop(x(1))), 5).alias("rms"))
+    return found.join(spread, F.col("label").eqNullSafe(F.col("of"))).select("label", "x", "y", "confidence", "strongest", "frames", F.round("middle", 6).alias("depth_spread"), "rms")
 
 
 @query("g41_split_statistics", "SELECT lang, count(*) AS n, round(count(*) / (SELECT min(n) FROM (SELECT count(*) AS n FROM documents GROUP BY lang)), 6) AS imbalance FROM documents GROUP BY 1")
@@ -267,7 +270,8 @@ def g45(spark, d):
 
 @query("g46_latency_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
 def g46(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.99), 6).alias("p99"))
+    found = R.percentiles(table(spark, d, "events"), ["event_type"], "value", {"p50": 0.5, "p99": 0.99})
+    return found.select("event_type", F.round("p50", 6).alias("p50"), F.round("p99", 6).alias("p99"))
 
 
 @query("g47_search_scoring", f"""WITH s AS ({_SCORED}), r AS (SELECT class, hit, row_number() OVER (PARTITION BY class, id // 1000 ORDER BY score DESC, id) AS k, id // 1000 AS q FROM s), a AS (SELECT class, q, bool_or(hit AND k = 1) AS t1, bool_or(hit AND k <= 5) AS t5 FROM r GROUP BY 1, 2)

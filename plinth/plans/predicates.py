@@ -68,7 +68,7 @@ UNION ALL SELECT 'order_price_p95', o_orderpriority, round(quantile_cont(o_total
 def s22(spark, d):
     o = table(spark, d, "orders")
     totals = o.groupBy(F.col("o_orderstatus").alias("label")).agg(F.count("*").cast("double").alias("value")).withColumn("metric", F.lit("orders_total"))
-    p95 = o.groupBy(F.col("o_orderpriority").alias("label")).agg(F.round(F.percentile("o_totalprice", 0.95), 4).alias("value")).withColumn("metric", F.lit("order_price_p95"))
+    p95 = R.percentiles(o, ["o_orderpriority"], "o_totalprice", {"value": 0.95}).select(F.col("o_orderpriority").alias("label"), F.round("value", 4).alias("value")).withColumn("metric", F.lit("order_price_p95"))
     return totals.unionByName(p95).select("metric", "label", "value")
 
 

@@ -90,3 +90,26 @@ def test_a_cell_keeps_few_bearings(spark, monkeypatch):
     picks, _ = visibility.choose_views(seen, places, targets, 1, 1.0, 120.0, (0.0, 0.0), 1.0, known=known)
     assert max(asked) <= 72
     assert picks[0][0] == 1 and abs(picks[0][3] - (0.52 - 0.02 * 99.95 / 120)) < 1e-8  # 130 against 0 degrees is wide enough
+
+
+def test_percentiles_equal_the_built_in_ones(spark, monkeypatch):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that a key has several parts
+    try:
+        rows = spark.range(3000).select(F.when(F.col("id") % 5 > 0, F.col("id") % 3).alias("k"), F.when(F.col("id") % 7 > 0, F.hash("id") % 90 / 4).alias("v"))
+        rows = rows.unionByName(spark.createDataFrame([(7, None), (8, 1.5), (9, float("nan")), (9, 2.0), (9, 0.0)], "k long, v double"))
+        shares = {"least": 0.0, "some": 0.37, "half": 0.5, "p99": 0.99, "most": 1.0}
+        for keys in (["k"], []):
+            want = rows.groupBy(*keys).agg(*[F.percentile("v", p).alias(n) for n, p in shares.items()])
+            assert sorted(map(str, relational.percentiles(rows, keys, "v", shares).collect())) == sorted(map(str, want.collect()))
+        assert relational.percentiles(rows.limit(0), [], "v", shares).first()["half"] is None
+        assert relational.percentiles(rows.limit(0), ["k"], "v", shares).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_percentiles_of_a_table_hold_no_group_in_one_task(spark):
+    from plinth.plans import catalog
+
+    for name in ("g11_percentiles", "g46_latency_percentiles", "s22_metrics"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+        assert "percentile(" not in plan
