@@ -18,6 +18,8 @@ from .spatial import placeable
 STRIPE = 64
 #: Depth below the reference height at which ground is still looked for (fixed value).
 BELOW = 0.5
+#: Directions that half a turn is cut into, and the part of a strip by which strips are moved, so that sides at round numbers do not lie between two.
+TURNS, SHIFT = 16, 0.37
 
 
 def _cell(c: str, size: float) -> Column:
@@ -109,45 +111,58 @@ def surface_model(ground: DataFrame, obstacles: DataFrame, *, reference: float,
 
 
 def _sides(polygons: DataFrame) -> DataFrame:
-    """The sides of polygons (part, polygon, ring): (part, polygon, side, p, q), structs (x, y, z)."""
+    """The sides of polygons (part, polygon, ring), from p to q: (part, polygon, px, py, pz, qx, qy, qz)."""
     n = F.size("ring")
-    pairs = F.transform("ring", lambda v, k: F.struct(k.alias("side"), v.alias("p"), F.element_at("ring", F.pmod(k + 1, n).cast("int") + 1).alias("q")))
-    return polygons.where(n > 2).select("part", "polygon", F.explode(pairs).alias("s")).select("part", "polygon", "s.*")
+    pairs = F.transform("ring", lambda v, k: F.struct(v.alias("p"), F.element_at("ring", F.pmod(k + 1, n).cast("int") + 1).alias("q")))
+    return polygons.where(n > 2).select("part", "polygon", F.explode(pairs).alias("s")).select("part", "polygon", *[F.col(f"s.{v}.{c}").cast("double").alias(v + c) for v in "pq" for c in "xyz"])
+
+
+def _strips(sides: DataFrame, long: float, reach: float, inside: float, spread: Column) -> DataFrame:
+    """A row per strip that a side passes: its columns and `cell`. A strip is `long` by an eighth of it and lies along one of TURNS directions; a side goes into those within `spread` of its own, in radians.
+
+    A strip is passed if a point of the side, at least `inside` from its ends, lies within reach of it. Along a side, only the strips beside it are made, not all of its rectangle."""
+    quantum = pi / TURNS
+    wide, reach = long / 8, reach + 1e-6
+    at = F.atan2(F.col("qy") - F.col("py"), F.col("qx") - F.col("px")) / quantum + 0.5
+    far = spread / quantum
+    rows = sides.withColumn("k", F.explode(F.sequence(F.floor(at - far), F.floor(at + far)))).withColumn("k", F.pmod("k", F.lit(TURNS)))
+    c, s = F.cos(F.col("k") * quantum), F.sin(F.col("k") * quantum)
+    rows = rows.withColumns({f"{v}u": F.col(f"{v}x") * c + F.col(f"{v}y") * s for v in "pq"} | {f"{v}v": F.col(f"{v}y") * c - F.col(f"{v}x") * s for v in "pq"})
+    low, high = F.least("pu", "qu"), F.greatest("pu", "qu")
+    number = lambda x, size: F.floor(x / size + SHIFT)
+    rows = rows.withColumn("i", F.explode(F.sequence(number(low + inside - reach, long), number(high - inside + reach, long))))
+    begins, ends = F.greatest(low, (F.col("i") - SHIFT) * long - reach), F.least(high, (F.col("i") + 1 - SHIFT) * long + reach)
+    run = F.col("qu") - F.col("pu")
+    across = lambda u, end: F.when(F.abs(run) > 1e-9, F.col("pv") + (u - F.col("pu")) * ((F.col("qv") - F.col("pv")) / run)).otherwise(F.col(end))
+    v, w = across(begins, "pv"), across(ends, "qv")
+    rows = rows.withColumn("j", F.explode(F.sequence(number(F.least(v, w) - reach, wide), number(F.greatest(v, w) + reach, wide))))
+    return rows.select(*sides.columns, F.xxhash64("k", "i", "j").alias("cell"))
 
 
 def shared_sides(polygons: DataFrame, climb: float, tolerance: float = 0.02, least: float = 0.05) -> DataFrame:
     """(part, a, b, width, portal): polygons a < b of a part whose sides lie on one line, within tolerance, for at least `least`, at heights that differ by at most climb; portal is the longest such stretch, two points (x, y, z), width its length.
 
-    Sides meet by an equi-join on their quantised line (direction and distance from the origin); the side that is spread takes the neighbouring values too, and what meets is tested exactly."""
-    sides = _sides(polygons)
-    dx, dy = F.col("q.x") - F.col("p.x"), F.col("q.y") - F.col("p.y")
-    long = F.hypot(dx, dy)
-    turn = 0.02  # radians a quantum of direction
-    lines = sides.withColumn("long", long).where(F.col("long") >= least).withColumns({"ux": dx / F.col("long"), "uy": dy / F.col("long")})
-    angle = F.pmod(F.atan2("uy", "ux"), F.lit(pi))
-    flip = F.abs(angle - F.atan2("uy", "ux")) > 1  # the normal turns round with the direction
-    offset = (F.col("ux") * F.col("p.y") - F.col("uy") * F.col("p.x")) * F.when(flip, -1.0).otherwise(1.0)
-    lines = graphs.materialize(lines.withColumns({"angle": angle, "offset": offset}))
-    turns, apart = round(pi / turn), max(4 * tolerance, 0.08)
-    key = lambda a, o: (F.floor(a / (pi / turns)).alias("ka"), F.floor(o / apart).alias("ko"))
-    spread = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("m")
-    b = lines.select("part", F.col("polygon").alias("b"), F.col("p").alias("bp"), F.col("q").alias("bq"), *key(F.col("angle"), F.col("offset")))
-    a = lines.select("part", F.col("polygon").alias("a"), "p", "q", "ux", "uy", "long", *key(F.col("angle"), F.col("offset")), spread)
-    over = F.col("ka") + F.col("m.a")  # past half a turn the line is the same and its offset has the other sign
-    turned = (over < 0) | (over >= turns)
-    a = a.select("part", "a", "p", "q", "ux", "uy", "long", F.pmod(over, F.lit(turns)).alias("ka"), F.when(turned, -(F.col("ko") + F.col("m.b")) - 1).otherwise(F.col("ko") + F.col("m.b")).alias("ko"))
-    met = a.join(b, ["part", "ka", "ko"]).where("a < b")
-    along = lambda v: (F.col(f"{v}.x") - F.col("p.x")) * F.col("ux") + (F.col(f"{v}.y") - F.col("p.y")) * F.col("uy")
-    off = lambda v: F.abs((F.col(f"{v}.y") - F.col("p.y")) * F.col("ux") - (F.col(f"{v}.x") - F.col("p.x")) * F.col("uy"))
-    met = met.where((off("bp") <= tolerance) & (off("bq") <= tolerance)).withColumns({"s": along("bp"), "t": along("bq")})
+    Sides meet by an equi-join on the strips of floor that they pass, twice as long as a side is on average, so a side meets those beside it and not all of its line, and rows stay in proportion to the sides. A side of a goes into
+    the strips of its own direction; a side of b, whose ends may stand off by the tolerance, into those of every direction that this allows, and into all within the tolerance. What meets is tested exactly."""
+    dx, dy = F.col("qx") - F.col("px"), F.col("qy") - F.col("py")
+    sides = graphs.materialize(_sides(polygons).withColumn("long", F.hypot(dx, dy)).where((F.col("long") >= least) & (F.col("long") < float("inf"))).withColumns({"ux": dx / F.col("long"), "uy": dy / F.col("long")}))
+    strip = max(2 * (sides.agg(F.avg("long")).first()[0] or 1.0), 64 * tolerance)
+    turn = F.asin(F.least(F.lit(1.0), 2 * tolerance / F.col("long"))) + 1e-6
+    a = _strips(sides, strip, 0.0, 0.4 * least, F.lit(0.0)).withColumnRenamed("polygon", "a")
+    b = _strips(sides.drop("ux", "uy"), strip, tolerance, 0.0, turn).select("part", "cell", F.col("polygon").alias("b"), *[F.col(v + c).alias(f"b{v}{c}") for v in "pq" for c in "xyz"])
+    met = a.join(b.hint("merge"), ["part", "cell"]).where("a < b")
+    along = lambda v: (F.col(f"{v}x") - F.col("px")) * F.col("ux") + (F.col(f"{v}y") - F.col("py")) * F.col("uy")
+    off = lambda v: F.abs((F.col(f"{v}y") - F.col("py")) * F.col("ux") - (F.col(f"{v}x") - F.col("px")) * F.col("uy"))
+    met = met.where((off("bp") <= tolerance) & (off("bq") <= tolerance))
+    met = met.select("*", F.inline(F.array(F.struct(along("bp").alias("s"), along("bq").alias("t")))))  # not a plain column, which each of its many uses below would compute anew within the join
     met = met.withColumns({"low": F.greatest(F.lit(0.0), F.least("s", "t")), "high": F.least(F.col("long"), F.greatest("s", "t"))}).withColumn("width", F.col("high") - F.col("low")).where(F.col("width") >= least)
-    mine = lambda at: F.col("p.z") + (F.col("q.z") - F.col("p.z")) * at / F.col("long")
-    theirs = lambda at: F.col("bp.z") + (F.col("bq.z") - F.col("bp.z")) * (at - F.col("s")) / (F.col("t") - F.col("s"))
+    mine = lambda at: F.col("pz") + (F.col("qz") - F.col("pz")) * at / F.col("long")
+    theirs = lambda at: F.col("bpz") + (F.col("bqz") - F.col("bpz")) * (at - F.col("s")) / (F.col("t") - F.col("s"))
     middle = (F.col("low") + F.col("high")) / 2
     met = met.where(F.abs(mine(middle) - theirs(middle)) <= climb)
-    point = lambda at: F.struct((F.col("p.x") + F.col("ux") * at).alias("x"), (F.col("p.y") + F.col("uy") * at).alias("y"), mine(at).alias("z"))
-    best = F.max_by(F.array(point(F.col("low")), point(F.col("high"))), F.struct("width", "low"))
-    return met.groupBy("part", "a", "b").agg(F.max("width").alias("width"), best.alias("portal"))
+    point = lambda at: F.struct((F.col("px") + F.col("ux") * at).alias("x"), (F.col("py") + F.col("uy") * at).alias("y"), mine(at).alias("z"))
+    best = F.max(F.struct("width", "low", F.array(point(F.col("low")), point(F.col("high"))).alias("portal"))).alias("best")
+    return met.groupBy("part", "a", "b").agg(best).select("part", "a", "b", "best.width", "best.portal")
 
 
 def polygon_nodes(polygons: DataFrame) -> DataFrame:
@@ -177,7 +192,7 @@ def routing_graph(polygons: DataFrame, *, climb: float, ramp: float, tolerance:
         nodes = nodes.withColumns({"i": _cell("x", size), "j": _cell("y", size)}).join(under, ["part", "i", "j"], "left").withColumn("z", F.coalesce("ground", "z")).drop("i", "j", "ground")
     nodes = graphs.materialize(nodes)
     end = lambda s: nodes.select("part", F.col("polygon").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("x", "y", "z", "slope", "level_change")])
-    edges = shared_sides(polygons, climb, tolerance, least).join(end("a"), ["part", "a"]).join(end("b"), ["part", "b"])
+    edges = shared_sides(polygons, climb, tolerance, least).join(end("a").hint("merge"), ["part", "a"]).join(end("b").hint("merge"), ["part", "b"])
     d = {c: F.col(f"b_{c}") - F.col(f"a_{c}") for c in "xyz"}
     run = F.hypot(d["x"], d["y"])
     edges = edges.withColumns({"length": F.sqrt(d["x"] ** 2 + d["y"] ** 2 + d["z"] ** 2), "rise": d["z"], "grade": F.degrees(F.atan2(F.abs(d["z"]), run)), "level_change": F.col("a_level_change") | F.col("b_level_change")}).where("length > 0")

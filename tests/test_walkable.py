@@ -75,6 +75,58 @@ def test_polygons_share_parts_of_sides_whatever_way_they_are_turned(spark, turn)
     assert nodes.count() == 7
 
 
+def brute_sides(rows, climb, tolerance=0.02, least=0.05):
+    """{(a, b): width}: every side of a polygon against every side of the others."""
+    found = {}
+    sides = [(part, n, r[k], r[(k + 1) % len(r)]) for part, n, r, _ in rows for k in range(len(r))]
+    for part, a, p, q in sides:
+        long = math.hypot(q["x"] - p["x"], q["y"] - p["y"])
+        if long < least:
+            continue
+        ux, uy = (q["x"] - p["x"]) / long, (q["y"] - p["y"]) / long
+        for other, b, bp, bq in sides:
+            if other != part or not a < b or math.hypot(bq["x"] - bp["x"], bq["y"] - bp["y"]) < least:
+                continue
+            if any(abs((v["y"] - p["y"]) * ux - (v["x"] - p["x"]) * uy) > tolerance for v in (bp, bq)):
+                continue
+            s, t = ((v["x"] - p["x"]) * ux + (v["y"] - p["y"]) * uy for v in (bp, bq))
+            low, high = max(0.0, min(s, t)), min(long, max(s, t))
+            if high - low < least:
+                continue
+            middle = (low + high) / 2
+            if abs(p["z"] + (q["z"] - p["z"]) * middle / long - bp["z"] - (bq["z"] - bp["z"]) * (middle - s) / (t - s)) <= climb:
+                found[a, b] = max(found.get((a, b), 0.0), high - low)
+    return found
+
+
+@pytest.mark.parametrize("away", [0.0, 5000.0])
+def test_sides_of_all_lengths_meet_wherever_the_polygons_lie(spark, away):
+    """Sides of 0.06 to 90 m with ends that stand off by less than the tolerance, so that short ones point elsewhere; parts far from the origin."""
+    rng = random.Random(8)
+    rows, n = [], 0
+    for turn in [rng.uniform(0, math.pi) for _ in range(30)] + [0.0, math.pi / 2]:
+        c, s, x0, y0 = math.cos(turn), math.sin(turn), rng.uniform(-90, 90) + away, rng.uniform(-90, 90) - away
+        for _ in range(7):
+            u, v, size, off = rng.uniform(0, 3), 0.0, rng.choice([0.06, 0.1, 0.5, 3.0, 90.0]), lambda: rng.uniform(-0.012, 0.012)
+            corners = [(u, v + off()), (u + size, v + off()), (u + size / 2, v + rng.choice([-2, 2]))]
+            rows.append((rng.choice("fg"), n, ring(*[(c * x - s * y + x0, s * x + c * y + y0, rng.uniform(0, 0.3)) for x, y in corners]), False))
+            n += 1
+    want = brute_sides(rows, 0.2)
+    got = {(r["a"], r["b"]): r["width"] for r in W.shared_sides(spark.createDataFrame(rows, SCHEMA), climb=0.2).collect()}
+    assert len(want) > 30 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_a_side_meets_those_beside_it_and_not_all_of_its_line(spark, monkeypatch):
+    """900 rooms on either side of one line: the pairs that meet by their keys stay in proportion to the rooms."""
+    rows = [("f", 2 * n + k, ring((2 * n, 3 * k, 0), (2 * n + 2, 3 * k, 0), (2 * n + 2, 3 * k + 3, 0), (2 * n, 3 * k + 3, 0)), False) for n in range(900) for k in (0, 1)]
+    rooms = spark.createDataFrame(rows, SCHEMA)
+    asked, plain = [], type(rooms).join
+    monkeypatch.setattr(type(rooms), "join", lambda a, b, on=None, how=None: asked.append((a, b, on)) or plain(a, b, on, how))
+    assert W.shared_sides(rooms, climb=0.1).count() == 900 + 2 * 899
+    (a, b, on), *more = asked
+    assert not more and plain(a, b, on).count() < 60 * len(rows)
+
+
 def test_a_route_over_the_built_graph(spark):
     """Rooms along a corridor; the way from room A to room E leads through it, and around the steps if it must be step-free."""
     rows = [("f", n, ring((2 * n, 2, 0), (2 * n + 2, 2, 0), (2 * n + 2, 5, 0), (2 * n, 5, 0)), False) for n in range(5)]  # rooms, that share walls
