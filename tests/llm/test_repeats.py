@@ -4,6 +4,7 @@ from collections import Counter
 
 from helpers import documents, random_text
 
+from plinth.llm import repeats
 from plinth.llm.repeats import remove_repeats
 
 
@@ -60,3 +61,45 @@ def test_production_length(spark):
 
 def test_empty_table(spark):
     assert remove_repeats(documents(spark, []))[0].count() == 0
+
+
+def digests(found, name):
+    return sorted((tuple(r) for r in found.select("doc_id", f"{name}.n_bytes", f"{name}.n_removed", f"{name}.n_spans", f"{name}.kept_sha256").collect()), key=repr)
+
+
+def edged(rng, n):
+    """Texts of passages whose copies differ in a letter here and there, and repeated rows."""
+    passages = [random_text(rng, 60, 4000) for _ in range(5)]
+    rows = []
+    for i in range(n):
+        text = list(f"{random_text(rng, rng.randrange(0, 9), 4000)} {rng.choice(passages)} {random_text(rng, 3, 4000)}")
+        for at in range(rng.randrange(200), len(text), 150):
+            text[at] = rng.choice("xyz")
+        rows.append((i, "".join(text), "en", "s"))
+    return rows + rows[:5] * 2
+
+
+def test_rounds_write_no_tables_where_buckets_are_small(spark, monkeypatch):
+    written, through_disk = [], repeats.through_disk
+    monkeypatch.setattr(repeats, "through_disk", lambda df: written.append(df) or through_disk(df))
+    check(spark, edged(random.Random(6), 60), 64, 32)
+    assert len(written) <= 8
+
+
+def test_buckets_in_a_task_and_by_joins(spark):
+    rows = edged(random.Random(7), 60)
+    for most in (1, 12):
+        assert digests(*remove_repeats(documents(spark, rows), 64, 32, most=most)) == brute(rows, 64)
+
+
+def test_buckets_and_texts_over_many_batches(spark):
+    rng = random.Random(8)
+    rows = edged(rng, 300) + [(1000 + i, random_text(rng, 2), "en", "s") for i in range(3000)]
+    name, found = "spark.sql.execution.arrow.maxRecordsPerBatch", documents(spark, rows).coalesce(1)
+    before = spark.conf.get(name)
+    try:
+        for size in ("7", "5000"):
+            spark.conf.set(name, size)
+            assert digests(*remove_repeats(found, 64, 32)) == brute(rows, 64)
+    finally:
+        spark.conf.set(name, before)
