@@ -11,11 +11,16 @@ Edges whose ends or lengths are null or NaN take no part. Negative lengths raise
 from __future__ import annotations
 
 import heapq
-from math import isnan
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .graphs import clusters, materialize
 from .relational import placed
@@ -23,6 +28,10 @@ from .relational import placed
 BLOCK_NODES = 50_000
 #: The share of edges between blocks from which nodes are gathered.
 CROSSING = 0.1
+#: Requests of one search that a task walks back, while the search has fewer tasks than MOST_PARTS; a task reads all that its search found.
+REQUESTS, MOST_PARTS = 2_000, 64
+#: Paths that a task gives to Spark at a time.
+PATHS = 1_000
 
 
 def _renewed(df: DataFrame) -> DataFrame:
@@ -30,18 +39,12 @@ def _renewed(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
-def _frame(rows: list[tuple], columns: list[str], ids: list[str], whole: bool) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=columns)
-    return out.astype({c: "Int64" for c in ids}) if whole else out
-
-
 def searches(edges: DataFrame, sources: DataFrame, block_nodes: int = BLOCK_NODES, rounds: int = 10_000) -> DataFrame:
     """(search, graph, id, distance, previous) of every node that a search reaches. edges: graph, a, b, length; sources: search, graph, id, one or several of a search, with distance 0 and no predecessor."""
     clean = materialize(edges.select("graph", "a", "b", F.col("length").cast("double").alias("length")).where("graph IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL AND length IS NOT NULL AND NOT isnan(length)"))
     if clean.where("length < 0").limit(1).count():
         raise ValueError("lengths must not be negative")
     kind = {c: t.dataType.simpleString() for c, t in zip(("id", "graph", "search"), (clean.schema["a"], clean.schema["graph"], sources.schema["search"]), strict=True)}
-    whole = kind["id"] in ("tinyint", "smallint", "int", "bigint")
     starts = sources.where("id IS NOT NULL").select("search", F.col("graph").cast(kind["graph"]).alias("graph"), F.col("id").cast(kind["id"]).alias("id")).distinct()
     nodes = clean.select("graph", F.col("a").alias("id")).unionByName(clean.select("graph", F.col("b").alias("id"))).unionByName(starts.select("graph", "id")).distinct()
 
@@ -62,18 +65,17 @@ def searches(edges: DataFrame, sources: DataFrame, block_nodes: int = BLOCK_NODE
     schema = f"search {kind['search']}, graph {kind['graph']}, block long, id {kind['id']}, distance double, previous {kind['id']}, sent boolean"
 
     def settle(key: tuple, known: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        """One block of one search: known are its nodes with their distances so far, and what has been sent to it."""
+        """One block of one search: known are its nodes with their distances so far, and what has been sent to it. A source is its own predecessor here: pandas makes floats of whole numbers beside nulls, which hold no more than 53 bits of an id."""
         search, graph, block = key
         ahead: dict = {}
         for a, b, to, length in zip(*(edges[c].tolist() for c in ("a", "b", "to", "length")), strict=True):
             ahead.setdefault(a, []).append((length, to, b))
         best: dict = {}
         heap: list = []
-        none = lambda p: p is None or p is pd.NA or (isinstance(p, float) and isnan(p))
         sent = known["sent"].tolist()
         rows = sorted(zip(sent, known["id"].tolist(), known["distance"].tolist(), known["previous"].tolist(), strict=True), key=lambda r: r[0])
         for new, node, distance, previous in rows:
-            previous = None if none(previous) else int(previous) if whole else previous
+            previous = None if previous == node else previous
             old = best.get(node)
             if old is None or distance < old[0] or (distance == old[0] and previous is not None and old[1] is not None and previous < old[1]):
                 best[node] = (distance, previous)
@@ -93,17 +95,17 @@ def searches(edges: DataFrame, sources: DataFrame, block_nodes: int = BLOCK_NODE
                     held[at] = (there, node)
                     if held is best and (old is None or there < old[0]):
                         heapq.heappush(heap, (there, b))
-        rows = [(search, graph, block, i, d, p, False) for i, (d, p) in best.items()] + [(search, graph, to, i, d, p, True) for (to, i), (d, p) in out.items()]
-        return _frame(rows, columns, ["id", "previous"], whole)
+        rows = [(search, graph, block, i, d, i if p is None else p, False) for i, (d, p) in best.items()] + [(search, graph, to, i, d, p, True) for (to, i), (d, p) in out.items()]
+        return pd.DataFrame(rows, columns=columns)
 
     messages = materialize(starts.join(nodes, ["graph", "id"]).select("search", "graph", "block", "id", F.lit(0.0).alias("distance"), F.lit(None).cast(kind["id"]).alias("previous"), F.lit(True).alias("sent")))
     state = messages.where("false")
     by = ["search", "graph", "block"]
     for _ in range(rounds):
         active = messages.select(*by).distinct()
-        here = state.join(active, by, "left_semi").unionByName(messages)
+        here = state.join(active, by, "left_semi").unionByName(messages).withColumn("previous", F.coalesce("previous", "id"))
         asked = _renewed(dealt.join(active, ["graph", "block"]))
-        made = materialize(here.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(settle, schema))
+        made = materialize(here.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(settle, schema).withColumn("previous", F.nullif("previous", "id")))
         state = materialize(state.join(active, by, "left_anti").unionByName(made.where("NOT sent")))
         found = made.where("sent").groupBy(*by, "id").agg(F.min(F.struct("distance", "previous")).alias("n")).select(*by, "id", "n.distance", "n.previous", F.lit(True).alias("sent"))
         old = state.select("search", "graph", "id", F.struct("distance", "previous").alias("old"))
@@ -127,19 +129,42 @@ def reachable(edges: DataFrame, start: DataFrame, block_nodes: int = BLOCK_NODES
 
 
 def paths(found: DataFrame, asked: DataFrame) -> DataFrame:
-    """asked (search, request, target) with cost and path (node ids from the source to the target) by what searches() found; nulls for targets that are not reached. A task holds the predecessors of one search."""
+    """asked (search, request, target) with cost and path (node ids from the source to the target) by what searches() found; nulls for targets that are not reached. The requests of a search are dealt over up to MOST_PARTS tasks, each with the predecessors of that search."""
     kind, node = asked.schema["request"].dataType.simpleString(), found.schema["id"].dataType.simpleString()
-
-    def walk(key: tuple, found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        before = dict(zip(found["id"].tolist(), found["previous"].tolist(), strict=True))
-        cost = dict(zip(found["id"].tolist(), found["distance"].tolist(), strict=True))
-        rows = []
-        for request, target in zip(asked["request"].tolist(), asked["target"].tolist(), strict=True):
-            way, at = [], target
-            while at in before:
-                way.append(at)
+    schema = f"request {kind}, cost double, path array<{node}>"
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    asked = _renewed(asked).withColumn("target", F.col("target").cast(node))
+    parts = asked.groupBy("search").agg(F.least(F.lit(MOST_PARTS), F.ceil(F.count("*") / REQUESTS)).cast("int").alias("parts"))
+    dealt = asked.join(_renewed(parts), "search", "left").withColumn("part", F.pmod(F.xxhash64("request"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    copies = found.select("search", "id", "distance", "previous").join(parts, "search").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+    def walk(key: tuple, found: pa.Table, asked: pa.Table) -> pa.Table:
+        ids = found["id"].combine_chunks()
+        places = lambda c: pc.fill_null(pc.index_in(c.combine_chunks(), value_set=ids, skip_nulls=True), -1).to_numpy(zero_copy_only=False)
+        before, targets = places(found["previous"]), places(asked["target"])
+
+        def back() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """A step at a time, the requests that are still on their way and the nodes they are at."""
+            rows = np.flatnonzero(targets >= 0)
+            at = targets[rows]
+            while len(rows):
+                yield rows, at
                 at = before[at]
-            rows.append((request, cost.get(target), way[::-1] or None))
-        return pd.DataFrame(rows, columns=["request", "cost", "path"])
-
-    return found.groupBy("search").cogroup(_renewed(asked).groupBy("search")).applyInPandas(walk, f"request {kind}, cost double, path array<{node}>")
+                rows, at = rows[at >= 0], at[at >= 0]
+
+        nodes = np.zeros(len(targets), np.int64)
+        for k, (rows, _) in enumerate(back()):
+            if k == found.num_rows:
+                raise ValueError(f"search {key[0]}: predecessors run in a circle")
+            nodes[rows] += 1
+        ends = np.cumsum(nodes)
+        ways = np.empty(int(nodes.sum()), np.int32)
+        for k, (rows, at) in enumerate(back()):
+            ways[ends[rows] - 1 - k] = at
+        path = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), ids.take(pa.array(ways)), mask=pa.array(nodes == 0))
+        cost = found["distance"].combine_chunks().take(pa.array(targets, mask=targets < 0))
+        out = pa.table([asked["request"].combine_chunks(), cost, path], names=kinds.names).cast(kinds)
+        return pa.concat_tables([out.slice(k, PATHS) for k in range(0, max(1, len(targets)), PATHS)])
+
+    by = ["search", "part"]
+    return copies.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInArrow(walk, schema)

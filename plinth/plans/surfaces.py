@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graphs
@@ -200,11 +199,12 @@ SELECT c.i, c.j, w.d IS NOT NULL AS reached, round(w.d, 6) AS cost, w.d IS NOT N
 def r26(spark, d):
     """Every cell with the cost of its way from the first cell; whole: the cells of the way stand next to each other, and their steps add up to the cost."""
     cells = graphs.materialize(_grid(spark, d).withColumn("id", S.cell_id(F.col("i"), F.col("j"))))
-    edges = S.grid_edges(cells).select("graph", "a", "b", "length")
+    edges = graphs.materialize(S.grid_edges(cells).select("graph", "a", "b", "length"))
     first = cells.agg(F.min(F.struct("i", "j")).alias("s")).select(F.lit(0).alias("search"), F.lit(0).alias("graph"), S.cell_id(F.col("s.i"), F.col("s.j")).alias("id"))
     found = graphs.materialize(searches.searches(edges, first))
-    ways = searches.paths(found, cells.select(F.lit(0).alias("search"), F.col("id").alias("request"), F.col("id").alias("target")))
-    steps = ways.select("request", F.posexplode("path").alias("at", "b")).withColumn("a", F.lag("b").over(Window.partitionBy("request").orderBy("at"))).where("a IS NOT NULL").join(edges, ["a", "b"], "left")
+    ways = graphs.materialize(searches.paths(found, cells.select(F.lit(0).alias("search"), F.col("id").alias("request"), F.col("id").alias("target"))))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda k: F.struct(F.get("path", k - 1).alias("a"), F.get("path", k).alias("b")))
+    steps = ways.where("size(path) > 1").select("request", F.explode(pairs).alias("step")).select("request", "step.*").join(edges, ["a", "b"], "left")
     sums = steps.groupBy("request").agg(F.sum("length").alias("walked"), F.count("*").alias("n"), F.count("length").alias("known"))
     whole = F.coalesce((F.abs(F.coalesce("walked", F.lit(0.0)) - F.col("cost")) < 1e-9) & (F.coalesce("n", F.lit(0)) == F.coalesce("known", F.lit(0))), F.lit(False))
     return cells.withColumnRenamed("id", "request").join(ways, "request").join(sums, "request", "left").select("i", "j", F.col("cost").isNotNull().alias("reached"), F.round("cost", 6).alias("cost"), whole.alias("whole"))

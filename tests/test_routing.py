@@ -5,6 +5,7 @@ import math
 import random
 from itertools import permutations
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from plinth.operators import graphs, searches
 from plinth.operators import routing as R
 from plinth.operators.graphs import materialize
+from plinth.plans import catalog
 
 NODES = {"A": (0, 0), "B": (10, 0), "C": (20, 0), "D": (20, 10), "E": (10, 10), "S": (5, 5), "L": (25, 5)}
 EDGES = [("A", "B", 2.0, True), ("B", "C", 2.0, True), ("C", "D", 2.0, True), ("D", "E", 2.0, True), ("B", "E", 0.7, True), ("A", "E", 1.5, False), ("A", "S", 2.0, True), ("C", "L", 2.0, True)]
@@ -162,3 +164,40 @@ def test_two_opt_leaves_no_stretch_to_turn(spark):
         for i in range(1, len(path)):
             for j in range(i + 1, len(path)):
                 assert length(path[:i] + path[i : j + 1][::-1] + path[j + 1 :]) >= own - 1e-9
+
+
+@pytest.mark.parametrize("block_nodes", [4, 20_000])
+def test_ids_beyond_53_bits_keep_their_predecessors(spark, block_nodes):
+    at, n = 1 << 62, 30
+    edges = spark.createDataFrame([(0, at + k, at + k + 1, 1.0) for k in range(n)] + [(0, at + n + 2, at + n + 3, 1.0)], "graph int, a long, b long, length double")
+    found = materialize(searches.searches(edges, spark.createDataFrame([(1, 0, at)], "search int, graph int, id long"), block_nodes))
+    assert sorted((r["id"] - at, r["previous"] and r["previous"] - at) for r in found.collect()) == [(0, None)] + [(k, k - 1) for k in range(1, n + 1)]
+    asked = spark.createDataFrame([(1, 100, at + n), (1, 101, at), (1, 102, at + n + 3), (1, 103, None), (2, 104, at)], "search int, request int, target long")
+    got = {r["request"]: (r["cost"], r["path"]) for r in searches.paths(found, asked).collect()}
+    assert got == {100: (float(n), [at + k for k in range(n + 1)]), 101: (0.0, [at]), 102: (None, None), 103: (None, None), 104: (None, None)}
+
+
+def test_paths_of_a_search_over_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(searches, "REQUESTS", 7)
+    monkeypatch.setattr(searches, "PATHS", 3)
+    found = spark.createDataFrame([(0, k, float(k.bit_length()), k // 2 or None) for k in range(1, 200)] + [(1, 5, 0.0, None)], "search int, id long, distance double, previous long")
+    asked = spark.createDataFrame([(0, f"r{k}", k) for k in range(250)] + [(1, "one", 5)], "search int, request string, target int")
+    up = lambda k: [*up(k // 2), k] if k else []
+    wanted = {f"r{k}": (float(k.bit_length()), up(k)) if 0 < k < 200 else (None, None) for k in range(250)} | {"one": (0.0, [5])}
+    assert {r["request"]: (r["cost"], r["path"]) for r in searches.paths(found, asked).collect()} == wanted
+    with pytest.raises(Exception, match="circle"):
+        searches.paths(spark.createDataFrame([(0, 1, 0.0, 2), (0, 2, 1.0, 1)], "search int, id long, distance double, previous long"), asked).collect()
+
+
+def test_grid_paths_of_connected_cells_equal_the_oracle(spark, tmp_path):
+    """In the small tables the first cell has no neighbour, so no way was ever walked there."""
+    rng = random.Random(26)
+    cells = [(i, j) for i in range(12) for j in range(1, 9) if rng.random() < 0.8 or (i, j) == (0, 1)] + [(20, 3)]
+    points = [(3 * k, [0.05 * i + 0.025, 0.05 * j + 0.025, 0.0], 0) for k, (i, j) in enumerate(cells)]
+    spark.createDataFrame(points, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    columns = "i, j, reached, cost, whole"
+    wanted = sorted(con.execute(f"SELECT {columns} FROM ({catalog.ORACLES['r26_grid_paths']})").fetchall())
+    got = sorted(tuple(r) for r in catalog.QUERIES["r26_grid_paths"](spark, str(tmp_path)).select(*columns.split(", ")).collect())
+    assert got == wanted and sum(r[2] for r in got) > 50
